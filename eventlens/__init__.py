@@ -1,0 +1,20 @@
+"""eventlens: a Spark-native event-study and label-benchmark engine."""
+
+from __future__ import annotations
+
+import sys as _sys
+
+
+def _ship_by_value() -> None:
+    # Python-side jobs (HTML parsing, predictors) run in Spark's Python
+    # workers; pickling this package's functions by value lets executors run
+    # them without installing the package. On a cluster, shipping a wheel
+    # with --py-files works as well.
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+    except Exception:  # pragma: no cover - optional
+        pass
+
+
+_ship_by_value()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventlens.functions.text import let
+
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical results.
 # 8-K items tried in this priority (not by position in the text).
@@ -30,24 +32,23 @@ def _col(c: Column | str) -> Column:
 def item_8k(c: Column | str, items=PRIORITY_8K_ITEMS) -> Column:
     """first priority item that occurs, up to the next ``Item <d>.`` or
     the end; else the first ``ITEM n.n`` section; else the whole text."""
-    c = _col(c)
-    tries = [F.regexp_substr(c, F.lit(ITEM_8K_PATTERN.format(code=code.replace(".", r"\."))))
-             for code in items]
-    tries.append(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)))
-    return F.coalesce(*tries, c)
+    def pick(c: Column) -> Column:
+        tries = [F.regexp_substr(c, F.lit(ITEM_8K_PATTERN.format(code=code.replace(".", r"\."))))
+                 for code in items]
+        tries.append(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)))
+        return F.coalesce(*tries, c)
+    return let(_col(c), pick)
 
 
 def mdna(c: Column | str) -> Column:
     """the MD&A section of a 10-K; there is no end-of-text alternative,
     so a trailing MD&A (or none) gives the whole text."""
-    c = _col(c)
-    return F.coalesce(F.regexp_substr(c, F.lit(MDNA_PATTERN)), c)
+    return let(_col(c), lambda v: F.coalesce(F.regexp_substr(v, F.lit(MDNA_PATTERN)), v))
 
 
 def relevant_section(text: Column | str, form: Column | str) -> Column:
     """dispatch on the (per-row) form type, case-insensitively."""
-    text, form = _col(text), _col(form)
-    f = F.upper(form)
-    return (F.when(f == FORM_8K, item_8k(text))
-            .when(f.isin(*FORMS_MDNA), mdna(text))
-            .otherwise(text))
+    f = F.upper(_col(form))
+    return let(_col(text), lambda t: F.when(f == FORM_8K, item_8k(t))
+               .when(f.isin(*FORMS_MDNA), mdna(t))
+               .otherwise(t))

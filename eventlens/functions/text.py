@@ -57,6 +57,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bind(c: Column | str, body) -> Column:
+    """``body(c)``; a column *name* is cheap to repeat, any other expression
+    is bound once with :func:`let`."""
+    return body(F.col(c)) if isinstance(c, str) else let(c, body)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable,
+    so an expression that uses its input several times does not copy the
+    input's expression tree (which can overflow generated-code limits)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def utrim(c: Column | str) -> Column:
     """Unicode-aware trim (Python ``str.strip()``); Spark's ``trim`` only
     removes ASCII spaces."""
@@ -108,10 +121,7 @@ def _before_last(head: Column, ch: str) -> Column:
     return head.substr(F.lit(1), F.length(head) - F.instr(F.reverse(head), ch))
 
 
-def truncate_text(c: Column | str, max_chars: int) -> Column:
-    """if longer than ``max_chars``, cut, then back off to the last ``.``
-    (kept); with no dot, back off to the last space and append ``...``."""
-    c = _col(c)
+def _truncate(c: Column, max_chars: int) -> Column:
     head = c.substr(1, max_chars)
     by_dot = F.concat(_before_last(head, "."), F.lit("."))
     by_space = F.concat(
@@ -121,16 +131,23 @@ def truncate_text(c: Column | str, max_chars: int) -> Column:
     return F.when(F.length(c) > max_chars, cut).otherwise(c)
 
 
+def truncate_text(c: Column | str, max_chars: int) -> Column:
+    """if longer than ``max_chars``, cut, then back off to the last ``.``
+    (kept); with no dot, back off to the last space and append ``...``."""
+    return _bind(c, lambda v: _truncate(v, max_chars))
+
+
 def clean_and_truncate(c: Column | str, max_chars: int = 3000, max_sents: int = 15) -> Column:
     """boilerplate -> sentences -> truncation, with the reference's guards:
     null -> ``N/A``; ``N/A`` or blank text returned unchanged; an empty result
     becomes ``N/A (Cleaned to empty)``."""
-    c = _col(c)
-    body = truncate_text(first_sentences(remove_boilerplate(c), max_sents), max_chars)
-    return (F.when(c.isNull(), F.lit(NA))
-            .when((c == NA) | is_blank(c), c)
-            .when(body == "", F.lit(NA_CLEANED_EMPTY))
-            .otherwise(body))
+    def guard(src: Column) -> Column:
+        body = truncate_text(first_sentences(remove_boilerplate(src), max_sents), max_chars)
+        return let(body, lambda b: F.when(src.isNull(), F.lit(NA))
+                   .when((src == NA) | is_blank(src), src)
+                   .when(b == "", F.lit(NA_CLEANED_EMPTY))
+                   .otherwise(b))
+    return _bind(c, guard)
 
 
 def drop_blank_lines(c: Column | str) -> Column:

@@ -4,42 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-RAW_FILINGS = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+          "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(),
+          "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _struct(spec: str) -> T.StructType:
+    """``"a string, b date"`` -> StructType (flat fields of the types above)."""
+    fields = []
+    for part in spec.split(","):
+        name, typ = part.split()
+        fields.append(T.StructField(name, _TYPES[typ]))
+    return T.StructType(fields)
+
+
+RAW_FILINGS = _struct(
     "id string, filing_date string, html_url string, text_preview_from_api string, "
     "full_filing_text string")
-RAW_NEWS = T.StructType.fromDDL(
-    "articlesId string, publishedAt struct<date:string>, articlesName string, "
-    "articlesDescription string")
+RAW_NEWS = T.StructType([
+    T.StructField("articlesId", T.StringType()),
+    T.StructField("publishedAt", T.StructType([T.StructField("date", T.StringType())])),
+    T.StructField("articlesName", T.StringType()),
+    T.StructField("articlesDescription", T.StringType()),
+])
 NEWS_PAGE = T.StructType([
     T.StructField("articles", T.ArrayType(RAW_NEWS)),
     T.StructField("allPages", T.IntegerType()),
 ])
-FILING_INDEX = T.StructType.fromDDL(
-    "cik string, accessionNumber array<string>, form array<string>, "
-    "filingDate array<string>, primaryDocument array<string>")
-PAGES = T.StructType.fromDDL("url string, html string")
-PRICES = T.StructType.fromDDL(
+FILING_INDEX = T.StructType([T.StructField("cik", T.StringType())] + [
+    T.StructField(c, T.ArrayType(T.StringType()))
+    for c in ("accessionNumber", "form", "filingDate", "primaryDocument")])
+PAGES = _struct("url string, html string")
+PRICES = _struct(
     "ticker string, trade_date date, open double, high double, low double, close double, "
     "adj_close double, volume bigint")
-RETURNS = T.StructType.fromDDL(
+RETURNS = _struct(
     "ticker string, trade_date date, adj_close double, ret_pct_d0 double, cat_d0 string, "
     "ret_pct_d1 double, cat_d1 string, ret_pct_d2 double, cat_d2 string")
-NEWS_EVENTS = T.StructType.fromDDL(
+NEWS_EVENTS = _struct(
     "news_id string, published_datetime_utc timestamp, published_date_utc date, "
     "title string, summary string, has_causal_keyword boolean")
-FILING_EVENTS = T.StructType.fromDDL(
+FILING_EVENTS = _struct(
     "filing_id string, filing_date date, item_text string, has_causal_keyword boolean")
-BENCH_EVENTS = T.StructType.fromDDL(
+BENCH_EVENTS = _struct(
     "event_id string, ticker string, event_text string, cat_d1 string, "
     "causal_label string, assoc_label string")
-RESULTS = T.StructType.fromDDL(
+RESULTS = _struct(
     "model string, event_id string, ticker string, ground_causal string, ground_assoc string, "
     "causal_llm_pred string, assoc_llm_pred string, cause_llm_pred string, "
     "effect_llm_pred string, raw_llm string")
-METRICS = T.StructType.fromDDL(
+METRICS = _struct(
     "model string, target string, n_valid bigint, accuracy double, precision double, "
     "recall double, f1 double")
-MACRO = T.StructType.fromDDL("date date, CPIAUCSL double")
+MACRO = _struct("date date, CPIAUCSL double")
 
 NEWS_REQUIRED = ("articlesId", "publishedAt", "articlesName", "articlesDescription")
 FILINGS_REQUIRED = ("id", "filing_date", "full_filing_text")

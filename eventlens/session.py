@@ -25,6 +25,7 @@ SESSION_CONF = {
     # a large slice of the corpus at once.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
