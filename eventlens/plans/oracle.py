@@ -387,5 +387,9 @@ FROM aligned a LEFT JOIN labels l ON a.news_id = CAST(l.doc_id AS VARCHAR)""",
     "sql_functions": w(BARS, returns_ctes()) + f"""SELECT ticker, trade_date, {cat('ret_pct_d1')} AS cat_d1,
   ticker || ' ' || CAST(trade_date AS VARCHAR) AS label, true AS flagged FROM rets""",
 }
+# CSV writes empty strings and nulls alike, so empty labels read back as null
+# (as a pandas round trip turns '' into NaN).
+ORACLE["csv_roundtrip"] = w(*NEWS_ALIGNED) + """SELECT news_id, ticker, event_date, cat_d1,
+  CAST(NULL AS VARCHAR) AS causal_label, CAST(NULL AS VARCHAR) AS assoc_label, summary FROM aligned"""
 # The HTML parser on markup-free text yields the trimmed text without blank lines.
 ORACLE["filing_events_html"] = ORACLE["filing_events"]
