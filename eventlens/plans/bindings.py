@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.ids import document_url
+from eventlens.plans.sizing import balance
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -43,8 +44,20 @@ FILING_8K_CODES = ("2.02", "1.01", "5.02", "8.01", "5.07")
 MODELS = ("m1", "m2")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Text-heavy tables and their keys: scans of these are balanced over the
+# cluster before per-row text work (see :func:`eventlens.plans.sizing.balance`).
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Scan one test table (optionally projected before balancing, so only
+    the needed columns are read and moved)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    if name in TEXT_TABLES and (not columns or TEXT_TABLES[name] in columns):
+        df = balance(df, TEXT_TABLES[name])
+    return df
 
 
 def _ticker_of(doc_id: Column) -> Column:
@@ -70,7 +83,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed news articles (raw shape) with a ``ticker`` column."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = table(spark, sf_dir, "documents", ("doc_id", "text", "source"))
     day = F.date_add(F.lit(NEWS_EPOCH).cast("date"), F.pmod("doc_id", F.lit(NEWS_DAYS)).cast("int"))
     stamp = (F.when(F.pmod("doc_id", F.lit(37)) == 36, F.lit("not a date"))
              .when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(day.cast("string"), F.lit("T10:00:00.000Z")))
@@ -110,7 +123,7 @@ def filing_text(doc_id: Column, text: Column) -> Column:
 
 def filings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed filings ``id, filing_date, full_filing_text`` + ``ticker, form``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents", ("doc_id", "text"))
     day = F.date_add(F.lit(NEWS_EPOCH).cast("date"),
                      F.pmod(F.col("doc_id") * 7, F.lit(FILING_DAYS)).cast("int"))
     date_text = F.when(F.pmod("doc_id", F.lit(41)) == 40, F.lit("n/a")).otherwise(day.cast("string"))
@@ -182,7 +195,7 @@ def accession(custkey: Column, orderdate: Column, orderkey: Column) -> Column:
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages ``(url, html)`` stored under the archive URL of the order whose
     key is the page id (inner join: pages of unknown orders are not filings)."""
-    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    p = table(spark, sf_dir, "pages", ("page_id", "html"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = p.join(o, p.page_id == o.o_orderkey)
     url = document_url(F.col("o_custkey"), accession(F.col("o_custkey"), F.col("o_orderdate"),

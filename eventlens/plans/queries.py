@@ -141,7 +141,7 @@ def align_all_tickers(spark, d):
 
 # ---------------------------------------------------------------- text
 def strip_tags_q(spark, d):
-    p = B.table(spark, d, "pages").select("page_id", "html")
+    p = B.table(spark, d, "pages", ("page_id", "html"))
     return p.select("page_id", strip_tags("html").alias("text"))
 
 
@@ -157,17 +157,17 @@ def clean_boilerplate(spark, d):
 
 
 def first_sentences_q(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", "text")
+    t = B.table(spark, d, "documents", ("doc_id", "text"))
     return t.select("doc_id", first_sentences("text", NEWS_LIMITS[1]).alias("sentences"))
 
 
 def truncate_text_q(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", "text")
+    t = B.table(spark, d, "documents", ("doc_id", "text"))
     return t.select("doc_id", truncate_text("text", 300).alias("truncated"))
 
 
 def clean_text(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", "text")
+    t = B.table(spark, d, "documents", ("doc_id", "text"))
     return t.select("doc_id", clean_and_truncate("text", *NEWS_LIMITS).alias("cleaned"))
 
 
@@ -207,7 +207,7 @@ def filing_events(spark, d):
 
 
 def html_text(spark, d):
-    p = B.table(spark, d, "pages").select("page_id", "html")
+    p = B.table(spark, d, "pages", ("page_id", "html"))
     return html_to_text(p, "html", "text").drop("html")
 
 

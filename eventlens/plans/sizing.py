@@ -42,3 +42,19 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     if bounded_count(side, max_rows) <= max_rows:
         return F.broadcast(side)
     return side
+
+
+def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread a text-heavy scan over the cluster when it is split too coarsely.
+
+    A small file with one row group is one scan task, so all per-row text
+    work would run on one core. If the scan has fewer partitions than the
+    cluster's parallelism, hash-repartition on ``key`` (deterministic, so a
+    retried task after executor loss gets the same rows). At scale the scan
+    already has more splits than cores and the DataFrame is returned as is:
+    no shuffle of the corpus is ever added there. Only planning is done
+    here, no job runs."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)

@@ -1,0 +1,69 @@
+import pytest
+
+from eventlens.functions.answers import build_prompt, parse_answer
+from eventlens.operators.metrics import report, score
+from eventlens.operators.predict import keyword_predictor, run_predictors
+
+ANSWERS = [
+    ('```json\n{"causal":"Yes","assoc":"Yes"}\n```', "ParseErr_Causal", "ParseErr_Assoc"),
+    ('pre {"a" oops} {"causal":true,"assoc":"no","cause":" x "} post', "Yes", "No"),
+    ('{"cause":{"a":1},"causal":"Yes"}', "Yes", "ParseErr_Assoc"),
+    ('"causal": "YES", "assoc" : "maybe"', "Yes", "No"),
+    ("{}", "ParseErr_Causal", "ParseErr_Assoc"),
+    ("", "ParseErr_Causal", "ParseErr_Assoc"),
+    ('{"causal":"No","causal":"Yes"}', "Yes", "ParseErr_Assoc"),
+    ('{"causal":null}', "No", "ParseErr_Assoc"),
+    ("{'causal':'Yes'}", "ParseErr_Causal", "ParseErr_Assoc"),
+    ('{"causal":"是"}', "Yes", "ParseErr_Assoc"),
+]
+
+
+def test_parse_answers(spark):
+    df = spark.createDataFrame([(a,) for a, _, _ in ANSWERS], "raw string")
+    got = df.select(parse_answer("raw").alias("p")).collect()
+    for (raw, causal, assoc), row in zip(ANSWERS, got):
+        assert (row.p.causal, row.p.assoc) == (causal, assoc), raw
+    assert got[1].p.cause == "x" and got[7].p.cause == "N/A"
+
+
+def test_unwrap_fences_option(spark):
+    df = spark.createDataFrame([(ANSWERS[0][0],)], "raw string")
+    p = df.select(parse_answer("raw", unwrap_fences=True).alias("p")).first().p
+    assert (p.causal, p.assoc) == ("Yes", "Yes")
+
+
+def test_prompt_payload(spark):
+    df = spark.createDataFrame([('say "hi"\n', "Flat"), ("x" * 2000, None)], "e string, r string")
+    got = [r[0] for r in df.select(build_prompt("e", "r")).collect()]
+    assert got[0].endswith('User: {"event": "say \\"hi\\"\\n", "reaction": "Flat"}\nAssistant:')
+    assert got[0].startswith("System: You are a meticulous financial analyst.")
+    assert '"x' + "x" * 1023 + '", "reaction": null}' in got[1]
+
+
+def results(spark, pairs, model="m"):
+    return spark.createDataFrame(
+        [(model, t, p, t, p) for t, p in pairs],
+        "model string, ground_causal string, causal_llm_pred string, ground_assoc string, assoc_llm_pred string")
+
+
+def test_metrics_values(spark):
+    pairs = [("Yes", "Yes"), ("Yes", "No"), ("No", "Yes"), ("No", "No"),
+             ("Yes", "ParseErr_Causal"), ("", "Yes")]
+    m = {r.target: r for r in score(results(spark, pairs)).collect()}["causal"]
+    assert (m.n_valid, m.accuracy, m.precision, m.recall, m.f1) == (4, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_metrics_zero_division_and_empty(spark):
+    m = score(results(spark, [("No", "No")] * 3)).first()
+    assert (m.accuracy, m.precision, m.recall, m.f1) == (1.0, 0.0, 0.0, 0.0)
+    e = score(results(spark, [("", "Yes")])).first()
+    assert e.n_valid == 0 and e.accuracy is None and e.f1 is None
+    assert report(score(results(spark, [("Yes", "Yes")]))).first().accuracy_pct == "100.00%"
+
+
+def test_keyword_predictor_batch(spark):
+    ev = spark.createDataFrame([("1", "Sales fell due to rain.", "Significant Down"),
+                                ("2", "Nothing.", None)], "event_id string, event_text string, reaction string")
+    out = {r.event_id: r.raw_answer for r in run_predictors(ev, {"kw": keyword_predictor()}).collect()}
+    assert out["1"] == '{"assoc":"Yes","causal":"Yes","cause":"keyword","effect":"Significant Down"}'
+    assert out["2"] == '{"assoc":"No","causal":"No","cause":"none","effect":"N/A"}'
