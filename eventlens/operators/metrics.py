@@ -56,9 +56,10 @@ def score(results: DataFrame) -> DataFrame:
 
 
 def percent(c) -> F.Column:
-    """``0.4`` -> ``40.00%``."""
+    """``0.4`` -> ``40.00%``, rounded like Python's ``{x:.2%}`` (the
+    exact binary value, ties to even: 0.78125 -> ``78.12%``); null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.format_string("%.2f%%", c * 100)
+    return F.concat(F.format_number(c * 100, 2), F.lit("%"))
 
 
 def report(metrics: DataFrame) -> DataFrame:
