@@ -391,5 +391,8 @@ FROM aligned a LEFT JOIN labels l ON a.news_id = CAST(l.doc_id AS VARCHAR)""",
 # (as a pandas round trip turns '' into NaN).
 ORACLE["csv_roundtrip"] = w(*NEWS_ALIGNED) + """SELECT news_id, ticker, event_date, cat_d1,
   CAST(NULL AS VARCHAR) AS causal_label, CAST(NULL AS VARCHAR) AS assoc_label, summary FROM aligned"""
+ORACLE["landing_roundtrip"] = w(news_ctes()) + """SELECT news_id, published_datetime_utc, published_date_utc,
+  title, summary, has_causal_keyword FROM news"""
+ORACLE["stream_news_events"] = ORACLE["align_events"]
 # The HTML parser on markup-free text yields the trimmed text without blank lines.
 ORACLE["filing_events_html"] = ORACLE["filing_events"]

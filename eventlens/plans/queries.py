@@ -33,7 +33,8 @@ from eventlens.operators.news import preprocess_news
 from eventlens.operators.predict import keyword_predictor
 from eventlens.operators.returns import prune_prices, returns_table
 from eventlens.plans import bindings as B
-from eventlens.plans.pipeline import benchmark_events, results_from_answers, run_benchmark
+from eventlens.plans.pipeline import (align_pipeline, benchmark_events, results_from_answers,
+                                      run_benchmark)
 from eventlens.session import materialize, scratch_path
 from eventlens.sources import readers, writers
 from eventlens.schemas import MACRO, RESULTS
@@ -126,17 +127,21 @@ def align_wide_prefixed(spark, d):
     return r6(to_wide(a, B.TICKERS, RETURN_OUT))
 
 
+def _pipeline(spark, d):
+    """T8 over the bindings: news + filings (per-row form, markup-free text)."""
+    return align_pipeline(B.news_raw(spark, d), B.filings_raw(spark, d), B.bars(spark, d),
+                          filing_form=F.col("form"), filing_text_mode="plain")
+
+
 def align_all_tickers(spark, d):
-    returns = materialize(_returns(spark, d))
-    news = _news(spark, d).withColumnRenamed("published_date_utc", "event_date")
-    n = align_events(news, returns, "event_date").select(
+    aligned = _pipeline(spark, d)
+    n = aligned["news"].select(
         F.lit("news").alias("source"), F.col("news_id").alias("event_id"), "ticker", "event_date",
         "has_causal_keyword", "cat_d0", "cat_d1", "cat_d2")
-    f = _aligned_filings(spark, d, returns).select(
+    f = aligned["filings"].select(
         F.lit("filings").alias("source"), F.col("filing_id").alias("event_id"), "ticker",
         "event_date", "has_causal_keyword", "cat_d0", "cat_d1", "cat_d2")
-    u = n.unionByName(f)
-    return u.withColumn("event_date", iso_date("event_date"))
+    return n.unionByName(f).withColumn("event_date", iso_date("event_date"))
 
 
 # ---------------------------------------------------------------- text
@@ -234,13 +239,10 @@ def annotation_sheet(spark, d):
 
 
 def standardise_union(spark, d):
-    returns = materialize(_returns(spark, d))
-    news = _news(spark, d).withColumnRenamed("published_date_utc", "event_date")
-    aligned = {"news": align_events(news, returns, "event_date").select(
-                   "news_id", "ticker", "event_date", "summary", "title", "cat_d1"),
-               "filings": _aligned_filings(spark, d, returns).select(
-                   "filing_id", "ticker", "event_date", "item_text", "cat_d1")}
-    return benchmark_events(aligned)
+    aligned = _pipeline(spark, d)
+    return benchmark_events({
+        "news": aligned["news"].select("news_id", "ticker", "event_date", "summary", "title", "cat_d1"),
+        "filings": aligned["filings"].select("filing_id", "ticker", "event_date", "item_text", "cat_d1")})
 
 
 # ---------------------------------------------------------------- answers and scoring
@@ -327,6 +329,32 @@ def results_glob(spark, d):
                        "raw_llm")
 
 
+def landing_roundtrip(spark, d):
+    """K3 + S6/U2: land the news as pages of 20 articles, scan all pages back
+    in one read, preprocess (T1)."""
+    from eventlens.sources.landing import land_news
+    path = scratch_path(spark, "landing")
+    land_news(B.news_raw(spark, d).withColumn("_k", F.col("articlesId").cast("long")), path, "_k")
+    back = readers.read_news_pages(spark, path, multi_line=False)
+    n = preprocess_news(back)
+    return n.select("news_id", iso_timestamp("published_datetime_utc").alias("published_datetime_utc"),
+                    "published_date_utc", "title", "summary", "has_causal_keyword")
+
+
+def stream_news_events(spark, d):
+    """Structured Streaming: landed pages -> T1 -> J1 as a stream-static left
+    join with the materialised returns -> parquet sink, run to completion
+    (``availableNow``) and read back."""
+    from eventlens.sources.landing import land_news
+    from eventlens.streaming.news import aligned_news_stream, start
+    landing, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    land_news(B.news_raw(spark, d).withColumn("_k", F.col("articlesId").cast("long")), landing, "_k")
+    returns = materialize(_returns(spark, d))
+    start(aligned_news_stream(spark, landing, returns), out).awaitTermination()
+    a = spark.read.parquet(out)
+    return r6(a.select("news_id", "ticker", "event_date", "has_causal_keyword", *RETURN_OUT))
+
+
 def macro_series(spark, d):
     o = B.table(spark, d, "orders").select("o_orderdate", "o_totalprice")
     series = (o.groupBy(F.to_date("o_orderdate").alias("date"))
@@ -405,6 +433,8 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "results_glob": results_glob,
     "macro_series": macro_series,
+    "landing_roundtrip": landing_roundtrip,
+    "stream_news_events": stream_news_events,
     "row_counts": row_counts,
     "first_rows": first_rows,
     "schema_guard": schema_guard,

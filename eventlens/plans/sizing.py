@@ -54,7 +54,11 @@ def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataF
     already has more splits than cores and the DataFrame is returned as is:
     no shuffle of the corpus is ever added there. Only planning is done
     here, no job runs."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the scan as is
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, key)

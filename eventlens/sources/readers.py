@@ -63,12 +63,14 @@ def read_results(spark: SparkSession, directory: str,
     return df.select(model.alias("model"), *[f.name for f in file_schema.fields])
 
 
-def read_news_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_news_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A folder of landed news pages ``{articles: [...], allPages}``,
-    all pages in one scan, one row per article."""
+    all pages in one scan, one row per article. ``multi_line=True`` for one
+    (possibly indented) page per file, as the API lands them; ``False`` for
+    JSON Lines with one page per line."""
     if not _exists(spark, path):
         return _empty(spark, RAW_NEWS)
-    pages = spark.read.schema(NEWS_PAGE).option("multiLine", True).json(path)
+    pages = spark.read.schema(NEWS_PAGE).option("multiLine", multi_line).json(path)
     return pages.select(F.explode("articles").alias("a")).select("a.*")
 
 
