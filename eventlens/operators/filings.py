@@ -90,7 +90,7 @@ def latest_filings(filings: DataFrame, form: str = DEFAULT_FORM, n: int = FILING
               .where(F.col("_rn") <= n))
     return ranked.select(F.col("accession").alias("id"), "filing_date",
                          document_url("cik", "accession", "primary_document").alias("html_url"),
-                         "cik", F.col("_rn").alias("rank"))
+                         "cik", F.col("_rn").cast("long").alias("rank"))
 
 
 def filings_with_text(index_rows: DataFrame, pages: DataFrame) -> DataFrame:
