@@ -19,8 +19,8 @@ from eventlens.functions.dates import iso_date, iso_timestamp
 from eventlens.functions.sections import item_8k, mdna, relevant_section
 from eventlens.functions.sql import register_sql_functions
 from eventlens.functions.text import (NEWS_LIMITS, clean_and_truncate, drop_blank_lines,
-                                      first_sentences, has_causal_keyword, remove_boilerplate,
-                                      strip_tags, truncate_text)
+                                      first_sentences, remove_boilerplate, strip_tags,
+                                      truncate_text)
 from eventlens.operators.align import align_events, empty_returns, to_wide
 from eventlens.operators.filings import filings_with_text as t9_filings_with_text
 from eventlens.operators.filings import latest_filings as s5_latest_filings
@@ -37,7 +37,7 @@ from eventlens.plans.pipeline import (align_pipeline, benchmark_events, results_
                                       run_benchmark)
 from eventlens.session import materialize, scratch_path
 from eventlens.sources import readers, writers
-from eventlens.schemas import MACRO, RESULTS
+from eventlens.schemas import RESULTS
 
 RETURN_OUT = ("adj_close", "ret_pct_d0", "cat_d0", "ret_pct_d1", "cat_d1", "ret_pct_d2", "cat_d2")
 

@@ -4,49 +4,50 @@ reference logs and returns an empty frame)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.functions.dates import to_date_or_null, to_double_or_null
-from eventlens.schemas import MACRO, NEWS_PAGE, PRICE_RENAMES, RAW_NEWS, RESULTS
+from eventlens.schemas import MACRO, NEWS_PAGE, PRICE_RENAMES, RESULTS
 
 RESULTS_SUFFIX = "_benchmark.csv"  # fixed value: result file name suffix
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(p))
-
-
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _or_empty(spark: SparkSession, schema: T.StructType, read: Callable[[], DataFrame]) -> DataFrame:
+    """``read()``, or an empty DataFrame with ``schema`` when the path does
+    not exist (the reference logs a missing file and goes on empty)."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return _empty(spark, schema)
+        raise
+
+
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Landing files holding one JSON array of objects each. Malformed
     files are dropped (not turned into a row of nulls)."""
-    if not _exists(spark, path):
-        return _empty(spark, schema)
-    return (spark.read.schema(schema).option("multiLine", True)
-            .option("mode", "DROPMALFORMED").json(path))
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("multiLine", True)
+                     .option("mode", "DROPMALFORMED").json(path))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON Lines."""
-    if not _exists(spark, path):
-        return _empty(spark, schema)
-    return spark.read.schema(schema).json(path)
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).json(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S3: CSV with a header and quoted multi-line text."""
-    if not _exists(spark, path):
-        return _empty(spark, schema)
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("nullValue", None).csv(path))
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("header", True)
+                     .option("multiLine", True).option("escape", '"').csv(path))
 
 
 def read_results(spark: SparkSession, directory: str,
@@ -54,11 +55,9 @@ def read_results(spark: SparkSession, directory: str,
     """Every ``*_benchmark.csv`` in a folder in one scan; the model name is
     the file name without the suffix. Empty files contribute no rows."""
     file_schema = T.StructType([f for f in schema.fields if f.name != "model"])
-    if not _exists(spark, directory):
-        return _empty(spark, schema)
-    df = (spark.read.schema(file_schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("pathGlobFilter", f"*{RESULTS_SUFFIX}")
-          .csv(directory))
+    df = _or_empty(spark, file_schema, lambda: (
+        spark.read.schema(file_schema).option("header", True).option("multiLine", True)
+        .option("escape", '"').option("pathGlobFilter", f"*{RESULTS_SUFFIX}").csv(directory)))
     model = F.regexp_replace(F.col("_metadata.file_name"), r"_benchmark\.csv$", "")
     return df.select(model.alias("model"), *[f.name for f in file_schema.fields])
 
@@ -68,9 +67,8 @@ def read_news_pages(spark: SparkSession, path: str, multi_line: bool = True) ->
     all pages in one scan, one row per article. ``multi_line=True`` for one
     (possibly indented) page per file, as the API lands them; ``False`` for
     JSON Lines with one page per line."""
-    if not _exists(spark, path):
-        return _empty(spark, RAW_NEWS)
-    pages = spark.read.schema(NEWS_PAGE).option("multiLine", multi_line).json(path)
+    pages = _or_empty(spark, NEWS_PAGE,
+                      lambda: spark.read.schema(NEWS_PAGE).option("multiLine", multi_line).json(path))
     return pages.select(F.explode("articles").alias("a")).select("a.*")
 
 
