@@ -12,14 +12,19 @@ from eventlens.operators.guards import missing_columns, nan_to_null
 JSON_OPTIONS = {
     "ignoreNullFields": "false",  # explicit nulls, like the reference's records
     "dateFormat": "yyyy-MM-dd",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssxxx",  # +00:00, like Python's isoformat
 }
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": ""}
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: JSON Lines; NaN -> null, nulls written, ISO dates, non-ASCII kept."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> bool:
+    """K1: JSON Lines; NaN -> null, nulls written, ISO dates, non-ASCII kept.
+    An empty table writes nothing (``skip_empty``; the probe reads at most
+    one row). Returns whether anything was written."""
+    if skip_empty and df.isEmpty():
+        return False
     nan_to_null(df).write.mode(mode).options(**JSON_OPTIONS).json(path)
+    return True
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite",

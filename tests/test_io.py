@@ -35,6 +35,18 @@ def test_jsonl_sink_writes_nulls_and_nan(spark):
     assert json.loads(text) == {"k": "a", "x": None, "c": None}
 
 
+def test_jsonl_sink_skips_empty_and_formats_times(spark):
+    import datetime as dt
+    path = scratch_path(spark, "t-jsonl-empty")
+    assert writers.write_jsonl(spark.createDataFrame([], "k string"), path) is False
+    assert not os.path.exists(path)
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5), dt.date(2024, 1, 2))], "t timestamp, d date")
+    path = scratch_path(spark, "t-jsonl-ts")
+    writers.write_jsonl(df, path)
+    text = "".join(open(os.path.join(path, f)).read() for f in os.listdir(path) if f.endswith(".json"))
+    assert json.loads(text) == {"t": "2024-01-02T03:04:05+00:00", "d": "2024-01-02"}
+
+
 def test_news_pages_and_index(spark, tmp_path):
     page = {"articles": [{"articlesId": "1", "publishedAt": {"date": "2024-01-01T00:00:00Z"},
                           "articlesName": "n", "articlesDescription": "d"}], "allPages": 1}
