@@ -379,7 +379,9 @@ FROM aligned a LEFT JOIN labels l ON a.news_id = CAST(l.doc_id AS VARCHAR)""",
   cause_llm_pred AS ground_cause, effect_llm_pred AS ground_effect FROM parsed""",
     "jsonl_roundtrip": w(*NEWS_ALIGNED) + f"SELECT news_id, ticker, event_date, has_causal_keyword, {RET_SELECT} FROM aligned",
     "results_glob": w(answers_ctes()) + "SELECT model, event_id, ground_causal, causal_llm_pred, assoc_llm_pred, raw_llm FROM parsed",
-    "macro_series": "SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 6) AS CPIAUCSL FROM orders GROUP BY 1",
+    "macro_series": """SELECT CAST(o_orderdate AS DATE) AS date,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS CPIAUCSL
+FROM orders GROUP BY 1""",
     "row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for t in B.TABLES),
     "first_rows": "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 10",

@@ -357,11 +357,14 @@ def stream_news_events(spark, d):
 
 def macro_series(spark, d):
     o = B.table(spark, d, "orders").select("o_orderdate", "o_totalprice")
+    # money: exact decimal sum, then one division (independent of summation order)
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     series = (o.groupBy(F.to_date("o_orderdate").alias("date"))
-              .agg(F.avg("o_totalprice").alias("CPIAUCSL")))
+              .agg((total / F.count(F.lit(1))).alias("CPIAUCSL")))
     path = scratch_path(spark, "macro")
     writers.write_csv(series, path)
-    return r6(readers.read_macro(spark, path))
+    # exact inputs and one division: the same double on any engine, so no rounding
+    return readers.read_macro(spark, path)
 
 
 # ---------------------------------------------------------------- misc
