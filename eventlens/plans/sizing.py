@@ -21,7 +21,9 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def bounded_count(df: DataFrame, max_rows: int) -> int:
-    """Row count, but never reads past ``max_rows + 1`` rows."""
+    """Row count capped at ``max_rows + 1``: each task stops after that many
+    rows (a local limit), so the probe is cheap when the side is small and at
+    most one pass over the materialised side when it is not."""
     return df.limit(max_rows + 1).count()
 
 
