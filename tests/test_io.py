@@ -19,12 +19,12 @@ def test_json_array_landing_and_missing(spark, tmp_path):
 
 def test_results_glob_model_from_file_name(spark, tmp_path):
     header = ",".join(f.name for f in RESULTS.fields if f.name != "model")
-    (tmp_path / "qwen_benchmark.csv").write_text(header + '\n1,AAPL,Yes,No,Yes,No,a,b,"multi\nline"\n')
-    (tmp_path / "llama_benchmark.csv").write_text(header + "\n2,AAPL,No,No,No,No,c,d,e\n")
+    (tmp_path / "model_a_benchmark.csv").write_text(header + '\n1,AAPL,Yes,No,Yes,No,a,b,"multi\nline"\n')
+    (tmp_path / "model_b_benchmark.csv").write_text(header + "\n2,AAPL,No,No,No,No,c,d,e\n")
     (tmp_path / "empty_benchmark.csv").write_text("")
     (tmp_path / "notes.csv").write_text(header + "\n3,X,Yes,Yes,Yes,Yes,,,\n")
     rows = {r.model: r for r in readers.read_results(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"qwen", "llama"} and rows["qwen"].raw_llm == "multi\nline"
+    assert set(rows) == {"model_a", "model_b"} and rows["model_a"].raw_llm == "multi\nline"
 
 
 def test_jsonl_sink_writes_nulls_and_nan(spark):
