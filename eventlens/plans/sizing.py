@@ -46,21 +46,27 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     return side
 
 
-def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread a text-heavy scan over the cluster when it is split too coarsely.
+# Scans with at most this many splits count as "tiny": rebalancing them moves
+# at most a few row groups. Larger scans are never repartitioned here, whatever
+# the cluster size (a 4,000-split table on an 8,000-core cluster is left alone).
+MAX_REBALANCED_SPLITS = 64
+
+
+def balance(df: DataFrame, key: str, min_partitions: int | None = None,
+            max_splits: int = MAX_REBALANCED_SPLITS) -> DataFrame:
+    """Spread a tiny text-heavy scan over the cluster.
 
     A small file with one row group is one scan task, so all per-row text
-    work would run on one core. If the scan has fewer partitions than the
-    cluster's parallelism, hash-repartition on ``key`` (deterministic, so a
-    retried task after executor loss gets the same rows). At scale the scan
-    already has more splits than cores and the DataFrame is returned as is:
-    no shuffle of the corpus is ever added there. Only planning is done
-    here, no job runs."""
+    work would run on one core. If the scan has at most ``max_splits``
+    splits and fewer than the cluster's parallelism, hash-repartition on
+    ``key`` (deterministic, so a retried task after executor loss gets the
+    same rows). Any larger scan is returned as is: no shuffle of a large
+    corpus is ever added. Only planning is done here, no job runs."""
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # e.g. a Spark Connect session: no RDD view, keep the scan as is
         return df
-    if splits >= target:
+    if splits >= target or splits > max_splits:
         return df
     return df.repartition(target, key)

@@ -34,6 +34,7 @@ def test_balance_only_when_scan_is_coarse(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert "REPARTITION_BY_NUM" in _plan(balance(docs, "doc_id", 4))
     assert balance(docs, "doc_id", 1) is docs
+    assert balance(docs, "doc_id", 4, max_splits=0) is docs  # not a tiny scan: left alone
     assert "REPARTITION_BY_NUM" not in _plan(B.table(spark, SF_SMALL, "orders"))
 
 
