@@ -16,7 +16,8 @@ from eventlens.operators.metrics import score
 from eventlens.operators.news import preprocess_news
 from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.predict import PredictorFactory, run_predictors
-from eventlens.operators.returns import returns_table
+from eventlens.functions.dates import published_at_utc, to_date_or_null
+from eventlens.operators.returns import prune_prices, returns_table
 from eventlens.session import materialize
 
 RESULT_COLUMNS = ("model", "event_id", "ticker", "ground_causal", "ground_assoc",
@@ -24,12 +25,31 @@ RESULT_COLUMNS = ("model", "event_id", "ticker", "ground_causal", "ground_assoc"
                   "raw_llm")
 
 
+def event_dates(news_raw: DataFrame | None, filings_raw: DataFrame | None) -> DataFrame:
+    """``ticker, event_date`` of every event, read from the *raw* inputs: the
+    dates need two columns, and Catalyst prunes the scans to them (the
+    preprocessed filings sit behind the Python HTML step, which would not)."""
+    parts = []
+    if news_raw is not None:
+        parts.append(news_raw.select(
+            "ticker", F.to_date(published_at_utc(F.col("publishedAt").getField("date"))).alias("event_date")))
+    if filings_raw is not None:
+        parts.append(filings_raw.select("ticker", to_date_or_null("filing_date").alias("event_date")))
+    return union_events(parts)
+
+
 def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
                    prices: DataFrame, filing_form="8-K", filing_text_mode: str = "html",
-                   strategy: str = "auto") -> dict[str, DataFrame]:
+                   strategy: str = "auto", prune: bool = True) -> dict[str, DataFrame]:
     """Preprocess each source, compute returns once (materialised in the
     shared folder, reused by both joins) and align every ticker at once.
-    Returns ``{"news": aligned_news, "filings": aligned_filings}``."""
+    ``prune`` keeps each ticker's prices to its events' window (A1, +-30
+    days) before the returns are computed, as the reference's download did;
+    events are at least 30 days inside the window, so their returns are the
+    same either way. Returns ``{"news": ..., "filings": ...}``."""
+    if prune:
+        prices = prune_prices(prices, event_dates(news_raw, filings_raw), "event_date",
+                              strategy=strategy)
     returns = materialize(returns_table(prices))
     out = {}
     if news_raw is not None:

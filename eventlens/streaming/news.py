@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.operators.align import align_events
+from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.news import preprocess_news
 from pyspark.sql import types as T
 
-from eventlens.schemas import NEWS_PAGE, RAW_NEWS
+from eventlens.schemas import NEWS_PAGE, RAW_FILINGS, RAW_NEWS
 from eventlens.session import scratch_path
 
 MAX_FILES_PER_TRIGGER = 1000
@@ -58,6 +59,19 @@ def aligned_news_stream(spark: SparkSession, landing_dir: str, returns: DataFram
     return align_events(events, returns, "event_date", strategy="auto")
 
 
+def filings_stream(spark: SparkSession, landing_dir: str, form="8-K", text_mode: str = "html",
+                   multi_line: bool = True, with_ticker: bool = True,
+                   max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """Landed filing files (JSON arrays of filings) as they arrive -> T2.
+    The HTML step (``mapInPandas``) runs per micro-batch like any other."""
+    fields = list(RAW_FILINGS.fields)
+    if with_ticker:
+        fields.append(T.StructField("ticker", T.StringType()))
+    raw = (spark.readStream.schema(T.StructType(fields)).option("multiLine", multi_line)
+           .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
+    return preprocess_filings(raw, form, text_mode)
+
+
 def start(df: DataFrame, out_path: str, checkpoint: str | None = None, fmt: str = "parquet",
           available_now: bool = True) -> StreamingQuery:
     """Append the stream to ``out_path``; ``available_now`` processes what

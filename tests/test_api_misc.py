@@ -8,7 +8,7 @@ from eventlens.operators.guards import nan_to_null, optional_col, require_column
 from eventlens.operators.labels import annotation_sheet, standardise, union_events
 from eventlens.schemas import FILING_EVENTS
 from eventlens.sources.readers import read_prices
-from eventlens.streaming.news import aligned_news_stream, start
+from eventlens.streaming.news import aligned_news_stream, filings_stream, start
 from eventlens.operators.news import preprocess_news
 from eventlens.session import scratch_path
 
@@ -67,3 +67,17 @@ def test_stream_equals_batch(spark, tmp_path):
                             .select(F.explode("articles").alias("a")).select("a.*"))
     want = sorted(tuple(r) for r in batch.select("news_id", "summary", "has_causal_keyword").collect())
     assert got == want and len(got) == 7
+
+
+def test_filings_stream_html(spark, tmp_path):
+    land = tmp_path / "filings"
+    land.mkdir()
+    docs = [{"id": f"f{i}", "filing_date": "2025-01-0%d" % (i + 1), "ticker": "AAPL",
+             "full_filing_text": f"<html><body><p>Item 2.02 Results {i}.</p><table><tr><td>x</td></tr></table>"
+                                 f"<p>Item 9.01 Exhibits.</p></body></html>"} for i in range(3)]
+    (land / "a.json").write_text(json.dumps(docs[:2]))
+    (land / "b.json").write_text(json.dumps(docs[2:]))
+    out = scratch_path(spark, "t-fstream")
+    start(filings_stream(spark, str(land)), out).awaitTermination()
+    got = {r.filing_id: r.item_text for r in spark.read.parquet(out).collect()}
+    assert got == {f"f{i}": f"Item 2.02 Results {i}." for i in range(3)}
