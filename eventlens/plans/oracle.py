@@ -296,6 +296,20 @@ def _bench_select() -> str:
 
 
 _A, _C, _K, _RAW = _bench_select()
+
+LATEST_IDX = """idx AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS cik, o_orderkey,
+         lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accession,
+         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date,
+         'doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primary_document,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
+  FROM orders WHERE o_orderpriority = '1-URGENT'),
+latest AS (
+  SELECT accession AS id, filing_date,
+         'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession, '-', '') || '/' || primary_document AS html_url,
+         cik, CAST(rn AS BIGINT) AS rank, o_orderkey
+  FROM idx WHERE rn <= 5)"""
+LATEST_FILINGS_SQL = "WITH " + LATEST_IDX + "\nSELECT id, filing_date, html_url, cik, rank FROM latest"
 _PCT = lambda m: f"printf('%.2f%%', {m} * 100) AS {m}_pct"
 
 ORACLE = {
@@ -345,17 +359,7 @@ UNION ALL SELECT 'filings', filing_id, ticker, strftime(event_date, '%Y-%m-%d'),
     "item_sections": w(filings_src(), f"fs AS (SELECT id, {drop_blank_lines('full_filing_text')} AS t FROM fil_src)")
     + f"SELECT id, {items_8k('t')} AS section FROM fs",
     "filing_events": w(filings_ctes()) + "SELECT filing_id, ticker, filing_date, item_text, has_causal_keyword FROM filings",
-    "latest_filings": """WITH idx AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS cik,
-         lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accession,
-         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date,
-         'doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primary_document,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
-  FROM orders WHERE o_orderpriority = '1-URGENT')
-SELECT accession AS id, filing_date,
-       'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession, '-', '') || '/' || primary_document AS html_url,
-       cik, CAST(rn AS BIGINT) AS rank
-FROM idx WHERE rn <= 5""",
+    "latest_filings": LATEST_FILINGS_SQL,
     "annotation_sheet": w(*NEWS_ALIGNED) + "SELECT news_id, ticker, event_date, cat_d1, '' AS causal_label, '' AS assoc_label FROM aligned",
     "standardise_union": w(*NEWS_ALIGNED, filings_ctes(), aligned_filings())
     + """SELECT news_id AS event_id, ticker, event_date, summary AS event_text, title, cat_d1, 'news' AS source FROM aligned
@@ -396,5 +400,35 @@ ORACLE["csv_roundtrip"] = w(*NEWS_ALIGNED) + """SELECT news_id, ticker, event_da
 ORACLE["landing_roundtrip"] = w(news_ctes()) + """SELECT news_id, published_datetime_utc, published_date_utc,
   title, summary, has_causal_keyword FROM news"""
 ORACLE["stream_news_events"] = ORACLE["align_events"]
+# HTML -> text for the generated pages: every page has a <body> and no
+# <document>, and nothing dropped (script/style/title/...) sits inside the body,
+# so the text nodes are the pieces between tags of the body; comments end a
+# node; the entities present are decoded (a legacy "&amp" without ";" too).
+_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def _decode(x: str) -> str:
+    for ent, ch in _ENTITIES:
+        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+PAGE_TEXT = f"""body AS (
+  SELECT page_id,
+         regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1),
+                        '(?s)</body>.*$', ''), '(?s)<!--.*?-->', '<c>', 'g') AS b
+  FROM pages),
+nodes AS (
+  SELECT page_id, list_filter(list_transform(regexp_split_to_array(b, '</?[A-Za-z][^>]*>'),
+                                             lambda x: {trimu(_decode('x'))}),
+                              lambda x: x <> '') AS parts
+  FROM body),
+page_text AS (
+  SELECT page_id, {drop_blank_lines("array_to_string(parts, chr(10))")} AS text FROM nodes)"""
+ORACLE["html_text"] = "WITH " + PAGE_TEXT + "\nSELECT page_id, text FROM page_text"
+# Landed pages are stored under the URL of the order whose key is the page id.
+ORACLE["filings_with_text"] = "WITH " + LATEST_IDX + ",\n" + PAGE_TEXT + """
+SELECT l.html_url, l.id, l.filing_date, l.cik, l.rank, t.text AS full_filing_text
+FROM latest l LEFT JOIN page_text t ON t.page_id = l.o_orderkey"""
 # The HTML parser on markup-free text yields the trimmed text without blank lines.
 ORACLE["filing_events_html"] = ORACLE["filing_events"]
