@@ -2,10 +2,11 @@
 
 Each model is a *factory* that builds a predictor once per Spark task (load
 weights, tokenizer, ... there); the predictor maps a pandas batch to raw
-answer texts. Events are fanned out to models with ``explode`` (no join),
-and ``mapInPandas`` streams Arrow batches through the predictors, so the
-event table is never gathered anywhere. Parsing the answers stays in
-Catalyst (:func:`eventlens.functions.answers.parse_answer`).
+answer texts. ``mapInPandas`` streams Arrow batches through all predictors
+and emits one row per (event, model), so the event table is never gathered
+anywhere and no event is copied per model before the Python boundary.
+Parsing the answers stays in Catalyst
+(:func:`eventlens.functions.answers.parse_answer`).
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.functions.text import CAUSAL_PHRASES
@@ -52,24 +52,30 @@ def keyword_predictor(phrases=CAUSAL_PHRASES) -> PredictorFactory:
 
 
 def run_predictors(events: DataFrame, predictors: Mapping[str, PredictorFactory],
-                   out_col: str = "raw_answer") -> DataFrame:
+                   out_col: str = "raw_answer",
+                   drop: tuple[str, ...] = ("prompt", "event_text")) -> DataFrame:
     """G1: one row per (event, model) with the model's raw answer text.
-    ``events`` should hold only what the predictors read (e.g. ``event_id,
-    prompt, event_text, reaction``): the Python boundary is opaque to
-    column pruning."""
+
+    Each event crosses the Python boundary once: a task feeds every Arrow
+    batch to all models and emits one row per model, so prompts are not
+    duplicated per model before the boundary (no fan-out join, no explode).
+    ``drop`` lists input columns the output does not need (the long texts).
+    ``events`` should hold only what the predictors read plus the ids to
+    keep: the Python boundary is opaque to column pruning."""
     names = list(predictors)
     factories = dict(predictors)
-    fanned = events.withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
-    schema = T.StructType(fanned.schema.fields + [T.StructField(out_col, T.StringType())])
+    keep = [f for f in events.schema.fields if f.name not in drop]
+    schema = T.StructType(keep + [T.StructField("model", T.StringType()),
+                                  T.StructField(out_col, T.StringType())])
+    keep_names = [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, Predictor] = {}
         for pdf in batches:
-            raw = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            for model, part in pdf.groupby("model", sort=False):
+            for model in names:
                 if model not in built:
                     built[model] = factories[model]()
-                raw.loc[part.index] = built[model](part).values
-            yield pdf.assign(**{out_col: raw})
+                raw = built[model](pdf)
+                yield pdf[keep_names].assign(model=model, **{out_col: raw.values})
 
-    return fanned.mapInPandas(run, schema)
+    return events.mapInPandas(run, schema)

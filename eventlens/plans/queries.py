@@ -35,6 +35,7 @@ from eventlens.operators.returns import prune_prices, returns_table
 from eventlens.plans import bindings as B
 from eventlens.plans.pipeline import (align_pipeline, benchmark_events, results_from_answers,
                                       run_benchmark)
+from eventlens.plans.sizing import sized_side
 from eventlens.session import materialize, scratch_path
 from eventlens.sources import readers, writers
 from eventlens.schemas import RESULTS
@@ -274,7 +275,9 @@ def _bench_results(spark, d):
         F.col("doc_id").cast("string").alias("news_id"),
         F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("causal_label"),
         F.when(F.col("toxic") == 1, "Yes").when(F.col("toxic") == 0, "No").alias("assoc_label"))
-    ev = a.join(lab, "news_id", "left").select(
+    # labels are sized before they may be broadcast, so the event side
+    # (which carries the texts) is not shuffled to meet them
+    ev = a.join(sized_side(lab), "news_id", "left").select(
         F.col("news_id").alias("event_id"), "ticker", F.col("summary").alias("event_text"),
         "cat_d1", F.coalesce("causal_label", F.lit("")).alias("causal_label"),
         F.coalesce("assoc_label", F.lit("")).alias("assoc_label"))

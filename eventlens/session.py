@@ -40,6 +40,8 @@ def get_spark(app: str = "eventlens", master: str | None = None,
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # checkpoint files go away with the DataFrames that use them
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     spark = b.getOrCreate()
     apply_conf(spark)
     return spark

@@ -67,3 +67,17 @@ def test_keyword_predictor_batch(spark):
     out = {r.event_id: r.raw_answer for r in run_predictors(ev, {"kw": keyword_predictor()}).collect()}
     assert out["1"] == '{"assoc":"Yes","causal":"Yes","cause":"keyword","effect":"Significant Down"}'
     assert out["2"] == '{"assoc":"No","causal":"No","cause":"none","effect":"N/A"}'
+
+
+def test_two_models_one_pass(spark):
+    def echo_factory(tag):
+        def make():
+            import pandas as pd
+            return lambda b: pd.Series([f"{tag}:{t}" for t in b["event_text"]], index=b.index)
+        return make
+    ev = spark.createDataFrame([("1", "a", "Flat"), ("2", "b", None)],
+                               "event_id string, event_text string, reaction string")
+    out = run_predictors(ev, {"x": echo_factory("x"), "y": echo_factory("y")})
+    assert "event_text" not in out.columns
+    got = sorted((r.model, r.event_id, r.raw_answer) for r in out.collect())
+    assert got == [("x", "1", "x:a"), ("x", "2", "x:b"), ("y", "1", "y:a"), ("y", "2", "y:b")]
