@@ -57,3 +57,21 @@ def test_boilerplate(spark):
 def test_unicode_trim_and_tags(spark):
     df = one_col(spark, ["  <b>x</b>\n<i\nclass='a'>y</i>  ", None])
     assert col_values(df, strip_tags("t")) == ["x\ny", ""]
+
+
+def test_factored_keyword_pattern_matches_flat_alternation(spark):
+    import random
+
+    from eventlens.functions.text import CAUSAL_PHRASES, keyword_pattern
+    flat = r"(?U)\b(?:" + "|".join(CAUSAL_PHRASES) + r")\b"
+    rnd = random.Random(7)
+    vocab = list(CAUSAL_PHRASES) + ["causeway", "caus", "due", "to", "result", "effects", "sinced",
+                                    "thusly", "é", "x", "spurr", "factor", "in"]
+    texts = []
+    for _ in range(3000):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(1, 4))]
+        texts.append(rnd.choice(["", "é", "a", "-"]) + rnd.choice([" ", "", "\n"]).join(words)
+                     + rnd.choice(["", "s", ".", "é"]))
+    df = one_col(spark, texts)
+    diff = df.where(F.col("t").rlike(flat) != F.col("t").rlike(keyword_pattern())).count()
+    assert diff == 0
