@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from eventlens.functions.returns import CATEGORIZE_SQL
-from eventlens.functions.text import CAUSAL_PHRASES, TAG_PATTERN, keyword_pattern
+from eventlens.functions.text import CAUSAL_PHRASES, TAG_PATTERN, WHITESPACE, keyword_pattern
 
 
 def _raw(s: str) -> str:
@@ -19,6 +19,11 @@ def _raw(s: str) -> str:
     return "r'" + s + "'"
 
 
+def _escaped(s: str) -> str:
+    """A SQL string literal with every character as a \\uXXXX escape."""
+    return "'" + "".join(f"\\u{ord(ch):04x}" for ch in s) + "'"
+
+
 def register_sql_functions(spark: SparkSession, phrases=CAUSAL_PHRASES) -> list[str]:
     """Register ``categorize_return``, ``has_causal_keyword`` and
     ``strip_tags`` for ``spark.sql``; returns the registered names."""
@@ -29,8 +34,7 @@ def register_sql_functions(spark: SparkSession, phrases=CAUSAL_PHRASES) -> list[
             f"coalesce(lower(t) RLIKE {_raw(keyword_pattern(phrases))}, false)"),
         "strip_tags": (
             "(t STRING) RETURNS STRING RETURN "
-            f"coalesce(regexp_replace(regexp_replace(t, {_raw(TAG_PATTERN)}, ''), "
-            f"{_raw(r'(?U)^\s+|\s+$')}, ''), '')"),
+            f"coalesce(btrim(regexp_replace(t, {_raw(TAG_PATTERN)}, ''), {_escaped(WHITESPACE)}), '')"),
     }
     for name, body in stmts.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
