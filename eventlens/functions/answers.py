@@ -82,38 +82,44 @@ def parse_answer(raw: Column | str, unwrap_fences: bool = False) -> Column:
       ``cause``/``effect`` to trimmed text;
     * if none parses, per-key regexes on quoted string values, any case.
     """
-    from eventlens.functions.text import utrim
+    from eventlens.functions.text import let, utrim
 
-    t = utrim(F.coalesce(_col(raw), F.lit("")))
+    t0 = utrim(F.coalesce(_col(raw), F.lit("")))
     if unwrap_fences:
-        t = F.regexp_replace(t, r"```(?:json)?([\s\S]*?)```", "$1")
+        t0 = F.regexp_replace(t0, r"```(?:json)?([\s\S]*?)```", "$1")
     else:
-        t = F.regexp_replace(t, FENCE_PATTERN, "")
-    cands = F.regexp_extract_all(t, F.lit(OBJECT_PATTERN), F.lit(0))
-    maps = F.transform(cands, lambda x: F.from_json(
-        x, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}))
-    obj = F.get(F.filter(maps, lambda m: m.isNotNull()), 0)
-
-    def from_obj(key: str, default: str, kind: str) -> Column:
-        has = F.map_contains_key(obj, key)
-        v = _last_value(obj, key)
-        val = _yes_no(v) if kind == "label" else utrim(F.coalesce(v, F.lit("None")))
-        return F.when(has, val).otherwise(F.lit(default))
-
-    def from_regex(key: str, default: str, kind: str) -> Column:
-        g = F.regexp_extract(t, rf'(?iuU)"{key}"\s*:\s*"([^"]+)"', 1)
-        val = _yes_no(g) if kind == "label" else utrim(g)
-        return F.when(g != "", val).otherwise(F.lit(default))
-
-    fields = {}
-    for key, default, kind in (("causal", PARSE_ERR_CAUSAL, "label"),
-                               ("assoc", PARSE_ERR_ASSOC, "label"),
-                               ("cause", NO_TEXT, "text"),
-                               ("effect", NO_TEXT, "text")):
-        fields[key] = (F.when(t == "", F.lit(default))
+        t0 = F.regexp_replace(t0, FENCE_PATTERN, "")
+
+    def first_object(t: Column) -> Column:
+        cands = F.regexp_extract_all(t, F.lit(OBJECT_PATTERN), F.lit(0))
+        maps = F.transform(cands, lambda x: F.from_json(
+            x, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}))
+        return F.get(F.filter(maps, lambda m: m.isNotNull()), 0)
+
+    def fields(t: Column, obj: Column) -> Column:
+        def from_obj(key: str, default: str, kind: str) -> Column:
+            v = _last_value(obj, key)
+            val = _yes_no(v) if kind == "label" else utrim(F.coalesce(v, F.lit("None")))
+            return F.when(F.map_contains_key(obj, key), val).otherwise(F.lit(default))
+
+        def from_regex(key: str, default: str, kind: str) -> Column:
+            g = F.regexp_extract(t, rf'(?iuU)"{key}"\s*:\s*"([^"]+)"', 1)
+            val = _yes_no(g) if kind == "label" else utrim(g)
+            return F.when(g != "", val).otherwise(F.lit(default))
+
+        out = []
+        for key, default, kind in (("causal", PARSE_ERR_CAUSAL, "label"),
+                                   ("assoc", PARSE_ERR_ASSOC, "label"),
+                                   ("cause", NO_TEXT, "text"),
+                                   ("effect", NO_TEXT, "text")):
+            out.append(F.when(t == "", F.lit(default))
                        .when(obj.isNotNull(), from_obj(key, default, kind))
-                       .otherwise(from_regex(key, default, kind)))
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+                       .otherwise(from_regex(key, default, kind)).alias(key))
+        return F.struct(*out)
+
+    # the stripped text and the first valid object are each computed once per
+    # row and shared by the four fields
+    return let(t0, lambda t: let(first_object(t), lambda obj: fields(t, obj)))
 
 
 def keep_raw(raw: Column | str) -> Column:
