@@ -47,8 +47,9 @@ def _col(c: Column | str) -> Column:
 def json_quote(c: Column | str) -> Column:
     """A value as a JSON literal (``"..."`` with escapes, or ``null``).
     ``to_json`` of a one-element array, brackets removed."""
-    j = F.to_json(F.array(_col(c).cast("string")))
-    return j.substr(F.lit(2), F.length(j) - 2)
+    from eventlens.functions.text import let
+    return let(F.to_json(F.array(_col(c).cast("string"))),
+               lambda j: j.substr(F.lit(2), F.length(j) - 2))
 
 
 def build_prompt(event_text: Column | str, reaction: Column | str) -> Column:
