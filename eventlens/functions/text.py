@@ -1,10 +1,12 @@
 """Text column operators: tag stripping, causal-keyword flag, boilerplate
 removal, sentence selection and truncation.
 
-Every function maps ``Column -> Column`` and is built from Catalyst
-expressions only (``regexp_replace``, ``split``, ``slice``, ...), so it stays
-inside whole-stage codegen. Regexes are Java patterns; the inline flags
-reproduce Python ``re`` semantics for ``str`` patterns:
+Every function maps ``Column -> Column`` and is built from built-in
+Catalyst expressions only (``regexp_replace``, ``split``, ``slice``,
+``btrim``, ...); no Python runs per row. An expression that needs its input
+several times binds it once with :func:`let` (a one-element ``transform``)
+instead of copying the input's expression tree. Regexes are Java patterns;
+the inline flags reproduce Python ``re`` semantics for ``str`` patterns:
 
 * ``U`` Unicode ``\\s``/``\\w``/``\\b`` (Python's are Unicode, Java's ASCII),
 * ``d`` only ``\\n`` ends a line for ``.``/``$`` (as in Python),

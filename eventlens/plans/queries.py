@@ -1,8 +1,9 @@
 """Driver queries: one per operator group of the survey, each over the given
 tables (through :mod:`eventlens.plans.bindings`), returning a DataFrame.
 
-Doubles are rounded to 6 places and dates kept as DATE, timestamps written
-as ISO text, so results compare exactly with the SQL twins in
+Computed doubles are rounded to 6 places on both sides (exact sums are used
+where a mean is needed), dates kept as DATE and timestamps written as ISO
+text, so results compare exactly with the SQL twins in
 :mod:`eventlens.plans.oracle`.
 """
 
