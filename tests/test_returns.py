@@ -86,3 +86,16 @@ def test_prefix_names(spark):
     df = spark.createDataFrame([(1.0, "x")], "adj_close double, cat_d1 string")
     assert prefix_columns(df, "AAPL", ["adj_close", "cat_d1"]).columns == ["AAPL_adj_close",
                                                                           "AAPL_cat_D+1"]
+
+
+def test_pad_fill_and_more_horizons(spark):
+    rows = [("A", D(2024, 1, d), p) for d, p in ((1, 100.0), (2, None), (3, 110.0), (4, 121.0))]
+    df = spark.createDataFrame(rows, "ticker string, trade_date date, adj_close double")
+    plain = {r.trade_date.day: r for r in daily_returns(df).collect()}
+    padded = {r.trade_date.day: r for r in daily_returns(df, fill="pad").collect()}
+    assert plain[3].ret_pct_d0 is None                      # previous price missing
+    assert math.isclose(padded[3].ret_pct_d0, 10.0)          # 110 vs carried 100
+    assert padded[2].ret_pct_d0 == 0.0 and padded[2].cat_d0 == "Flat"
+    many = daily_returns(df, horizons=(1, 3)).where("trade_date = '2024-01-01'").first()
+    assert math.isclose(many.ret_pct_d3, 21.0) and many.cat_d3 == "Significant Up"
+    assert "ret_pct_d2" not in daily_returns(df, horizons=(1, 3)).columns
