@@ -314,8 +314,8 @@ def jsonl_roundtrip(spark, d):
 
 
 def csv_roundtrip(spark, d):
-    sheet = annotation_sheet(spark, d).join(
-        _news(spark, d).select("news_id", "summary"), "news_id")
+    sheet = t5_annotation_sheet(_aligned_news(spark, d).select(
+        "news_id", "ticker", "event_date", "cat_d1", "summary"))
     path = scratch_path(spark, "csv")
     writers.write_csv(sheet, path)
     return readers.read_csv(spark, path, sheet.schema)
