@@ -22,8 +22,8 @@ def summary_from_description(c: Column | str) -> Column:
     return strip_tags(F.coalesce(joined, c))
 
 
-def _published_date(publishd_at: Column) -> Column:
-    return publishd_at.getField("date")
+def _published_date(published_at: Column) -> Column:
+    return published_at.getField("date")
 
 
 def preprocess_news(df: DataFrame, max_chars: int = NEWS_LIMITS[0],

@@ -88,7 +88,7 @@ def run_benchmark(events: DataFrame, predictors: Mapping[str, PredictorFactory],
         optional_col(events, "assoc_label", "").alias("ground_assoc"))
     ev = ev.withColumn("prompt", build_prompt("event_text", "reaction"))
     raw = run_predictors(ev, predictors, "raw_answer")
-    return results_from_answers(raw)
+    return results_from_answers(raw, unwrap_fences)
 
 
 def results_from_answers(raw: DataFrame, unwrap_fences: bool = False) -> DataFrame:
