@@ -14,7 +14,8 @@ Semantics (as the reference's parser produces them):
   never open a sub-tree); comments and doctype are not text;
 * an end tag closes the most recent open element of that name (and all
   elements opened after it); a stray end tag is ignored;
-* consecutive character data is one text node; entities are decoded;
+* consecutive character data is one text node; entities are decoded; a
+  CDATA section is a text node of its own;
 * each text node is stripped, empty ones are skipped, nodes are joined by
   newlines and whitespace-only lines are removed.
 """
@@ -112,6 +113,9 @@ class _TextCollector(HTMLParser):
 
     def unknown_decl(self, data):
         self._flush()
+        if data.upper().startswith("CDATA["):  # a CDATA section is a text node of its own
+            self.buf.append(data[len("CDATA["):])
+            self._flush()
 
     def text(self) -> str:
         self._flush()

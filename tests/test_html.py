@@ -24,3 +24,7 @@ def test_html_job(spark):
     df = spark.createDataFrame([(1, "<p>x</p><p>y</p>"), (2, "")], "id long, html string")
     got = {r.id: r.text for r in html_to_text(df, "html", "text").collect()}
     assert got == {1: "x\ny", 2: EMPTY_INPUT}
+
+
+def test_cdata_is_its_own_text_node():
+    assert extract_text("<body>a<![CDATA[ x < y ]]>b</body>") == "a\nx < y\nb"
