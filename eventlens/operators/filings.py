@@ -13,6 +13,7 @@ from eventlens.functions.text import (CAUSAL_PHRASES, FILING_LIMITS, clean_and_t
                                       drop_blank_lines, has_causal_keyword, is_blank)
 from eventlens.operators.guards import require_columns
 from eventlens.operators.html import CLEANING_DROP, EMPTY_INPUT, LANDING_DROP, html_to_text
+from eventlens.plans.sizing import sized_side
 from eventlens.schemas import FILING_EVENTS, FILINGS_REQUIRED
 
 DEFAULT_FORM = "8-K"
@@ -93,13 +94,18 @@ def latest_filings(filings: DataFrame, form: str = DEFAULT_FORM, n: int = FILING
                          "cik", F.col("_rn").cast("long").alias("rank"))
 
 
-def filings_with_text(index_rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """Latest-filing rows joined to landed pages ``(url, html)`` on the
-    URL, pages turned into text (F9, landing variant). Left join: a filing
-    without a landed page keeps a null text."""
-    p = pages.select(F.col("url").alias("html_url"), "html")
-    joined = index_rows.join(p, "html_url", "left")
-    cols = [c for c in joined.columns if c != "html"]
-    out = html_to_text(joined.select(*cols, "html"), "html", "full_filing_text",
-                       LANDING_DROP, empty_value=None)
-    return out.drop("html")
+def filings_with_text(index_rows: DataFrame, pages: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Latest-filing rows with the text of their landed page
+    ``(url, html)`` (F9, landing variant); a filing without a landed page
+    keeps a null text.
+
+    The page table is the big side: it is only semi-joined against the set
+    of wanted URLs (sized, then broadcast under the bound), so pages are
+    never shuffled; only the matched pages go through the HTML parser, and
+    their texts (one per index row at most) are attached to the index."""
+    wanted = sized_side(index_rows.select("html_url").distinct(), strategy=strategy)
+    matched = (pages.select(F.col("url").alias("html_url"), "html")
+               .join(wanted, "html_url", "left_semi"))
+    texts = html_to_text(matched, "html", "full_filing_text", LANDING_DROP,
+                         empty_value=None).drop("html")
+    return index_rows.join(sized_side(texts, strategy=strategy), "html_url", "left")
