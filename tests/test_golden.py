@@ -46,3 +46,28 @@ def test_categories_golden(spark):
     df = spark.createDataFrame(rows, "x double, expected string")
     got = df.select(categorize_return("x").alias("c"), "expected").collect()
     assert got and all(r.c == r.expected for r in got)
+
+
+def test_macro_series_scan(spark):
+    from eventlens.sources.readers import read_macro
+    csvs = sorted(glob.glob(os.path.join(GOLDEN_DIR, "raw", "*.csv")))
+    if not csvs:
+        pytest.skip("no macro series in the golden folder")
+    rows = read_macro(spark, csvs[0]).orderBy("date").collect()
+    assert len(rows) >= 2 and all(r.date is not None and r.CPIAUCSL is not None for r in rows)
+    assert all((b.date - a.date).days == 30 for a, b in zip(rows, rows[1:]))
+
+
+def test_labelling_sheet_scan_matches_aligned_text(spark):
+    from pyspark.sql import types as T
+
+    from eventlens.sources.readers import read_csv
+    sheets = sorted(glob.glob(os.path.join(GOLDEN_DIR, "processed", "*.csv")))
+    if not sheets:
+        pytest.skip("no labelling sheet in the golden folder")
+    header = open(sheets[0], encoding="utf-8").readline().strip().split(",")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    sheet = {r.filing_id: r for r in read_csv(spark, sheets[0], schema).collect()}
+    gold = {g["filing_id"]: g for g in _gold()}
+    assert set(sheet) == set(gold)
+    assert all(sheet[k].item_text == gold[k]["item_text"] for k in gold)
