@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.functions.text import let
+from eventlens.functions.text import _bind
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical results.
@@ -29,26 +29,33 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _item_8k_expr(c: Column, items=PRIORITY_8K_ITEMS) -> Column:
+    tries = [F.regexp_substr(c, F.lit(ITEM_8K_PATTERN.format(code=code.replace(".", r"\."))))
+             for code in items]
+    tries.append(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)))
+    return F.coalesce(*tries, c)
+
+
+def _mdna_expr(c: Column) -> Column:
+    return F.coalesce(F.regexp_substr(c, F.lit(MDNA_PATTERN)), c)
+
+
 def item_8k(c: Column | str, items=PRIORITY_8K_ITEMS) -> Column:
     """first priority item that occurs, up to the next ``Item <d>.`` or
     the end; else the first ``ITEM n.n`` section; else the whole text."""
-    def pick(c: Column) -> Column:
-        tries = [F.regexp_substr(c, F.lit(ITEM_8K_PATTERN.format(code=code.replace(".", r"\."))))
-                 for code in items]
-        tries.append(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)))
-        return F.coalesce(*tries, c)
-    return let(_col(c), pick)
+    return _bind(c, lambda v: _item_8k_expr(v, items))
 
 
 def mdna(c: Column | str) -> Column:
     """the MD&A section of a 10-K; there is no end-of-text alternative,
     so a trailing MD&A (or none) gives the whole text."""
-    return let(_col(c), lambda v: F.coalesce(F.regexp_substr(v, F.lit(MDNA_PATTERN)), v))
+    return _bind(c, _mdna_expr)
 
 
 def relevant_section(text: Column | str, form: Column | str) -> Column:
-    """dispatch on the (per-row) form type, case-insensitively."""
+    """dispatch on the (per-row) form type, case-insensitively. Pass
+    column *names* to keep the expression free of lambda bindings."""
     f = F.upper(_col(form))
-    return let(_col(text), lambda t: F.when(f == FORM_8K, item_8k(t))
-               .when(f.isin(*FORMS_MDNA), mdna(t))
-               .otherwise(t))
+    return _bind(text, lambda t: F.when(f == FORM_8K, _item_8k_expr(t))
+                 .when(f.isin(*FORMS_MDNA), _mdna_expr(t))
+                 .otherwise(t))

@@ -182,3 +182,19 @@ def drop_blank_lines(c: Column | str) -> Column:
     """Trim, then remove whitespace-only lines (the text form of the HTML
     job's output when the input holds no markup)."""
     return F.regexp_replace(utrim(c), r"(?U)\n(?:[^\S\n]*\n)+", "\n")
+
+
+def with_clean_text(df, src: str, dst: str, max_chars: int = 3000, max_sents: int = 15):
+    """F6 as staged columns of ``df``: the sentence selection and the
+    truncation become intermediate columns, referenced by name, so each is
+    computed once and the whole chain stays in whole-stage codegen (the
+    :func:`clean_and_truncate` column form binds them with lambdas instead)."""
+    sent, trunc = f"_{dst}_sent", f"_{dst}_trunc"
+    c, t = F.col(src), F.col(trunc)
+    return (df.withColumn(sent, first_sentences(remove_boilerplate(src), max_sents))
+            .withColumn(trunc, _truncate(F.col(sent), max_chars))
+            .withColumn(dst, F.when(c.isNull(), F.lit(NA))
+                        .when((c == NA) | is_blank(c), c)
+                        .when(t == "", F.lit(NA_CLEANED_EMPTY))
+                        .otherwise(t))
+            .drop(sent, trunc))

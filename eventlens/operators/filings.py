@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from eventlens.functions.dates import to_date_or_null
 from eventlens.functions.ids import document_url
 from eventlens.functions.sections import relevant_section
-from eventlens.functions.text import (CAUSAL_PHRASES, FILING_LIMITS, clean_and_truncate,
-                                      drop_blank_lines, has_causal_keyword, is_blank)
+from eventlens.functions.text import (CAUSAL_PHRASES, FILING_LIMITS, drop_blank_lines,
+                                      has_causal_keyword, is_blank, with_clean_text)
 from eventlens.operators.guards import require_columns
 from eventlens.operators.html import CLEANING_DROP, EMPTY_INPUT, LANDING_DROP, html_to_text
 from eventlens.plans.sizing import sized_side
@@ -48,9 +48,10 @@ def preprocess_filings(df: DataFrame, form: str | Column = DEFAULT_FORM,
         empty = is_blank("_raw")
     else:
         raise ValueError("text_mode must be 'html' or 'plain'")
-    item = clean_and_truncate(relevant_section("_text", "_form"), max_chars, max_sents)
+    d = d.withColumn("_empty", empty).withColumn("_section", relevant_section("_text", "_form"))
+    d = with_clean_text(d, "_section", "_item", max_chars, max_sents)
     d = d.select(*extra, "filing_id", "filing_date",
-                 F.when(empty, F.lit(EMPTY_INPUT)).otherwise(item).alias("item_text"))
+                 F.when(F.col("_empty"), F.lit(EMPTY_INPUT)).otherwise(F.col("_item")).alias("item_text"))
     return d.withColumn("has_causal_keyword", has_causal_keyword("item_text", phrases))
 
 

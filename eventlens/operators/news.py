@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.dates import published_at_utc
-from eventlens.functions.text import (NEWS_LIMITS, CAUSAL_PHRASES, clean_and_truncate,
-                                      has_causal_keyword, strip_tags)
+from eventlens.functions.text import (NEWS_LIMITS, CAUSAL_PHRASES, has_causal_keyword,
+                                      strip_tags, with_clean_text)
 from eventlens.operators.guards import require_columns
 from eventlens.schemas import NEWS_EVENTS, NEWS_REQUIRED
 
@@ -42,6 +42,6 @@ def preprocess_news(df: DataFrame, max_chars: int = NEWS_LIMITS[0],
     d = d.select(*extra, "news_id", "published_datetime_utc",
                  F.to_date("published_datetime_utc").alias("published_date_utc"),
                  strip_tags("articlesName").alias("title"),
-                 clean_and_truncate(summary_from_description("articlesDescription"),
-                                    max_chars, max_sents).alias("summary"))
+                 summary_from_description("articlesDescription").alias("_summary_raw"))
+    d = with_clean_text(d, "_summary_raw", "summary", max_chars, max_sents).drop("_summary_raw")
     return d.withColumn("has_causal_keyword", has_causal_keyword("summary", phrases))
