@@ -16,9 +16,9 @@ def summary_from_description(c: Column | str) -> Column:
     """F8: a JSON list of objects -> the ``content`` of the items that have
     one, joined by a space; any other text -> itself. Then tags stripped."""
     c = F.col(c) if isinstance(c, str) else c
-    items = F.from_json(c, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    joined = F.array_join(F.transform(F.filter(items, lambda e: F.map_contains_key(e, "content")),
-                                      lambda e: e["content"]), " ")
+    # items without ``content`` parse to a null field, which array_join skips
+    items = F.from_json(c, "array<struct<content:string>>", {"allowSingleQuotes": "false"})
+    joined = F.array_join(items.getField("content"), " ")
     return strip_tags(F.coalesce(joined, c))
 
 
