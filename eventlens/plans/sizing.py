@@ -3,21 +3,36 @@
 The small side of the event joins (the returns table, per-ticker bounds) is an
 aggregate whose size is bounded by (tickers x trading days), not by the event
 volume. We still never assume it: the side is materialised once in the shared
-checkpoint folder (which also cuts its lineage), then a bounded probe
-``limit(max_rows + 1).count()`` decides between a broadcast hash join and a
-shuffle join (where AQE may still split skewed partitions).
+checkpoint folder (which also cuts its lineage), then a bounded probe over at
+most ``max_rows + 1`` rows measures its row count and approximate bytes and
+decides between a broadcast hash join and a shuffle join (where AQE may still
+split skewed partitions).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.session import materialize
 
 # ~1M rows x ~100 B per returns row is ~100 MB per executor: the upper end of
-# what is reasonable to ship to every executor.
+# what is reasonable to ship to every executor. Wide rows (texts) hit the byte
+# bound first.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> F.Column:
+    """Approximate in-memory size of a row: string/binary bytes + 8 per field."""
+    parts = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+    return reduce(lambda a, b: a + b, parts)
 
 
 def bounded_count(df: DataFrame, max_rows: int) -> int:
@@ -27,12 +42,19 @@ def bounded_count(df: DataFrame, max_rows: int) -> int:
     return df.limit(max_rows + 1).count()
 
 
+def bounded_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """``(rows, approximate bytes)`` of at most ``max_rows + 1`` rows."""
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(_row_bytes(df)).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0)
+
+
 def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-               strategy: str = "auto") -> DataFrame:
+               strategy: str = "auto", max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Prepare the small side of a join.
 
-    ``auto``: materialise, count (bounded), broadcast when it fits;
-    ``broadcast``/``shuffle``: force a strategy (no action is run).
+    ``auto``: materialise, measure rows and bytes (bounded), broadcast when
+    both fit; ``broadcast``/``shuffle``: force a strategy (no action is run).
     """
     if strategy == "broadcast":
         return F.broadcast(df)
@@ -41,7 +63,8 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     if strategy != "auto":
         raise ValueError(f"unknown join strategy {strategy!r}")
     side = materialize(df)
-    if bounded_count(side, max_rows) <= max_rows:
+    rows, size = bounded_size(side, max_rows)
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(side)
     return side
 

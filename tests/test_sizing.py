@@ -30,6 +30,21 @@ def test_sized_side_broadcasts_only_under_bound(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_byte_bound_stops_wide_sides(spark):
+    from eventlens.plans.sizing import bounded_size
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    rows, size = bounded_size(wide, 100)
+    assert rows == 10 and size >= 10 * 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.range(10).join(sized_side(wide, max_rows=100, max_bytes=5000), "id")
+        assert "BroadcastHashJoin" not in _plan(j) and j.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_balance_only_when_scan_is_coarse(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert "REPARTITION_BY_NUM" in _plan(balance(docs, "doc_id", 4))
