@@ -18,7 +18,7 @@ from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.predict import PredictorFactory, run_predictors
 from eventlens.functions.dates import published_at_utc, to_date_or_null
 from eventlens.operators.returns import prune_prices, returns_table
-from eventlens.session import materialize
+from eventlens.plans.sizing import sized_side
 
 RESULT_COLUMNS = ("model", "event_id", "ticker", "ground_causal", "ground_assoc",
                   "causal_llm_pred", "assoc_llm_pred", "cause_llm_pred", "effect_llm_pred",
@@ -50,15 +50,16 @@ def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
     if prune:
         prices = prune_prices(prices, event_dates(news_raw, filings_raw), "event_date",
                               strategy=strategy)
-    returns = materialize(returns_table(prices))
+    # sized (and materialised) once, shared by both joins
+    returns = sized_side(returns_table(prices), strategy=strategy)
     out = {}
     if news_raw is not None:
         news = preprocess_news(news_raw).withColumnRenamed("published_date_utc", "event_date")
-        out["news"] = align_events(news, returns, "event_date", strategy)
+        out["news"] = align_events(news, returns, "event_date", "prepared")
     if filings_raw is not None:
         fil = preprocess_filings(filings_raw, filing_form, filing_text_mode)
         fil = fil.withColumnRenamed("filing_date", "event_date")
-        out["filings"] = align_events(fil, returns, "event_date", strategy)
+        out["filings"] = align_events(fil, returns, "event_date", "prepared")
     return out
 
 

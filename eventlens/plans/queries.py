@@ -37,7 +37,7 @@ from eventlens.plans import bindings as B
 from eventlens.plans.pipeline import (align_pipeline, benchmark_events, results_from_answers,
                                       run_benchmark)
 from eventlens.plans.sizing import sized_side
-from eventlens.session import materialize, scratch_path
+from eventlens.session import scratch_path
 from eventlens.sources import readers, writers
 from eventlens.schemas import RESULTS
 
@@ -66,13 +66,7 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
 
 def _aligned_news(spark: SparkSession, d: str) -> DataFrame:
     news = _news(spark, d).withColumnRenamed("published_date_utc", "event_date")
-    return align_events(news, materialize(_returns(spark, d)), "event_date")
-
-
-def _aligned_filings(spark: SparkSession, d: str, returns: DataFrame | None = None) -> DataFrame:
-    fil = _filings(spark, d).withColumnRenamed("filing_date", "event_date")
-    return align_events(fil, returns if returns is not None else materialize(_returns(spark, d)),
-                        "event_date")
+    return align_events(news, _returns(spark, d), "event_date")
 
 
 # ---------------------------------------------------------------- returns
@@ -353,8 +347,8 @@ def stream_news_events(spark, d):
     from eventlens.streaming.news import aligned_news_stream, start
     landing, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     land_news(B.news_raw(spark, d).withColumn("_k", F.col("articlesId").cast("long")), landing, "_k")
-    returns = materialize(_returns(spark, d))
-    start(aligned_news_stream(spark, landing, returns), out).awaitTermination()
+    returns = sized_side(_returns(spark, d))
+    start(aligned_news_stream(spark, landing, returns, strategy="prepared"), out).awaitTermination()
     a = spark.read.parquet(out)
     return r6(a.select("news_id", "ticker", "event_date", "has_causal_keyword", *RETURN_OUT))
 

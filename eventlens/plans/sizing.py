@@ -54,11 +54,13 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     """Prepare the small side of a join.
 
     ``auto``: materialise, measure rows and bytes (bounded), broadcast when
-    both fit; ``broadcast``/``shuffle``: force a strategy (no action is run).
+    both fit; ``broadcast``/``shuffle``: force a strategy (no action is run);
+    ``prepared``: ``df`` already went through ``sized_side`` (it keeps its
+    broadcast hint), use it as is.
     """
     if strategy == "broadcast":
         return F.broadcast(df)
-    if strategy == "shuffle":
+    if strategy in ("shuffle", "prepared"):
         return df
     if strategy != "auto":
         raise ValueError(f"unknown join strategy {strategy!r}")

@@ -45,7 +45,8 @@ def news_stream(spark: SparkSession, landing_dir: str, multi_line: bool = False,
 
 
 def aligned_news_stream(spark: SparkSession, landing_dir: str, returns: DataFrame | None = None,
-                        ticker: str | None = None, multi_line: bool = False) -> DataFrame:
+                        ticker: str | None = None, multi_line: bool = False,
+                        strategy: str = "auto") -> DataFrame:
     """T1 on the stream, then (optionally) J1 against a static returns table.
     ``ticker`` labels a single-ticker landing folder (the reference's shape);
     without it, articles must carry a ``ticker`` field."""
@@ -56,7 +57,7 @@ def aligned_news_stream(spark: SparkSession, landing_dir: str, returns: DataFram
     if returns is None:
         return events
     events = events.withColumnRenamed("published_date_utc", "event_date")
-    return align_events(events, returns, "event_date", strategy="auto")
+    return align_events(events, returns, "event_date", strategy=strategy)
 
 
 def filings_stream(spark: SparkSession, landing_dir: str, form="8-K", text_mode: str = "html",
