@@ -53,3 +53,9 @@ def test_preprocess_news_and_guard(spark):
     assert rows[0].published_date_utc == dt.date(2024, 1, 2)
     missing = preprocess_news(raw.drop("articlesName"))
     assert missing.count() == 0 and "summary" in missing.columns
+
+
+def test_publication_time_offsets(spark):
+    df = one_col(spark, ["2024-01-01T10:00:00.000+02:00", "2024-01-01T10:00:00+02:00"])
+    got = [r[0] for r in df.select(published_at_utc("t")).collect()]
+    assert got == [dt.datetime(2024, 1, 1, 10, 0), dt.datetime(2024, 1, 1, 8, 0)]
