@@ -16,10 +16,13 @@ def summary_from_description(c: Column | str) -> Column:
     """F8: a JSON list of objects -> the ``content`` of the items that have
     one, joined by a space; any other text -> itself. Then tags stripped."""
     c = F.col(c) if isinstance(c, str) else c
-    # items without ``content`` parse to a null field, which array_join skips
-    items = F.from_json(c, "array<struct<content:string>>", {"allowSingleQuotes": "false"})
-    joined = F.array_join(items.getField("content"), " ")
-    return strip_tags(F.coalesce(joined, c))
+    opts = {"allowSingleQuotes": "false"}
+    # any JSON array parses as array<string> (objects kept as their JSON text);
+    # each item is then read as an object: non-objects and objects without
+    # ``content`` give null, which array_join skips
+    items = F.from_json(c, "array<string>", opts)
+    contents = F.transform(items, lambda x: F.from_json(x, "struct<content:string>", opts)["content"])
+    return strip_tags(F.coalesce(F.array_join(contents, " "), c))
 
 
 def _published_date(published_at: Column) -> Column:

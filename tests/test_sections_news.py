@@ -39,8 +39,10 @@ def test_publication_time(spark):
 
 
 def test_description(spark):
-    df = one_col(spark, ['[{"content":"a"},{"k":1},{"content":"b"}]', "<p>plain</p> text", None])
-    assert [r[0] for r in df.select(summary_from_description("t")).collect()] == ["a b", "plain text", ""]
+    df = one_col(spark, ['[{"content":"a"},{"k":1},{"content":"b"}]', "<p>plain</p> text", None,
+                         '["a", 3]', '[{"content": "<i>x</i>"}, "y"]'])
+    assert [r[0] for r in df.select(summary_from_description("t")).collect()] == [
+        "a b", "plain text", "", "", "x"]
 
 
 def test_preprocess_news_and_guard(spark):
