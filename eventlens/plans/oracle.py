@@ -124,12 +124,19 @@ def returns_ctes(src: str = "bars", name: str = "rets") -> str:
 def news_ctes() -> str:
     desc = (f"CASE WHEN doc_id % 11 = 10 THEN text WHEN doc_id % 3 = 0 THEN "
             f"{lit(B.CAUSAL_LEAD + ' ')} || text ELSE text END")
-    base = f"""news_src AS (
+    day = f"CAST(DATE '{B.NEWS_EPOCH}' + CAST(doc_id % {B.NEWS_DAYS} AS INTEGER) AS DATE)"
+    stamp = (f"CASE WHEN doc_id % 37 = 36 THEN 'not a date' WHEN doc_id % 2 = 0 "
+             f"THEN CAST({day} AS VARCHAR) || 'T10:00:00.000Z' ELSE CAST({day} AS VARCHAR) || 'T10:00:00Z' END")
+    base = f"""news_in AS (
+  SELECT doc_id, text, source,
+         TRY_CAST(replace(split_part({stamp}, '.', 1), 'Z', '') AS TIMESTAMP) AS published_ts
+  FROM documents),
+news_src AS (
   SELECT CAST(doc_id AS VARCHAR) AS news_id, {ticker_of('doc_id')} AS ticker,
-         CAST(DATE '{B.NEWS_EPOCH}' + CAST(doc_id % {B.NEWS_DAYS} AS INTEGER) AS DATE) AS published_date_utc,
+         CAST(published_ts AS DATE) AS published_date_utc,
          {strip_tags(f"'<b>' || source || '</b> report ' || CAST(doc_id AS VARCHAR)")} AS title,
          {strip_tags(desc)} AS summary_raw
-  FROM documents WHERE doc_id % 37 <> 36)"""
+  FROM news_in WHERE published_ts IS NOT NULL)"""
     ctes, last = clean_ctes("news_src", "summary_raw", "nw", NEWS_LIMITS)
     final = f"""news AS (
   SELECT news_id, ticker, published_date_utc,
@@ -324,9 +331,13 @@ GROUP BY 1, 2, 3""",
   max(published_date_utc) + 30 AS hi FROM news GROUP BY ticker)""")
     + "SELECT b.ticker, b.trade_date, round(b.adj_close, 6) AS adj_close FROM bars b JOIN bounds s "
       "ON b.ticker = s.ticker WHERE b.trade_date >= s.lo AND b.trade_date < s.hi",
-    "returns_pipeline": w(BARS, """bars2 AS (SELECT ticker, trade_date, open, high, low, close,
-  CASE WHEN day(trade_date) = 10 THEN NULL ELSE adj_close END AS adj_close, volume FROM bars
-  WHERE NOT (ticker = 'ERROR' AND day(trade_date) = 15))""", returns_ctes("bars2"))
+    "returns_pipeline": w(BARS, """raw_bars AS (SELECT ticker,
+  CASE WHEN ticker = 'ERROR' AND day(trade_date) = 15 THEN '2024-13-45' ELSE CAST(trade_date AS VARCHAR) END AS date_text,
+  open, high, low, close,
+  CASE WHEN day(trade_date) = 10 THEN 'n/a' ELSE CAST(adj_close AS VARCHAR) END AS adj_text, volume FROM bars),
+bars2 AS (SELECT ticker, TRY_CAST(date_text AS DATE) AS trade_date, open, high, low, close,
+  TRY_CAST(adj_text AS DOUBLE) AS adj_close, volume FROM raw_bars
+  WHERE TRY_CAST(date_text AS DATE) IS NOT NULL)""", returns_ctes("bars2"))
     + "SELECT ticker, trade_date, " + ", ".join(
         r6(c) for c in ("open", "high", "low", "close", "adj_close")) + ", volume, " + ", ".join(
         r6(f"ret_pct_d{i}") + f", cat_d{i}" for i in (0, 1, 2)) + " FROM rets",
