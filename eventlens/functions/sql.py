@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from eventlens.functions.returns import CATEGORIZE_SQL
-from eventlens.functions.text import CAUSAL_PHRASES, TAG_PATTERN, WHITESPACE, keyword_pattern
+from eventlens.functions.text import (BOILERPLATE_PATTERNS, CAUSAL_PHRASES, NA, NA_CLEANED_EMPTY,
+                                      SENTENCE_BOUNDARY, TAG_PATTERN, WHITESPACE, keyword_pattern)
 
 
 def _raw(s: str) -> str:
@@ -24,9 +25,32 @@ def _escaped(s: str) -> str:
     return "'" + "".join(f"\\u{ord(ch):04x}" for ch in s) + "'"
 
 
+def _trim(x: str) -> str:
+    return f"btrim({x}, {_escaped(WHITESPACE)})"
+
+
+def _clean_text_body() -> str:
+    """F6 in SQL over parameters ``t, max_chars, max_sents``; intermediate
+    values are bound once with one-element ``transform`` lambdas."""
+    b = "t"
+    for p in BOILERPLATE_PATTERNS:
+        b = _trim(f"regexp_replace({b}, {_raw(p)}, '')")
+    sent = _trim(f"array_join(slice(split({b}, {_raw(SENTENCE_BOUNDARY)}, -1), 1, max_sents), ' ')")
+    h = "substr(s, 1, max_chars)"
+    cut = (f"CASE WHEN instr({h}, '.') > 0 "
+           f"THEN concat(substr({h}, 1, length({h}) - instr(reverse({h}), '.')), '.') "
+           f"ELSE concat(CASE WHEN instr({h}, ' ') > 0 "
+           f"THEN substr({h}, 1, length({h}) - instr(reverse({h}), ' ')) ELSE {h} END, '...') END")
+    trunc = f"CASE WHEN length(s) > max_chars THEN {cut} ELSE s END"
+    body = (f"element_at(transform(array({sent}), s -> element_at(transform(array({trunc}), "
+            f"x -> CASE WHEN x = '' THEN '{NA_CLEANED_EMPTY}' ELSE x END), 1)), 1)")
+    return (f"CASE WHEN t IS NULL THEN '{NA}' WHEN t = '{NA}' OR {_trim('t')} = '' THEN t "
+            f"ELSE {body} END")
+
+
 def register_sql_functions(spark: SparkSession, phrases=CAUSAL_PHRASES) -> list[str]:
-    """Register ``categorize_return``, ``has_causal_keyword`` and
-    ``strip_tags`` for ``spark.sql``; returns the registered names."""
+    """Register ``categorize_return``, ``has_causal_keyword``, ``strip_tags``
+    and ``clean_text`` for ``spark.sql``; returns the registered names."""
     stmts = {
         "categorize_return": f"(x DOUBLE) RETURNS STRING RETURN {CATEGORIZE_SQL}",
         "has_causal_keyword": (
@@ -35,6 +59,8 @@ def register_sql_functions(spark: SparkSession, phrases=CAUSAL_PHRASES) -> list[
         "strip_tags": (
             "(t STRING) RETURNS STRING RETURN "
             f"coalesce(btrim(regexp_replace(t, {_raw(TAG_PATTERN)}, ''), {_escaped(WHITESPACE)}), '')"),
+        "clean_text": ("(t STRING, max_chars INT, max_sents INT) RETURNS STRING RETURN "
+                       + _clean_text_body()),
     }
     for name, body in stmts.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

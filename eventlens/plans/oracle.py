@@ -404,6 +404,7 @@ FROM orders GROUP BY 1""",
     "sql_functions": w(BARS, returns_ctes()) + f"""SELECT ticker, trade_date, {cat('ret_pct_d1')} AS cat_d1,
   ticker || ' ' || CAST(trade_date AS VARCHAR) AS label, true AS flagged FROM rets""",
 }
+ORACLE["sql_clean_text"] = ORACLE["clean_text"]
 # CSV writes empty strings and nulls alike, so empty labels read back as null
 # (as a pandas round trip turns '' into NaN).
 ORACLE["csv_roundtrip"] = w(*NEWS_ALIGNED) + """SELECT news_id, ticker, event_date, cat_d1,

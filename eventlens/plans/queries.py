@@ -396,6 +396,14 @@ def sql_functions(spark, d):
         FROM {name}""")
 
 
+def sql_clean_text(spark, d):
+    """G2 for F6: the cleaning chain called from SQL text."""
+    register_sql_functions(spark)
+    name = f"el_documents_{abs(hash(d)) % 10**8}"
+    B.table(spark, d, "documents", ("doc_id", "text")).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT doc_id, clean_text(text, {NEWS_LIMITS[0]}, {NEWS_LIMITS[1]}) AS cleaned FROM {name}")
+
+
 QUERIES = {
     "daily_returns": daily_returns,
     "return_categories": return_categories,
@@ -440,4 +448,5 @@ QUERIES = {
     "first_rows": first_rows,
     "schema_guard": schema_guard,
     "sql_functions": sql_functions,
+    "sql_clean_text": sql_clean_text,
 }
