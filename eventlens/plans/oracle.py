@@ -161,13 +161,15 @@ def filing_raw_expr() -> str:
             f"|| text || {lit(chr(10) + 'Item 8. Financial Statements.' + chr(10) + 'SIGNATURES' + chr(10) + 'By: Officer')} END")
 
 
+# Python's (and Java's, with UNIX_LINES) "$" also matches just before a final
+# newline; RE2's only at the very end, hence "\n?$".
 def item_expr(x: str, code: str) -> str:
     c = code.replace(".", r"\.")
-    return rf"nullif(regexp_extract({x}, '(?is)(Item\s+{c}.+?)(?:Item\s+\d\.|$)', 1), '')"
+    return rf"nullif(regexp_extract({x}, '(?is)(Item\s+{c}.+?)(?:Item\s+\d\.|\n?$)', 1), '')"
 
 
 def any_item_expr(x: str) -> str:
-    return rf"nullif(regexp_extract({x}, '(?is)(ITEM\s*\d+\.\d+.+?)(?:ITEM\s*\d+\.\d+|$)', 1), '')"
+    return rf"nullif(regexp_extract({x}, '(?is)(ITEM\s*\d+\.\d+.+?)(?:ITEM\s*\d+\.\d+|\n?$)', 1), '')"
 
 
 def mdna_expr(x: str) -> str:

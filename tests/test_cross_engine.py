@@ -57,3 +57,24 @@ def test_boilerplate_and_keywords_match_sql_twin(spark):
     want = con.execute(O.w(*ctes) + f"SELECT y_b, {O.keyword('t')} FROM {last} ORDER BY i").fetchall()
     bad = [(t, g, tuple(w)) for t, g, w in zip(texts, got, want) if g != tuple(w)]
     assert not bad, bad[:3]
+
+
+ITEM_BITS = ["Item 2.02", "ITEM 1.01", "item 5.02", "Item 8.01", "Item 5.07", "ITEM 3.03", "Item 9.01",
+             "Item  7.", "Item 7 Management's Discussion and Analysis", "Item 7A.", "Item 8.",
+             "Item 10.", "Item", "Results", "text", "Other Events", "\n", " ", ".", "2.02"]
+
+
+def test_sections_match_sql_twin(spark):
+    from pyspark.sql import functions as F
+
+    from eventlens.functions.sections import item_8k, mdna
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(ITEM_BITS) for _ in range(rnd.randint(1, 14))) for _ in range(500)]
+    df = one_col(spark, texts).select(item_8k("t").alias("a"), mdna("t").alias("b"))
+    got = [(r.a, r.b) for r in df.collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src(i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT {O.items_8k('t')}, coalesce({O.mdna_expr('t')}, t) FROM src ORDER BY i").fetchall()
+    bad = [(t, g, tuple(w)) for t, g, w in zip(texts, got, want) if g != tuple(w)]
+    assert not bad, bad[:3]
