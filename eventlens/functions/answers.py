@@ -83,7 +83,7 @@ def parse_answer(raw: Column | str, unwrap_fences: bool = False) -> Column:
       ``cause``/``effect`` to trimmed text;
     * if none parses, per-key regexes on quoted string values, any case.
     """
-    from eventlens.functions.text import let, utrim
+    from eventlens.functions.text import SPACE, let, utrim
 
     t0 = utrim(F.coalesce(_col(raw), F.lit("")))
     if unwrap_fences:
@@ -104,7 +104,7 @@ def parse_answer(raw: Column | str, unwrap_fences: bool = False) -> Column:
             return F.when(F.map_contains_key(obj, key), val).otherwise(F.lit(default))
 
         def from_regex(key: str, default: str, kind: str) -> Column:
-            g = F.regexp_extract(t, rf'(?iuU)"{key}"\s*:\s*"([^"]+)"', 1)
+            g = F.regexp_extract(t, rf'(?iuU)"{key}"{SPACE}*:{SPACE}*"([^"]+)"', 1)
             val = _yes_no(g) if kind == "label" else utrim(g)
             return F.when(g != "", val).otherwise(F.lit(default))
 

@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.functions.text import _bind
+from eventlens.functions.text import SPACE, _bind
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical results.
 # 8-K items tried in this priority (not by position in the text).
 PRIORITY_8K_ITEMS = ("2.02", "1.01", "5.02", "8.01", "5.07")
 # Java forms of the reference patterns (case-insensitive, dot matches newline).
-ITEM_8K_PATTERN = r"(?dUiu)(?s)Item\s+{code}[\s\S]+?(?=Item\s+\d\.|$)"
-ANY_ITEM_8K_PATTERN = r"(?dUiu)(?s)(ITEM\s*\d+\.\d+[\s\S]+?)(?=ITEM\s*\d+\.\d+|$)"
-MDNA_PATTERN = (r"(?dUiu)(?s)Item\s+7\.?\s*Management's Discussion and Analysis"
-                r"[\s\S]+?(?=Item\s+[78]\.|Item\s+\d{2}\.)")
+# (``SPACE`` is Python's ``\s`` in Java form)
+ITEM_8K_PATTERN = (r"(?dUiu)(?s)Item" + SPACE + r"+{code}[\s\S]+?(?=Item" + SPACE + r"+\d\.|$)")
+ANY_ITEM_8K_PATTERN = (r"(?dUiu)(?s)(ITEM" + SPACE + r"*\d+\.\d+[\s\S]+?)(?=ITEM" + SPACE
+                       + r"*\d+\.\d+|$)")
+MDNA_PATTERN = (r"(?dUiu)(?s)Item" + SPACE + r"+7\.?" + SPACE + r"*Management's Discussion and Analysis"
+                r"[\s\S]+?(?=Item" + SPACE + r"+[78]\.|Item" + SPACE + r"+\d{2}\.)")
 FORM_8K = "8-K"
 FORMS_MDNA = ("10-K", "10-Q")
 # ---------------------------------------------------------------------------

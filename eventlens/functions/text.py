@@ -20,6 +20,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Python's ``\s`` for ``str`` patterns in Java form: Java's Unicode ``\s``
+# (with the ``U`` flag) plus the four separators U+001C-U+001F, which Python
+# also counts as whitespace.
+SPACE = r"[\s\x1c-\x1f]"
+SPACE_NOT_NL = r"[[\s\x1c-\x1f]&&[^\n]]"
+
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical results.
 # Default causal phrases, in the reference's order.
@@ -38,10 +44,10 @@ BOILERPLATE_PATTERNS = (
     r"(?dUiu)(?s)The information contained in this Current Report.*?shall not be deemed.*?filed.*?\.",
     r"(?dUiu)(?s)Pursuant to the requirements of the Securities Exchange Act of 1934.*?\.",
     r"(?dUiu)(?s)SIGNATURES.*$",
-    r"(?dUiu)(?m)Exhibit\s*\d+\.\d+.*$",
+    r"(?dUiu)(?m)Exhibit" + SPACE + r"*\d+\.\d+.*$",
 )
 # Sentence boundary: whitespace after . ! ? and before an ASCII capital.
-SENTENCE_BOUNDARY = r"(?dU)(?<=[.!?])\s+(?=[A-Z])"
+SENTENCE_BOUNDARY = r"(?dU)(?<=[.!?])" + SPACE + r"+(?=[A-Z])"
 # HTML tag, spanning newlines.
 TAG_PATTERN = r"<[^>]+>"
 # Sentinels that are visible output.
@@ -181,7 +187,7 @@ def clean_and_truncate(c: Column | str, max_chars: int = 3000, max_sents: int =
 def drop_blank_lines(c: Column | str) -> Column:
     """Trim, then remove whitespace-only lines (the text form of the HTML
     job's output when the input holds no markup)."""
-    return F.regexp_replace(utrim(c), r"(?U)\n(?:[^\S\n]*\n)+", "\n")
+    return F.regexp_replace(utrim(c), r"(?U)\n(?:" + SPACE_NOT_NL + r"*\n)+", "\n")
 
 
 def with_clean_text(df, src: str, dst: str, max_chars: int = 3000, max_sents: int = 15):

@@ -13,7 +13,7 @@ import re
 
 from eventlens.functions.answers import PROMPT_PREFIX, PROMPT_SUFFIX
 from eventlens.functions.returns import CATEGORIZE_SQL
-from eventlens.functions.text import CAUSAL_PHRASES, NEWS_LIMITS, FILING_LIMITS
+from eventlens.functions.text import CAUSAL_PHRASES, FILING_LIMITS, NEWS_LIMITS, WHITESPACE
 from eventlens.operators.align import reference_name
 from eventlens.plans import bindings as B
 
@@ -22,13 +22,31 @@ WORD = r"[^\p{L}\p{Nd}\p{Nl}\p{M}\p{Pc}]"  # not a word character (Java's Unicod
 TAG, NONE, ALL = "<[^>]+>", "", "g"
 
 
+def _re2_class(chars: str) -> str:
+    """RE2 character class of ``chars`` (consecutive code points as ranges)."""
+    cps, out, i = sorted(ord(c) for c in chars), [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(f"\\x{{{cps[i]:x}}}" + (f"-\\x{{{cps[j]:x}}}" if j > i else ""))
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+# Python's whitespace (str.isspace / re's \s for str): RE2's \s is ASCII only.
+WS = _re2_class(WHITESPACE)
+WS_NOT_NL = _re2_class(WHITESPACE.replace("\n", ""))
+WS_CHARS = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+
+
 def lit(s: str) -> str:
     """SQL string literal (newlines kept as characters)."""
     return "'" + s.replace("'", "''") + "'"
 
 
 def trimu(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"trim({x}, {WS_CHARS})"
 
 
 def strip_tags(x: str) -> str:
@@ -58,7 +76,7 @@ def boilerplate_ctes(src: str, x: str, prefix: str) -> tuple[list[str], str]:
     pats = [r"(?is)The information contained in this Current Report.*?shall not be deemed.*?filed.*?\.",
             r"(?is)Pursuant to the requirements of the Securities Exchange Act of 1934.*?\.",
             r"(?is)SIGNATURES.*$",
-            r"(?im)Exhibit\s*\d+\.\d+.*$"]
+            r"(?im)Exhibit" + WS + r"*\d+\.\d+.*$"]
     ctes, prev, col = [], src, x
     for i, p in enumerate(pats):
         name = f"{prefix}_bp{i}"
@@ -70,7 +88,7 @@ def boilerplate_ctes(src: str, x: str, prefix: str) -> tuple[list[str], str]:
 
 
 def sentences_expr(x: str, n: int) -> str:
-    marked = rf"regexp_replace({x}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g')"
+    marked = rf"regexp_replace({x}, '([.!?]){WS}+([A-Z])', '\1' || chr(1) || '\2', 'g')"
     return trimu(f"array_to_string(list_slice(string_split({marked}, chr(1)), 1, {n}), ' ')")
 
 
@@ -91,7 +109,7 @@ def clean_ctes(src: str, x: str, prefix: str, limits: tuple[int, int]) -> tuple[
     ctes.append(f"{prefix}_t AS (SELECT *, {truncate_expr(prefix + '_sent', m)} AS {prefix}_trunc FROM {prefix}_s)")
     ctes.append(
         f"{prefix}_c AS (SELECT *, CASE WHEN {x} IS NULL THEN 'N/A' "
-        rf"WHEN {x} = 'N/A' OR NOT regexp_matches({x}, '\S') THEN {x} "
+        f"WHEN {x} = 'N/A' OR {trimu(x)} = '' THEN {x} "
         f"WHEN {prefix}_trunc = '' THEN 'N/A (Cleaned to empty)' ELSE {prefix}_trunc END AS {prefix}_clean "
         f"FROM {prefix}_t)")
     return ctes, f"{prefix}_c"
@@ -165,16 +183,16 @@ def filing_raw_expr() -> str:
 # newline; RE2's only at the very end, hence "\n?$".
 def item_expr(x: str, code: str) -> str:
     c = code.replace(".", r"\.")
-    return rf"nullif(regexp_extract({x}, '(?is)(Item\s+{c}.+?)(?:Item\s+\d\.|\n?$)', 1), '')"
+    return rf"nullif(regexp_extract({x}, '(?is)(Item{WS}+{c}.+?)(?:Item{WS}+\d\.|\n?$)', 1), '')"
 
 
 def any_item_expr(x: str) -> str:
-    return rf"nullif(regexp_extract({x}, '(?is)(ITEM\s*\d+\.\d+.+?)(?:ITEM\s*\d+\.\d+|\n?$)', 1), '')"
+    return rf"nullif(regexp_extract({x}, '(?is)(ITEM{WS}*\d+\.\d+.+?)(?:ITEM{WS}*\d+\.\d+|\n?$)', 1), '')"
 
 
 def mdna_expr(x: str) -> str:
-    return (rf"nullif(regexp_extract({x}, '(?is)(Item\s+7\.?\s*Management''s Discussion and Analysis.+?)"
-            rf"(?:Item\s+[78]\.|Item\s+\d{{2}}\.)', 1), '')")
+    return (rf"nullif(regexp_extract({x}, '(?is)(Item{WS}+7\.?{WS}*Management''s Discussion and Analysis.+?)"
+            rf"(?:Item{WS}+[78]\.|Item{WS}+\d{{2}}\.)', 1), '')")
 
 
 def items_8k(x: str) -> str:
@@ -187,7 +205,7 @@ def section_expr(x: str, form: str) -> str:
 
 
 def drop_blank_lines(x: str) -> str:
-    return rf"regexp_replace({trimu(x)}, '\n(?:[^\S\n]*\n)+', chr(10), 'g')"
+    return rf"regexp_replace({trimu(x)}, '\n(?:{WS_NOT_NL}*\n)+', chr(10), 'g')"
 
 
 def filings_src() -> str:

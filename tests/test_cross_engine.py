@@ -18,7 +18,8 @@ FRAGMENTS = [
     "shall not be deemed", "filed", "Pursuant to the requirements of the Securities Exchange Act of 1934",
     "because", "causeway", "thus", "x", "Q", "...", "!", "?", ".",
 ]
-SPACES = [" ", "  ", "\n", "\t", " \n ", "", ". ", "! ", "? "]
+SPACES = [" ", "  ", "\n", "\t", " \n ", "", ". ", "! ", "? ", "\r\n", "\x0b", "\xa0", "\u3000",
+          "\x1c", "\n \u2009\n"]
 
 
 def _texts(n, seed):
@@ -59,7 +60,7 @@ def test_boilerplate_and_keywords_match_sql_twin(spark):
     assert not bad, bad[:3]
 
 
-ITEM_BITS = ["Item 2.02", "ITEM 1.01", "item 5.02", "Item 8.01", "Item 5.07", "ITEM 3.03", "Item 9.01",
+ITEM_BITS = ["Item\xa02.02", "ITEM\x1c1.01", "Item\u30007.", "Item 2.02", "ITEM 1.01", "item 5.02", "Item 8.01", "Item 5.07", "ITEM 3.03", "Item 9.01",
              "Item  7.", "Item 7 Management's Discussion and Analysis", "Item 7A.", "Item 8.",
              "Item 10.", "Item", "Results", "text", "Other Events", "\n", " ", ".", "2.02"]
 
