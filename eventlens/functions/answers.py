@@ -44,12 +44,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# JSON string escapes as Python's json.dumps(ensure_ascii=False) writes them:
+# backslash and quote, five short forms, \u00xx (lower-case hex) for the other
+# control characters; every other character is kept as is.
+_SHORT_ESCAPES = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def json_quote(c: Column | str) -> Column:
-    """A value as a JSON literal (``"..."`` with escapes, or ``null``).
-    ``to_json`` of a one-element array, brackets removed."""
-    from eventlens.functions.text import let
-    return let(F.to_json(F.array(_col(c).cast("string"))),
-               lambda j: j.substr(F.lit(2), F.length(j) - 2))
+    """A value as a JSON literal (``"..."`` with escapes, or ``null``)."""
+    x = _col(c).cast("string")
+    x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    x = F.replace(x, F.lit('"'), F.lit('\\"'))
+    for code in range(0x20):
+        ch = chr(code)
+        x = F.replace(x, F.lit(ch), F.lit(_SHORT_ESCAPES.get(ch, f"\\u{code:04x}")))
+    return F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))
 
 
 def build_prompt(event_text: Column | str, reaction: Column | str) -> Column:

@@ -79,3 +79,32 @@ def test_sections_match_sql_twin(spark):
     want = con.execute(f"SELECT {O.items_8k('t')}, coalesce({O.mdna_expr('t')}, t) FROM src ORDER BY i").fetchall()
     bad = [(t, g, tuple(w)) for t, g, w in zip(texts, got, want) if g != tuple(w)]
     assert not bad, bad[:3]
+
+
+def test_json_quote_matches_python_json(spark):
+    import json
+
+    from eventlens.functions.answers import json_quote
+    rnd = random.Random(9)
+    alphabet = ['a', 'é', '"', '\\', '/', '\n', '\t', '\r', '\x01', '\x1f', '\x7f', ' ', '😀', ' ', '<', '&']
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(400)] + [None]
+    got = [r[0] for r in one_col(spark, texts).select(json_quote("t")).collect()]
+    want = [json.dumps(t, ensure_ascii=False) for t in texts]
+    bad = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
+    assert not bad, bad[:3]
+
+
+def test_tags_and_blank_lines_match_sql_twin(spark):
+    from eventlens.functions.text import drop_blank_lines, strip_tags
+    rnd = random.Random(13)
+    bits = ["<b>", "</b>", "<p class='x'>", "<br/>", "<a\nhref=1>", "text", "é", "\n", " \n", "\t\n",
+            "\xa0\n", "\x1c", "  ", "<", ">", "a > b"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 15))) for _ in range(400)]
+    got = [(r.a, r.b) for r in one_col(spark, texts)
+           .select(strip_tags("t").alias("a"), drop_blank_lines("t").alias("b")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src(i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT {O.strip_tags('t')}, {O.drop_blank_lines('t')} FROM src ORDER BY i").fetchall()
+    bad = [(t, g, tuple(w)) for t, g, w in zip(texts, got, want) if g != tuple(w)]
+    assert not bad, bad[:3]
