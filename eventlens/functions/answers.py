@@ -51,14 +51,24 @@ _SHORT_ESCAPES = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t
 
 
 def json_quote(c: Column | str) -> Column:
-    """A value as a JSON literal (``"..."`` with escapes, or ``null``)."""
+    """A value as a JSON literal (``"..."`` with escapes, or ``null``). The
+    rare control characters are only searched for when one is present."""
+    from eventlens.functions.text import let
+
     x = _col(c).cast("string")
     x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
     x = F.replace(x, F.lit('"'), F.lit('\\"'))
-    for code in range(0x20):
-        ch = chr(code)
-        x = F.replace(x, F.lit(ch), F.lit(_SHORT_ESCAPES.get(ch, f"\\u{code:04x}")))
-    return F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))
+    for ch, esc in _SHORT_ESCAPES.items():
+        x = F.replace(x, F.lit(ch), F.lit(esc))
+
+    def rare(v: Column) -> Column:
+        out = v
+        for code in range(0x20):
+            if chr(code) not in _SHORT_ESCAPES:
+                out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+        return F.when(v.rlike("[\\x00-\\x1f]"), out).otherwise(v)
+
+    return F.coalesce(F.concat(F.lit('"'), let(x, rare), F.lit('"')), F.lit("null"))
 
 
 def build_prompt(event_text: Column | str, reaction: Column | str) -> Column:
