@@ -108,3 +108,28 @@ def test_tags_and_blank_lines_match_sql_twin(spark):
     want = con.execute(f"SELECT {O.strip_tags('t')}, {O.drop_blank_lines('t')} FROM src ORDER BY i").fetchall()
     bad = [(t, g, tuple(w)) for t, g, w in zip(texts, got, want) if g != tuple(w)]
     assert not bad, bad[:3]
+
+
+def test_json_object_acceptance_matches_python(spark):
+    """A ``{...}`` candidate counts as valid exactly when Python's json.loads
+    accepts it (the answer parser relies on this). Candidates come from the
+    non-greedy ``\\{...?\\}`` search, so they hold no inner ``}`` (Spark
+    would ignore text after a complete object; such text cannot occur)."""
+    import json
+
+    from pyspark.sql import functions as F
+    rnd = random.Random(21)
+    toks = ['"causal"', '"assoc"', ':', ',', ' ', '"Yes"', "'Yes'", 'true', 'null', 'NaN', '1', '01',
+            '1e5', '-0', '[1, 2]', '{"a": 1', '"a\\nb"', '"bad \\q"', '"\t"', 'yes', '"\\u00e9"', '{']
+    cands = ["{" + "".join(rnd.choice(toks) for _ in range(rnd.randint(0, 7))) + "}" for _ in range(600)]
+    cands += ['{"causal": "Yes"}', '{"a": 1,}', '{"a": NaN}', '{"a": 01}', "{'a': 1}", '{"a":1 "b":2}']
+    parsed = F.from_json("t", "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    got = [r[0] for r in one_col(spark, cands).select(parsed.isNotNull()).collect()]
+
+    def py_ok(x):
+        try:
+            return isinstance(json.loads(x), dict)
+        except ValueError:
+            return False
+    bad = [(c, g, py_ok(c)) for c, g in zip(cands, got) if g != py_ok(c)]
+    assert not bad, bad[:5]
