@@ -119,15 +119,24 @@ def _prefix_tree(phrases: list[str]) -> str:
     return emit(root)
 
 
+# Python's \w for str (letters, all numbers, underscore); Java's Unicode \w
+# differs (it counts combining marks and joiners, not superscript digits).
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
 def keyword_pattern(phrases: Iterable[str] = CAUSAL_PHRASES) -> str:
     """Whole-word match of any phrase, one pass over the text: a first-letter
-    check, a word boundary, then the phrases factored by common prefixes."""
+    check, then the phrases factored by common prefixes, bounded on both
+    sides by a non-word character (Python's ``\b`` for phrases that start
+    and end with a word character)."""
     phrases = list(phrases)
     for p in phrases:
-        if not p or not all(ch.isalnum() or ch == " " for ch in p):
-            raise ValueError(f"phrase must be letters, digits and spaces: {p!r}")
+        if not p or not p[0].isalnum() or not p[-1].isalnum() \
+                or not all(ch.isalnum() or ch == " " for ch in p):
+            raise ValueError(f"phrase must be letters, digits and inner spaces: {p!r}")
     first = "".join(sorted({p[0] for p in phrases}))
-    return r"(?U)(?=[" + first + r"])\b" + _prefix_tree(phrases) + r"\b"
+    return (r"(?=[" + first + r"])(?<!" + WORD_CHAR + ")" + _prefix_tree(phrases)
+            + r"(?!" + WORD_CHAR + ")")
 
 
 def has_causal_keyword(c: Column | str, phrases: Iterable[str] = CAUSAL_PHRASES) -> Column:

@@ -18,7 +18,7 @@ from eventlens.operators.align import reference_name
 from eventlens.plans import bindings as B
 
 RETURN_OUT = ("adj_close", "ret_pct_d0", "cat_d0", "ret_pct_d1", "cat_d1", "ret_pct_d2", "cat_d2")
-WORD = r"[^\p{L}\p{Nd}\p{Nl}\p{M}\p{Pc}]"  # not a word character (Java's Unicode \w)
+WORD = r"[^\p{L}\p{N}_]"  # not a word character (Python's \w for str)
 TAG, NONE, ALL = "<[^>]+>", "", "g"
 
 

@@ -133,3 +133,19 @@ def test_json_object_acceptance_matches_python(spark):
             return False
     bad = [(c, g, py_ok(c)) for c, g in zip(cands, got) if g != py_ok(c)]
     assert not bad, bad[:5]
+
+
+def test_keyword_flag_matches_python_re(spark):
+    """Whole-word semantics of Python's re (\\b over str) on tricky neighbours."""
+    import re
+
+    from eventlens.functions.text import CAUSAL_PHRASES
+    rnd = random.Random(31)
+    py = re.compile(r"\b(?:" + "|".join(map(re.escape, CAUSAL_PHRASES)) + r")\b")
+    near = ["", " ", "_", "²", "́", "‍", "é", "-", ".", "9", "٣", "Ⅷ", "x"]
+    words = list(CAUSAL_PHRASES) + ["causeway", "Because", "DUE TO", "due  to"]
+    texts = ["".join(rnd.choice(near) + rnd.choice(words) + rnd.choice(near) for _ in range(rnd.randint(1, 3)))
+             for _ in range(800)]
+    got = [r[0] for r in one_col(spark, texts).select(has_causal_keyword("t")).collect()]
+    bad = [(t, g) for t, g in zip(texts, got) if g != (py.search(t.lower()) is not None)]
+    assert not bad, bad[:5]
