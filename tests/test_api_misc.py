@@ -81,3 +81,21 @@ def test_filings_stream_html(spark, tmp_path):
     start(filings_stream(spark, str(land)), out).awaitTermination()
     got = {r.filing_id: r.item_text for r in spark.read.parquet(out).collect()}
     assert got == {f"f{i}": f"Item 2.02 Results {i}." for i in range(3)}
+
+
+def test_stream_restart_resumes_exactly_once(spark, tmp_path):
+    def page(ids):
+        arts = [{"articlesId": str(i), "publishedAt": {"date": "2024-01-02T10:00:00Z"},
+                 "articlesName": f"t{i}", "articlesDescription": json.dumps([{"content": f"Body {i}."}]),
+                 "ticker": "AAPL"} for i in ids]
+        return json.dumps({"articles": arts, "allPages": 1}) + "\n"
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "p0.json").write_text(page(range(0, 3)))
+    (land / "p1.json").write_text(page(range(3, 5)))
+    out, ckpt = scratch_path(spark, "t-restart-out"), scratch_path(spark, "t-restart-ckpt")
+    start(aligned_news_stream(spark, str(land)), out, ckpt).awaitTermination()
+    (land / "p2.json").write_text(page(range(5, 9)))
+    start(aligned_news_stream(spark, str(land)), out, ckpt).awaitTermination()
+    ids = sorted(int(r.news_id) for r in spark.read.parquet(out).collect())
+    assert ids == list(range(9))
