@@ -14,8 +14,10 @@ Semantics (as the reference's parser produces them):
   never open a sub-tree); comments and doctype are not text;
 * an end tag closes the most recent open element of that name (and all
   elements opened after it); a stray end tag is ignored;
-* consecutive character data is one text node; entities are decoded; a
-  CDATA section is a text node of its own;
+* consecutive character data is one text node; an entity reference is
+  decoded when its whole name is a known entity (``&amp``, ``&copy;``) and
+  kept as text otherwise (``&copy2024``); a CDATA section is a text node of
+  its own;
 * each text node is stripped, empty ones are skipped, nodes are joined by
   newlines and whitespace-only lines are removed.
 """
@@ -23,6 +25,8 @@ Semantics (as the reference's parser produces them):
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from html import unescape
+from html.entities import html5 as html5_entities
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -47,7 +51,8 @@ NON_TEXT_CONTAINERS = frozenset(("script", "style", "template", "rt", "rp"))
 
 class _TextCollector(HTMLParser):
     def __init__(self, drop: frozenset[str]):
-        super().__init__(convert_charrefs=True)
+        # entity and character references arrive as their own tokens
+        super().__init__(convert_charrefs=False)
         self.drop = drop
         self.stack: list[str] = []
         self.hidden = 0  # open elements that hide their text
@@ -102,6 +107,15 @@ class _TextCollector(HTMLParser):
     def handle_data(self, data):
         self.buf.append(data)
 
+    def handle_entityref(self, name):
+        # a known name (with or without its semicolon) is its character;
+        # an unknown one stays literal text
+        ch = html5_entities.get(name + ";") or html5_entities.get(name)
+        self.buf.append(ch if ch is not None else "&" + name)
+
+    def handle_charref(self, name):
+        self.buf.append(unescape(f"&#{name};"))
+
     def handle_comment(self, data):
         self._flush()
 

@@ -28,3 +28,8 @@ def test_html_job(spark):
 
 def test_cdata_is_its_own_text_node():
     assert extract_text("<body>a<![CDATA[ x < y ]]>b</body>") == "a\nx < y\nb"
+
+
+def test_entity_references():
+    got = extract_text("<body><p>a &amp; b &amp c &copy;2024 &copy2024 &#233;&#x41; &foo bar</p></body>")
+    assert got == "a & b & c ©2024 &copy2024 éA &foo bar"
