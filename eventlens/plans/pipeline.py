@@ -40,14 +40,22 @@ def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
     """Preprocess each source, compute returns once (materialised in the
     shared folder, reused by both joins) and align every ticker at once.
     ``prune`` keeps each ticker's prices to its events' window (A1, +-30
-    days) before the returns are computed, as the reference's download did;
-    events are at least 30 days inside the window, so their returns are the
-    same either way. Returns ``{"news": ..., "filings": ...}``."""
+    days) before the returns are computed, as the reference's download did,
+    and afterwards keeps only the event days; events are at least 30 days
+    inside the window, so their returns are the same either way. Returns
+    ``{"news": ..., "filings": ...}``."""
+    returns = None
     if prune:
-        prices = prune_prices(prices, event_dates(news_raw, filings_raw), "event_date",
-                              strategy=strategy)
+        dates = event_dates(news_raw, filings_raw)
+        prices = prune_prices(prices, dates, "event_date", strategy=strategy)
+        # returns are computed on the pruned daily series, then only the rows
+        # of actual event days are kept: the side to broadcast is bounded by
+        # the distinct (ticker, event day) pairs
+        keys = dates.select("ticker", F.col("event_date").alias("trade_date")).distinct()
+        returns = returns_table(prices).join(keys, ["ticker", "trade_date"], "left_semi")
     # sized (and materialised) once, shared by both joins
-    returns = sized_side(returns_table(prices), strategy=strategy)
+    returns = sized_side(returns if returns is not None else returns_table(prices),
+                         strategy=strategy)
     out = {}
     if news_raw is not None:
         news = preprocess_news(news_raw).withColumnRenamed("published_date_utc", "event_date")
