@@ -33,3 +33,22 @@ def test_scans_are_pruned_and_filtered(spark):
 def test_metrics_aggregate_partially_before_shuffle(spark):
     p = plan(spark, "score_models")
     assert p.count("HashAggregate") == 2 and "partial_count" in p
+
+
+def _final_plan(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()  # the DataFrame's own execution: the AQE plan is final afterwards
+    from eventlens.functions.text import WHITESPACE  # its literal holds newlines
+    plan = df._jdf.queryExecution().executedPlan().toString().replace(WHITESPACE, "<ws>")
+    return plan.split("== Initial Plan ==")[0]
+
+
+def test_cleaning_chain_runs_in_whole_stage_codegen(spark):
+    p = _final_plan(spark, "news_events")
+    chain = [line for line in p.splitlines() if "Project" in line and "SIGNATURES" in line]
+    assert chain and all("*(" in line for line in chain)
+
+
+def test_pipeline_joins_are_broadcast(spark):
+    p = _final_plan(spark, "align_all_tickers")
+    assert p.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in p
