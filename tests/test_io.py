@@ -70,3 +70,22 @@ def test_convert_columns_requires_mapped(spark):
         raise AssertionError("expected KeyError")
     except KeyError:
         pass
+
+
+def test_cik_and_urls(spark):
+    from eventlens.functions.ids import document_url, index_url, padded_cik
+    df = spark.createDataFrame([("320193", "0000320193-25-000055", "a8-k.htm")], "cik string, acc string, doc string")
+    r = df.select(padded_cik("cik").alias("p"), index_url("cik").alias("i"),
+                  document_url("cik", "acc", "doc").alias("d")).first()
+    assert r.p == "0000320193"
+    assert r.i == "https://data.sec.gov/submissions/CIK0000320193.json"
+    assert r.d == "https://www.sec.gov/Archives/edgar/data/320193/000032019325000055/a8-k.htm"
+
+
+def test_landing_sink_round_trip(spark):
+    from eventlens.schemas import RAW_FILINGS
+    df = spark.createDataFrame([("1", "2025-01-02", None, None, "Item 2.02 é")], RAW_FILINGS)
+    path = scratch_path(spark, "t-landing")
+    writers.write_landing(df, path)
+    back = readers.read_jsonl(spark, path, RAW_FILINGS).collect()
+    assert [tuple(r) for r in back] == [("1", "2025-01-02", None, None, "Item 2.02 é")]
