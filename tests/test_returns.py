@@ -99,3 +99,26 @@ def test_pad_fill_and_more_horizons(spark):
     many = daily_returns(df, horizons=(1, 3)).where("trade_date = '2024-01-01'").first()
     assert math.isclose(many.ret_pct_d3, 21.0) and many.cat_d3 == "Significant Up"
     assert "ret_pct_d2" not in daily_returns(df, horizons=(1, 3)).columns
+
+
+def test_returns_match_pandas_on_random_series(spark):
+    import random
+
+    import pandas as pd
+    rnd = random.Random(17)
+    rows = []
+    for t in ("A", "B", "C"):
+        for d in range(40):
+            price = None if rnd.random() < 0.1 else round(rnd.uniform(1, 500), 2)
+            rows.append((t, dt.date(2024, 1, 1) + dt.timedelta(days=d), price))
+    got = {(r.ticker, r.trade_date): r for r in daily_returns(bars(spark, rows)).collect()}
+    pdf = pd.DataFrame(rows, columns=["ticker", "trade_date", "adj_close"]).sort_values(["ticker", "trade_date"])
+    for t, g in pdf.groupby("ticker"):
+        p = g["adj_close"].astype(float)
+        exp = {"ret_pct_d0": p.pct_change(fill_method=None) * 100,
+               "ret_pct_d1": (p.shift(-1) / p - 1) * 100,
+               "ret_pct_d2": (p.shift(-2) / p - 1) * 100}
+        for i, day in enumerate(g["trade_date"]):
+            for col, series in exp.items():
+                e, v = series.iloc[i], got[(t, day)][col]
+                assert (v is None and pd.isna(e)) or v == e, (t, day, col, v, e)
