@@ -123,14 +123,14 @@ def align_wide_prefixed(spark, d):
     return r6(to_wide(a, B.TICKERS, RETURN_OUT))
 
 
-def _pipeline(spark, d):
+def _aligned_sources(spark, d):
     """T8 over the bindings: news + filings (per-row form, markup-free text)."""
     return align_pipeline(B.news_raw(spark, d), B.filings_raw(spark, d), B.bars(spark, d),
                           filing_form=F.col("form"), filing_text_mode="plain")
 
 
 def align_all_tickers(spark, d):
-    aligned = _pipeline(spark, d)
+    aligned = _aligned_sources(spark, d)
     n = aligned["news"].select(
         F.lit("news").alias("source"), F.col("news_id").alias("event_id"), "ticker", "event_date",
         "has_causal_keyword", "cat_d0", "cat_d1", "cat_d2")
@@ -235,7 +235,7 @@ def annotation_sheet(spark, d):
 
 
 def standardise_union(spark, d):
-    aligned = _pipeline(spark, d)
+    aligned = _aligned_sources(spark, d)
     return benchmark_events({
         "news": aligned["news"].select("news_id", "ticker", "event_date", "summary", "title", "cat_d1"),
         "filings": aligned["filings"].select("filing_id", "ticker", "event_date", "item_text", "cat_d1")})
