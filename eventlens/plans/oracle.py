@@ -351,7 +351,7 @@ GROUP BY 1, 2, 3""",
   max(published_date_utc) + 30 AS hi FROM news GROUP BY ticker)""")
     + "SELECT b.ticker, b.trade_date, round(b.adj_close, 6) AS adj_close FROM bars b JOIN bounds s "
       "ON b.ticker = s.ticker WHERE b.trade_date >= s.lo AND b.trade_date < s.hi",
-    "returns_pipeline": w(BARS, """raw_bars AS (SELECT ticker,
+    "returns_from_raw_bars": w(BARS, """raw_bars AS (SELECT ticker,
   CASE WHEN ticker = 'ERROR' AND day(trade_date) = 15 THEN '2024-13-45' ELSE CAST(trade_date AS VARCHAR) END AS date_text,
   open, high, low, close,
   CASE WHEN day(trade_date) = 10 THEN 'n/a' ELSE CAST(adj_close AS VARCHAR) END AS adj_text, volume FROM bars),

@@ -87,7 +87,7 @@ def price_range_prune(spark, d):
               .select("ticker", "trade_date", "adj_close"))
 
 
-def returns_pipeline(spark, d):
+def returns_from_raw_bars(spark, d):
     """T3 from string-typed bars with download headers and some bad values."""
     b = B.bars(spark, d)
     bad_day = F.dayofmonth("trade_date") == 15
@@ -408,7 +408,7 @@ QUERIES = {
     "daily_returns": daily_returns,
     "return_categories": return_categories,
     "price_range_prune": price_range_prune,
-    "returns_pipeline": returns_pipeline,
+    "returns_from_raw_bars": returns_from_raw_bars,
     "align_events": align_events_q,
     "align_empty_prices": align_empty_prices,
     "align_wide_prefixed": align_wide_prefixed,
