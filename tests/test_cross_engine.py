@@ -149,3 +149,15 @@ def test_keyword_flag_matches_python_re(spark):
     got = [r[0] for r in one_col(spark, texts).select(has_causal_keyword("t")).collect()]
     bad = [(t, g) for t, g in zip(texts, got) if g != (py.search(t.lower()) is not None)]
     assert not bad, bad[:5]
+
+
+def test_string_primitives_count_code_points_like_python(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(41)
+    alphabet = ["a", ".", " ", "é", "😀", "👍🏽", "𝔸", "中", "́"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    df = one_col(spark, texts).select(
+        F.length("t").alias("n"), F.col("t").substr(1, 5).alias("head"), F.reverse("t").alias("rev"),
+        F.instr("t", ".").alias("dot"))
+    for t, r in zip(texts, df.collect()):
+        assert (r.n, r.head, r.rev, r.dot) == (len(t), t[:5], t[::-1], t.find(".") + 1), t
