@@ -435,14 +435,20 @@ ORACLE["stream_news_events"] = ORACLE["align_events"]
 # HTML -> text for the generated pages: every page has a <body> and no
 # <document>, and nothing dropped (script/style/title/...) sits inside the body,
 # so the text nodes are the pieces between tags of the body; comments end a
-# node; the entities present are decoded (a legacy "&amp" without ";" too).
+# node; the entities present are decoded ("&amp" also without its ";" when
+# the name ends there, as the tokenizer reads it).
 _ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"))
 
 
 def _decode(x: str) -> str:
     for ent, ch in _ENTITIES:
         x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+    # "&amp" is a whole entity name when followed by ";", by a character that
+    # cannot continue a name, or by the end of the text node (a tag follows);
+    # pieces between "&"s are decided one by one, so "&amp&amp" decodes twice
+    piece = (r"CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^amp(;|[^-.a-zA-Z0-9]|$)') "
+             r"THEN '&' || regexp_replace(p, '^amp;?', '') ELSE '&' || p END")
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {piece}), '')"
 
 
 PAGE_TEXT = f"""body AS (

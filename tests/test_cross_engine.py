@@ -161,3 +161,21 @@ def test_string_primitives_count_code_points_like_python(spark):
         F.instr("t", ".").alias("dot"))
     for t, r in zip(texts, df.collect()):
         assert (r.n, r.head, r.rev, r.dot) == (len(t), t[:5], t[::-1], t.find(".") + 1), t
+
+
+def test_html_text_matches_sql_twin_on_random_bodies():
+    from eventlens.operators.html import extract_text
+    rnd = random.Random(51)
+    bits = ["<p>", "</p>", "<b>", "</b>", "<br>", "<div class='a'>", "</div>", "<!-- c -->", "word",
+            "élan", " ", "\n", "  \n  ", "&amp;", "&amp", "&copy;", "&middot;", "&quot;", "x.y", "<li>",
+            "</li>", "<a href='/x'>", "</a>"]
+    pages = ["<html><head><title>T</title><style>p{}</style></head><body>"
+             + "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) + "</body></html>"
+             for _ in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id INTEGER, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    want = [r[0] for r in con.execute("WITH " + O.PAGE_TEXT + "\nSELECT text FROM page_text ORDER BY page_id").fetchall()]
+    got = [extract_text(h) for h in pages]
+    bad = [(h, g, w) for h, g, w in zip(pages, got, want) if g != w]
+    assert not bad, bad[:3]
