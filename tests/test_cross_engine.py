@@ -1,7 +1,9 @@
-"""Randomised cross-engine check of the text operators: the Spark (Java
-regex, look-around) forms against the SQL twins (RE2, no look-around) on
-generated texts full of sentence ends, mixed whitespace, accents and
-boilerplate fragments."""
+"""Randomised cross-engine checks of the text operators on generated inputs
+(sentence ends, Unicode whitespace, accents, combining marks, emoji,
+boilerplate, item headings, tags, entities): the Spark forms (Java regex with
+look-around) against the SQL twins (RE2, none), against Python's own ``re``,
+``str`` and ``json`` (the reference's semantics), and the HTML job against
+the page-text twin."""
 import random
 
 import duckdb
