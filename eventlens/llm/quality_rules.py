@@ -181,7 +181,7 @@ def _sql_list(words: tuple[str, ...]) -> str:
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, ws[i:i + 4] AS k, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 6)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY doc_id),
@@ -189,8 +189,8 @@ m AS (SELECT w.doc_id, len(ws) AS n, length(array_to_string(ws, '')) AS chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS sym, length(regexp_replace(t, '[^!]+', '', 'g')) AS bang,
              len(ls) AS nl, len(ls) - len(list_distinct(ls)) AS dl, coalesce(r, 0) AS r,
              len(list_intersect(list_distinct(ws), {_sql_list(STOP_WORDS)})) AS st,
-             len(list_filter(ls, x -> regexp_matches(x, '^\s*([-*•]|\d+[.)])\s'))) AS bl,
-             len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)\s*$'))) AS el
+             len(list_filter(ls, lambda x: regexp_matches(x, '^\s*([-*•]|\d+[.)])\s'))) AS bl,
+             len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS el
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n < 10 OR 100 * r > 20 * n AS bf FROM m)
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols,

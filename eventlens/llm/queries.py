@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
+from eventlens.llm.token_counts import op9_token_counts
+from eventlens.llm.token_files import op2_token_files
 
 LLM_QUERIES = {
+    "op2_token_files": op2_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op9_token_counts": op9_token_counts,
 }
 
 LLM_ORACLE = {
