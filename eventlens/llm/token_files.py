@@ -48,7 +48,7 @@ from eventlens.session import scratch_path
 END_ID = 0
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 18
-HEAD = struct.Struct("<4sBBHIQI")
+HEAD = "<4sBBHIQI"
 DOC = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u8")])
 
 
@@ -80,7 +80,7 @@ def make_segment(docs: list[tuple[int | None, np.ndarray]], bits: int, block: in
     blocks = [pack_ids(ids[k:k + block], bits) for k in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     table = np.array([(d is None, d or 0, len(x)) for d, x in docs], DOC)
-    head = HEAD.pack(b"EVTK", 1, bits, 0, block, len(ids), len(docs))
+    head = struct.pack(HEAD, b"EVTK", 1, bits, 0, block, len(ids), len(docs))
     return b"".join([head, offsets.tobytes(), table.tobytes(), *blocks])
 
 
@@ -89,12 +89,12 @@ class Segment:
 
     def __init__(self, data: bytes):
         self.data = data
-        magic, version, self.bits, _, self.block, self.n_ids, n_docs = HEAD.unpack_from(data)
+        magic, version, self.bits, _, self.block, self.n_ids, n_docs = struct.unpack_from(HEAD, data)
         if (magic, version) != (b"EVTK", 1):
             raise ValueError("no token segment")
         n_blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, HEAD.size)
-        at = HEAD.size + self.offsets.nbytes
+        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, struct.calcsize(HEAD))
+        at = struct.calcsize(HEAD) + self.offsets.nbytes
         self.docs = np.frombuffer(data, DOC, n_docs, at)
         self.payload = at + self.docs.nbytes
 
