@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
+from eventlens.llm.simhash import op10_simhash
 from eventlens.llm.token_counts import op9_token_counts
 from eventlens.llm.token_files import op2_token_files
 
@@ -10,6 +11,7 @@ LLM_QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash": op10_simhash,
 }
 
 LLM_ORACLE = {
