@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from eventlens.llm.chat import OP1_SQL, op1_chat_format
+from eventlens.llm.hilbert import op4_hilbert_shards
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
 from eventlens.llm.simhash import op10_simhash
 from eventlens.llm.token_counts import op9_token_counts
 from eventlens.llm.token_files import op2_token_files
 
 LLM_QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 
 LLM_ORACLE = {
+    "op1_chat_format": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
 }
