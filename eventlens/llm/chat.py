@@ -141,7 +141,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     yield out
 
     return turns.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string")) \
-        .repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PIECES)
+        .repartitionByRange("conv_id", "turn").sortWithinPartitions(*order).mapInArrow(run, PIECES)
 
 
 def parse_piece(formatted: str) -> list[tuple[str, str]]:

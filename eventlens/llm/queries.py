@@ -6,16 +6,20 @@ from eventlens.llm.chat import OP1_SQL, op1_chat_format
 from eventlens.llm.decontam import op7_decontamination
 from eventlens.llm.hilbert import op4_hilbert_shards
 from eventlens.llm.line_dedup import op8_line_dedup
+from eventlens.llm.pieces import op6_pieces
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
 from eventlens.llm.simhash import op10_simhash
 from eventlens.llm.token_counts import op9_token_counts
 from eventlens.llm.token_files import op2_token_files
+from eventlens.llm.toxicity import op3_toxicity
 
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pieces": op6_pieces,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
