@@ -21,7 +21,8 @@ a literal U+2581, which the library turns into spaces).
 
 Defined results: a null or empty text has no pieces and decodes to an empty
 text; a null key is a key like any other; repeated rows give the same pieces;
-an empty table gives an empty result; other columns pass through untouched.
+an empty table gives an empty result; other columns pass through untouched,
+but one named like the added column is replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ SEED = 20_240
 SPACE_SIGN = "▁"
 CACHE_WORDS = 120_000  # per variant, of late use
 MATRIX_CHARS = 40
-TEXTS = 400  # cut at a time
+TEXTS = 1000  # cut at a time
 NONE = np.int32(2**31 - 1)
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _MASK = (1 << 64) - 1
@@ -89,11 +90,19 @@ class PieceEncoder:
         if whole:
             raise ValueError("a piece goes across words")
         rank_of = {x: k for k, x in enumerate(sorted({-sp.get_score(i) for i in normal}))}
+        # The piece of each rank. Only runs of spaces may share a rank; words with one take the heap.
+        self.piece_of = np.zeros(len(rank_of), np.int32)
+        tied = set()
         self.vocab = sp.vocab_size()
         #: pair of pieces -> (rank of the score, merged piece)
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for i in normal:
             p, rank = piece[i], rank_of[-sp.get_score(i)]
+            if len(p) > 1 and p.strip(" "):
+                if rank in tied:
+                    raise ValueError("scores of pieces tie")
+                tied.add(rank)
+                self.piece_of[rank] = i
             for k in range(1, len(p)):
                 a, b = self.id_of.get(p[:k]), self.id_of.get(p[k:])
                 if a is not None and b is not None:
@@ -103,8 +112,12 @@ class PieceEncoder:
         self.seed, self.variants = seed, variants
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        chars = "".join(p for p in self.id_of if len(p) == 1)
-        self.other = regex.compile(f"[^{regex.escape(chars, special_only=False)}]")
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        chars = regex.escape("".join(p for p in self.id_of if len(p) == 1), special_only=False)
+        self.parts = regex.compile(f"[{chars}]+|[^{chars}]")
         self.line_alone = "\n" not in self.id_of
         self.cut = regex.compile(r"\n| *[^ \n]+| +" if self.line_alone else r" *[^ ]+| +")
 
@@ -113,31 +126,28 @@ class PieceEncoder:
         bits = max(4, (4 * len(self.pairs)).bit_length())
         self.shift, size = np.uint64(64 - bits), 1 << bits
         self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
-        self.merged = np.full(size, -1, np.int32)
-        for (a, b), (rank, i) in self.pairs.items():
+        for (a, b), (rank, _) in self.pairs.items():
             key = a * self.vocab + b
             at = (key * _A & _MASK) >> int(self.shift)
             while self.keys[at] >= 0:
                 at = (at + 1) % size
-            self.keys[at], self.ranks[at], self.merged[at] = key, rank, i
+            self.keys[at], self.ranks[at] = key, rank
 
-    def _look(self, a: np.ndarray, b: np.ndarray, what: np.ndarray, none: np.int32) -> np.ndarray:
-        """``what`` the table has for each pair; ``none`` without a merge (an end may be a filler, -1)."""
-        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.vocab + b, -2)
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge, NONE where there is none."""
+        key = a.astype(np.int64) * self.vocab + b
         at = ((key.view(np.uint64) * np.uint64(_A)) >> self.shift).astype(np.int64)
-        out = np.full(len(key), none, np.int32)
-        todo = np.flatnonzero(key >= 0)
-        while len(todo):
+        found = self.keys[at]
+        out = np.where(found == key, self.ranks[at], NONE)
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        while len(todo):  # another pair has the slot: look at the next one
+            at[todo] = (at[todo] + 1) % len(self.keys)
             found = self.keys[at[todo]]
             hit = found == key[todo]
-            out[todo[hit]] = what[at[todo[hit]]]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
             todo = todo[~hit & (found >= 0)]
-            at[todo] = (at[todo] + 1) % len(self.keys)
         return out
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._look(a, b, self.ranks, NONE)
-
     def word_key(self, word: str, variant: int) -> int:
         return _mix((xxhash.xxh64_intdigest(word.encode("utf-8"), self.seed & _MASK) + variant * _B) & _MASK)
 
@@ -177,67 +187,87 @@ class PieceEncoder:
                 offer(left[s])
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """Pieces (int32 bytes) of words of one length, merged row by row in one matrix."""
-        n, length = len(words), len(words[0])
-        flat = "".join(words)
-        s = np.fromiter(map(self.id_of.__getitem__, flat), np.int32, n * length).reshape(n, length)
-        row, out = np.arange(n), [b""] * n
-        col = np.arange(length)
-        # start of each symbol; behind the last one, the word's length
-        at = np.broadcast_to(np.append(col, length), (n, length + 1)).copy()
-        r = np.full((n, length), NONE, np.int32)
-        for k in range(length - 1):
-            rank = self._rank(s[:, k], s[:, k + 1])
-            r[:, k] = np.where(self.skipped(keys, at[:, k], at[:, k + 1], at[:, k + 2]), NONE, rank)
+    def merge_many(self, symbols: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """Pieces (int32 bytes) of words of one length, a row of ``symbols``
+        each. Every round merges one pair in every row that still has a
+        candidate, so all live rows have the same number of symbols."""
+        n, length = symbols.shape
+        s, row, out = symbols, np.arange(n), [b""] * n
+        # starts of the symbols, and the word's length behind the last one
+        at = np.broadcast_to(np.arange(length + 1, dtype=np.int16), (n, length + 1))
+        a, k = np.repeat(np.arange(n), length - 1), np.tile(np.arange(length - 1), n)
+        r = self._candidates(s, at, keys, a, k).reshape(n, length - 1)
         while True:
-            j = r.argmin(axis=1)
-            best = r[np.arange(len(row)), j]
-            live = best != NONE
-            for k, x in zip(row[~live].tolist(), s[~live]):
-                out[k] = x[x >= 0].tobytes()
-            if not live.any():
-                return out
+            if s.shape[1] == 1:
+                live = np.zeros(len(row), bool)
+            else:
+                j = r.argmin(axis=1)
+                best = r[np.arange(len(row)), j]
+                live = best != NONE
             if not live.all():
-                s, at, r, j, keys, row = (x[live] for x in (s, at, r, j, keys, row))
-            i = np.arange(len(row))
-            before = col[None, :] <= j[:, None]
-            piece = self._look(s[i, j], s[i, j + 1], self.merged, np.int32(-1))
-            s = np.where(before, s, np.pad(s[:, 1:], ((0, 0), (0, 1)), constant_values=-1))
-            s[i, j] = piece
-            at[:, :-1] = np.where(before, at[:, :-1], at[:, 1:])
-            r = np.where(col[None, :] < j[:, None], r, np.pad(r[:, 1:], ((0, 0), (0, 1)), constant_values=NONE))
-            for k in (j - 1, j):  # the new piece with its neighbours
-                ok = np.flatnonzero((k >= 0) & (k + 1 < length))
-                a, c = i[ok], k[ok]
-                rank = self._rank(s[a, c], s[a, c + 1])
-                stop = at[a, np.minimum(c + 2, length)]
-                r[a, c] = np.where(self.skipped(keys[a], at[a, c], at[a, c + 1], stop), NONE, rank)
-
-    def _learn(self, words: list[str], variant: int) -> dict[str, bytes]:
-        """Pieces of chunks of text (a run of spaces and what follows it)."""
-        out: dict[str, bytes] = {}
-        plain: dict[int, list[str]] = {}
-        for w in words:
-            if self.other.search(w):
-                ids, at = [], 0
-                for m in self.other.finditer(w):
-                    if m.start() > at:
-                        ids += self.merge_one(w[at:m.start()], self.word_key(w[at:m.start()], variant))
-                    ids += [self.byte_ids[b] for b in m.group().encode("utf-8")]
-                    at = m.end()
-                if at < len(w):
-                    ids += self.merge_one(w[at:], self.word_key(w[at:], variant))
-                out[w] = np.array(ids, np.int32).tobytes()
-            elif len(w) > MATRIX_CHARS:
-                out[w] = np.array(self.merge_one(w, self.word_key(w, variant)), np.int32).tobytes()
+                done = ~live
+                width = 4 * s.shape[1]
+                raw = np.ascontiguousarray(s[done]).tobytes()
+                for k, x in enumerate(row[done].tolist()):
+                    out[x] = raw[k * width:(k + 1) * width]
+                if not live.any():
+                    return out
+                s, at, r, j, best, keys, row = (x[live] for x in (s, at, r, j, best, keys, row))
+            i, col = np.arange(len(row)), np.arange(s.shape[1])
+            upto = col <= j[:, None]
+            s = np.where(upto[:, :-1], s[:, :-1], s[:, 1:])
+            s[i, j] = self.piece_of[best]
+            at = np.where(upto, at[:, :-1], at[:, 1:])
+            r = np.where(col[:-2] < j[:, None], r[:, :-1], r[:, 1:])
+            # the new piece with its neighbours
+            left, right = np.flatnonzero(j > 0), np.flatnonzero(j < s.shape[1] - 1)
+            a, k = np.concatenate([left, right]), np.concatenate([j[left] - 1, j[right]])
+            r[a, k] = self._candidates(s, at, keys, a, k)
+
+    def _candidates(self, s: np.ndarray, at: np.ndarray, keys: np.ndarray, a: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of symbols k and k + 1 of rows a; NONE if there is none or it is dropped."""
+        rank = self._rank(s[a, k], s[a, k + 1])
+        some = np.flatnonzero(rank != NONE)
+        a, k = a[some], k[some]
+        rank[some[self.skipped(keys[a], at[a, k], at[a, k + 1], at[a, k + 2])]] = NONE
+        return rank
+
+    def _slow(self, w: str, variant: int) -> bytes:
+        """Pieces of any chunk: runs of characters with a piece by the heap, others as bytes."""
+        ids: list[int] = []
+        for part in self.parts.findall(w):
+            if part[0] in self.id_of:
+                ids += self.merge_one(part, self.word_key(part, variant))
             else:
-                plain.setdefault(len(w), []).append(w)
-        for ws in plain.values():
-            for k in range(0, len(ws), 4096):
-                part = ws[k:k + 4096]
-                keys = np.array([self.word_key(w, variant) for w in part], np.uint64)
-                out.update(zip(part, self.merge_many(part, keys)))
+                ids += [self.byte_ids[b] for b in part.encode("utf-8")]
+        return np.array(ids, np.int32).tobytes()
+
+    def _learn(self, jobs: list[list[str]]) -> list[dict[str, bytes]]:
+        """Pieces of new chunks of text (a run of spaces and what follows it), by variant."""
+        out: list[dict[str, bytes]] = [{} for _ in jobs]
+        plain: dict[int, list[tuple[str, int]]] = {}
+        for v, words in enumerate(jobs):
+            for w in words:
+                if 2 <= len(w) <= MATRIX_CHARS and "  " not in w:
+                    plain.setdefault(len(w), []).append((w, v))
+                else:
+                    out[v][w] = self._slow(w, v)
+        for length, own in plain.items():
+            for at in range(0, len(own), 8192):
+                part = own[at:at + 8192]
+                codes = np.frombuffer("".join([w for w, _ in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                symbols = self.char_ids[codes].reshape(-1, length)
+                known = (symbols >= 0).all(axis=1)
+                for k in np.flatnonzero(~known):
+                    w, v = part[k]
+                    out[v][w] = self._slow(w, v)
+                part = [part[k] for k in np.flatnonzero(known)]
+                if part:
+                    digest, seed = xxhash.xxh64_intdigest, self.seed & _MASK
+                    keys = np.array([digest(w.encode("utf-8"), seed) for w, _ in part], np.uint64)
+                    keys = _mix(keys + np.array([v for _, v in part], np.uint64) * np.uint64(_B))
+                    for (w, v), ids in zip(part, self.merge_many(symbols[known], keys)):
+                        out[v][w] = ids
         return out
 
     def _cut(self, text: str) -> list[str]:
@@ -256,7 +286,7 @@ class PieceEncoder:
         v = self.variants
         cut = [self._cut(t) if t else [] for t in texts]
         turn = [_mix((k ^ self.seed * _C) & _MASK) % v for k in keys]
-        long: list[dict[str, bytes]] = []
+        jobs = []
         for variant in range(v):
             new = set().union(*[own[(variant - t) % v::v] for own, t in zip(cut, turn)])
             if len(self.known[variant]) > CACHE_WORDS:
@@ -266,7 +296,9 @@ class PieceEncoder:
             if older:
                 known.update({w: older[w] for w in new.intersection(older)})
                 new.difference_update(older)
-            learned = self._learn(list(new), variant)
+            jobs.append(list(new))
+        long: list[dict[str, bytes]] = []
+        for known, learned in zip(self.known, self._learn(jobs)):
             long.append({w: learned.pop(w) for w in [w for w in learned if len(w) > MATRIX_CHARS]})
             known.update(learned)
         out = []
@@ -291,6 +323,7 @@ def _encoder(path: str, dropout: float, seed: int, variants: int) -> PieceEncode
 def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", out: str = "pieces",
                   model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """``docs`` plus ``out``, the piece ids of the text."""
+    docs = docs.drop(out)
     path, where, key = model or default_model(), docs.columns.index(text_col), f"__{out}_key"
     schema = T.StructType(docs.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -310,6 +343,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_i
 
 def decode_pieces(df: DataFrame, pieces_col: str = "pieces", out: str = "decoded", model: str | None = None) -> DataFrame:
     """``df`` plus ``out``, the text that the pieces stand for (null: empty)."""
+    df = df.drop(out)
     path, where = model or default_model(), df.columns.index(pieces_col)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import read_table, stored
@@ -63,16 +63,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)``: the id column under its own name, the fingerprint as a signed long."""
+    """``(id, th, fp)``: the id, the text's 64-bit hash, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.array([fingerprint(t or b"", shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary")) \
-        .mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text_col), F.col(f"`{text_col}`").cast("binary").alias("t")) \
+        .mapInArrow(run, f"id {kind}, th long, fp long")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th")
 
 
 class _Forest:
@@ -227,17 +231,34 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCK
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Per row of ``docs``: id, ``fp``, and ``component_id``, the smallest id reachable over links."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "simhash-prints")
+    """Per row of ``docs``: ``id``, ``th`` (text hash), ``fp``, ``root`` (a
+    fingerprint that names the group) and ``component_id``, the smallest id
+    reachable over links."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     own = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     comp = connected_components(near_links(own.select("fp"), distance, bucket), "a", "b")
     rooted = own.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp") \
+        .select("id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id's (null ids last,
+    then by text hash). A kept row that is there twice, id and text alike, stays once."""
+    groups = stored(near_duplicates(docs, id_col, text_col, shingle, distance), "simhash-groups")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("x")) \
+        .select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__th"))
+    kept = docs.join(best, same, "left_semi")
+    if groups.groupBy("id", "th").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("__th", text_hash(text_col)).dropDuplicates([id_col, "__th"]).drop("__th")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                         "component_id")

@@ -20,8 +20,8 @@ strings (a prefix that ends inside one is ordinary text).
 
 Defined results: a null text counts as an empty one (0 tokens, empty table);
 rows are independent, so ties and repeated rows give equal rows; an empty
-table gives an empty result; other columns pass through untouched, and the
-added columns carry a prefix chosen by the caller.
+table gives an empty result; other columns pass through untouched, but those
+of the added columns' names (``out`` chooses them) are replaced.
 """
 
 from __future__ import annotations
@@ -252,6 +252,7 @@ def prefix_counts(df: DataFrame, text_col: str = "text", out: str = "tokens",
                   tokenizer: str | None = None) -> DataFrame:
     """``df`` plus ``<out>_prefixes`` (binary table, see ``pack``) and ``<out>_n`` (count of the whole text)."""
     path = tokenizer or default_tokenizer()
+    df = df.drop(f"{out}_prefixes", f"{out}_n")
     names = df.columns
     schema = T.StructType(df.schema.fields + [T.StructField(f"{out}_prefixes", T.BinaryType()),
                                               T.StructField(f"{out}_n", T.LongType())])

@@ -16,7 +16,8 @@ Defined results: a null or empty text has no features and scores by the bias
 alone; a text repeated scores the same; labels that are null, or whose document
 is missing, do not count; a document with several labels is toxic if one says
 so; a null id is never a training row; without training rows every score is 0;
-an empty table gives an empty result; other columns pass through untouched.
+an empty table gives an empty result; other columns pass through untouched,
+but one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -118,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, weights: dict[int, float], text_col: str = "text", out: str = "score", bits: int = BITS) -> DataFrame:
     """``docs`` plus the probability ``out`` that a text is toxic."""
+    docs = docs.drop(out)
     where = docs.columns.index(text_col)
     slots = np.array(sorted(k for k in weights if k < 1 << bits), np.int64)
     values = np.array([weights[k] for k in slots.tolist()])
