@@ -11,7 +11,8 @@ Only narrow rows (id, size, key) are sorted; ``write_shards`` moves the texts.
 
 Defined results: null metadata lies before all values; a null text has no
 bytes; a null id sorts first; rows that tie in key, id and text hash get
-neighbouring slots in any order; an empty table gives an empty result.
+neighbouring slots in any order; an empty table gives an empty result; columns
+of the added names (curve, shard, slot) are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ def shard_rows(df: DataFrame, order_cols: list[str], dims: tuple[str, ...] = DIM
                shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` plus ``curve`` (Hilbert index), ``shard`` and ``slot``. Shards
     have counts at most one apart; slots count from 0 within a shard."""
+    df = df.drop("curve", "shard", "slot")
     at = {d: cuts(df, d, (1 << bits) - 1) for d in dims}
     names = df.columns
 
@@ -89,10 +91,10 @@ def shard_rows(df: DataFrame, order_cols: list[str], dims: tuple[str, ...] = DIM
             yield pd.Series(hilbert_index(np.column_stack([c.to_numpy() for c in cols]), bits))
 
     keyed = df.withColumn("curve", curve(*[quantised(F.col(f"`{d}`"), at[d]).cast("int") for d in dims]))
-    ranked, total = prefix_sums(keyed, ["curve", *order_cols], "rank")
-    shard = F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)")
+    ranked, total = prefix_sums(keyed, ["curve", *order_cols], "__rank")
+    shard = F.expr(f"cast(__rank * {shards} div {max(total, 1)} as int)")
     first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")  # least rank of the shard
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first) \
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col("__rank") - first) \
         .select(*[f"`{c}`" for c in names], "curve", "shard", "slot")
 
 

@@ -21,7 +21,8 @@ Defined results: a null text stays null, an empty one empty; blank lines stay;
 a null id comes before all others; rows of equal id are the same document if
 their texts are equal (none is cleaned against the other) and otherwise come in
 order of their text hash; an empty table gives an empty result; other columns
-pass through untouched.
+pass through untouched, but one named like the added struct is replaced, and
+names that begin with two underscores are taken.
 """
 
 from __future__ import annotations
@@ -186,6 +187,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_words: int = BLOCK_WORDS, moved_words: int = MOVED_WORDS, out: str = "dedup") -> DataFrame:
     """``docs`` with cleaned texts, plus a struct ``out``: ``n_removed`` lines
     and ``partners`` (ids of the earlier documents that hold them)."""
+    docs = docs.drop(out)
     th = F.xxhash64(F.col(f"`{text_col}`"))
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), th.alias("th"), F.col(f"`{text_col}`").alias("text"))
     lines = stored(_lines(narrow), "lines")

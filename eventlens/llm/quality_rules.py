@@ -8,7 +8,8 @@ Words are maximal runs without space and ``\\t``..``\\r``; lines are cut at
 Defined results: a null text counts as an empty one (no words, so the base
 length rule fails); an empty table gives an empty result; repeated rows are
 judged one by one; other columns of the input pass through untouched, and the
-metric columns come in one struct, so that no name can clash.
+metric columns come in one struct; a column of the struct's name (``out``
+chooses it) is replaced, and names that begin with two underscores are taken.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ components over all buckets follow from it.
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; equal fingerprints are one group; rows of equal id are rows like any
 other; a null id is never the smallest (a group of null ids only has a null
-``component_id``); an empty table gives an empty result.
+``component_id``); an empty table gives an empty result; other columns of the
+input are not read (``one_of_each`` keeps them; names that begin with two
+underscores are taken).
 """
 
 from __future__ import annotations
