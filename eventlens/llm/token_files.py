@@ -22,7 +22,7 @@ Segments know how many ids stand before them in their part (range partition);
 the parts' totals (one row per partition) give the global start.
 
 Defined results: a null text counts as an empty one (only the end id); a null
-id sorts first; rows of equal id sort by text; an empty table gives no segment
+id sorts first; rows of equal id sort by their text's hash; an empty table gives no segment
 and an empty result; other columns of the input are not read.
 """
 
@@ -32,7 +32,7 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +110,27 @@ class Segment:
         return np.concatenate(out)[start - first * self.block:stop - first * self.block]
 
 
+class _Known(dict):
+    """Ids of chunks, asked for on first use. Two generations bound its size:
+    what was not used since the last change is forgotten."""
+
+    def __init__(self, ask: Callable[[str], bytes], words: int, longest: int):
+        super().__init__()
+        self.ask, self.words, self.longest, self.older = ask, words, longest, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.ask(chunk)
+            if len(chunk) > self.longest:
+                return ids
+        if len(self) >= self.words:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once per distinct chunk.
 
@@ -118,7 +139,7 @@ class WordEncoder:
     ids are its chunks' ids in a row. (Checked against the library on whole
     texts in the tests.) Tokenizers of another kind are asked text by text."""
 
-    WORDS = 400_000  # of late use, per generation
+    WORDS = 350_000  # of late use, per generation
     LONG = 64
 
     def __init__(self, path: str):
@@ -139,66 +160,48 @@ class WordEncoder:
         self.odd = regex.compile(r"\s\s")
         self.chunks = regex.compile(r"\s*\S+|\s+")
         self.letters = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ask(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks. The plain ones (a space or line end, letters, a full
-        stop or comma: one pretoken each) go straight to the library's model,
-        in its byte alphabet; the rest goes through the whole tokenizer."""
-        out, rest = {}, []
-        tokenize, fullmatch, signs = self.model.tokenize, self.letters.fullmatch, self.signs
-        for c in chunks:
-            first, lead, word, tail = c[:1], "", c, b""
-            head = b""
-            if first == " ":
-                lead, word = self.space, c[1:]
-            elif first == "\n":
-                head, word = signs["\n"], c[1:]
-            if word[-1:] in (".", ","):
-                tail, word = signs[word[-1]], word[:-1]
-            if word.isalpha() and (word.isascii() or fullmatch(word)):
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(self.printable)
-                out[c] = head + array("I", [t.id for t in tokenize(lead + word)]).tobytes() + tail
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[c] = array("I", e.ids).tobytes()
-        return out
+        self.known = _Known(self.ask, self.WORDS, self.LONG)
+
+    def ask(self, chunk: str) -> bytes:
+        """Ids of one chunk. The plain ones (a space or line end, letters, a
+        full stop or comma: one pretoken each) go straight to the library's
+        model, in its byte alphabet; the rest goes through the whole tokenizer."""
+        first, lead, word, head, tail = chunk[:1], "", chunk, b"", b""
+        if first == " ":
+            lead, word = self.space, chunk[1:]
+        elif first == "\n":
+            head, word = self.signs["\n"], chunk[1:]
+        last = word[-1:]
+        if last == "." or last == ",":
+            tail, word = self.signs[last], word[:-1]
+        if word.isalpha():
+            if word.isascii():
+                return head + array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes() + tail
+            if self.letters.fullmatch(word):
+                word = word.encode().decode("latin-1").translate(self.printable)
+                return head + array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes() + tail
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = []
+        out, known = [], self.known
         for t in texts:
-            if self.odd.search(t):
-                cut.append(self.chunks.findall(t))
+            if "\0" in t or self.odd.search(t):
+                own = self.chunks.findall(t)
             else:  # every white space stands alone: cut before each
-                own = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in t else self.chunks.findall(t)
-                cut.append(own)
-        new = set().union(*cut)
-        if len(self.known) > self.WORDS:
-            self.older, self.known = self.known, {}
-        new.difference_update(self.known)
-        if self.older:
-            self.known.update({w: self.older[w] for w in new.intersection(self.older)})
-            new.difference_update(self.older)
-        asked = self._ask(list(new))
-        long = {w: asked.pop(w) for w in [w for w in asked if len(w) > self.LONG]}
-        self.known.update(asked)
-        look = self.known
-        if long:
-            look = {w: long.get(w) or self.known[w] for w in set().union(*cut)}
-        return [np.frombuffer(b"".join([look[w] for w in own]), "<u4") for own in cut]
+                own = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4"))
+        return out
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                       tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode and write all documents in ascending id order (see the module's text)."""
     file = tokenizer or default_tokenizer()
-    ordered = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-               .repartitionByRange("id", "text").sortWithinPartitions("id", "text"))
+    # Ties go by the text's hash: the range bounds' sample must not carry texts to the driver.
+    ordered = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(text_col).alias("h"))
+               .repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_state(f"word-encoder {file}", lambda: WordEncoder(file))
@@ -225,8 +228,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
      .write.option("compression", "zstd").parquet(path))
 
 
-def read_token_files(spark: SparkSession, path: str, id_name: str = "doc_id") -> DataFrame:
-    """Per document: id, ``start`` (ids of all documents before it), ``n_tokens`` and its ``ids``."""
+def read_token_files(spark: SparkSession, path: str, id_name: str = "doc_id", digest: bool = False) -> DataFrame:
+    """Per document: id, ``start`` (ids of all documents before it), ``n_tokens``,
+    and its ``ids``, or with ``digest`` instead ``ids_crc32``, the crc32 of the
+    ids as little-endian unsigned 32-bit integers."""
     files = spark.read.schema("part int, part_start long, n_ids long, segment binary").parquet(path)
     totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("n")).collect()
     base, at = {}, 0
@@ -235,37 +240,24 @@ def read_token_files(spark: SparkSession, path: str, id_name: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, before, data in zip(*(b.column(k).to_pylist() for k in ("part", "part_start", "segment"))):
+            for part, before, data in zip(*(b.column(k).to_pylist() for k in range(3))):
                 s = Segment(data)
                 n = s.docs["n"].astype(np.int64)
-                ends = np.cumsum(n)
+                ends = np.concatenate([[0], np.cumsum(n)])
                 ids = s.read(0, s.n_ids)
                 doc = pa.array(s.docs["id"], pa.int64(), mask=s.docs["null"].astype(bool))
-                yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(base[part] + before + ends - n), pa.array(n),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
-                                              pa.array(ids.astype(np.int64), pa.int32()))],
-                    names=[id_name, "start", "n_tokens", "ids"])
+                if digest:
+                    value = pa.array([zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(ends, ends[1:])], pa.int64())
+                else:
+                    value = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(base[part] + before + ends[:-1]), pa.array(n), value],
+                                                 names=[id_name, "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return files.select("part", "part_start", "segment").mapInArrow(
-        run, f"`{id_name}` long, start long, n_tokens long, ids array<int>")
-
-
-def ids_crc32(files: DataFrame) -> DataFrame:
-    """``read_token_files`` rows with the ids replaced by their crc32 as little-endian 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            flat, off = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())],
-                                             names=[*b.schema.names[:3], "ids_crc32"])
-
-    return files.mapInArrow(run, ", ".join(f"`{f.name}` long" for f in files.schema.fields[:3]) + ", ids_crc32 long")
+        run, f"`{id_name}` long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    return ids_crc32(read_token_files(spark, path))
+    return read_token_files(spark, path, digest=True)
