@@ -58,23 +58,25 @@ def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def cuts(df: DataFrame, col: str, buckets: int) -> list:
-    """Values at which a new bucket begins: at most ``buckets - 1``, from the
-    exact counts of all rows. A value always lies in one bucket."""
+def cuts(df: DataFrame, col: str, buckets: int) -> list[tuple]:
+    """``(value, bucket)`` where a new bucket begins: at most ``buckets - 1``,
+    from the exact counts of all rows. A value lies in one bucket, and a bucket's
+    number is its share of the rows below, so the values spread over the whole axis."""
     counts = df.where(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("v")).agg(F.count("*").alias("n"))
     before, total = prefix_sums(counts, ["v"], "before", "n")
     if not total:
         return []
     bucket = F.expr(f"before * {buckets} div {total}")
     first = before.groupBy(bucket.alias("b")).agg(F.min("v").alias("v"))
-    return sorted(r["v"] for r in first.where("b > 0").collect())
+    return sorted((r["v"], r["b"]) for r in first.where("b > 0").collect())
 
 
-def quantised(col: Column, at: list) -> Column:
-    """Bucket 1.. of a value, 0 for null."""
+def quantised(col: Column, at: list[tuple]) -> Column:
+    """Bucket of a value plus 1, or 0 for null."""
     if not at:
         return F.when(col.isNull(), 0).otherwise(1)
-    return F.when(col.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c <= col)) + 1)
+    passed = F.size(F.filter(F.array(*[F.lit(v) for v, _ in at]), lambda c: c <= col))
+    return F.when(col.isNull(), 0).otherwise(F.get(F.array(F.lit(1), *[F.lit(b + 1) for _, b in at]), passed))
 
 
 def shard_rows(df: DataFrame, order_cols: list[str], dims: tuple[str, ...] = DIMENSIONS,

@@ -1,0 +1,64 @@
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from eventlens.llm.pieces import PieceEncoder, decode_pieces, default_model, encode_pieces
+from tests.llm.conftest import odd_texts
+
+
+def strings(n=300):
+    r = random.Random(1)
+    parts = ["a", " ", "  ", "th", "é", "漢", "\n", "\t", "\0", "😀", "ing", "1", "\r\n"]
+    return ["".join(r.choice(parts) for _ in range(20)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return [r.text for r in docs.collect()] + strings() + ["", " ", "a" * 3000, "x" * 100 + " " + "=-" * 80, "      indented"]
+
+
+def test_without_dropout_the_pieces_are_the_library_s(texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    got = PieceEncoder(default_model(), 0.0, 1, 1).encode(texts, [0] * len(texts))
+    assert [x.tolist() for x in got] == sp.encode(texts, num_threads=1)
+
+
+def test_dropout_decodes_losslessly_and_varies(texts):
+    texts = texts + [t for t in odd_texts() if t] + ["a▁b ▁ c"]
+    keys = list(range(len(texts)))
+    runs = {}
+    for seed in (1, 2, 1):
+        e = PieceEncoder(default_model(), 0.1, seed, 4)
+        ids = [x.tolist() for x in e.encode(texts, keys)]
+        assert [e.decode(x) for x in ids] == texts
+        assert runs.setdefault(seed, ids) == ids  # the seed decides
+    assert runs[1] != runs[2]
+    e = PieceEncoder(default_model(), 0.1, 1, 4)
+    assert len({tuple(x) for x in map(np.ndarray.tolist, e.encode([texts[0]] * 8, list(range(8))))}) > 1  # variants
+    assert e.encode([texts[0]], [5])[0].tolist() == PieceEncoder(default_model(), 0.1, 1, 4).encode(texts[:1], [5])[0].tolist()
+
+
+def test_matrix_merges_are_the_heap_s(texts):
+    e = PieceEncoder(default_model(), 0.2, 7, 3)
+    words = sorted({w for t in texts for w in e._cut(t) if 2 <= len(w) <= 40 and "  " not in w and all(c in e.id_of for c in w)})
+    for w, ids in e._learn([[], [], words])[2].items():
+        assert np.frombuffer(ids, np.int32).tolist() == e.merge_one(w, e.word_key(w, 2))
+
+
+def test_everything_dropped_leaves_characters():
+    e = PieceEncoder(default_model(), 1.0, 7, 1)
+    assert [e.bytes_of[i] for i in e.encode(["abc de"], [0])[0]] == [b" ", b"a", b"b", b"c", b" ", b"d", b"e"]
+
+
+def test_operators_on_odd_documents(odd_docs, no_docs):
+    both = decode_pieces(encode_pieces(odd_docs.withColumn("pieces", F.lit("old"))))
+    rows = both.collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r.decoded == (r.text or "") for r in rows)
+    assert all(list(r.pieces) == [] for r in rows if not r.text)
+    assert decode_pieces(encode_pieces(no_docs)).count() == 0
+    nulls = odd_docs.select(F.lit(None).cast("array<int>").alias("pieces"))
+    assert {r.decoded for r in decode_pieces(nulls).collect()} == {""}
