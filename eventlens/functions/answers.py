@@ -27,7 +27,6 @@ FEW_SHOT_EXAMPLES = (
 )
 EVENT_PROMPT_CHARS = 1024
 RAW_ANSWER_CHARS = 300
-MAX_NEW_TOKENS = 64
 PARSE_ERR_CAUSAL = "ParseErr_Causal"
 PARSE_ERR_ASSOC = "ParseErr_Assoc"
 NO_TEXT = "N/A"

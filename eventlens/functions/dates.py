@@ -12,19 +12,33 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Date texts accepted after ISO 8601, in this order (month before day).
+DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy/M/d", "yyyyMMdd")
+_CLOCK = r"^\s*T?\d{1,2}:\d{2}"  # a time without a date would mean today
+
+
+def _try_timestamp(text: Column) -> Column:
+    tries = [F.try_to_timestamp(text)]
+    for f in DATE_FORMATS:
+        tries += [F.try_to_timestamp(text, F.lit(f)), F.try_to_timestamp(text, F.lit(f + " HH:mm:ss"))]
+    return F.when(text.rlike(_CLOCK), F.lit(None).cast("timestamp")).otherwise(F.coalesce(*tries))
+
+
 def published_at_utc(c: Column | str) -> Column:
     """text before the first ``.``, ``Z`` -> ``+00:00``, parsed as a UTC
-    timestamp (session time zone UTC); anything unparsable -> null.
+    timestamp (session time zone UTC): ISO 8601 or one of ``DATE_FORMATS``;
+    anything else, a time without a date included -> null.
     An offset after the fraction is lost with the fraction, as in the
     reference, so such a time is read as UTC."""
     head = F.split_part(_col(c), F.lit("."), F.lit(1))
-    return F.try_to_timestamp(F.replace(head, F.lit("Z"), F.lit("+00:00")))
+    return _try_timestamp(F.replace(head, F.lit("Z"), F.lit("+00:00")))
 
 
 def to_date_or_null(c: Column | str) -> Column:
-    """date coercion, bad -> null (accepts dates, timestamps and text)."""
-    c = _col(c)
-    return F.coalesce(F.try_to_date(c.cast("string")), F.lit(None).cast("date"))
+    """date coercion, bad -> null (accepts dates, timestamps and text in
+    ISO 8601 or one of ``DATE_FORMATS``)."""
+    text = F.trim(_col(c).cast("string"))
+    return F.coalesce(F.when(~text.rlike(_CLOCK), F.try_to_date(text)), F.to_date(_try_timestamp(text)))
 
 
 def to_double_or_null(c: Column | str) -> Column:

@@ -17,9 +17,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def zero_padded(c: Column | str, width: int) -> Column:
+    """Text padded with zeros on the left to at least ``width`` characters.
+    A longer one stays whole (``lpad`` alone would cut it)."""
+    text = _col(c).cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def padded_cik(cik: Column | str) -> Column:
     """CIK zero-padded to 10 digits (index file name)."""
-    return F.lpad(_col(cik).cast("string"), CIK_WIDTH, "0")
+    return zero_padded(cik, CIK_WIDTH)
 
 
 def index_url(cik: Column | str) -> Column:

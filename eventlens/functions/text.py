@@ -155,7 +155,7 @@ def remove_boilerplate(c: Column | str) -> Column:
 def first_sentences(c: Column | str, max_sents: int) -> Column:
     """split at sentence boundaries, keep the first ``max_sents``, join by
     one space, trim."""
-    parts = F.split(_col(c), SENTENCE_BOUNDARY, -1)
+    parts = F.split(_col(c), SENTENCE_BOUNDARY, max_sents + 1)  # the rest of the text stays one part
     return utrim(F.array_join(F.slice(parts, 1, max_sents), " "))
 
 

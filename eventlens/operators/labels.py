@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+REFERENCE_NAME = re.compile(r"(ret_pct|cat)_D\+?(\d+)")
+
+
+def snake_name(col: str) -> str:
+    """``ret_pct_D+1`` -> ``ret_pct_d1``, ``cat_D0`` -> ``cat_d0``; others as they are
+    (the inverse of :func:`eventlens.operators.align.reference_name`)."""
+    m = REFERENCE_NAME.fullmatch(col)
+    return f"{m[1]}_d{int(m[2])}" if m else col
+
+
 LABEL_COLUMNS = ("causal_label", "assoc_label")
 
 
@@ -19,7 +30,8 @@ def annotation_sheet(aligned: DataFrame) -> DataFrame:
 def standardise(df: DataFrame, ticker: str, id_col: str, text_col: str) -> DataFrame:
     """P5: add the ticker, rename id/text to ``event_id``/``event_text`` and
     un-prefix ``{ticker}_*`` columns (every occurrence of the prefix in a
-    matching name is removed, as the reference does)."""
+    matching name is removed, as the reference does). Return and category
+    columns get this package's names, so the benchmark finds the reaction."""
     pre = f"{ticker}_"
     cols = []
     for c in df.columns:
@@ -31,7 +43,7 @@ def standardise(df: DataFrame, ticker: str, id_col: str, text_col: str) -> DataF
             name = c.replace(pre, "")
         else:
             name = c
-        cols.append(F.col(f"`{c}`").alias(name))
+        cols.append(F.col(f"`{c}`").alias(snake_name(name)))
     return df.select(F.lit(ticker).alias("ticker"), *[c for c in cols])
 
 

@@ -48,6 +48,7 @@ def keyword_predictor(phrases=CAUSAL_PHRASES) -> PredictorFactory:
                 }, separators=(",", ":")))
             return pd.Series(out, index=batch.index, dtype=object)
         return predict
+    make.needs_prompt = False  # it reads the event text and the reaction
     return make
 
 
@@ -64,6 +65,7 @@ def run_predictors(events: DataFrame, predictors: Mapping[str, PredictorFactory]
     keep: the Python boundary is opaque to column pruning."""
     names = list(predictors)
     factories = dict(predictors)
+    drop = tuple(c for c in drop if c in events.columns)
     keep = [f for f in events.schema.fields if f.name not in drop]
     schema = T.StructType(keep + [T.StructField("model", T.StringType()),
                                   T.StructField(out_col, T.StringType())])

@@ -65,9 +65,13 @@ def prune_prices(prices: DataFrame, events: DataFrame, date_col: str = "event_da
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Keep only each ticker's bars inside its event window (end
     exclusive). The bounds table has one row per ticker, sized before it is
-    broadcast."""
+    broadcast; the earliest and latest of its days also go to the price scan
+    as literals, which push down below any aggregation by day."""
     bounds = sized_side(price_window(events, date_col, margin_days),
                         max_broadcast_rows, strategy)
+    first, last = bounds.agg(F.min("price_from"), F.max("price_until")).first()
+    if first is not None:
+        prices = prices.where((F.col("trade_date") >= F.lit(first)) & (F.col("trade_date") < F.lit(last)))
     return (prices.join(bounds, "ticker")
             .where((F.col("trade_date") >= F.col("price_from"))
                    & (F.col("trade_date") < F.col("price_until")))

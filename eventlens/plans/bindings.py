@@ -6,15 +6,16 @@ so each binding derives one of them from a given table with plain column
 expressions (no filtering, no sampling: every input row flows through):
 
 * **bars** (daily prices) from ``events``: ticker = event type, one bar per
-  (ticker, weekday); open/close = first/last value by ``(ts, event_id)``,
-  high/low = max/min, volume = count; weekends are the non-trading days.
+  (ticker, day); open/close = first/last value by ``(ts, event_id)``,
+  high/low = max/min, volume = count; news and filings reach past the last
+  day, which has no bar.
 * **news** from ``documents``: a dated article per document whose
   description is a JSON list of ``{content}`` objects (every third gets a
   lead sentence with a causal phrase; every eleventh is plain text), and
   whose publication time is sometimes malformed.
 * **filings** from ``documents``: an 8-K/10-K text around each document
   with items, boilerplate, exhibits and signatures in eight shapes.
-* **answers** from ``labels``: two models' raw answers in six shapes
+* **answers** from ``labels``: three models' raw answers in six shapes
   (valid JSON, prose + JSON, fenced, single-quoted, truncated, booleans).
 * **filing index** from ``orders``: one filing per order, form = priority.
 * **landed pages** from ``pages``: each page stored under the archive URL
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.functions.ids import document_url
+from eventlens.functions.ids import document_url, zero_padded
 from eventlens.plans.sizing import balance
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -41,7 +42,7 @@ NEWS_DAYS = 40
 FILING_DAYS = 45
 CAUSAL_LEAD = "<p>Sales rose due to demand.</p>"
 FILING_8K_CODES = ("2.02", "1.01", "5.02", "8.01", "5.07")
-MODELS = ("m1", "m2")
+MODELS = ("m1", "m2", "m3")  # m3 answers only in a shape that cannot be parsed
 
 
 # Text-heavy tables and their keys: scans of these are balanced over the
@@ -70,9 +71,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ticker, day) per task, however skewed the event types are."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     day = F.to_date("ts")
-    order = F.struct("ts", "event_id")
-    return (ev.where(F.weekday(day) < 5)
-            .groupBy(F.upper("event_type").alias("ticker"), day.alias("trade_date"))
+    # (ts, event_id) as one fixed-width number: the aggregation stays a hash aggregation
+    order = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id")
+    order = order.cast("decimal(38,0)")
+    return (ev.groupBy(F.upper("event_type").alias("ticker"), day.alias("trade_date"))
             .agg(F.min_by("value", order).alias("open"),
                  F.max("value").alias("high"),
                  F.min("value").alias("low"),
@@ -130,7 +132,7 @@ def filings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.when(F.pmod("doc_id", F.lit(8)) == 7, F.lit("10-K")).otherwise(F.lit("8-K"))
     return d.select(
         _ticker_of(F.col("doc_id")).alias("ticker"),
-        F.concat(F.lit("0000000000-24-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("id"),
+        F.concat(F.lit("0000000000-24-"), zero_padded("doc_id", 6)).alias("id"),
         date_text.alias("filing_date"), form.alias("form"),
         filing_text(F.col("doc_id"), F.col("text")).alias("full_filing_text"))
 
@@ -144,7 +146,7 @@ def answer_text(doc_id: Column, shape: Column, causal: Column, assoc: Column) ->
     return (F.when(shape == 0, obj)
             .when(shape == 1, F.concat(F.lit('Sure. {"a" oops} Here: {"causal": '), tf(causal),
                                        F.lit(', "assoc": "'), F.lower(yn(assoc)),
-                                       F.lit('", "cause": "x"} done')))
+                                       F.lit('", "cause": "x"} done'), F.lit("z" * 300)))
             .when(shape == 2, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
             .when(shape == 3, F.concat(F.lit("{'causal': '"), yn(causal), F.lit("', 'assoc': '"),
                                        yn(assoc), F.lit("'}")))
@@ -156,13 +158,13 @@ def answer_text(doc_id: Column, shape: Column, causal: Column, assoc: Column) ->
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw answers of two models for every labelled document:
+    """Raw answers of three models for every labelled document:
     ``model, event_id, ticker, ground_causal, ground_assoc, raw_answer``."""
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     yn = lambda v: F.when(v == 1, F.lit("Yes")).when(v == 0, F.lit("No")).otherwise(F.lit(""))
     x = lab.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     shift = F.when(F.col("model") == MODELS[0], F.lit(0)).otherwise(F.lit(3))
-    shape = F.pmod(F.col("doc_id") + shift, F.lit(6))
+    shape = F.when(F.col("model") == MODELS[2], F.lit(3)).otherwise(F.pmod(F.col("doc_id") + shift, F.lit(6)))
     pc = F.when(F.pmod("doc_id", F.lit(4)) == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
     pa = F.when(F.pmod("doc_id", F.lit(5)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))
     return x.select("model", F.col("doc_id").cast("string").alias("event_id"),
@@ -187,9 +189,9 @@ def filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accession(custkey: Column, orderdate: Column, orderkey: Column) -> Column:
-    return F.concat(F.lpad(custkey.cast("string"), 10, "0"), F.lit("-"),
+    return F.concat(zero_padded(custkey, 10), F.lit("-"),
                     F.date_format(orderdate, "yy"), F.lit("-"),
-                    F.lpad(orderkey.cast("string"), 6, "0"))
+                    zero_padded(orderkey, 6))
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,3 +204,17 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      F.col("o_orderkey")),
                        F.concat(F.lit("doc"), F.col("o_orderkey").cast("string"), F.lit(".htm")))
     return j.select(url.alias("url"), "html")
+
+
+def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily prices ``ticker, trade_date, adj_close`` over all order days:
+    ticker by customer, price = the day's largest order."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    return (o.groupBy(_ticker_of(F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("trade_date"))
+            .agg(F.max("o_totalprice").alias("adj_close")))
+
+
+def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event days ``ticker, event_date`` of the orders in progress: a part of the order days."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return o.select(_ticker_of(F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("event_date"))

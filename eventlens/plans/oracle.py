@@ -121,7 +121,7 @@ BARS = """bars AS (
          first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS BIGINT) AS volume,
          last(value ORDER BY ts, event_id) AS adj_close
-  FROM events WHERE isodow(ts) <= 5 GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2)"""
 
 
 def returns_ctes(src: str = "bars", name: str = "rets") -> str:
@@ -212,7 +212,7 @@ def filings_src() -> str:
     day = f"CAST(DATE '{B.NEWS_EPOCH}' + CAST((doc_id * 7) % {B.FILING_DAYS} AS INTEGER) AS DATE)"
     return f"""fil_src AS (
   SELECT doc_id, {ticker_of('doc_id')} AS ticker,
-         '0000000000-24-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS id,
+         '0000000000-24-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(6, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS id,
          CASE WHEN doc_id % 41 = 40 THEN 'n/a' ELSE CAST({day} AS VARCHAR) END AS filing_date_text,
          CASE WHEN doc_id % 8 = 7 THEN '10-K' ELSE '8-K' END AS form,
          {filing_raw_expr()} AS full_filing_text
@@ -237,18 +237,18 @@ def answers_ctes() -> str:
     obj = (f"""'{{"causal": "' || {yn('pc')} || '", "assoc": "' || {yn('pa')} || '", "cause": " demand ' """
            f"""|| CAST(doc_id AS VARCHAR) || ' ", "effect": "price"}}'""")
     raw = (f"CASE shape WHEN 0 THEN {obj} "
-           f"""WHEN 1 THEN 'Sure. {{"a" oops}} Here: {{"causal": ' || {tf('pc')} || ', "assoc": "' || lower({yn('pa')}) || '", "cause": "x"}} done' """
+           f"""WHEN 1 THEN 'Sure. {{"a" oops}} Here: {{"causal": ' || {tf('pc')} || ', "assoc": "' || lower({yn('pa')}) || '", "cause": "x"}} done' || repeat('z', 300) """
            f"WHEN 2 THEN {lit('```json' + chr(10))} || {obj} || {lit(chr(10) + '```')} "
            f"""WHEN 3 THEN '{{''causal'': ''' || {yn('pc')} || ''', ''assoc'': ''' || {yn('pa')} || '''}}' """
            f"""WHEN 4 THEN '{{"causal": "' || upper({yn('pc')}) || '", "assoc" : "' || lower({yn('pa')}) || '", "cause": "trunc' """
            f"""ELSE '{{"causal": ' || {tf('pc')} || ', "assoc": ' || {tf('pa')} || ', "cause": null}}' END""")
     return f"""ans_base AS (
-  SELECT l.doc_id, m.model, (l.doc_id + m.shift) % 6 AS shape,
+  SELECT l.doc_id, m.model, CASE WHEN m.model = 'm3' THEN 3 ELSE (l.doc_id + m.shift) % 6 END AS shape,
          CASE WHEN l.doc_id % 4 = 0 THEN 1 - l.quality ELSE l.quality END AS pc,
          CASE WHEN l.doc_id % 5 = 0 THEN 1 - l.toxic ELSE l.toxic END AS pa,
          CASE l.quality WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' ELSE '' END AS ground_causal,
          CASE l.toxic WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' ELSE '' END AS ground_assoc
-  FROM labels l CROSS JOIN (VALUES ('m1', 0), ('m2', 3)) AS m(model, shift)),
+  FROM labels l CROSS JOIN (VALUES ('m1', 0), ('m2', 3), ('m3', 0)) AS m(model, shift)),
 parsed AS (
   SELECT model, CAST(doc_id AS VARCHAR) AS event_id, {ticker_of('doc_id')} AS ticker,
          ground_causal, ground_assoc,
@@ -326,7 +326,7 @@ _A, _C, _K, _RAW = _bench_select()
 
 LATEST_IDX = """idx AS (
   SELECT CAST(o_custkey AS VARCHAR) AS cik, o_orderkey,
-         lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accession,
+         lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(10, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS accession,
          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date,
          'doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primary_document,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
@@ -347,9 +347,11 @@ ORACLE = {
   SELECT ticker, 'D0' AS horizon, cat_d0 AS category FROM rets UNION ALL
   SELECT ticker, 'D+1', cat_d1 FROM rets UNION ALL SELECT ticker, 'D+2', cat_d2 FROM rets)
 GROUP BY 1, 2, 3""",
-    "price_range_prune": w(BARS, news_ctes(), """bounds AS (SELECT ticker, min(published_date_utc) - 30 AS lo,
-  max(published_date_utc) + 30 AS hi FROM news GROUP BY ticker)""")
-    + "SELECT b.ticker, b.trade_date, round(b.adj_close, 6) AS adj_close FROM bars b JOIN bounds s "
+    "price_range_prune": w(f"""ord AS (SELECT *, {ticker_of('o_custkey')} AS ticker, CAST(o_orderdate AS DATE) AS day FROM orders)""",
+                           """obars AS (SELECT ticker, day AS trade_date, max(o_totalprice) AS adj_close FROM ord GROUP BY 1, 2)""",
+                           """bounds AS (SELECT ticker, min(day) - 30 AS lo, max(day) + 30 AS hi FROM ord
+  WHERE o_orderstatus = 'P' GROUP BY ticker)""")
+    + "SELECT b.ticker, b.trade_date, round(b.adj_close, 6) AS adj_close FROM obars b JOIN bounds s "
       "ON b.ticker = s.ticker WHERE b.trade_date >= s.lo AND b.trade_date < s.hi",
     "returns_from_raw_bars": w(BARS, """raw_bars AS (SELECT ticker,
   CASE WHEN ticker = 'ERROR' AND day(trade_date) = 15 THEN '2024-13-45' ELSE CAST(trade_date AS VARCHAR) END AS date_text,
@@ -420,9 +422,9 @@ FROM orders GROUP BY 1""",
     "row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for t in B.TABLES),
     "first_rows": "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 10",
-    "schema_guard": w(*NEWS_ALIGNED) + "SELECT news_id AS event_id, cat_d1 AS reaction, '' AS ground_causal FROM aligned",
+    "schema_guard": w(*NEWS_ALIGNED) + "SELECT news_id AS event_id, round(ret_pct_d1, 6) AS ret_pct_d1, cat_d1 AS reaction, '' AS ground_causal FROM aligned",
     "sql_functions": w(BARS, returns_ctes()) + f"""SELECT ticker, trade_date, {cat('ret_pct_d1')} AS cat_d1,
-  ticker || ' ' || CAST(trade_date AS VARCHAR) AS label, true AS flagged FROM rets""",
+  ticker || ' ' || CAST(trade_date AS VARCHAR) AS label, day(trade_date) % 2 = 0 AS flagged FROM rets""",
 }
 ORACLE["sql_clean_text"] = ORACLE["clean_text"]
 # CSV writes empty strings and nulls alike, so empty labels read back as null
@@ -468,5 +470,21 @@ ORACLE["html_text"] = "WITH " + PAGE_TEXT + "\nSELECT page_id, text FROM page_te
 ORACLE["filings_with_text"] = "WITH " + LATEST_IDX + ",\n" + PAGE_TEXT + """
 SELECT l.html_url, l.id, l.filing_date, l.cik, l.rank, t.text AS full_filing_text
 FROM latest l LEFT JOIN page_text t ON t.page_id = l.o_orderkey"""
-# The HTML parser on markup-free text yields the trimmed text without blank lines.
+# JSON Lines and CSV hand-overs change nothing but empty labels.
+ORACLE["align_job"] = ORACLE["align_all_tickers"]
+ORACLE["score_from_files"] = ORACLE["score_models"]
+ORACLE["convert_job"] = ORACLE["convert_columns"]
+ORACLE["annotate_job"] = ORACLE["csv_roundtrip"]
+ORACLE["benchmark_labelled"] = w(*NEWS_ALIGNED) + f"""SELECT 'keyword' AS model, a.news_id AS event_id, a.ticker,
+  coalesce(CASE l.quality WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END, '') AS ground_causal,
+  coalesce(CASE l.toxic WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END, '') AS ground_assoc,
+  {_C} AS causal_llm_pred, {_A} AS assoc_llm_pred, coalesce(cat_d1, 'N/A') AS effect_llm_pred
+FROM aligned a LEFT JOIN labels l ON a.news_id = CAST(l.doc_id AS VARCHAR)"""
+ORACLE["landed_articles"] = f"""SELECT CAST(doc_id AS VARCHAR) AS news_id, {ticker_of('doc_id')} AS ticker,
+  '<b>' || source || '</b> report ' || CAST(doc_id AS VARCHAR) AS title,
+  CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 37 = 36 THEN 'not a date'
+       ELSE CAST(CAST(DATE '{B.NEWS_EPOCH}' + CAST(doc_id % {B.NEWS_DAYS} AS INTEGER) AS DATE) AS VARCHAR)
+            || CASE WHEN doc_id % 2 = 0 THEN 'T10:00:00.000Z' ELSE 'T10:00:00Z' END END AS published
+FROM documents"""
+# Out of its document root, without the dropped parts, the parser gets the filing's own text.
 ORACLE["filing_events_html"] = ORACLE["filing_events"]

@@ -5,20 +5,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.answers import build_prompt, keep_raw, parse_answer
 from eventlens.functions.dates import published_at_utc, to_date_or_null
 from eventlens.operators.align import align_events
 from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.guards import optional_col
-from eventlens.operators.labels import union_events
+from eventlens.operators.labels import annotation_sheet, union_events
 from eventlens.operators.metrics import score
 from eventlens.operators.news import preprocess_news
 from eventlens.operators.predict import PredictorFactory, run_predictors
 from eventlens.operators.returns import prune_prices, returns_table
 from eventlens.plans.sizing import sized_side
+from eventlens.session import materialize
+from eventlens.sources import readers, writers
 
 
 def event_dates(news_raw: DataFrame | None, filings_raw: DataFrame | None) -> DataFrame:
@@ -46,12 +49,13 @@ def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
     ``{"news": ..., "filings": ...}``."""
     returns = None
     if prune:
-        dates = event_dates(news_raw, filings_raw)
+        # one pass over the raw events: their distinct days give the window too
+        dates = materialize(event_dates(news_raw, filings_raw).where("event_date is not null").distinct())
         prices = prune_prices(prices, dates, "event_date", strategy=strategy)
         # returns are computed on the pruned daily series, then only the rows
         # of actual event days are kept: the side to broadcast is bounded by
         # the distinct (ticker, event day) pairs
-        keys = dates.select("ticker", F.col("event_date").alias("trade_date")).distinct()
+        keys = dates.select("ticker", F.col("event_date").alias("trade_date"))
         returns = returns_table(prices).join(keys, ["ticker", "trade_date"], "left_semi")
     # sized (and materialised) once, shared by both joins
     returns = sized_side(returns if returns is not None else returns_table(prices),
@@ -81,17 +85,23 @@ def benchmark_events(aligned: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def run_benchmark(events: DataFrame, predictors: Mapping[str, PredictorFactory],
-                  unwrap_fences: bool = False) -> DataFrame:
+                  unwrap_fences: bool = False, missing_reaction: str | None = None) -> DataFrame:
     """Prompt (F17) -> predictors (G1) -> parsed answers.
     Ground labels come from ``causal_label``/``assoc_label`` when present
-    (missing column -> ``''``, P11); the reaction from ``cat_d1``
-    (missing column -> ``N/A``)."""
+    (missing column -> ``''``, P11); the reaction from ``cat_d1`` or
+    ``cat_D+1``. A table with neither is refused, as every prompt would be
+    wrong without a word; ``missing_reaction`` (such as ``N/A``) allows it.
+    The prompt is built only for predictors that read it."""
+    reaction = next((c for c in ("cat_d1", "cat_D+1") if c in events.columns), None)
+    if reaction is None and missing_reaction is None:
+        raise ValueError("no reaction column: cat_d1 or cat_D+1")
     ev = events.select(
         "event_id", "ticker", "event_text",
-        optional_col(events, "cat_d1", "N/A").alias("reaction"),
+        (F.col(f"`{reaction}`") if reaction else F.lit(missing_reaction)).alias("reaction"),
         optional_col(events, "causal_label", "").alias("ground_causal"),
         optional_col(events, "assoc_label", "").alias("ground_assoc"))
-    ev = ev.withColumn("prompt", build_prompt("event_text", "reaction"))
+    if any(getattr(f, "needs_prompt", True) for f in predictors.values()):
+        ev = ev.withColumn("prompt", build_prompt("event_text", "reaction"))
     raw = run_predictors(ev, predictors, "raw_answer")
     return results_from_answers(raw, unwrap_fences)
 
@@ -106,6 +116,28 @@ def results_from_answers(raw: DataFrame, unwrap_fences: bool = False) -> DataFra
         keep_raw("raw_answer").alias("raw_llm"))
 
 
+def annotate(spark: SparkSession, jsonl_path: str, schema: T.StructType, csv_path: str) -> None:
+    """T5: an aligned table as JSON Lines -> the sheet for annotators as CSV."""
+    writers.write_csv(annotation_sheet(readers.read_jsonl(spark, jsonl_path, schema)), csv_path)
+
+
+def convert(spark: SparkSession, csv_path: str, schema: T.StructType, jsonl_path: str,
+            field_map: Mapping[str, str]) -> None:
+    """K4: an annotated CSV -> JSON Lines with the mapped columns."""
+    writers.write_jsonl(writers.convert_columns(readers.read_csv(spark, csv_path, schema), field_map),
+                        jsonl_path, skip_empty=False)
+
+
+def align_and_save(news_raw: DataFrame | None, filings_raw: DataFrame | None, prices: DataFrame,
+                   out_dir: str, **options) -> dict[str, DataFrame]:
+    """T8 to its end: align every ticker and save each source as JSON Lines
+    under ``out_dir`` (``news``, ``filings``); an empty source writes nothing."""
+    aligned = align_pipeline(news_raw, filings_raw, prices, **options)
+    for source, df in aligned.items():
+        writers.write_jsonl(df, f"{out_dir.rstrip('/')}/{source}")
+    return aligned
+
+
 def evaluate(results: DataFrame) -> DataFrame:
     """T7 over a result table."""
     return score(results)

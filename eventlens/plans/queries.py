@@ -19,27 +19,28 @@ from eventlens.functions.answers import build_prompt
 from eventlens.functions.dates import iso_date, iso_timestamp
 from eventlens.functions.sections import item_8k, mdna, relevant_section
 from eventlens.functions.sql import register_sql_functions
-from eventlens.functions.text import (NEWS_LIMITS, clean_and_truncate, drop_blank_lines,
-                                      first_sentences, remove_boilerplate, strip_tags,
-                                      truncate_text)
-from eventlens.operators.align import align_events, empty_returns, to_wide
+from eventlens.functions.text import (NEWS_LIMITS, drop_blank_lines, first_sentences,
+                                      remove_boilerplate, strip_tags, truncate_text,
+                                      with_clean_text)
+from eventlens.operators.align import align_events, empty_returns, prefix_columns, to_wide
 from eventlens.operators.filings import filings_with_text as t9_filings_with_text
 from eventlens.operators.filings import latest_filings as s5_latest_filings
 from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.guards import nan_to_null, optional_col
 from eventlens.operators.html import html_to_text
+from eventlens.operators.labels import LABEL_COLUMNS, standardise, union_events
 from eventlens.operators.labels import annotation_sheet as t5_annotation_sheet
 from eventlens.operators.metrics import report, score
 from eventlens.operators.news import preprocess_news
 from eventlens.operators.predict import keyword_predictor
 from eventlens.operators.returns import prune_prices, returns_table
 from eventlens.plans import bindings as B
-from eventlens.plans.pipeline import (align_pipeline, benchmark_events, results_from_answers,
-                                      run_benchmark)
+from eventlens.plans.pipeline import (align_and_save, align_pipeline, annotate, benchmark_events,
+                                      convert, results_from_answers, run_benchmark)
 from eventlens.plans.sizing import sized_side
-from eventlens.session import scratch_path
+from eventlens.session import materialize, scratch_path
 from eventlens.sources import readers, writers
-from eventlens.schemas import RESULTS
+from eventlens.schemas import RAW_NEWS
 
 RETURN_OUT = ("adj_close", "ret_pct_d0", "cat_d0", "ret_pct_d1", "cat_d1", "ret_pct_d2", "cat_d2")
 
@@ -66,7 +67,8 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
 
 def _aligned_news(spark: SparkSession, d: str) -> DataFrame:
     news = _news(spark, d).withColumnRenamed("published_date_utc", "event_date")
-    return align_events(news, _returns(spark, d), "event_date")
+    # only the columns used below are materialised with the returns side
+    return align_events(news, returns_table(B.bars(spark, d), keep_bars=False), "event_date")
 
 
 # ---------------------------------------------------------------- returns
@@ -82,13 +84,13 @@ def return_categories(spark, d):
 
 
 def price_range_prune(spark, d):
-    news = _news(spark, d).select("ticker", F.col("published_date_utc").alias("event_date"))
-    return r6(prune_prices(B.bars(spark, d), news, "event_date")
+    """A1: daily prices over all order days, kept around the orders in progress."""
+    return r6(prune_prices(B.order_bars(spark, d), B.open_orders(spark, d), "event_date")
               .select("ticker", "trade_date", "adj_close"))
 
 
 def returns_from_raw_bars(spark, d):
-    """T3 from string-typed bars with download headers and some bad values."""
+    """S7/T3 from a landed price CSV with download headers and some bad values."""
     b = B.bars(spark, d)
     bad_day = F.dayofmonth("trade_date") == 15
     raw = b.select(
@@ -100,10 +102,9 @@ def returns_from_raw_bars(spark, d):
         F.when(F.dayofmonth("trade_date") == 10, F.lit("n/a"))
         .otherwise(F.col("adj_close").cast("string")).alias("Adj Close"),
         F.col("volume").cast("string").alias("Volume"))
-    prices = readers.normalise_prices(raw.withColumnsRenamed(
-        {"Date": "trade_date", "Open": "open", "High": "high", "Low": "low", "Close": "close",
-         "Adj Close": "adj_close", "Volume": "volume"}))
-    return r6(returns_table(prices))
+    path = scratch_path(spark, "prices")
+    writers.write_csv(raw, path)
+    return r6(returns_table(readers.read_prices(spark, path, "csv")))
 
 
 # ---------------------------------------------------------------- alignment
@@ -169,7 +170,7 @@ def truncate_text_q(spark, d):
 
 def clean_text(spark, d):
     t = B.table(spark, d, "documents", ("doc_id", "text"))
-    return t.select("doc_id", clean_and_truncate("text", *NEWS_LIMITS).alias("cleaned"))
+    return with_clean_text(t, "text", "cleaned", *NEWS_LIMITS).select("doc_id", "cleaned")
 
 
 # ---------------------------------------------------------------- news
@@ -223,8 +224,15 @@ def filings_with_text(spark, d):
 
 
 def filing_events_html(spark, d):
-    """T2 with the HTML parser on the composed (markup-free) filings."""
-    f = preprocess_filings(B.filings_raw(spark, d), F.col("form"), text_mode="html")
+    """T2 with the HTML parser: the composed filings inside a document root,
+    beside a title, a script and a table that the parser must drop."""
+    plain = F.col("full_filing_text")
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        plain = F.replace(plain, F.lit(c), F.lit(entity))
+    page = F.concat(F.lit("<html><head><title>Item 2.02 title</title></head><body><p>outside</p><document>"
+                          "<script>Item 5.02 code</script><table><tr><td>Item 2.02 due to cells</td></tr></table><p>"),
+                    plain, F.lit("</p></document></body></html>"))
+    f = preprocess_filings(B.filings_raw(spark, d).withColumn("full_filing_text", page), F.col("form"), text_mode="html")
     return f.select("filing_id", "ticker", "filing_date", "item_text", "has_causal_keyword")
 
 
@@ -285,6 +293,90 @@ def benchmark_end_to_end(spark, d):
                                            "raw_llm")
 
 
+def benchmark_labelled(spark, d):
+    """P5/T6 as the benchmark is run: one labelled JSON Lines file per ticker
+    with ticker-prefixed columns, read back, standardised and predicted."""
+    lab = B.table(spark, d, "labels").select(
+        F.col("doc_id").cast("string").alias("news_id"),
+        F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("causal_label"),
+        F.when(F.col("toxic") == 1, "Yes").when(F.col("toxic") == 0, "No").alias("assoc_label"))
+    a = materialize(_aligned_news(spark, d).join(sized_side(lab), "news_id", "left").select(
+        "news_id", "ticker", "event_date", "summary", *RETURN_OUT,
+        F.coalesce("causal_label", F.lit("")).alias("causal_label"),
+        F.coalesce("assoc_label", F.lit("")).alias("assoc_label")))
+    frames = []
+    for t in B.TICKERS:
+        own = prefix_columns(a.where(F.col("ticker") == t).drop("ticker"), t, RETURN_OUT)
+        path = scratch_path(spark, f"labelled-{t}")
+        writers.write_jsonl(own, path)
+        frames.append(standardise(readers.read_jsonl(spark, path, own.schema), t, "news_id", "summary"))
+    res = run_benchmark(union_events(frames), {"keyword": keyword_predictor()})
+    return res.select("model", "event_id", "ticker", "ground_causal", "ground_assoc", "causal_llm_pred",
+                      "assoc_llm_pred", "effect_llm_pred")
+
+
+def annotate_job(spark, d):
+    """T5 whole: aligned JSON Lines in, annotation sheet out as CSV, read back."""
+    a = _aligned_news(spark, d).select("news_id", "ticker", "event_date", "cat_d1", "summary")
+    src, out = scratch_path(spark, "annotate-in"), scratch_path(spark, "annotate-out")
+    writers.write_jsonl(a, src)
+    annotate(spark, src, a.schema, out)
+    sheet = T.StructType(a.schema.fields + [T.StructField(c, T.StringType()) for c in LABEL_COLUMNS])
+    return readers.read_csv(spark, out, sheet)
+
+
+def convert_job(spark, d):
+    """K4 whole: annotated CSV in, JSON Lines with the mapped columns out, read back."""
+    res = results_from_answers(B.answers(spark, d)).select("model", "event_id", "raw_llm", "ground_causal",
+                                                           "cause_llm_pred", "effect_llm_pred")
+    src, out = scratch_path(spark, "convert-in"), scratch_path(spark, "convert-out")
+    writers.write_csv(res, src)
+    names = {"model": "model", "event_id": "event_id", "raw_llm": "event", "ground_causal": "ground_causal",
+             "cause_llm_pred": "ground_cause", "effect_llm_pred": "ground_effect"}
+    convert(spark, src, res.schema, out, names)
+    return readers.read_jsonl(spark, out, T.StructType([T.StructField(k, T.StringType()) for k in names.values()]))
+
+
+def align_job(spark, d):
+    """T8 to its save step (K1): align every ticker, save each source as JSON
+    Lines, and read both back."""
+    out = scratch_path(spark, "align-job")
+    aligned = align_and_save(B.news_raw(spark, d), B.filings_raw(spark, d), B.bars(spark, d), out,
+                             filing_form=F.col("form"), filing_text_mode="plain")
+    parts = []
+    for source, key in (("news", "news_id"), ("filings", "filing_id")):
+        back = readers.read_jsonl(spark, f"{out}/{source}", aligned[source].schema)
+        parts.append(back.select(F.lit(source).alias("source"), F.col(key).alias("event_id"), "ticker",
+                                 iso_date("event_date").alias("event_date"), "has_causal_keyword",
+                                 "cat_d0", "cat_d1", "cat_d2"))
+    return parts[0].unionByName(parts[1])
+
+
+def score_from_files(spark, d):
+    """K5 -> S4 -> T7: results written by model, read back, scored."""
+    path = scratch_path(spark, "results")
+    writers.write_results(results_from_answers(B.answers(spark, d)), path)
+    return r6(score(readers.read_results(spark, path)))
+
+
+def landed_articles(spark, d):
+    """Landed JSON-array files of articles, where every 29th article has a
+    plain string as its publication time; only that article loses its time."""
+    raw = B.news_raw(spark, d)
+    odd = F.pmod(F.col("articlesId").cast("long"), F.lit(29)) == 0
+    rest = F.to_json(F.struct("articlesId", "articlesName", "articlesDescription", "ticker"))
+    time = F.when(odd, F.to_json(F.struct(F.col("publishedAt.date").alias("publishedAt")))) \
+        .otherwise(F.to_json(F.struct("publishedAt")))
+    # one array per article: joined objects, as the landing step writes them
+    line = F.concat(F.lit("["), F.regexp_replace(time, r"\}$", ","), F.substring(rest, 2, 10_000_000), F.lit("]"))
+    path = scratch_path(spark, "landing-arrays")
+    raw.select(line.alias("value")).write.text(path)
+    schema = T.StructType(RAW_NEWS.fields + [T.StructField("ticker", T.StringType())])
+    back = readers.read_json_array(spark, path, schema, multi_line=False)
+    return back.select(F.col("articlesId").alias("news_id"), "ticker", F.col("articlesName").alias("title"),
+                       F.col("publishedAt.date").alias("published"))
+
+
 def score_report(spark, d):
     return report(score(results_from_answers(B.answers(spark, d))))
 
@@ -301,6 +393,7 @@ def convert_columns(spark, d):
 def jsonl_roundtrip(spark, d):
     a = _aligned_news(spark, d).select("news_id", "ticker", "event_date", "has_causal_keyword",
                                        *RETURN_OUT)
+    a = a.withColumn("ret_pct_d2", F.coalesce("ret_pct_d2", F.lit(float("nan"))))  # P12: written as null
     path = scratch_path(spark, "jsonl")
     writers.write_jsonl(a, path)
     back = readers.read_jsonl(spark, path, a.schema)
@@ -319,20 +412,16 @@ def results_glob(spark, d):
     res = results_from_answers(B.answers(spark, d))
     path = scratch_path(spark, "results")
     writers.write_results(res, path)
-    schema = T.StructType([f for f in RESULTS.fields if f.name != "model"])
-    # partition discovery adds ``model`` back from the folder names
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
-        .schema(T.StructType(schema.fields + [T.StructField("model", T.StringType())])).csv(path)
-    return back.select("model", "event_id", "ground_causal", "causal_llm_pred", "assoc_llm_pred",
+    return readers.read_results(spark, path).select("model", "event_id", "ground_causal", "causal_llm_pred", "assoc_llm_pred",
                        "raw_llm")
 
 
 def landing_roundtrip(spark, d):
-    """K3 + S6/U2: land the news as pages of 20 articles, scan all pages back
+    """K3 + S6/U2: land the news as pages, scan all pages back
     in one read, preprocess (T1)."""
     from eventlens.sources.landing import land_news
     path = scratch_path(spark, "landing")
-    land_news(B.news_raw(spark, d).withColumn("_k", F.col("articlesId").cast("long")), path, "_k")
+    land_news(B.news_raw(spark, d), path)
     back = readers.read_news_pages(spark, path, multi_line=False)
     n = preprocess_news(back)
     return n.select("news_id", iso_timestamp("published_datetime_utc").alias("published_datetime_utc"),
@@ -346,7 +435,7 @@ def stream_news_events(spark, d):
     from eventlens.sources.landing import land_news
     from eventlens.streaming.news import aligned_news_stream, start
     landing, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    land_news(B.news_raw(spark, d).withColumn("_k", F.col("articlesId").cast("long")), landing, "_k")
+    land_news(B.news_raw(spark, d), landing)
     returns = sized_side(_returns(spark, d))
     start(aligned_news_stream(spark, landing, returns, strategy="prepared"), out).awaitTermination()
     a = spark.read.parquet(out)
@@ -378,10 +467,15 @@ def first_rows(spark, d):
 
 
 def schema_guard(spark, d):
-    a = nan_to_null(_aligned_news(spark, d))
-    return a.select(F.col("news_id").alias("event_id"),
+    a = _aligned_news(spark, d).withColumn("ret_pct_d1", F.coalesce("ret_pct_d1", F.lit(float("nan"))))
+    a = nan_to_null(a)
+    good = a.select(F.col("news_id").alias("event_id"), F.round("ret_pct_d1", 6).alias("ret_pct_d1"),
                     optional_col(a, "cat_d1", "N/A").alias("reaction"),
                     optional_col(a, "causal_label", "").alias("ground_causal"))
+    # A table without a required column gives no rows, in the full schema
+    bad = preprocess_news(B.news_raw(spark, d).drop("articlesName"))
+    return good.unionByName(bad.select(F.col("news_id").alias("event_id"), F.lit(0.0).alias("ret_pct_d1"),
+                                       F.col("title").alias("reaction"), F.col("summary").alias("ground_causal")))
 
 
 def sql_functions(spark, d):
@@ -392,7 +486,7 @@ def sql_functions(spark, d):
         SELECT ticker, trade_date,
                categorize_return(ret_pct_d1) AS cat_d1,
                strip_tags(concat('<i>', ticker, '</i> ', cast(trade_date AS string))) AS label,
-               has_causal_keyword(concat('moved due to ', ticker)) AS flagged
+               has_causal_keyword(concat('moved ', if(dayofmonth(trade_date) % 2 = 0, 'due to ', 'with '), ticker)) AS flagged
         FROM {name}""")
 
 
@@ -437,6 +531,12 @@ QUERIES = {
     "score_models": score_models,
     "benchmark_end_to_end": benchmark_end_to_end,
     "score_report": score_report,
+    "benchmark_labelled": benchmark_labelled,
+    "annotate_job": annotate_job,
+    "convert_job": convert_job,
+    "align_job": align_job,
+    "score_from_files": score_from_files,
+    "landed_articles": landed_articles,
     "convert_columns": convert_columns,
     "jsonl_roundtrip": jsonl_roundtrip,
     "csv_roundtrip": csv_roundtrip,

@@ -1,12 +1,12 @@
-"""Join-side sizing: broadcast only behind a measured, bounded row count.
+"""Join-side sizing: broadcast only behind a measured size.
 
 The small side of the event joins (the returns table, per-ticker bounds) is an
 aggregate whose size is bounded by (tickers x trading days), not by the event
 volume. We still never assume it: the side is materialised once in the shared
-checkpoint folder (which also cuts its lineage), then a bounded probe over at
-most ``max_rows + 1`` rows measures its row count and approximate bytes and
-decides between a broadcast hash join and a shuffle join (where AQE may still
-split skewed partitions).
+checkpoint folder (which also cuts its lineage), its rows and bytes are added
+up by one partial aggregation over it, and it is broadcast only under both
+bounds. Beyond them the same join runs as a shuffle join, where AQE splits
+skewed partitions.
 """
 
 from __future__ import annotations
@@ -27,25 +27,21 @@ DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def _row_bytes(df: DataFrame) -> F.Column:
-    """Approximate in-memory size of a row: string/binary bytes + 8 per field."""
+    """Approximate in-memory size of a row: 8 per field, and the bytes of
+    texts and of nested values (as JSON)."""
     parts = [F.lit(8 * len(df.columns))]
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
     return reduce(lambda a, b: a + b, parts)
 
 
-def bounded_count(df: DataFrame, max_rows: int) -> int:
-    """Row count capped at ``max_rows + 1``: each task stops after that many
-    rows (a local limit), so the probe is cheap when the side is small and at
-    most one pass over the materialised side when it is not."""
-    return df.limit(max_rows + 1).count()
-
-
-def bounded_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
-    """``(rows, approximate bytes)`` of at most ``max_rows + 1`` rows."""
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum(_row_bytes(df)).alias("b")).first()
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """``(rows, approximate bytes)``; tasks send one partial sum each."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
     return int(r["n"]), int(r["b"] or 0)
 
 
@@ -53,45 +49,26 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                strategy: str = "auto", max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Prepare the small side of a join.
 
-    ``auto``: materialise, measure rows and bytes (bounded), broadcast when
-    both fit; ``broadcast``/``shuffle``: force a strategy (no action is run);
-    ``prepared``: ``df`` already went through ``sized_side`` (it keeps its
-    broadcast hint), use it as is.
+    ``auto``: materialise, measure rows and bytes, broadcast when both fit;
+    ``shuffle``: never broadcast (no action is run); ``prepared``: ``df``
+    already went through ``sized_side`` (it keeps its broadcast hint), use it
+    as is. Project the side before: what is not needed is stored all the same.
     """
-    if strategy == "broadcast":
-        return F.broadcast(df)
     if strategy in ("shuffle", "prepared"):
         return df
     if strategy != "auto":
         raise ValueError(f"unknown join strategy {strategy!r}")
     side = materialize(df)
-    rows, size = bounded_size(side, max_rows)
+    rows, size = measured_size(side)
     if rows <= max_rows and size <= max_bytes:
         return F.broadcast(side)
     return side
 
 
-# Scans with at most this many splits count as "tiny": rebalancing them moves
-# at most a few row groups. Larger scans are never repartitioned here, whatever
-# the cluster size (a 4,000-split table on an 8,000-core cluster is left alone).
-MAX_REBALANCED_SPLITS = 64
-
-
-def balance(df: DataFrame, key: str, min_partitions: int | None = None,
-            max_splits: int = MAX_REBALANCED_SPLITS) -> DataFrame:
-    """Spread a tiny text-heavy scan over the cluster.
-
-    A small file with one row group is one scan task, so all per-row text
-    work would run on one core. If the scan has at most ``max_splits``
-    splits and fewer than the cluster's parallelism, hash-repartition on
-    ``key`` (deterministic, so a retried task after executor loss gets the
-    same rows). Any larger scan is returned as is: no shuffle of a large
-    corpus is ever added. Only planning is done here, no job runs."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the scan as is
-        return df
-    if splits >= target or splits > max_splits:
-        return df
-    return df.repartition(target, key)
+def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread a text-heavy scan that has fewer splits than the cluster has
+    cores: hash-repartitioned on ``key`` (deterministic, so a retried task
+    after executor loss gets the same rows). A scan with a split per core is
+    returned as is. Only planning is done here, no job runs."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target, key) if df.rdd.getNumPartitions() < target else df

@@ -34,28 +34,15 @@ NEWS_PAGE = T.StructType([
 FILING_INDEX = T.StructType([T.StructField("cik", T.StringType())] + [
     T.StructField(c, T.ArrayType(T.StringType()))
     for c in ("accessionNumber", "form", "filingDate", "primaryDocument")])
-PAGES = _struct("url string, html string")
-PRICES = _struct(
-    "ticker string, trade_date date, open double, high double, low double, close double, "
-    "adj_close double, volume bigint")
-RETURNS = _struct(
-    "ticker string, trade_date date, adj_close double, ret_pct_d0 double, cat_d0 string, "
-    "ret_pct_d1 double, cat_d1 string, ret_pct_d2 double, cat_d2 string")
 NEWS_EVENTS = _struct(
     "news_id string, published_datetime_utc timestamp, published_date_utc date, "
     "title string, summary string, has_causal_keyword boolean")
 FILING_EVENTS = _struct(
     "filing_id string, filing_date date, item_text string, has_causal_keyword boolean")
-BENCH_EVENTS = _struct(
-    "event_id string, ticker string, event_text string, cat_d1 string, "
-    "causal_label string, assoc_label string")
 RESULTS = _struct(
     "model string, event_id string, ticker string, ground_causal string, ground_assoc string, "
     "causal_llm_pred string, assoc_llm_pred string, cause_llm_pred string, "
     "effect_llm_pred string, raw_llm string")
-METRICS = _struct(
-    "model string, target string, n_valid bigint, accuracy double, precision double, "
-    "recall double, f1 double")
 MACRO = _struct("date date, CPIAUCSL double")
 
 NEWS_REQUIRED = ("articlesId", "publishedAt", "articlesName", "articlesDescription")

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 
 from eventlens.sources.writers import write_landing
 
-PAGE_SIZE = 20  # fixed value: articles per landed page
 
+def to_pages(articles: DataFrame) -> DataFrame:
+    """Each article as a page of its own: no key, no grouping, no shuffle.
+    Readers explode pages, so their size makes no difference to them."""
+    return articles.select(F.array(F.struct(*[f"`{c}`" for c in articles.columns])).alias("articles"),
+                           F.lit(None).cast("int").alias("allPages"))
 
-def to_pages(articles: DataFrame, order_key: str, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Group articles into pages of at most ``page_size`` by an integer key
-    (``key div page_size``), so every page is a bounded group."""
-    key = F.col(order_key).cast("long")
-    cols = articles.columns
-    return (articles.groupBy(F.floor(key / page_size).alias("page"))
-            .agg(F.collect_list(F.struct(*cols)).alias("articles"))
-            .select("articles", F.lit(None).cast("int").alias("allPages")))
 
-
-def land_news(articles: DataFrame, path: str, order_key: str) -> None:
-    write_landing(to_pages(articles, order_key), path)
+def land_news(articles: DataFrame, path: str) -> None:
+    write_landing(to_pages(articles), path)

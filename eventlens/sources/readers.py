@@ -1,10 +1,11 @@
-"""Scans (S1-S4, S6-S8). Every reader takes a declared schema; nothing is
-inferred. Missing inputs give an empty DataFrame with that schema (the
+"""Scans (S1-S4, S6-S8). Every reader declares its schema or coerces every column
+(prices); nothing is inferred. Missing inputs give an empty DataFrame with that schema (the
 reference logs and returns an empty frame)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,33 @@ def _or_empty(spark: SparkSession, schema: T.StructType, read: Callable[[], Data
         raise
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Landing files holding one JSON array of objects each. Malformed
-    files are dropped (not turned into a row of nulls)."""
-    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("multiLine", True)
-                     .option("mode", "DROPMALFORMED").json(path))
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Landing files holding one JSON array of objects each (with
+    ``multi_line=False`` one array per line, so files are split). A record with
+    a field of another type keeps its other fields; only a file that is no
+    JSON at all is dropped (:func:`broken_files` names these)."""
+    df = _permissive(spark, path, schema, multi_line)
+    return df.where(~_nothing_read(schema)).drop(CORRUPT)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _permissive(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    return _or_empty(spark, wide, lambda: spark.read.schema(wide).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+                   .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def _nothing_read(schema: T.StructType) -> F.Column:
+    none = reduce(lambda a, b: a & b, [F.col(f"`{f.name}`").isNull() for f in schema.fields])
+    return F.col(CORRUPT).isNotNull() & none
+
+
+def broken_files(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """``file``: the landing files that :func:`read_json_array` drops."""
+    df = _permissive(spark, path, schema, multi_line)
+    return df.where(_nothing_read(schema)).select(F.input_file_name().alias("file"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -44,22 +67,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return _or_empty(spark, schema, lambda: spark.read.schema(schema).json(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: CSV with a header and quoted multi-line text."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """S3: CSV with a header and quoted text. With line ends inside quotes
+    (``multi_line``) a file is one task; without them large files are split."""
     return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("header", True)
-                     .option("multiLine", True).option("escape", '"').csv(path))
+                     .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def read_results(spark: SparkSession, directory: str,
                  schema: T.StructType = RESULTS) -> DataFrame:
-    """Every ``*_benchmark.csv`` in a folder in one scan; the model name is
-    the file name without the suffix. Empty files contribute no rows."""
+    """Every ``*_benchmark.csv`` in a folder (the model name is the file
+    name without the suffix), and every ``model=<name>/`` folder as
+    :func:`eventlens.sources.writers.write_results` lays them out. Empty files
+    contribute no rows."""
     file_schema = T.StructType([f for f in schema.fields if f.name != "model"])
     df = _or_empty(spark, file_schema, lambda: (
         spark.read.schema(file_schema).option("header", True).option("multiLine", True)
         .option("escape", '"').option("pathGlobFilter", f"*{RESULTS_SUFFIX}").csv(directory)))
     model = F.regexp_replace(F.col("_metadata.file_name"), r"_benchmark\.csv$", "")
-    return df.select(model.alias("model"), *[f.name for f in file_schema.fields])
+    files = df.select(model.alias("model"), *[f.name for f in file_schema.fields])
+    by_folder = T.StructType(file_schema.fields + [T.StructField("model", T.StringType())])
+    folders = _or_empty(spark, by_folder, lambda: (
+        spark.read.schema(by_folder).option("header", True).option("multiLine", True).option("escape", '"')
+        .option("basePath", directory).csv(f"{directory.rstrip('/')}/model=*")))
+    return files.unionByName(folders)
 
 
 def read_news_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

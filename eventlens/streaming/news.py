@@ -5,8 +5,8 @@ are row-wise, so the batch functions apply unchanged to a streaming
 DataFrame. Alignment (J1) is a stream-static left join against a
 materialised returns table; returns themselves need a batch window
 (row offsets), so they are recomputed in batch when new prices land.
-Sinks use a checkpoint folder under the shared ``spark.checkpoint.dir``
-so a restarted query resumes exactly where it stopped.
+A sink's checkpoint folder is bound to its output path, so a query that is
+started again resumes exactly where it stopped.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from eventlens.operators.align import align_events
 from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.news import preprocess_news
 from eventlens.schemas import NEWS_PAGE, RAW_FILINGS, RAW_NEWS
-from eventlens.session import scratch_path
 
 MAX_FILES_PER_TRIGGER = 1000
 
@@ -72,11 +71,17 @@ def filings_stream(spark: SparkSession, landing_dir: str, form="8-K", text_mode:
     return preprocess_filings(raw, form, text_mode)
 
 
+def checkpoint_of(out_path: str) -> str:
+    """Checkpoint folder inside the output folder (readers skip names with an
+    underscore): the sink's log and the query's progress stay together."""
+    return f"{out_path.rstrip('/')}/_checkpoint"
+
+
 def start(df: DataFrame, out_path: str, checkpoint: str | None = None, fmt: str = "parquet",
           available_now: bool = True) -> StreamingQuery:
     """Append the stream to ``out_path``; ``available_now`` processes what
     has landed and stops (otherwise a 1-minute processing-time trigger)."""
     w = (df.writeStream.format(fmt).outputMode("append").option("path", out_path)
-         .option("checkpointLocation", checkpoint or scratch_path(df.sparkSession, "stream-ckpt")))
+         .option("checkpointLocation", checkpoint or checkpoint_of(out_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -18,7 +18,7 @@ def test_standardise_and_union(spark):
                               "filing_id string, item_text string, `AAPL_adj_close` double, `AAPL_cat_D+1` string")
     t = spark.createDataFrame([("n1", "sum", "x")], "news_id string, summary string, title string")
     sa, st = standardise(a, "AAPL", "filing_id", "item_text"), standardise(t, "TSLA", "news_id", "summary")
-    assert sa.columns == ["ticker", "event_id", "event_text", "adj_close", "cat_D+1"]
+    assert sa.columns == ["ticker", "event_id", "event_text", "adj_close", "cat_d1"]
     u = union_events([st, sa]).collect()
     assert len(u) == 2 and {r.ticker for r in u} == {"AAPL", "TSLA"}
     assert [r for r in u if r.ticker == "TSLA"][0]["adj_close"] is None

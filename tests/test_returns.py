@@ -55,7 +55,7 @@ def test_alignment_cases(spark):
     ev = spark.createDataFrame(
         [("e1", "A", D(2024, 1, 6)), ("e2", "A", D(2024, 1, 8)), ("e3", "A", D(2024, 1, 8))],
         "event_id string, ticker string, event_date date")
-    out = {r.event_id: r for r in align_events(ev, ret, strategy="broadcast").collect()}
+    out = {r.event_id: r for r in align_events(ev, ret, strategy="auto").collect()}
     assert len(out) == 3
     assert out["e1"].adj_close is None and out["e1"].cat_d0 is None      # Saturday: null
     assert out["e2"].cat_d1 == "N/A" and out["e3"].adj_close == 11.0     # edge: N/A; duplicates kept

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from eventlens.plans import bindings as B
-from eventlens.plans.sizing import balance, bounded_count, sized_side
+from eventlens.plans.sizing import balance, measured_size, sized_side
 from eventlens.session import scratch_path, shared_dir
 
 
@@ -10,9 +10,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bounded_count_stops_at_bound(spark):
-    assert bounded_count(spark.range(100), 10) == 11
-    assert bounded_count(spark.range(5), 10) == 5
+def test_size_is_one_partial_aggregation(spark):
+    df = spark.range(1000).repartition(8).select("id", F.array("id", "id").alias("a"))
+    rows, size = measured_size(df)
+    assert rows == 1000 and size > 1000 * (16 + 8)  # nested values count with their content
+    plan = _plan(df.agg(F.count("*"), F.sum("id")))
+    assert "partial_count" in plan and "GlobalLimit" not in plan
 
 
 def test_sized_side_broadcasts_only_under_bound(spark):
@@ -31,9 +34,8 @@ def test_sized_side_broadcasts_only_under_bound(spark):
 
 
 def test_byte_bound_stops_wide_sides(spark):
-    from eventlens.plans.sizing import bounded_size
     wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
-    rows, size = bounded_size(wide, 100)
+    rows, size = measured_size(wide)
     assert rows == 10 and size >= 10 * 1000
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -49,7 +51,7 @@ def test_balance_only_when_scan_is_coarse(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert "REPARTITION_BY_NUM" in _plan(balance(docs, "doc_id", 4))
     assert balance(docs, "doc_id", 1) is docs
-    assert balance(docs, "doc_id", 4, max_splits=0) is docs  # not a tiny scan: left alone
+    assert "REPARTITION_BY_NUM" in _plan(balance(spark.range(0, 100, 1, 65), "id", 200))  # 65 splits, 200 cores
     assert "REPARTITION_BY_NUM" not in _plan(B.table(spark, SF_SMALL, "orders"))
 
 

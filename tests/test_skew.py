@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.align import align_events
 from eventlens.operators.filings import latest_filings
-from eventlens.operators.returns import returns_table
+from eventlens.operators.returns import price_window, returns_table
 
 
 def _events(spark, n=30000):
@@ -34,12 +34,12 @@ def test_hot_key_alignment_is_whole_under_both_strategies(spark):
         assert tuple(hot) == (10000, 1)
 
 
-def test_hot_key_aggregations_are_partial_before_shuffle(spark):
-    ev = _events(spark)
-    agg = ev.groupBy("ticker").agg(F.count("*").alias("n"))
-    plan = agg._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in plan
-    assert {r.ticker: r.n for r in agg.collect()}["HOT"] == 10000
+def test_hot_ticker_window_is_partial_before_shuffle(spark):
+    out = price_window(_events(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "partial_min" in plan
+    hot = out.where("ticker = 'HOT'").first()
+    assert hot.price_from == dt.date(2023, 12, 4) and hot.price_until == dt.date(2024, 2, 2)
 
 
 def test_hot_company_top_n_is_exact(spark):
