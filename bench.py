@@ -22,14 +22,16 @@ from eventlens.session import get_spark  # noqa: E402
 HEADLINE = (
     "align_events", "daily_returns", "news_events", "filing_events", "filing_events_html",
     "html_text", "align_all_tickers", "latest_filings", "parse_answers", "score_models",
-    "benchmark_end_to_end", "clean_text", "keyword_screen",
+    "benchmark_end_to_end", "clean_text", "keyword_screen", "price_range_prune", "filings_with_text",
+    "benchmark_labelled", "align_job", "jsonl_roundtrip", "results_glob", "landing_roundtrip",
+    "stream_news_events",
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = get_spark("eventlens-bench", master=f"local[{cpus}]", shuffle_partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
