@@ -88,9 +88,10 @@ def rare_only(items: Items, df: np.ndarray, common: float = COMMON) -> Items:
     """Items with only the rare n-grams as seeds; ``df`` has documents by n-gram."""
     per = np.diff(items.starts)
     own = np.repeat(df, per)  # documents of each (item, place)
-    limit = np.zeros(len(items.words))
-    for k in range(len(items.words)):
-        limit[k] = max(1.0, np.median(own[items.item == k])) * common
+    order = np.lexsort((own, items.item))  # an item's counts together, sorted
+    n = np.bincount(items.item, minlength=len(items.words))
+    middle = np.cumsum(n) - n + (n - 1) // 2
+    limit = np.maximum(1, own[order][middle]) * common
     keep = own <= limit[items.item]
     left = np.add.reduceat(keep, items.starts[:-1]) if len(per) else np.zeros(0, np.int64)
     return items._replace(grams=items.grams[left > 0], starts=np.concatenate([[0], np.cumsum(left[left > 0])]),
