@@ -74,10 +74,22 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's interim tables inside the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/eventlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path for an interim table inside the shared folder."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/eventlens/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's interim tables, through the store's own file
+    system. Call it when no DataFrame that reads them is used any more; other
+    applications' tables in the same shared folder stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from eventlens.plans import bindings as B
 from eventlens.plans.sizing import balance, measured_size, sized_side
-from eventlens.session import scratch_path, shared_dir
+from eventlens.session import clear_scratch, scratch_path, scratch_root, shared_dir
 
 
 def _plan(df):
@@ -59,3 +59,12 @@ def test_shared_folder_paths(spark):
     base = shared_dir(spark)
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a.startswith(base.rstrip("/")) and a != b
+
+
+def test_scratch_is_cleared_for_this_application_only(spark):
+    import os
+    root, foreign = scratch_root(spark), f"{shared_dir(spark)}/eventlens/app-other/x"
+    assert spark.sparkContext.applicationId in root
+    spark.range(3).write.parquet(scratch_path(spark, "t-clear"))
+    spark.range(3).write.parquet(foreign)
+    assert clear_scratch(spark) and not os.path.exists(root) and os.path.exists(foreign)
