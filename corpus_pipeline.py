@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.decontam import without_leaks
 from eventlens.llm.line_dedup import dedup_lines
-from eventlens.llm.pieces import decode_pieces, encode_pieces
+from eventlens.llm.pieces import encode_pieces
 from eventlens.llm.quality_rules import judge
 from eventlens.llm.simhash import one_of_each
 from eventlens.session import apply_conf, scratch_path
@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, and whether these decode to the text."""
     apply_conf(spark)
-    both = decode_pieces(encode_pieces(docs, out="pieces"), out="__decoded")
+    both = encode_pieces(docs, out="pieces", decoded="__decoded")
     return both.withColumn("lossless", F.col("__decoded") == F.coalesce("text", F.lit(""))).drop("__decoded")
 
 

@@ -45,9 +45,9 @@ VARIANTS = 4
 SEED = 20_240
 
 SPACE_SIGN = "▁"
-CACHE_WORDS = 120_000  # per variant, of late use
+CACHE_WORDS = 40_000  # per variant, of late use
 MATRIX_CHARS = 40
-TEXTS = 1000  # cut at a time
+TEXTS = 500  # cut at a time
 NONE = np.int32(2**31 - 1)
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _MASK = (1 << 64) - 1
@@ -69,23 +69,35 @@ def _mix(x):
     return x ^ (x >> 31)
 
 
-class PieceEncoder:
-    """Encoder and decoder of one model file at one dropout rate and seed."""
+class PieceDecoder:
+    """The bytes of every piece of a model file."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str):
         import sentencepiece
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        if sp.encode(" ﬁ  a ", out_type=str)[-1] != SPACE_SIGN:
-            raise ValueError("the model file changes its texts; only unchanged ones decode losslessly")
-        normal = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-        piece = {i: sp.id_to_piece(i).replace(SPACE_SIGN, " ") for i in normal}
-        self.id_of = {p: i for i, p in piece.items()}
+        sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.normal = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.bytes_of = [b""] * sp.vocab_size()
-        for i, p in piece.items():
-            self.bytes_of[i] = p.encode()
+        for i in self.normal:
+            self.bytes_of[i] = sp.id_to_piece(i).replace(SPACE_SIGN, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+
+    def decode(self, ids: list[int]) -> str:
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        return raw[1:].decode("utf-8")  # without the space that encoding puts in front
+
+
+class PieceEncoder(PieceDecoder):
+    """Encoder of one model file at one dropout rate and seed."""
+
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+        super().__init__(path)
+        sp, normal = self.sp, self.normal
+        if sp.encode(" ﬁ  a ", out_type=str)[-1] != SPACE_SIGN:
+            raise ValueError("the model file changes its texts; only unchanged ones decode losslessly")
+        piece = {i: sp.id_to_piece(i).replace(SPACE_SIGN, " ") for i in normal}
+        self.id_of = {p: i for i, p in piece.items()}
         whole = [p for p in piece.values() if " " in p.lstrip(" ")]
         if whole:
             raise ValueError("a piece goes across words")
@@ -311,32 +323,35 @@ class PieceEncoder:
             out.append(np.frombuffer(b"".join(parts), np.int32))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return raw[1:].decode("utf-8")  # without the space that encoding puts in front
-
 
 def _encoder(path: str, dropout: float, seed: int, variants: int) -> PieceEncoder:
     return worker_state(f"pieces {path} {dropout} {seed} {variants}", lambda: PieceEncoder(path, dropout, seed, variants))
 
 
 def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", out: str = "pieces",
-                  model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """``docs`` plus ``out``, the piece ids of the text."""
-    docs = docs.drop(out)
+                  model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+                  decoded: str | None = None) -> DataFrame:
+    """``docs`` plus ``out``, the piece ids of the text, and, with ``decoded``,
+    a column of that name with the text that they decode to, made in the same
+    pass (which saves a second crossing to Python and its workers)."""
+    docs = docs.drop(*[c for c in (out, decoded) if c])
     path, where, key = model or default_model(), docs.columns.index(text_col), f"__{out}_key"
-    schema = T.StructType(docs.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(docs.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))]
+                          + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, dropout, seed, variants)
-        for b in batches:
-            keys = [k & _MASK for k in b.column(b.num_columns - 1).to_pylist()]
-            ids = enc.encode(b.column(where).to_pylist(), keys)
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))],
-                names=[*b.schema.names[:-1], out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                keys = [k & _MASK for k in b.column(b.num_columns - 1).to_pylist()]
+                ids = enc.encode(b.column(where).to_pylist(), keys)
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:
+                    more.append(pa.array([enc.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=schema.names)
 
     return docs.withColumn(key, F.xxhash64(F.col(f"`{key_col}`"))).mapInArrow(run, schema)
 
@@ -348,10 +363,10 @@ def decode_pieces(df: DataFrame, pieces_col: str = "pieces", out: str = "decoded
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, 0.0, 0, 1)
+        dec = worker_state(f"piece-bytes {path}", lambda: PieceDecoder(path))
         for b in batches:
             ids = b.column(where)
-            texts = [enc.decode(x.values.to_pylist() if x.is_valid else []) for x in ids]
+            texts = [dec.decode(x.values.to_pylist() if x.is_valid else []) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -359,7 +374,7 @@ def decode_pieces(df: DataFrame, pieces_col: str = "pieces", out: str = "decoded
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    both = decode_pieces(encode_pieces(docs))
+    both = encode_pieces(docs, decoded="decoded")
     return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
                        F.xxhash64("pieces").alias("pieces_hash"),
                        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),

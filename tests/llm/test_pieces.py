@@ -59,6 +59,9 @@ def test_operators_on_odd_documents(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(r.decoded == (r.text or "") for r in rows)
     assert all(list(r.pieces) == [] for r in rows if not r.text)
+    at_once = encode_pieces(odd_docs, decoded="label").collect()  # both in one pass; a clashing column is replaced
+    assert sorted(repr((r.doc_id, r.text, r.pieces, r.decoded)) for r in rows) == \
+        sorted(repr((r.doc_id, r.text, r.pieces, r.label)) for r in at_once)
     assert decode_pieces(encode_pieces(no_docs)).count() == 0
     nulls = odd_docs.select(F.lit(None).cast("array<int>").alias("pieces"))
     assert {r.decoded for r in decode_pieces(nulls).collect()} == {""}
