@@ -179,7 +179,7 @@ def _removals(links: DataFrame, rare: int, block_words: int, moved_words: int) -
 
     cols = ("id", "th", "pos", "k", "words", "a_id", "a_th", "a_k", "n")
     # A repeated row has its links once: the distinct is by the same key as the gathering.
-    return links.select(*cols).repartition("id", "th").sortWithinPartitions("id", "th", "k").dropDuplicates(cols[:4]) \
+    return links.select(*cols).repartition("id", "th").dropDuplicates(cols[:4]) \
         .sortWithinPartitions("id", "th", "k").mapInArrow(run, out)
 
 
@@ -194,6 +194,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = lines.groupBy("key").agg(F.min(F.struct("id", "th", "k")).alias("a"), F.count("*").alias("n")) \
         .where("n > 1").select("key", F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"),
                                F.col("a.k").alias("a_k"), F.col("n").cast("int").alias("n"))
+    # Stored, so that the join has exchanges of its own on both sides and the
+    # adaptive plan may split the rows of a very common line.
+    first = stored(first, "line-holders")
     links = lines.join(first, "key").where(~(F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))))
     gone = _removals(links, rare, block_words, moved_words) \
         .select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"),
