@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eventlens.llm.common import read_table
 
@@ -248,6 +249,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
           item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(id, item, score, first_word, last_word)``: each test item found in each document, at its best place."""
     kind, item_kind = (x.schema[c].dataType for x, c in ((docs, id_col), (bench, item_col)))
+    arrow_kind = to_arrow_type(item_kind)
     schema = (f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, score double, "
               "first_word long, last_word long")
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -261,12 +263,10 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
                     rows = [(x + k, *m) for k, ms in enumerate(find(items, texts[x:y], threshold)) for m in ms]
                     which, item, score, first, last = zip(*rows) if rows else [()] * 5
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(which, pa.int64())), pa.array(item, kinds[1]),
+                        [b.column(0).take(pa.array(which, pa.int64())), pa.array(item, arrow_kind),
                          pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
                         names=[id_col, item_col, "score", "first_word", "last_word"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-        kinds = (to_arrow_type(kind), to_arrow_type(item_kind))
         found = found.union(narrow.mapInArrow(run, schema))
     return found
 
