@@ -36,8 +36,8 @@ from eventlens.llm.common import read_table, stored, worker_state
 
 BITS = 22
 TRAIN_ROWS = 20_000
-EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.01
 TOXIC_AT = 0.7
 
 WORDS = re.compile(r"\w+")
