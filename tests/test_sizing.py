@@ -63,8 +63,11 @@ def test_shared_folder_paths(spark):
 
 def test_scratch_is_cleared_for_this_application_only(spark):
     import os
-    root, foreign = scratch_root(spark), f"{shared_dir(spark)}/eventlens/app-other/x"
+    import uuid
+    root, foreign = scratch_root(spark), f"{shared_dir(spark)}/eventlens/app-other/{uuid.uuid4().hex}"
     assert spark.sparkContext.applicationId in root
     spark.range(3).write.parquet(scratch_path(spark, "t-clear"))
     spark.range(3).write.parquet(foreign)
-    assert clear_scratch(spark) and not os.path.exists(root) and os.path.exists(foreign)
+    here = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert here(root) and here(foreign)
+    assert clear_scratch(spark) and not here(root) and here(foreign)
