@@ -1,12 +1,14 @@
-r"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+r"""Benchmark decontamination: n-gram seeds, the rare ones at once, then Smith-Waterman alignment.
 
 1. The test items are read in blocks of at most ``BLOCK_BYTES`` of text, which
    is what a task holds of them; the corpus is scanned once per block and pass.
 2. First pass: in how many documents does each item's n-gram stand? Tasks add up
    their own counts, so a row per n-gram and task is all that is shuffled.
-3. An item's seeds are its rare n-grams: those found in at most ``COMMON``
-   times as many documents as its median n-gram. The bound is relative, so an
-   item that leaked into a third of all documents keeps its seeds.
+3. All n-grams of an item are seeds. Its rare ones, found in at most ``COMMON``
+   times as many documents as its median n-gram, make a candidate at once. A
+   candidate of common n-grams alone has to pass an exact bound: no alignment
+   scores more than 2 for each word of the item that stands in the passage, so
+   one that cannot reach the threshold is not aligned, and no leak is lost.
 4. Second pass: each seed in a document joins the passage around it to the
    item. Passages of one item on near diagonals are one candidate, as wide as
    an edited copy can be. All candidates of a batch are aligned together, row
@@ -43,6 +45,7 @@ THRESHOLD = 0.45
 BLOCK_BYTES = 8 << 20
 CANDIDATES = 2048  # aligned at a time
 CHUNK_WORDS = 1 << 19
+CELLS = 1 << 20  # seeds looked at together, unless one text has more
 
 WORDS = re.compile(r"\w+")
 
@@ -57,6 +60,7 @@ class Items(NamedTuple):
     starts: np.ndarray  # per key, its range in `item` and `place`
     item: np.ndarray
     place: np.ndarray
+    rare: np.ndarray  # per (item, place): makes a candidate at once
 
 
 def _keys(words: np.ndarray, base: int) -> np.ndarray:
@@ -82,21 +86,27 @@ def make_items(rows: list[tuple]) -> Items:
     place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else flat
     order = np.argsort(flat, kind="stable")
     grams, starts = np.unique(flat[order], return_index=True)
-    return Items([i for i, _ in split], words, number, grams, np.append(starts, len(flat)), item[order], place[order])
+    return Items([i for i, _ in split], words, number, grams, np.append(starts, len(flat)), item[order], place[order],
+                 np.ones(len(flat), bool))
 
 
-def rare_only(items: Items, df: np.ndarray, common: float = COMMON) -> Items:
-    """Items with only the rare n-grams as seeds; ``df`` has documents by n-gram."""
+def rare_seeds(items: Items, df: np.ndarray, common: float = COMMON) -> np.ndarray:
+    """Which (item, place) are rare n-grams of their item; ``df`` has documents by n-gram."""
     per = np.diff(items.starts)
     own = np.repeat(df, per)  # documents of each (item, place)
     order = np.lexsort((own, items.item))  # an item's counts together, sorted
     n = np.bincount(items.item, minlength=len(items.words))
     middle = np.cumsum(n) - n + (n - 1) // 2
     limit = np.maximum(1, own[order][middle]) * common
-    keep = own <= limit[items.item]
+    return own <= limit[items.item]
+
+
+def rare_only(items: Items, df: np.ndarray, common: float = COMMON) -> Items:
+    """Items with only the rare n-grams."""
+    per, keep = np.diff(items.starts), rare_seeds(items, df, common)
     left = np.add.reduceat(keep, items.starts[:-1]) if len(per) else np.zeros(0, np.int64)
     return items._replace(grams=items.grams[left > 0], starts=np.concatenate([[0], np.cumsum(left[left > 0])]),
-                          item=items.item[keep], place=items.place[keep])
+                          item=items.item[keep], place=items.place[keep], rare=items.rare[keep])
 
 
 def _numbers(items: Items, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,26 +169,36 @@ def find(items: Items, texts: list[str | None], threshold: float = THRESHOLD) ->
     if not len(at):
         return out
     n = items.starts[gram + 1] - items.starts[gram]
+    if n.sum() > CELLS and len(texts) > 1:
+        half = len(texts) // 2
+        return find(items, texts[:half], threshold) + find(items, texts[half:], threshold)
     pick = np.repeat(items.starts[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     item, place = items.item[pick], items.place[pick]
     doc = np.searchsorted(starts, np.repeat(at, n), "right") - 1
     diagonal = np.repeat(at, n) - place
     size = np.array([len(w) for w in items.words])
     order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[order], item[order], diagonal[order]
+    doc, item, diagonal, rare = doc[order], item[order], diagonal[order], items.rare[pick][order]
     # A candidate takes the diagonals up to half an item's length after its first.
-    cells = list(zip(doc.tolist(), item.tolist(), diagonal.tolist()))
-    candidates, last = [], (None, None, 0)
-    for d, i, g in cells:
-        if (d, i) != last[:2] or g > last[2] + size[i] // 2:
-            last = (d, i, g)
-            candidates.append(last)
+    cells = zip(doc.tolist(), item.tolist(), diagonal.tolist(), rare.tolist())
+    groups: list[list] = []  # document, item, first and last diagonal, with a rare seed?
+    for d, i, g, sure in cells:
+        if not groups or groups[-1][:2] != [d, i] or g > groups[-1][2] + size[i] // 2:
+            groups.append([d, i, g, g, sure])
+        else:
+            groups[-1][3:] = g, sure or groups[-1][4]
     ends = np.append(starts[1:], len(flat)) - GRAM
+    candidates = []
+    for d, i, g, last, sure in groups:
+        span = int(max(starts[d], g - size[i] // 2)), int(min(ends[d], last + 2 * size[i]))
+        # no alignment scores more than 2 for each word of the item that stands in the passage
+        if sure or 2 * np.isin(items.words[i], flat[span[0]:span[1]]).sum() >= threshold * 2 * size[i]:
+            candidates.append((d, i, span))
     found: dict[tuple[int, int], tuple] = {}
     candidates.sort(key=lambda c: size[c[1]])  # little padding
     for k in range(0, len(candidates), CANDIDATES):
         part = candidates[k:k + CANDIDATES]
-        spans = [(max(starts[d], g - size[i] // 2), min(ends[d], g + 2 * size[i])) for d, i, g in part]
+        spans = [span for _, _, span in part]
         score, ai, aj = smith_waterman(_padded([items.words[i] for _, i, _ in part]),
                                        _padded([flat[a:b] for a, b in spans]))
         hit = np.flatnonzero(score >= threshold * 2 * size[[i for _, i, _ in part]])
@@ -234,7 +254,7 @@ def _document_counts(docs: DataFrame, items: Items) -> np.ndarray:
 
 def item_blocks(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", text_col: str = "text",
                 item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The test items with their seeds, in blocks of bounded size."""
+    """The test items with their seeds and which of these are rare, in blocks of bounded size."""
     rows = bench.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text_col}`").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes)
@@ -242,7 +262,7 @@ def item_blocks(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", te
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         items = make_items([tuple(r) for r in own])
         if items.ids:
-            yield rare_only(items, _document_counts(docs.select(F.col(f"`{text_col}`")), items))
+            yield items._replace(rare=rare_seeds(items, _document_counts(docs.select(F.col(f"`{text_col}`")), items)))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

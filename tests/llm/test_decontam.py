@@ -78,6 +78,29 @@ def test_an_item_in_a_third_of_all_documents_keeps_its_seeds(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, 0) for i in range(0, 300, 3)}
 
 
+def test_an_edited_item_in_a_third_of_all_documents_is_found(spark):
+    r = random.Random(8)
+    words = [f"q{k}" for k in range(37)]
+    # every fifth word is changed: most 3-grams stand nowhere, all others in every copy
+    edited = " ".join("changed" if k % 5 == 2 else w for k, w in enumerate(words))
+    noise = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    rows = [(i, f"{noise(20)} {edited} {noise(20)}" if i % 3 == 0 else f"{noise(60)} {' '.join(words[3:7])}") for i in range(300)]
+    df, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(words), 1)], BENCH)
+    got = leaks(df, table).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, 0) for i in range(0, 300, 3)}
+    assert {x.score for x in got} == {round((2 * 30 - 7) / 74, 6)}
+    assert {x.doc_id for x in without_leaks(df, table).collect()} == {i for i in range(300) if i % 3}
+
+
+def test_many_seeds_are_looked_at_in_parts(monkeypatch):
+    bench, _, r = items(8)
+    made = make_items(bench)
+    texts = [" ".join(t for _, t in r.sample(bench, 3)) for _ in range(20)] + [None, ""]
+    whole = find(made, texts)
+    monkeypatch.setattr("eventlens.llm.decontam.CELLS", 50)
+    assert find(made, texts) == whole and all(len(x) >= 3 for x in whole[:20])
+
+
 def test_blocks_of_items_give_the_same(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     blocks = list(item_blocks(docs, table, block_bytes=500))
