@@ -14,6 +14,12 @@ aligned common blocks are deleted from the later one.
   (in at most ``RARE`` documents) gives the anchors; frequent lines are aligned
   between anchors by the same rule. What is left was moved: it is aligned again
   by itself, and counts only in blocks of ``MOVED_WORDS`` words or more.
+* A line that lies out of order against its first holder may be in order against
+  another one. Such lines that were left over are paired anew, with the first of
+  the documents that left them over too; these two are aligned over all lines
+  that they share. This goes on until no line is left over twice. Each round
+  takes the first holder of every such line away, and all later documents that
+  have its order with it; an exact copy loses all that its original holds.
 * Neighbouring aligned lines form blocks, over all partners of a document;
   blocks of fewer than ``BLOCK_WORDS`` words stay.
 
@@ -105,16 +111,16 @@ def _runs(ks: list[int]) -> list[list[int]]:
     return out
 
 
-def removed_lines(links: list[tuple[tuple, int, int, int, int]], rare: int = RARE, block_words: int = BLOCK_WORDS,
+def aligned_lines(links: list[tuple[tuple, int, int, int, int]], rare: int = RARE,
                   moved_words: int = MOVED_WORDS) -> set[int]:
-    """Lines of a document to delete, from its links ``(partner, place in
-    partner, own place, words, documents with the line)``; places count lines
-    with a word."""
+    """Lines of a document that are aligned with a partner, from its links
+    ``(partner, place in partner, own place, words, documents with the line)``;
+    places count lines with a word."""
     words = {own: w for _, _, own, w, _ in links}
     by_partner: dict[tuple, list] = {}
     for x in links:
         by_partner.setdefault(x[0], []).append(x)
-    aligned: list[int] = []
+    aligned: set[int] = set()
     for rows in by_partner.values():
         rows.sort(key=lambda x: x[2])
         moved = False
@@ -123,9 +129,21 @@ def removed_lines(links: list[tuple[tuple, int, int, int, int]], rare: int = RAR
             own = [rows[i][2] for i in sorted(hit)]
             if moved:
                 own = [k for run in _runs(own) if sum(words[k] for k in run) >= moved_words for k in run]
-            aligned += own
+            aligned.update(own)
             rows, moved = [x for i, x in enumerate(rows) if i not in hit], True
-    return {k for run in _runs(aligned) if sum(words[k] for k in run) >= block_words for k in run}
+    return aligned
+
+
+def _blocks(words: dict[int, int], block_words: int) -> set[int]:
+    """Of the aligned lines, given with their words, those in long enough blocks."""
+    return {k for run in _runs(list(words)) if sum(words[k] for k in run) >= block_words for k in run}
+
+
+def removed_lines(links: list[tuple[tuple, int, int, int, int]], rare: int = RARE, block_words: int = BLOCK_WORDS,
+                  moved_words: int = MOVED_WORDS) -> set[int]:
+    """Lines of a document to delete, from the same links."""
+    words = {own: w for _, _, own, w, _ in links}
+    return _blocks({k: words[k] for k in aligned_lines(links, rare, moved_words)}, block_words)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -142,45 +160,105 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def _removals(links: DataFrame, rare: int, block_words: int, moved_words: int) -> DataFrame:
-    """Per later document: ``drop`` (a flag for each line) and its partners' ids."""
-    out = "id long, th long, drop array<boolean>, partners array<long>"
+LINKS = ("id", "th", "pos", "k", "words", "a_id", "a_th", "a_k", "n", "key", "todo")
+ALIGNED = "aligned array<struct<pos int, k int, words int, partner long>>"
+
+
+def _alignments(links: DataFrame, rare: int, moved_words: int) -> DataFrame:
+    """Per later document of ``LINKS``: its ``aligned`` lines with the partner,
+    and the keys of those left over. ``todo``: 0 for lines that only tell the
+    order, 2 for those that are not left over."""
+    parts = pa.struct([("pos", pa.int32()), ("k", pa.int32()), ("words", pa.int32()), ("partner", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.list_(parts), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def done() -> list:
-            gone = removed_lines([((a, ah), ak, k, w, n) for _, _, _, k, w, a, ah, ak, n in held],
-                                 rare, block_words, moved_words)
-            if not gone:
-                return []
-            place = {x[3]: x[2] for x in held}
-            flags = np.zeros(max(place[k] for k in gone) + 1, bool)
-            flags[[place[k] for k in gone]] = True
-            partners = sorted({x[5] for x in held if x[3] in gone and x[5] is not None})
-            return [(held[0][0], held[0][1], flags.tolist(), partners)]
+        def done() -> tuple:
+            by_partner: dict[tuple, list] = {}
+            for x in held:
+                by_partner.setdefault((x[5], x[6]), []).append(x)
+            found: dict[int, dict] = {}
+            for (a, ah), rows in by_partner.items():
+                hit = aligned_lines([((a, ah), x[7], x[3], x[4], x[8]) for x in rows], rare, moved_words)
+                for x in rows:
+                    if x[3] in hit and x[10]:
+                        found.setdefault(x[3], {"pos": x[2], "k": x[3], "words": x[4], "partner": a})
+            left = {x[9] for x in held if x[10] == 1 and x[3] not in found}
+            return *held[0][:2], list(found.values()), sorted(left)
 
         def batch(rows: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()))
             cols = list(zip(*rows)) if rows else [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                              names=["id", "th", "drop", "partners"])
+                                              names=["id", "th", "aligned", "left"])
 
         for b in batches:  # sorted by document
             found = []
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if held and held[0][:2] != row[:2]:
-                    found += done()
+                    found.append(done())
                     held = []
                 held.append(row)
             yield batch(found)
         if held:
-            yield batch(done())
+            yield batch([done()])
 
-    cols = ("id", "th", "pos", "k", "words", "a_id", "a_th", "a_k", "n")
     # A repeated row has its links once: the distinct is by the same key as the gathering.
-    return links.select(*cols).repartition("id", "th").dropDuplicates(cols[:4]) \
-        .sortWithinPartitions("id", "th", "k").mapInArrow(run, out)
+    return links.select(*LINKS).repartition("id", "th").dropDuplicates(["id", "th", "pos", "k", "a_id", "a_th"]) \
+        .sortWithinPartitions("id", "th", "k", "a_id", "a_th") \
+        .mapInArrow(run, f"id long, th long, {ALIGNED}, left array<long>")
+
+
+def _further(lines: DataFrame, first: DataFrame, done: DataFrame, rare: int, moved_words: int) -> list[DataFrame]:
+    """Alignments of what the first ones, ``done``, left over: a table for each round."""
+    left = done.where(F.size("left") > 0).select("id", "th", F.explode("left").alias("key"))
+    if left.isEmpty():
+        return []
+    left = stored(left, "lines-left")
+    own = left.select("id", "th").distinct()
+    near = lines.join(own, lines["id"].eqNullSafe(own["id"]) & (lines["th"] == own["th"]), "left_semi")
+    near = stored(near.join(first.select("key", "n"), "key").dropDuplicates(["id", "th", "key"]), "lines-near")
+    out = []
+    while True:
+        holders = left.groupBy("key").agg(F.min(F.struct("id", "th")).alias("a"), F.count("*").alias("m")).where("m > 1") \
+            .select("key", F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"))
+        self = F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))
+        left = stored(left.join(holders, "key", "left")
+                      .withColumn("todo", F.when(F.col("a_th").isNull() | self, 2).otherwise(1)), "lines-todo")
+        pairs = left.where("todo = 1").select("id", "th", "a_id", "a_th").distinct()
+        if pairs.isEmpty():
+            return out
+        todo = left.select(F.col("id").alias("l_id"), F.col("th").alias("l_th"), F.col("key").alias("l_key"), "todo")
+        there = near.select(F.col("id").alias("b_id"), F.col("th").alias("b_th"), F.col("key").alias("b_key"), F.col("k").alias("a_k"))
+        links = near.join(pairs.withColumnsRenamed({"id": "p_id", "th": "p_th"}),
+                          F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th"))) \
+            .join(there, F.col("a_id").eqNullSafe(F.col("b_id")) & (F.col("a_th") == F.col("b_th")) & (F.col("key") == F.col("b_key"))) \
+            .join(todo, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th")) & (F.col("key") == F.col("l_key")), "left") \
+            .withColumn("todo", F.coalesce("todo", F.lit(0)))
+        out.append(stored(_alignments(links, rare, moved_words), "line-alignments"))
+        left = out[-1].select("id", "th", F.explode("left").alias("key"))
+
+
+def _removals(aligned: DataFrame, block_words: int) -> DataFrame:
+    """Per document with aligned lines: ``drop`` (a flag for each line) and its partners' ids."""
+    out = "id long, th long, drop array<boolean>, partners array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, h, own in zip(*(c.to_pylist() for c in b.columns)):
+                gone = _blocks({x["k"]: x["words"] for x in own}, block_words)
+                if gone:
+                    lost = [x for x in own if x["k"] in gone]
+                    flags = np.zeros(max(x["pos"] for x in lost) + 1, bool)
+                    flags[[x["pos"] for x in lost]] = True
+                    rows.append((i, h, flags.tolist(), sorted({x["partner"] for x in lost} - {None})))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
+                                             names=["id", "th", "drop", "partners"])
+
+    return aligned.mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE,
@@ -198,7 +276,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # adaptive plan may split the rows of a very common line.
     first = stored(first, "line-holders")
     links = lines.join(first, "key").where(~(F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))))
-    gone = _removals(links, rare, block_words, moved_words) \
+    done = stored(_alignments(links.withColumn("todo", F.lit(1)), rare, moved_words), "line-alignments")
+    aligned, rounds = done.select("id", "th", "aligned"), _further(lines, first, done, rare, moved_words)
+    if rounds:
+        for more in rounds:
+            aligned = aligned.union(more.select("id", "th", "aligned"))
+        aligned = aligned.groupBy("id", "th").agg(F.flatten(F.collect_list("aligned")).alias("aligned"))
+    gone = _removals(aligned, block_words) \
         .select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"),
                 F.col("partners").alias("__partners"))
     joined = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")

@@ -91,5 +91,24 @@ def test_a_line_in_every_document_makes_one_link_each(spark):
     assert all(got[i].dedup.n_removed == 8 and list(got[i].dedup.partners) == [0] for i in range(1, 300))
 
 
+def test_exact_copies_after_a_document_with_their_lines_in_reverse(spark):
+    one, two, three = ("a first shared line of nine words stands here", "the second shared line has seven words", "a third line of six words")
+    texts = [f"{two}\n{one}\nown words of the start", f"{one}\n{two}", f"{one}\n{two}", f"{two}\n{one}", f"{one}\n{two}\n{three}",
+             f"{three}\n{two}\n{one}", f"{three}\n{two}\n{one}", f"{one}\n{two}\n{three}"]
+    rows = [(None if i == 0 else i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text in (one, two)  # out of order against the only earlier document
+    assert got[2].text == got[3].text == "" and got[2].dedup.n_removed == 2
+    assert set(got[2].dedup.partners) == {1} and got[4].text == three
+    assert got[6].text == got[7].text == ""  # copies of 5 and 4, whatever these kept
+
+
+def test_a_line_in_order_with_no_earlier_document_stays(spark):
+    body = [f"line number {k} of a common body text" for k in range(6)]
+    rows = [(i, "\n".join([*body[:i], "a line that is moved about", *body[i:]])) for i in (0, 2, 4, 6)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([*rows, (9, rows[2][1])], "doc_id long, text string")).collect()}
+    assert [got[i] for i in (2, 4, 6)] == ["a line that is moved about"] * 3 and got[9] == ""
+
+
 def test_empty_table(no_docs):
     assert dedup_lines(no_docs).count() == 0
