@@ -3,14 +3,15 @@ r"""SentencePiece encoding with seeded merge-dropout, and decoding.
 Encoding follows the model file's merge rules: of all neighbouring pieces whose
 concatenation is a piece, the one of best score is merged, the leftmost of
 equals first, until none is left. With dropout, a candidate merge (the span of
-a word it would join, and where) is skipped when a hash keyed by seed, variant,
-word and span falls below the rate. The same seed always gives the same pieces;
-other seeds or variants give other segmentations of the same text.
+a word it would join, and where) is skipped when a hash keyed by seed, document,
+place of the word in it, word and span falls below the rate: every occurrence of
+a word draws for itself. The same seed always gives the same pieces; other
+seeds, documents or places give other segmentations of the same word.
 
 Merges never cross into a space from other text, so texts are cut before each
-run of spaces and words are merged once per variant and kept in a table. The
-occurrences of a document take the ``VARIANTS`` variants in turn, from one that
-a keyed hash of the document's key chooses. New words of a batch are merged together: words
+run of spaces. A table has the pieces of each word without dropout, and the spans
+of the merges that make them; an occurrence that skips none of these has the
+same pieces. All others of a batch are merged together: words
 of one length form a matrix, and each round takes the best candidate of every
 row at once. Very long words are merged one by one with a heap.
 
@@ -41,11 +42,11 @@ from pyspark.sql import types as T
 from eventlens.llm.common import read_table, worker_state
 
 DROPOUT = 0.1
-VARIANTS = 4
+VARIANTS = 0  # draws that occurrences take in turn; 0: each has its own
 SEED = 20_240
 
 SPACE_SIGN = "▁"
-CACHE_WORDS = 40_000  # per variant, of late use
+CACHE_WORDS = 160_000  # without those of the batch
 MATRIX_CHARS = 40
 TEXTS = 500  # cut at a time
 NONE = np.int32(2**31 - 1)
@@ -122,8 +123,7 @@ class PieceEncoder(PieceDecoder):
         self._make_table()
         self.limit = min(int(dropout * 2.0**64), _MASK)
         self.seed, self.variants = seed, variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
         self.char_ids = np.full(0x110000, -1, np.int32)
         for p, i in self.id_of.items():
             if len(p) == 1:
@@ -133,6 +133,13 @@ class PieceEncoder(PieceDecoder):
         self.line_alone = "\n" not in self.id_of
         self.cut = regex.compile(r"\n| *[^ \n]+| +" if self.line_alone else r" *[^ ]+| +")
 
+    def _forget(self) -> None:
+        """An empty table of words: number, pieces, digest and the spans of the plain merges."""
+        self.row: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.digest, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # count -1: always merged anew
+
     def _make_table(self) -> None:
         """Pairs in an open-addressing table for numpy look-ups."""
         bits = max(4, (4 * len(self.pairs)).bit_length())
@@ -163,11 +170,15 @@ class PieceEncoder(PieceDecoder):
     def word_key(self, word: str, variant: int) -> int:
         return _mix((xxhash.xxh64_intdigest(word.encode("utf-8"), self.seed & _MASK) + variant * _B) & _MASK)
 
+    @staticmethod
+    def _span(start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        s, m, e = (x.astype(np.uint64) for x in (start, middle, stop))
+        return s * np.uint64(_A) + m * np.uint64(_B) + e * np.uint64(_C)
+
     def skipped(self, key, start, middle, stop):
         """True if the candidate merge of ``start..middle`` and ``middle..stop`` of a word is dropped."""
         if isinstance(key, np.ndarray):
-            s, m, e = (x.astype(np.uint64) for x in (start, middle, stop))
-            return _mix(key ^ (s * np.uint64(_A) + m * np.uint64(_B) + e * np.uint64(_C))) < np.uint64(self.limit)
+            return _mix(key ^ self._span(start, middle, stop)) < np.uint64(self.limit)
         return _mix(key ^ ((start * _A + middle * _B + stop * _C) & _MASK)) < self.limit
 
     def merge_one(self, word: str, key: int) -> list[int]:
@@ -199,16 +210,19 @@ class PieceEncoder(PieceDecoder):
                 offer(left[s])
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, symbols: np.ndarray, keys: np.ndarray) -> list[bytes]:
+    def merge_many(self, symbols: np.ndarray, keys: np.ndarray | None, spans: list | None = None) -> list[bytes]:
         """Pieces (int32 bytes) of words of one length, a row of ``symbols``
         each. Every round merges one pair in every row that still has a
-        candidate, so all live rows have the same number of symbols."""
+        candidate, so all live rows have the same number of symbols. Without
+        ``keys`` nothing is dropped; ``spans`` takes rows and spans of the merges."""
+        drop = keys is not None
+        keys = keys if drop else np.zeros(len(symbols), np.uint64)
         n, length = symbols.shape
         s, row, out = symbols, np.arange(n), [b""] * n
         # starts of the symbols, and the word's length behind the last one
         at = np.broadcast_to(np.arange(length + 1, dtype=np.int16), (n, length + 1))
         a, k = np.repeat(np.arange(n), length - 1), np.tile(np.arange(length - 1), n)
-        r = self._candidates(s, at, keys, a, k).reshape(n, length - 1)
+        r = self._candidates(s, at, keys if drop else None, a, k).reshape(n, length - 1)
         while True:
             if s.shape[1] == 1:
                 live = np.zeros(len(row), bool)
@@ -226,6 +240,8 @@ class PieceEncoder(PieceDecoder):
                     return out
                 s, at, r, j, best, keys, row = (x[live] for x in (s, at, r, j, best, keys, row))
             i, col = np.arange(len(row)), np.arange(s.shape[1])
+            if spans is not None:
+                spans.append((row, self._span(at[i, j], at[i, j + 1], at[i, j + 2])))
             upto = col <= j[:, None]
             s = np.where(upto[:, :-1], s[:, :-1], s[:, 1:])
             s[i, j] = self.piece_of[best]
@@ -234,11 +250,13 @@ class PieceEncoder(PieceDecoder):
             # the new piece with its neighbours
             left, right = np.flatnonzero(j > 0), np.flatnonzero(j < s.shape[1] - 1)
             a, k = np.concatenate([left, right]), np.concatenate([j[left] - 1, j[right]])
-            r[a, k] = self._candidates(s, at, keys, a, k)
+            r[a, k] = self._candidates(s, at, keys if drop else None, a, k)
 
-    def _candidates(self, s: np.ndarray, at: np.ndarray, keys: np.ndarray, a: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def _candidates(self, s: np.ndarray, at: np.ndarray, keys: np.ndarray | None, a: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Ranks of the merges of symbols k and k + 1 of rows a; NONE if there is none or it is dropped."""
         rank = self._rank(s[a, k], s[a, k + 1])
+        if keys is None:
+            return rank
         some = np.flatnonzero(rank != NONE)
         a, k = a[some], k[some]
         rank[some[self.skipped(keys[a], at[a, k], at[a, k + 1], at[a, k + 2])]] = NONE
@@ -254,34 +272,61 @@ class PieceEncoder(PieceDecoder):
                 ids += [self.byte_ids[b] for b in part.encode("utf-8")]
         return np.array(ids, np.int32).tobytes()
 
-    def _learn(self, jobs: list[list[str]]) -> list[dict[str, bytes]]:
-        """Pieces of new chunks of text (a run of spaces and what follows it), by variant."""
-        out: list[dict[str, bytes]] = [{} for _ in jobs]
-        plain: dict[int, list[tuple[str, int]]] = {}
-        for v, words in enumerate(jobs):
-            for w in words:
-                if 2 <= len(w) <= MATRIX_CHARS and "  " not in w:
-                    plain.setdefault(len(w), []).append((w, v))
-                else:
-                    out[v][w] = self._slow(w, v)
-        for length, own in plain.items():
+    def _matrices(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length whose characters all have a piece: their places and symbols."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for length in np.unique(size[(size >= 2) & (size <= MATRIX_CHARS)]).tolist():
+            own = np.flatnonzero(size == length)
             for at in range(0, len(own), 8192):
                 part = own[at:at + 8192]
-                codes = np.frombuffer("".join([w for w, _ in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                symbols = self.char_ids[codes].reshape(-1, length)
-                known = (symbols >= 0).all(axis=1)
-                for k in np.flatnonzero(~known):
-                    w, v = part[k]
-                    out[v][w] = self._slow(w, v)
-                part = [part[k] for k in np.flatnonzero(known)]
-                if part:
-                    digest, seed = xxhash.xxh64_intdigest, self.seed & _MASK
-                    keys = np.array([digest(w.encode("utf-8"), seed) for w, _ in part], np.uint64)
-                    keys = _mix(keys + np.array([v for _, v in part], np.uint64) * np.uint64(_B))
-                    for (w, v), ids in zip(part, self.merge_many(symbols[known], keys)):
-                        out[v][w] = ids
+                codes = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+                symbols = self.char_ids[codes]
+                known = (symbols >= 0).all(axis=1) & ~((codes[:, 1:] == 32) & (codes[:, :-1] == 32)).any(axis=1)
+                if known.any():
+                    yield part[known], symbols[known]
+
+    def _merge(self, words: list[str], keys: np.ndarray, draws: np.ndarray) -> list[bytes]:
+        """Pieces of words (a run of spaces and what follows it), each by its own draw and key."""
+        out: list = [None] * len(words)
+        for part, symbols in self._matrices(words):
+            for k, ids in zip(part.tolist(), self.merge_many(symbols, keys[part])):
+                out[k] = ids
+        return [self._slow(w, int(d)) if x is None else x for x, w, d in zip(out, words, draws)]
+
+    def _digests(self, words: list[str]) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(w.encode("utf-8"), self.seed & _MASK) for w in words], np.uint64)
+
+    def _learn(self, jobs: list[list[str]]) -> list[dict[str, bytes]]:
+        """Pieces of words by draw: 0, 1, ..."""
+        out = []
+        for v, words in enumerate(jobs):
+            draws = np.full(len(words), v, np.uint64)
+            out.append(dict(zip(words, self._merge(words, _mix(self._digests(words) + draws * np.uint64(_B)), draws))))
         return out
 
+    def _learn_plain(self, words: list[str]) -> None:
+        """New words of the table."""
+        plain, count = [b""] * len(words), np.full(len(words), -1, np.int64)
+        which, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for part, symbols in self._matrices(words):
+            made: list = []
+            for k, ids in zip(part.tolist(), self.merge_many(symbols, None, made)):
+                plain[k] = ids
+            count[part] = 0
+            which += [part[r] for r, _ in made]
+            spans += [x for _, x in made]
+        for k, w in enumerate(words):
+            if len(w) == 1 and w in self.id_of:
+                plain[k], count[k] = np.array([self.id_of[w]], np.int32).tobytes(), 0
+        owner = np.concatenate(which)
+        n = np.bincount(owner, minlength=len(words)) if len(words) else count
+        self.first = np.concatenate([self.first, len(self.spans) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, np.where(count < 0, -1, n)])
+        self.spans = np.concatenate([self.spans, np.concatenate(spans)[np.argsort(owner, kind="stable")]])
+        self.digest = np.concatenate([self.digest, self._digests(words)])
+        self.row.update(zip(words, range(len(self.plain), len(self.plain) + len(words))))
+        self.plain += plain
+
     def _cut(self, text: str) -> list[str]:
         text = " " + text
         if "\0" in text or "  " in text:
@@ -295,33 +340,31 @@ class PieceEncoder(PieceDecoder):
         """Piece ids per text; ``keys``: 64-bit key of each text's document."""
         if len(texts) > TEXTS:
             return [x for k in range(0, len(texts), TEXTS) for x in self.encode(texts[k:k + TEXTS], keys[k:k + TEXTS])]
-        v = self.variants
         cut = [self._cut(t) if t else [] for t in texts]
-        turn = [_mix((k ^ self.seed * _C) & _MASK) % v for k in keys]
-        jobs = []
-        for variant in range(v):
-            new = set().union(*[own[(variant - t) % v::v] for own, t in zip(cut, turn)])
-            if len(self.known[variant]) > CACHE_WORDS:
-                self.older[variant], self.known[variant] = self.known[variant], {}
-            known, older = self.known[variant], self.older[variant]
-            new.difference_update(known)
-            if older:
-                known.update({w: older[w] for w in new.intersection(older)})
-                new.difference_update(older)
-            jobs.append(list(new))
-        long: list[dict[str, bytes]] = []
-        for known, learned in zip(self.known, self._learn(jobs)):
-            long.append({w: learned.pop(w) for w in [w for w in learned if len(w) > MATRIX_CHARS]})
-            known.update(learned)
-        out = []
-        for own, t in zip(cut, turn):
-            parts: list = [None] * len(own)
-            for k in range(v):
-                known, extra = self.known[(k + t) % v], long[(k + t) % v]
-                parts[k::v] = [extra[w] if w in extra else known[w] for w in own[k::v]] if extra else \
-                    list(map(known.__getitem__, own[k::v]))
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        return out
+        words = [w for own in cut for w in own]
+        ends = np.cumsum([0, *map(len, cut)])
+        if len(self.row) > CACHE_WORDS:
+            self._forget()
+        self._learn_plain([w for w in dict.fromkeys(words) if w not in self.row])
+        which = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        turn = np.array([_mix((k ^ self.seed * _C) & _MASK) for k in keys], np.uint64)
+        draws = np.repeat(turn - ends[:-1].astype(np.uint64), np.diff(ends)) + np.arange(len(words), dtype=np.uint64)
+        if self.variants:
+            draws %= np.uint64(self.variants)
+        own = _mix(self.digest[which] + draws * np.uint64(_B))
+        # occurrences that skip a merge of the plain pieces
+        first, count = self.first[which], self.count[which]
+        anew, live, k = count < 0, np.flatnonzero(count > 0), 0
+        while len(live):
+            skip = _mix(own[live] ^ self.spans[first[live] + k]) < np.uint64(self.limit)
+            anew[live[skip]] = True
+            k += 1
+            live = live[~skip & (count[live] > k)]
+        parts = list(map(self.plain.__getitem__, which.tolist()))
+        anew = np.flatnonzero(anew)
+        for i, ids in zip(anew.tolist(), self._merge([words[i] for i in anew.tolist()], own[anew], draws[anew])):
+            parts[i] = ids
+        return [np.frombuffer(b"".join(parts[a:b]), np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _encoder(path: str, dropout: float, seed: int, variants: int) -> PieceEncoder:

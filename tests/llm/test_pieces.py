@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from eventlens.llm.pieces import PieceEncoder, decode_pieces, default_model, encode_pieces
+from eventlens.llm.pieces import _C, _MASK, _mix, PieceEncoder, decode_pieces, default_model, encode_pieces
 from tests.llm.conftest import odd_texts
 
 
@@ -41,6 +41,21 @@ def test_dropout_decodes_losslessly_and_varies(texts):
     assert e.encode([texts[0]], [5])[0].tolist() == PieceEncoder(default_model(), 0.1, 1, 4).encode(texts[:1], [5])[0].tolist()
 
 
+def test_every_occurrence_draws_for_itself():
+    e = PieceEncoder(default_model(), 0.1, 1)
+    word = "internationalisation"
+    text = " ".join([word] * 400)
+    ids = [e.encode([text], [key])[0].tolist() for key in (1, 2)]
+    assert ids[0] != ids[1] and [e.decode(x) for x in ids] == [text, text]
+    draw = _mix((1 ^ e.seed * _C) & _MASK)
+    keys = [e.word_key(" " + word, (draw + k) & _MASK) for k in range(400)]
+    want = [e.merge_one(" " + word, key) for key in keys]
+    assert ids[0] == [i for x in want for i in x] and len(set(map(tuple, want))) > 4
+    # a word of one merge is split at about a tenth of its occurrences
+    pieces = e.encode([" ".join(["a"] * 5000)], [3])[0].tolist()
+    assert 0.08 < (len(pieces) - 5000) / 5000 < 0.12
+
+
 def test_matrix_merges_are_the_heap_s(texts):
     e = PieceEncoder(default_model(), 0.2, 7, 3)
     words = sorted({w for t in texts for w in e._cut(t) if 2 <= len(w) <= 40 and "  " not in w and all(c in e.id_of for c in w)})
