@@ -1,26 +1,13 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-SF = "/root/testdata/sf0.001"
-
-DOC_COLUMNS = ("doc_id long, text string, lang string, source string, n_chars long, "
-               "id long, th long, fp long, key long, part int, score_ string, label string")
-
+from llm_helpers import DOC_COLUMNS, odd_texts  # noqa: E402
 
-def odd_texts() -> list:
-    """Texts with every oddity that an operator must bear."""
-    r = random.Random(5)
-    words = "the of and alpha beta gamma delta épsilon straße 漢字 😀 ¿qué? don't can't <|endoftext|> [INST] ▁ \\".split()
-    some = lambda n: " ".join(r.choice(words) for _ in range(n))
-    long = "\n".join(some(40) for _ in range(60))
-    return [None, "", " ", "\n", "\t \n\n  x", "one", "two words", some(12), some(12).upper(), long, long,
-            long + "\n" + some(30), "a" * 3000, "= " * 500, "line one is here\n" * 30, "\r\n".join([some(8)] * 3),
-            "tab\tand\x0bothers\x0cand \x1c\x1d\x85  spaces  " + some(9), "'re 've 'll 'r 'x don're", "\0nul\0 " + some(5)]
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -41,7 +28,3 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
-
-
-def same_rows(a, b) -> bool:
-    return sorted(map(repr, a)) == sorted(map(repr, b))

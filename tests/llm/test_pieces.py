@@ -6,7 +6,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from eventlens.llm.pieces import _C, _MASK, _mix, PieceEncoder, decode_pieces, default_model, encode_pieces
-from tests.llm.conftest import odd_texts
+from llm_helpers import odd_texts
 
 
 def strings(n=300):

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from eventlens.llm.token_counts import PrefixCounter, cut_for_budget, default_tokenizer, pack, prefix_counts, truncated, unpack
 from eventlens.llm.token_files import Segment, WordEncoder, bits_for, make_segment, pack_ids, read_token_files, unpack_ids, write_token_files
 from eventlens.session import scratch_path
-from tests.llm.conftest import odd_texts
+from llm_helpers import odd_texts
 
 
 @pytest.fixture(scope="module")
