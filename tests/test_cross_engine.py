@@ -9,7 +9,7 @@ import random
 import duckdb
 import pytest
 
-from conftest import one_col
+from helpers import one_col
 from eventlens.functions.text import clean_and_truncate, has_causal_keyword, remove_boilerplate
 from eventlens.plans import oracle as O
 

@@ -2,7 +2,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from eventlens.functions.text import FILING_LIMITS, NEWS_LIMITS, clean_and_truncate
 from eventlens.operators.returns import returns_table
 from eventlens.plans import bindings as B

@@ -1,5 +1,5 @@
 """Physical-plan properties the design relies on."""
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from eventlens.plans.queries import QUERIES
 
 

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from eventlens.plans.bindings import TABLES
 from eventlens.plans.oracle import ORACLE
 from eventlens.plans.queries import QUERIES

@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from helpers import one_col
 from eventlens.functions.returns import categorize_return
 from eventlens.operators.align import align_events, empty_returns, prefix_columns, reference_name
 from eventlens.operators.returns import daily_returns, prune_prices, returns_table

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from helpers import one_col
 from eventlens.functions.dates import published_at_utc
 from eventlens.functions.sections import item_8k, mdna, relevant_section
 from eventlens.operators.news import preprocess_news, summary_from_description

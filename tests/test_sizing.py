@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from eventlens.plans import bindings as B
 from eventlens.plans.sizing import balance, measured_size, sized_side
 from eventlens.session import clear_scratch, scratch_path, scratch_root, shared_dir

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from helpers import one_col
 from eventlens.functions.text import (NA_CLEANED_EMPTY, clean_and_truncate, first_sentences,
                                       has_causal_keyword, remove_boilerplate, strip_tags,
                                       truncate_text)

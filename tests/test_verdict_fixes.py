@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from eventlens.functions.dates import published_at_utc, to_date_or_null
 from eventlens.functions.ids import padded_cik, zero_padded
 from eventlens.operators.align import reference_name
