@@ -8,6 +8,7 @@ from eventlens.llm.hilbert import op4_hilbert_shards
 from eventlens.llm.line_dedup import op8_line_dedup
 from eventlens.llm.pieces import op6_pieces
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
+from eventlens.llm.resampling import OP12_SQL, op12_resampling
 from eventlens.llm.simhash import op10_simhash
 from eventlens.llm.token_counts import op9_token_counts
 from eventlens.llm.token_files import op2_token_files
@@ -24,9 +25,11 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op12_resampling": op12_resampling,
 }
 
 LLM_ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op12_resampling": OP12_SQL,
 }
