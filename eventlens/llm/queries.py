@@ -5,6 +5,7 @@ from __future__ import annotations
 from eventlens.llm.chat import OP1_SQL, op1_chat_format
 from eventlens.llm.decontam import op7_decontamination
 from eventlens.llm.hilbert import op4_hilbert_shards
+from eventlens.llm.license_scan import OP13_SQL, op13_license_scan
 from eventlens.llm.line_dedup import op8_line_dedup
 from eventlens.llm.pieces import op6_pieces
 from eventlens.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -26,10 +27,12 @@ LLM_QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
     "op12_resampling": op12_resampling,
+    "op13_license_scan": op13_license_scan,
 }
 
 LLM_ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
     "op12_resampling": OP12_SQL,
+    "op13_license_scan": OP13_SQL,
 }
