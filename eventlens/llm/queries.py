@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eventlens.llm.centroids import OP11_SQL, op11_clusters
 from eventlens.llm.chat import OP1_SQL, op1_chat_format
 from eventlens.llm.decontam import op7_decontamination
 from eventlens.llm.hilbert import op4_hilbert_shards
@@ -26,6 +27,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_clusters": op11_clusters,
     "op12_resampling": op12_resampling,
     "op13_license_scan": op13_license_scan,
 }
@@ -33,6 +35,7 @@ LLM_QUERIES = {
 LLM_ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op11_clusters": OP11_SQL,
     "op12_resampling": OP12_SQL,
     "op13_license_scan": OP13_SQL,
 }
