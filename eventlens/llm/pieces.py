@@ -29,6 +29,7 @@ but one named like the added column is replaced.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +41,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.llm.common import read_table, worker_state
+from eventlens.llm.runs import Numbers, Runs, take_runs
 
 DROPOUT = 0.1
-VARIANTS = 0  # draws that occurrences take in turn; 0: each has its own
 SEED = 20_240
 
 SPACE_SIGN = "▁"
 CACHE_WORDS = 160_000  # without those of the batch
-MATRIX_CHARS = 40
+MATRIX_CHARS = 40  # 63 at most
+MATRIX_ROWS = 8192
 TEXTS = 500  # cut at a time
 NONE = np.int32(2**31 - 1)
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _MASK = (1 << 64) - 1
+_LAST = 1 << 62
 
 
 def default_model() -> str:
@@ -83,16 +86,29 @@ class PieceDecoder:
             self.bytes_of[i] = sp.id_to_piece(i).replace(SPACE_SIGN, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.raw = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return raw[1:].decode("utf-8")  # without the space that encoding puts in front
 
+    def decode_many(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of encoded documents, ``flat[ends[k]:ends[k + 1]]`` each, as one column."""
+        first, count = self.begin[flat], self.size[flat]
+        front = ends[:-1][np.diff(ends) > 0]
+        first[front] += 1  # the space that encoding puts in front
+        count[front] -= 1
+        raw = take_runs(self.raw, first, count)
+        at = np.concatenate([[0], np.cumsum(count)])[ends].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())).cast(pa.string())
+
 
 class PieceEncoder(PieceDecoder):
     """Encoder of one model file at one dropout rate and seed."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         super().__init__(path)
         sp, normal = self.sp, self.normal
         if sp.encode(" ﬁ  a ", out_type=str)[-1] != SPACE_SIGN:
@@ -107,6 +123,8 @@ class PieceEncoder(PieceDecoder):
         self.piece_of = np.zeros(len(rank_of), np.int32)
         tied = set()
         self.vocab = sp.vocab_size()
+        if self.vocab**2 >= 1 << 31:
+            raise ValueError("a pair of pieces has 31 bits")
         #: pair of pieces -> (rank of the score, merged piece)
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for i in normal:
@@ -122,7 +140,7 @@ class PieceEncoder(PieceDecoder):
                     self.pairs[a, b] = rank, i
         self._make_table()
         self.limit = min(int(dropout * 2.0**64), _MASK)
-        self.seed, self.variants = seed, variants
+        self.seed = seed
         self._forget()
         self.char_ids = np.full(0x110000, -1, np.int32)
         for p, i in self.id_of.items():
@@ -134,36 +152,37 @@ class PieceEncoder(PieceDecoder):
         self.cut = regex.compile(r"\n| *[^ \n]+| +" if self.line_alone else r" *[^ ]+| +")
 
     def _forget(self) -> None:
-        """An empty table of words: number, pieces, digest and the spans of the plain merges."""
-        self.row: dict[str, int] = {}
-        self.plain: list[bytes] = []
-        self.digest, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # count -1: always merged anew
+        """An empty table of words: number, digest, characters, pieces without dropout, spans of their merges."""
+        self.row = Numbers()
+        self.digest = np.zeros(0, np.uint64)
+        self.symbols, self.plain, self.spans = Runs(np.int32), Runs(np.int32), Runs(np.uint64)
+        self.slow = np.zeros(0, bool)  # always merged anew, by the heap
 
     def _make_table(self) -> None:
         """Pairs in an open-addressing table for numpy look-ups."""
         bits = max(4, (4 * len(self.pairs)).bit_length())
         self.shift, size = np.uint64(64 - bits), 1 << bits
-        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
+        self.table = np.full(size, -1, np.int64)  # key and rank, 32 bits each
         for (a, b), (rank, _) in self.pairs.items():
             key = a * self.vocab + b
             at = (key * _A & _MASK) >> int(self.shift)
-            while self.keys[at] >= 0:
+            while self.table[at] >= 0:
                 at = (at + 1) % size
-            self.keys[at], self.ranks[at] = key, rank
+            self.table[at] = key << 32 | rank
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, NONE where there is none."""
         key = a.astype(np.int64) * self.vocab + b
         at = ((key.view(np.uint64) * np.uint64(_A)) >> self.shift).astype(np.int64)
-        found = self.keys[at]
-        out = np.where(found == key, self.ranks[at], NONE)
-        todo = np.flatnonzero((found != key) & (found >= 0))
+        found = self.table[at]
+        hit = found >> 32 == key
+        out = np.where(hit, found & 0xFFFFFFFF, NONE)
+        todo = np.flatnonzero(~hit & (found >= 0))
         while len(todo):  # another pair has the slot: look at the next one
-            at[todo] = (at[todo] + 1) % len(self.keys)
-            found = self.keys[at[todo]]
-            hit = found == key[todo]
-            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            at[todo] = (at[todo] + 1) % len(self.table)
+            found = self.table[at[todo]]
+            hit = found >> 32 == key[todo]
+            out[todo[hit]] = found[hit] & 0xFFFFFFFF
             todo = todo[~hit & (found >= 0)]
         return out
 
@@ -210,59 +229,75 @@ class PieceEncoder(PieceDecoder):
                 offer(left[s])
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, symbols: np.ndarray, keys: np.ndarray | None, spans: list | None = None) -> list[bytes]:
-        """Pieces (int32 bytes) of words of one length, a row of ``symbols``
-        each. Every round merges one pair in every row that still has a
-        candidate, so all live rows have the same number of symbols. Without
-        ``keys`` nothing is dropped; ``spans`` takes rows and spans of the merges."""
-        drop = keys is not None
-        keys = keys if drop else np.zeros(len(symbols), np.uint64)
+    def merge_many(self, symbols: np.ndarray, keys: np.ndarray | None, spans: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of one length, a row of ``symbols`` each: all in a row, and
+        how many each word has. Every round merges the best candidate of every word
+        that still has one. Without ``keys`` nothing is dropped; ``spans`` takes rows
+        and spans of the merges.
+
+        Inside, a word is a column and a place of it a line, so that a round runs
+        along the words. A symbol stays at the place where it starts."""
         n, length = symbols.shape
-        s, row, out = symbols, np.arange(n), [b""] * n
-        # starts of the symbols, and the word's length behind the last one
-        at = np.broadcast_to(np.arange(length + 1, dtype=np.int16), (n, length + 1))
-        a, k = np.repeat(np.arange(n), length - 1), np.tile(np.arange(length - 1), n)
-        r = self._candidates(s, at, keys if drop else None, a, k).reshape(n, length - 1)
+        row, size = np.arange(n), n
+        s = symbols.T.copy().ravel()
+        after = np.repeat(np.arange(1, length + 1, dtype=np.int64), n)  # start of the symbol behind, and before
+        before = np.repeat(np.arange(-1, length - 1, dtype=np.int64), n)
+        # rank of the merge with the symbol behind, and the place: the least one is the next merge
+        best = np.full(length * n, _LAST, np.int64)
+        at = np.arange((length - 1) * n)
+        self._offer(best, s, keys, at, at + n, at // n, at // n + 1, at // n + 2, at % n)
+        out: list = []
+
+        def finish(columns: np.ndarray) -> None:
+            left = s.reshape(length, size)[:, columns].T
+            kept = left >= 0
+            out.append((row[columns], left[kept], kept.sum(axis=1)))
+
         while True:
-            if s.shape[1] == 1:
-                live = np.zeros(len(row), bool)
-            else:
-                j = r.argmin(axis=1)
-                best = r[np.arange(len(row)), j]
-                live = best != NONE
-            if not live.all():
-                done = ~live
-                width = 4 * s.shape[1]
-                raw = np.ascontiguousarray(s[done]).tobytes()
-                for k, x in enumerate(row[done].tolist()):
-                    out[x] = raw[k * width:(k + 1) * width]
-                if not live.any():
-                    return out
-                s, at, r, j, best, keys, row = (x[live] for x in (s, at, r, j, best, keys, row))
-            i, col = np.arange(len(row)), np.arange(s.shape[1])
+            top = best.reshape(length, size).min(axis=0)
+            live = np.flatnonzero(top != _LAST)
+            if len(live) <= size // 2:  # the words that are done leave
+                finish(np.flatnonzero(top == _LAST))
+                if not len(live):
+                    rows, ids, count = (np.concatenate(x) for x in zip(*out))
+                    order = np.argsort(rows)
+                    return take_runs(ids, np.cumsum(count)[order] - count[order], count[order]), count[order]
+                s, after, before, best = (np.ascontiguousarray(x.reshape(length, size)[:, live]).ravel() for x in (s, after, before, best))
+                top, row, keys = top[live], row[live], None if keys is None else keys[live]
+                size, live = len(live), np.arange(len(live))
+            top = top[live]
+            j = top & 63
+            here = j * size + live
+            m = after[here]
+            middle = m * size + live
+            e = after[middle]
             if spans is not None:
-                spans.append((row, self._span(at[i, j], at[i, j + 1], at[i, j + 2])))
-            upto = col <= j[:, None]
-            s = np.where(upto[:, :-1], s[:, :-1], s[:, 1:])
-            s[i, j] = self.piece_of[best]
-            at = np.where(upto, at[:, :-1], at[:, 1:])
-            r = np.where(col[:-2] < j[:, None], r[:, :-1], r[:, 1:])
+                spans.append((row[live], self._span(j, m, e)))
+            s[here], s[middle] = self.piece_of[top >> 6], -1
+            best[here], best[middle], after[here] = _LAST, _LAST, e
             # the new piece with its neighbours
-            left, right = np.flatnonzero(j > 0), np.flatnonzero(j < s.shape[1] - 1)
-            a, k = np.concatenate([left, right]), np.concatenate([j[left] - 1, j[right]])
-            r[a, k] = self._candidates(s, at, keys if drop else None, a, k)
-
-    def _candidates(self, s: np.ndarray, at: np.ndarray, keys: np.ndarray | None, a: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Ranks of the merges of symbols k and k + 1 of rows a; NONE if there is none or it is dropped."""
-        rank = self._rank(s[a, k], s[a, k + 1])
-        if keys is None:
-            return rank
+            x = np.flatnonzero(e < length)
+            k, jx, ex = live[x], j[x], e[x]
+            behind = ex * size + k
+            before[behind] = jx
+            self._offer(best, s, keys, here[x], behind, jx, ex, after[behind], k)
+            x = np.flatnonzero(j > 0)
+            k, jx = live[x], j[x]
+            p = before[here[x]]
+            self._offer(best, s, keys, p * size + k, here[x], p, jx, e[x], k)
+
+    def _offer(self, best: np.ndarray, s: np.ndarray, keys: np.ndarray | None, a: np.ndarray, b: np.ndarray,
+               start: np.ndarray, middle: np.ndarray, stop: np.ndarray, word: np.ndarray) -> None:
+        """Enters the merges of the symbols at ``a`` and ``b``, where there is one that is not dropped."""
+        rank = self._rank(s[a], s[b])
         some = np.flatnonzero(rank != NONE)
-        a, k = a[some], k[some]
-        rank[some[self.skipped(keys[a], at[a, k], at[a, k + 1], at[a, k + 2])]] = NONE
-        return rank
+        if keys is not None:
+            some = some[~self.skipped(keys[word[some]], start[some], middle[some], stop[some])]
+        value = np.full(len(a), _LAST, np.int64)
+        value[some] = (rank[some].astype(np.int64) << 6) | start[some]
+        best[a] = value
 
-    def _slow(self, w: str, variant: int) -> bytes:
+    def _slow(self, w: str, variant: int) -> np.ndarray:
         """Pieces of any chunk: runs of characters with a piece by the heap, others as bytes."""
         ids: list[int] = []
         for part in self.parts.findall(w):
@@ -270,62 +305,51 @@ class PieceEncoder(PieceDecoder):
                 ids += self.merge_one(part, self.word_key(part, variant))
             else:
                 ids += [self.byte_ids[b] for b in part.encode("utf-8")]
-        return np.array(ids, np.int32).tobytes()
+        return np.array(ids, np.int32)
 
     def _matrices(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of one length whose characters all have a piece: their places and symbols."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(size[(size >= 2) & (size <= MATRIX_CHARS)]).tolist():
+        for length in np.unique(size[size <= MATRIX_CHARS]).tolist():
             own = np.flatnonzero(size == length)
-            for at in range(0, len(own), 8192):
-                part = own[at:at + 8192]
+            for at in range(0, len(own), MATRIX_ROWS):
+                part = own[at:at + MATRIX_ROWS]
                 codes = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
                 symbols = self.char_ids[codes]
                 known = (symbols >= 0).all(axis=1) & ~((codes[:, 1:] == 32) & (codes[:, :-1] == 32)).any(axis=1)
                 if known.any():
                     yield part[known], symbols[known]
 
-    def _merge(self, words: list[str], keys: np.ndarray, draws: np.ndarray) -> list[bytes]:
-        """Pieces of words (a run of spaces and what follows it), each by its own draw and key."""
-        out: list = [None] * len(words)
-        for part, symbols in self._matrices(words):
-            for k, ids in zip(part.tolist(), self.merge_many(symbols, keys[part])):
-                out[k] = ids
-        return [self._slow(w, int(d)) if x is None else x for x, w, d in zip(out, words, draws)]
-
     def _digests(self, words: list[str]) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(w.encode("utf-8"), self.seed & _MASK) for w in words], np.uint64)
-
-    def _learn(self, jobs: list[list[str]]) -> list[dict[str, bytes]]:
-        """Pieces of words by draw: 0, 1, ..."""
-        out = []
-        for v, words in enumerate(jobs):
-            draws = np.full(len(words), v, np.uint64)
-            out.append(dict(zip(words, self._merge(words, _mix(self._digests(words) + draws * np.uint64(_B)), draws))))
-        return out
+        digest, seed = xxhash.xxh64_intdigest, self.seed & _MASK
+        return np.fromiter([digest(w, seed) for w in map(str.encode, words)], np.uint64, len(words))
 
     def _learn_plain(self, words: list[str]) -> None:
         """New words of the table."""
-        plain, count = [b""] * len(words), np.full(len(words), -1, np.int64)
-        which, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for part, symbols in self._matrices(words):
+        none = np.zeros(0, np.int64)
+        which, symbols, plain, pieces, owner, spans = [none], [none], [none], [none], [none], [np.zeros(0, np.uint64)]
+        sizes = [none]
+        for part, own in self._matrices(words):
             made: list = []
-            for k, ids in zip(part.tolist(), self.merge_many(symbols, None, made)):
-                plain[k] = ids
-            count[part] = 0
-            which += [part[r] for r, _ in made]
+            ids, count = self.merge_many(own, None, made)
+            which.append(part)
+            symbols.append(own.ravel())
+            sizes.append(np.full(len(part), own.shape[1]))
+            plain.append(ids)
+            pieces.append(count)
+            owner += [part[r] for r, _ in made]
             spans += [x for _, x in made]
-        for k, w in enumerate(words):
-            if len(w) == 1 and w in self.id_of:
-                plain[k], count[k] = np.array([self.id_of[w]], np.int32).tobytes(), 0
-        owner = np.concatenate(which)
-        n = np.bincount(owner, minlength=len(words)) if len(words) else count
-        self.first = np.concatenate([self.first, len(self.spans) + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, np.where(count < 0, -1, n)])
-        self.spans = np.concatenate([self.spans, np.concatenate(spans)[np.argsort(owner, kind="stable")]])
+        at = np.concatenate(which)
+        order = np.argsort(at)
+        self.slow = np.concatenate([self.slow, ~np.isin(np.arange(len(words)), at)])
+        for runs, flat, count in ((self.symbols, symbols, sizes), (self.plain, plain, pieces)):
+            flat, count = np.concatenate(flat), np.concatenate(count)
+            full = np.zeros(len(words), np.int64)
+            full[at] = count
+            runs.add(take_runs(flat, (np.cumsum(count) - count)[order], count[order]), full)
+        merged = np.concatenate(owner)
+        self.spans.add(np.concatenate(spans)[np.argsort(merged, kind="stable")], np.bincount(merged, minlength=len(words)))
         self.digest = np.concatenate([self.digest, self._digests(words)])
-        self.row.update(zip(words, range(len(self.plain), len(self.plain) + len(words))))
-        self.plain += plain
 
     def _cut(self, text: str) -> list[str]:
         text = " " + text
@@ -345,34 +369,52 @@ class PieceEncoder(PieceDecoder):
         ends = np.cumsum([0, *map(len, cut)])
         if len(self.row) > CACHE_WORDS:
             self._forget()
-        self._learn_plain([w for w in dict.fromkeys(words) if w not in self.row])
+        known = len(self.row)
         which = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        if len(self.row) > known:
+            self._learn_plain(list(itertools.islice(reversed(self.row), len(self.row) - known))[::-1])
         turn = np.array([_mix((k ^ self.seed * _C) & _MASK) for k in keys], np.uint64)
         draws = np.repeat(turn - ends[:-1].astype(np.uint64), np.diff(ends)) + np.arange(len(words), dtype=np.uint64)
-        if self.variants:
-            draws %= np.uint64(self.variants)
         own = _mix(self.digest[which] + draws * np.uint64(_B))
         # occurrences that skip a merge of the plain pieces
-        first, count = self.first[which], self.count[which]
-        anew, live, k = count < 0, np.flatnonzero(count > 0), 0
+        first, count = self.spans.first[which], self.spans.count[which]
+        anew, live, k = np.zeros(len(which), bool), np.flatnonzero(count > 0), 0
         while len(live):
-            skip = _mix(own[live] ^ self.spans[first[live] + k]) < np.uint64(self.limit)
+            skip = _mix(own[live] ^ self.spans.flat[first[live] + k]) < np.uint64(self.limit)
             anew[live[skip]] = True
             k += 1
             live = live[~skip & (count[live] > k)]
-        parts = list(map(self.plain.__getitem__, which.tolist()))
-        anew = np.flatnonzero(anew)
-        for i, ids in zip(anew.tolist(), self._merge([words[i] for i in anew.tolist()], own[anew], draws[anew])):
-            parts[i] = ids
-        return [np.frombuffer(b"".join(parts[a:b]), np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def _encoder(path: str, dropout: float, seed: int, variants: int) -> PieceEncoder:
-    return worker_state(f"pieces {path} {dropout} {seed} {variants}", lambda: PieceEncoder(path, dropout, seed, variants))
+        flat, first, count = [self.plain.flat], self.plain.first[which], self.plain.count[which]
+        base = len(self.plain.flat)
+        for rows, ids, n in self._merged_anew(words, which, own, draws, np.flatnonzero(anew), np.flatnonzero(self.slow[which])):
+            flat.append(ids)
+            first[rows], count[rows] = base + np.cumsum(n) - n, n
+            base += len(ids)
+        pieces = take_runs(np.concatenate(flat), first, count).astype(np.int32, copy=False)
+        upto = np.concatenate([[0], np.cumsum(count)])[ends].tolist()
+        return [pieces[a:b] for a, b in zip(upto, upto[1:])]
+
+    def _merged_anew(self, words: list[str], which: np.ndarray, own: np.ndarray, draws: np.ndarray, anew: np.ndarray,
+                     slow: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Occurrences, their pieces in a row and how many each has: matrices by length, the slow ones one by one."""
+        size = self.symbols.count[which[anew]]
+        for length in np.unique(size).tolist():
+            part = anew[size == length]
+            for at in range(0, len(part), MATRIX_ROWS):
+                rows = part[at:at + MATRIX_ROWS]
+                symbols = self.symbols.flat[self.symbols.first[which[rows]][:, None] + np.arange(length)]
+                yield rows, *self.merge_many(symbols, own[rows])
+        for i in slow.tolist():
+            ids = self._slow(words[i], int(draws[i]))
+            yield np.array([i]), ids, np.array([len(ids)])
+
+
+def _encoder(path: str, dropout: float, seed: int) -> PieceEncoder:
+    return worker_state(f"pieces {path} {dropout} {seed}", lambda: PieceEncoder(path, dropout, seed))
 
 
 def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", out: str = "pieces",
-                  model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+                  model: str | None = None, dropout: float = DROPOUT, seed: int = SEED,
                   decoded: str | None = None) -> DataFrame:
     """``docs`` plus ``out``, the piece ids of the text, and, with ``decoded``,
     a column of that name with the text that they decode to, made in the same
@@ -383,7 +425,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_i
                           + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, dropout, seed, variants)
+        enc = _encoder(path, dropout, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(at, TEXTS)
@@ -393,7 +435,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", key_col: str = "doc_i
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded:
-                    more.append(pa.array([enc.decode(x.tolist()) for x in ids], pa.string()))
+                    more.append(enc.decode_many(flat, ends))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=schema.names)
 
     return docs.withColumn(key, F.xxhash64(F.col(f"`{key_col}`"))).mapInArrow(run, schema)
