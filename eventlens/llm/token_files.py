@@ -32,7 +32,7 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.byte_table import ByteTable
 from eventlens.llm.common import read_table, worker_state
+from eventlens.llm.runs import Runs, take_runs
 from eventlens.llm.token_counts import byte_alphabet, default_tokenizer
+from eventlens.llm.words import text_slices
 from eventlens.session import scratch_path
 
 END_ID = 0
@@ -110,37 +113,33 @@ class Segment:
         return np.concatenate(out)[start - first * self.block:stop - first * self.block]
 
 
-class _Known(dict):
-    """Ids of chunks, asked for on first use. Two generations bound its size:
-    what was not used since the last change is forgotten."""
-
-    def __init__(self, ask: Callable[[str], bytes], words: int, longest: int):
-        super().__init__()
-        self.ask, self.words, self.longest, self.older = ask, words, longest, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.ask(chunk)
-            if len(chunk) > self.longest:
-                return ids
-        if len(self) >= self.words:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+def _white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space (some
+    that may be, for a few control characters)."""
+    c = data[at - 1]
+    out = (c == 32) | ((c >= 9) & (c <= 13)) | ((c >= 28) & (c <= 31))
+    far = np.flatnonzero(c >= 0x80)
+    if len(far):
+        c, b, a = c[far], data[at[far] - 2], data[np.maximum(at[far], 3) - 3]
+        out[far] = ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+                    | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+                    | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+                    | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)))
+    return out
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once per distinct chunk.
 
-    A chunk is white space and the text up to the next white space; no pretoken
-    of a byte-level tokenizer goes from other text into white space, so a text's
-    ids are its chunks' ids in a row. (Checked against the library on whole
-    texts in the tests.) Tokenizers of another kind are asked text by text."""
+    A chunk begins where a text begins, at a space or line end behind other
+    text, at a full stop or comma behind a letter, and at a letter behind a single line
+    end; no pretoken of a byte-level tokenizer goes across one of these, so a
+    text's ids are its chunks' ids in a row. (Checked against the library on
+    whole texts in the tests.) Chunks are cut and numbered by numpy: only new
+    ones become Python strings. Ids of chunks are kept until there are many.
+    Tokenizers of another kind are asked text by text."""
 
-    WORDS = 350_000  # of late use, per generation
-    LONG = 64
+    WORDS, BYTES = 1_000_000, 32 << 20  # chunks and their bytes, without those of the batch
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -157,10 +156,11 @@ class WordEncoder:
         self.printable = {b: c for c, b in byte_alphabet().items()}
         self.space = self.printable[0x20]
         self.signs = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,\n"}
-        self.odd = regex.compile(r"\s\s")
-        self.chunks = regex.compile(r"\s*\S+|\s+")
         self.letters = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
-        self.known = _Known(self.ask, self.WORDS, self.LONG)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.ids, self.held = ByteTable(), Runs(np.uint32), 0
 
     def ask(self, chunk: str) -> bytes:
         """Ids of one chunk. The plain ones (a space or line end, letters, a
@@ -182,17 +182,42 @@ class WordEncoder:
                 return head + array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes() + tail
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where chunks begin in the texts ``data[ends[k]:ends[k + 1]]``."""
+        line = data == 10
+        mark = line | (data == 32)
+        mark[0] = False
+        at = np.flatnonzero(mark)
+        mark[at[_white_before(data, at)]] = False
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        mark[1:] |= letter[:-1] & ((data[1:] == 46) | (data[1:] == 44)) | letter[1:] & (line & mark)[:-1]
+        mark[ends[:-1][np.diff(ends) > 0]] = True
+        return np.flatnonzero(mark)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a string column; null: empty) in a row, and where each text's begin and end."""
+        texts = texts.fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if not self.by_chunk:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out, known = [], self.known
-        for t in texts:
-            if "\0" in t or self.odd.search(t):
-                own = self.chunks.findall(t)
-            else:  # every white space stands alone: cut before each
-                own = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4"))
-        return out
+            own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(own), np.cumsum([0, *map(len, own)])
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        if ends[-1] == ends[0]:
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+        start = self.cut(data, ends)
+        stop = np.append(start[1:], len(data))
+        which, new = self.table.numbers(data, start, stop)
+        asked = [self.ask(data[x:y].tobytes().decode("utf-8")) for x, y in zip(start[new].tolist(), stop[new].tolist())]
+        self.ids.add(np.frombuffer(b"".join(asked), "<u4"), np.fromiter(map(len, asked), np.int64, len(asked)) // 4)
+        self.held += int((stop[new] - start[new]).sum())
+        count = self.ids.count[which]
+        out = take_runs(self.ids.flat, self.ids.first[which], count)
+        if self.table.n > self.WORDS or self.held > self.BYTES:
+            self._forget()
+        return out, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, ends)]
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -213,14 +238,17 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()),
                  pa.array([make_segment(held, bits)], pa.binary())], names=["part", "part_start", "n_ids", "segment"])
 
-        for b in batches:
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
-            for doc, x in zip(b.column(0).to_pylist(), ids):
-                held.append((doc, np.append(x, np.uint32(end_id))))
-                size += len(x) + 1
-                if size >= SEGMENT_IDS:
-                    yield close()
-                    before, held, size = before + size, [], 0
+        for whole in batches:
+            for b in text_slices(whole, 1):
+                ids, ends = enc.encode(b.column(1))
+                ids = np.insert(ids, ends[1:], end_id)
+                ends = ends + np.arange(len(ends))
+                for doc, x, y in zip(b.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    held.append((doc, ids[x:y]))
+                    size += y - x
+                    if size >= SEGMENT_IDS:
+                        yield close()
+                        before, held, size = before + size, [], 0
         if held:
             yield close()
 

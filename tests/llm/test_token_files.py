@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -40,8 +41,22 @@ def test_segment_random_access():
 
 
 def test_chunks_give_the_library_ids(library):
-    texts = [t or "" for t in odd_texts()] + strings(500, 25)
-    assert [x.tolist() for x in WordEncoder(default_tokenizer()).encode(texts)] == [library(t) for t in texts]
+    texts = odd_texts() + strings(500, 25)
+    r = random.Random(6)
+    white = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2005, 0x200A, 0x200B,
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts += ["".join(r.choice(white + ["a", "é", "漢", ".", "1", "\u2020", "\u30a0"]) for _ in range(9)) for _ in range(3000)]
+    enc = WordEncoder(default_tokenizer())
+    column = pa.array(["left out", *texts, "left out"], pa.string()).slice(1, len(texts))
+    for _ in range(2):  # the second time from the table
+        ids, ends = enc.encode(column)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library(t or "") for t in texts]
+    enc.WORDS = 10  # forgets after each batch
+    for k in range(0, len(texts), 700):
+        ids, ends = enc.encode(column.slice(k, 700))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library(t or "") for t in texts[k:k + 700]]
+    assert enc.encode(pa.array([], pa.string()))[1].tolist() == [0]
+    assert enc.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0]
 
 
 def test_files_against_brute_force(spark, odd_docs, library):
