@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.dates import to_date_or_null
+from eventlens.functions.dates import parsed, to_date_or_null
 from eventlens.functions.ids import document_url
 from eventlens.functions.sections import relevant_section
 from eventlens.functions.text import (CAUSAL_PHRASES, FILING_LIMITS, drop_blank_lines,
@@ -36,10 +36,9 @@ def preprocess_filings(df: DataFrame, form: str | Column = DEFAULT_FORM,
     if checked is not df:
         return checked
     form_col = form if isinstance(form, Column) else F.lit(form)
-    d = (df.select(*extra, F.col("id").cast("string").alias("filing_id"),
-                   to_date_or_null("filing_date").alias("filing_date"),
-                   form_col.alias("_form"), F.col("full_filing_text").alias("_raw"))
-         .where(F.col("filing_date").isNotNull()))
+    d = parsed("filing_date", to_date_or_null("_date"),
+               df.select(*extra, F.col("id").cast("string").alias("filing_id"), F.col("filing_date").alias("_date"),
+                         form_col.alias("_form"), F.col("full_filing_text").alias("_raw"))).drop("_date")
     if text_mode == "html":
         d = html_to_text(d, "_raw", "_text", CLEANING_DROP, EMPTY_INPUT)
         empty = F.col("_text") == EMPTY_INPUT

@@ -6,8 +6,9 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REFERENCE_NAME = re.compile(r"(ret_pct|cat)_D\+?(\d+)")
 
@@ -47,6 +48,46 @@ def standardise(df: DataFrame, ticker: str, id_col: str, text_col: str) -> DataF
     return df.select(F.lit(ticker).alias("ticker"), *[c for c in cols])
 
 
+#: Number types, each of which holds all values of those before it (a double
+#: only up to 53 bits of a whole number, as in pandas).
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType, T.DoubleType)
+
+
+def common_type(types: Sequence[T.DataType]) -> T.DataType:
+    """The type that a column of these types in different tables gets: null
+    gives way to any, numbers widen, dates widen to timestamps, and whatever
+    has no common type but text is text."""
+    kinds = [t for t in dict.fromkeys(types) if not isinstance(t, T.NullType)]
+    if len(kinds) <= 1:
+        return kinds[0] if kinds else T.NullType()
+    if all(isinstance(t, T.DecimalType) for t in kinds):
+        scale = max(t.scale for t in kinds)
+        whole = max(t.precision - t.scale for t in kinds)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    if all(isinstance(t, _NUMBERS) for t in kinds):
+        if any(isinstance(t, (T.DecimalType, T.FloatType, T.DoubleType)) for t in kinds):
+            return T.DoubleType()
+        return max(kinds, key=lambda t: [isinstance(t, n) for n in _NUMBERS].index(True))
+    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in kinds):
+        return T.TimestampType()
+    return T.StringType()
+
+
+def _as_type(c: Column, own: T.DataType, wanted: T.DataType) -> Column:
+    if own == wanted:
+        return c
+    if isinstance(wanted, T.StringType) and isinstance(own, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(c)
+    return c.cast(wanted)
+
+
 def union_events(frames: Sequence[DataFrame]) -> DataFrame:
-    """Concatenate event tables with differing columns (missing -> null)."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Concatenate event tables with differing columns (missing -> null).
+    A column whose type differs between tables gets their common type
+    (:func:`common_type`), so text beside numbers loses nothing; nested values
+    become JSON text there. Only casts are added: no pass over the data."""
+    names = list(dict.fromkeys(f.name for df in frames for f in df.schema.fields))
+    own = [{f.name: f.dataType for f in df.schema.fields} for df in frames]
+    wanted = {n: common_type([t[n] for t in own if n in t]) for n in names}
+    same = [df.select(*[_as_type(F.col(f"`{c}`"), t[c], wanted[c]).alias(c) for c in df.columns]) for df, t in zip(frames, own)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)

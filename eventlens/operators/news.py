@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.dates import published_at_utc
+from eventlens.functions.dates import parsed, published_at_utc
 from eventlens.functions.text import (NEWS_LIMITS, CAUSAL_PHRASES, has_causal_keyword,
                                       strip_tags, with_clean_text)
 from eventlens.operators.guards import require_columns
@@ -38,10 +38,9 @@ def preprocess_news(df: DataFrame, max_chars: int = NEWS_LIMITS[0],
     checked = require_columns(df, NEWS_REQUIRED, NEWS_EVENTS, extra)
     if checked is not df:
         return checked
-    d = (df.select(*extra, F.col("articlesId").cast("string").alias("news_id"),
-                   published_at_utc(_published_date(F.col("publishedAt"))).alias("published_datetime_utc"),
-                   "articlesName", "articlesDescription")
-         .where(F.col("published_datetime_utc").isNotNull()))
+    d = parsed("published_datetime_utc", published_at_utc(_published_date(F.col("publishedAt"))),
+               df.select(*extra, F.col("articlesId").cast("string").alias("news_id"), "publishedAt",
+                         "articlesName", "articlesDescription"))
     d = d.select(*extra, "news_id", "published_datetime_utc",
                  F.to_date("published_datetime_utc").alias("published_date_utc"),
                  strip_tags("articlesName").alias("title"),

@@ -65,12 +65,15 @@ def _ticker_of(doc_id: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TICKERS]), F.pmod(doc_id, F.lit(5)).cast("int") + 1)
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars ``ticker, trade_date, open, high, low, close, adj_close, volume``.
+def bars(spark: SparkSession, sf_dir: str, weekdays: bool = False) -> DataFrame:
+    """Daily bars ``ticker, trade_date, open, high, low, close, adj_close, volume``;
+    with ``weekdays`` trades of a weekend count to the Monday after it.
     Map-side partial aggregation keeps the shuffle at one row per
     (ticker, day) per task, however skewed the event types are."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     day = F.to_date("ts")
+    if weekdays:
+        day = F.date_add(day, F.when(F.dayofweek(day) == 7, 2).when(F.dayofweek(day) == 1, 1).otherwise(0))
     # (ts, event_id) as one fixed-width number: the aggregation stays a hash aggregation
     order = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id")
     order = order.cast("decimal(38,0)")
@@ -206,15 +209,16 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(url.alias("url"), "html")
 
 
-def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily prices ``ticker, trade_date, adj_close`` over all order days:
-    ticker by customer, price = the day's largest order."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
-    return (o.groupBy(_ticker_of(F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("trade_date"))
-            .agg(F.max("o_totalprice").alias("adj_close")))
+def ship_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily prices ``ticker, trade_date, adj_close`` over all shipping days,
+    which reach beyond the days of the orders: ticker by supplier, price = the
+    day's largest item."""
+    o = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
+    return (o.groupBy(_ticker_of(F.col("l_suppkey")).alias("ticker"), F.to_date("l_shipdate").alias("trade_date"))
+            .agg(F.max("l_extendedprice").alias("adj_close")))
 
 
-def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event days ``ticker, event_date`` of the orders in progress: a part of the order days."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event days ``ticker, event_date`` of all orders."""
+    o = table(spark, sf_dir, "orders")
     return o.select(_ticker_of(F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("event_date"))

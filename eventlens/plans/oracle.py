@@ -347,10 +347,10 @@ ORACLE = {
   SELECT ticker, 'D0' AS horizon, cat_d0 AS category FROM rets UNION ALL
   SELECT ticker, 'D+1', cat_d1 FROM rets UNION ALL SELECT ticker, 'D+2', cat_d2 FROM rets)
 GROUP BY 1, 2, 3""",
-    "price_range_prune": w(f"""ord AS (SELECT *, {ticker_of('o_custkey')} AS ticker, CAST(o_orderdate AS DATE) AS day FROM orders)""",
-                           """obars AS (SELECT ticker, day AS trade_date, max(o_totalprice) AS adj_close FROM ord GROUP BY 1, 2)""",
-                           """bounds AS (SELECT ticker, min(day) - 30 AS lo, max(day) + 30 AS hi FROM ord
-  WHERE o_orderstatus = 'P' GROUP BY ticker)""")
+    "price_range_prune": w(f"""obars AS (SELECT {ticker_of('l_suppkey')} AS ticker, CAST(l_shipdate AS DATE) AS trade_date,
+  max(l_extendedprice) AS adj_close FROM lineitem GROUP BY 1, 2)""",
+                           f"""bounds AS (SELECT {ticker_of('o_custkey')} AS ticker, min(CAST(o_orderdate AS DATE)) - 30 AS lo,
+  max(CAST(o_orderdate AS DATE)) + 30 AS hi FROM orders GROUP BY 1)""")
     + "SELECT b.ticker, b.trade_date, round(b.adj_close, 6) AS adj_close FROM obars b JOIN bounds s "
       "ON b.ticker = s.ticker WHERE b.trade_date >= s.lo AND b.trade_date < s.hi",
     "returns_from_raw_bars": w(BARS, """raw_bars AS (SELECT ticker,
@@ -488,3 +488,20 @@ ORACLE["landed_articles"] = f"""SELECT CAST(doc_id AS VARCHAR) AS news_id, {tick
 FROM documents"""
 # Out of its document root, without the dropped parts, the parser gets the filing's own text.
 ORACLE["filing_events_html"] = ORACLE["filing_events"]
+ORACLE["results_rerun"] = ORACLE["results_glob"]
+WEEKDAY_BARS = BARS.replace("CAST(ts AS DATE) AS trade_date",
+                            "CAST(ts AS DATE) + CASE dayofweek(ts) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END AS trade_date")
+ORACLE["align_next_day"] = w(WEEKDAY_BARS, returns_ctes(), news_ctes(), """found AS (
+  SELECT n.news_id, n.ticker, n.published_date_utc AS event_date,
+         CASE WHEN r.trade_date - n.published_date_utc <= 5 THEN r.trade_date END AS trade_date
+  FROM news n ASOF LEFT JOIN rets r ON n.ticker = r.ticker AND n.published_date_utc <= r.trade_date)""") + f"""
+SELECT news_id, f.ticker, event_date, f.trade_date, {RET_SELECT} FROM found f
+LEFT JOIN rets r ON f.ticker = r.ticker AND f.trade_date = r.trade_date"""
+ORACLE["union_mixed_types"] = """
+SELECT o_orderkey AS event_id, 'orders' AS source, CAST(o_orderkey AS VARCHAR) AS code, CAST(o_custkey AS DOUBLE) AS size,
+  strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS at FROM orders
+UNION ALL SELECT p_partkey, 'part', p_name, round(p_retailprice, 6), NULL FROM part
+UNION ALL SELECT event_id, 'events', CAST(user_id % 2 = 0 AS VARCHAR), NULL, strftime(ts, '%Y-%m-%dT%H:%M:%S') FROM events"""
+ORACLE["saved_counts"] = w(news_ctes(), filings_ctes()) + """SELECT 'load filings' AS step, CAST(count(*) AS BIGINT) AS n_rows FROM documents
+UNION ALL SELECT 'load news', count(*) FROM documents
+UNION ALL SELECT 'save filings', count(*) FROM filings UNION ALL SELECT 'save news', count(*) FROM news"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,13 +39,16 @@ def event_dates(news_raw: DataFrame | None, filings_raw: DataFrame | None) -> Da
 
 def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
                    prices: DataFrame, filing_form="8-K", filing_text_mode: str = "html",
-                   strategy: str = "auto", prune: bool = True) -> dict[str, DataFrame]:
+                   strategy: str = "auto", prune: bool = True,
+                   loads: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     """Preprocess each source, compute returns once (materialised in the
     shared folder, reused by both joins) and align every ticker at once.
     ``prune`` keeps each ticker's prices to its events' window (A1, +-30
     days) before the returns are computed, as the reference's download did,
     and afterwards keeps only the event days; events are at least 30 days
-    inside the window, so their returns are the same either way. Returns
+    inside the window, so their returns are the same either way. ``loads``
+    takes an observation of the loaded rows of each source (A3), filled by the
+    first query over that source's result. Returns
     ``{"news": ..., "filings": ...}``."""
     returns = None
     if prune:
@@ -61,6 +64,11 @@ def align_pipeline(news_raw: DataFrame | None, filings_raw: DataFrame | None,
     returns = sized_side(returns if returns is not None else returns_table(prices),
                          strategy=strategy)
     out = {}
+    if loads is not None:  # only what is aligned counts, not the pass over the dates above
+        if news_raw is not None:
+            news_raw, loads["news"] = writers.counted(news_raw)
+        if filings_raw is not None:
+            filings_raw, loads["filings"] = writers.counted(filings_raw)
     if news_raw is not None:
         news = preprocess_news(news_raw).withColumnRenamed("published_date_utc", "event_date")
         out["news"] = align_events(news, returns, "event_date", "prepared")
@@ -129,12 +137,17 @@ def convert(spark: SparkSession, csv_path: str, schema: T.StructType, jsonl_path
 
 
 def align_and_save(news_raw: DataFrame | None, filings_raw: DataFrame | None, prices: DataFrame,
-                   out_dir: str, **options) -> dict[str, DataFrame]:
+                   out_dir: str, counts: dict[str, int] | None = None, **options) -> dict[str, DataFrame]:
     """T8 to its end: align every ticker and save each source as JSON Lines
-    under ``out_dir`` (``news``, ``filings``); an empty source writes nothing."""
-    aligned = align_pipeline(news_raw, filings_raw, prices, **options)
+    under ``out_dir`` (``news``, ``filings``); an empty source writes nothing.
+    ``counts`` takes the rows loaded and saved (A3) as ``load news``,
+    ``save news``, ...; the writes count them on their way."""
+    loads: dict[str, Observation] | None = None if counts is None else {}
+    aligned = align_pipeline(news_raw, filings_raw, prices, loads=loads, **options)
     for source, df in aligned.items():
-        writers.write_jsonl(df, f"{out_dir.rstrip('/')}/{source}")
+        rows = writers.save_jsonl(df, f"{out_dir.rstrip('/')}/{source}")
+        if counts is not None:
+            counts |= {f"load {source}": loads[source].get["rows"], f"save {source}": rows}
     return aligned
 
 

@@ -23,6 +23,7 @@ from eventlens.functions.text import (NEWS_LIMITS, drop_blank_lines, first_sente
                                       remove_boilerplate, strip_tags, truncate_text,
                                       with_clean_text)
 from eventlens.operators.align import align_events, empty_returns, prefix_columns, to_wide
+from eventlens.operators.calendar import align_next_trading_day
 from eventlens.operators.filings import filings_with_text as t9_filings_with_text
 from eventlens.operators.filings import latest_filings as s5_latest_filings
 from eventlens.operators.filings import preprocess_filings
@@ -84,8 +85,8 @@ def return_categories(spark, d):
 
 
 def price_range_prune(spark, d):
-    """A1: daily prices over all order days, kept around the orders in progress."""
-    return r6(prune_prices(B.order_bars(spark, d), B.open_orders(spark, d), "event_date")
+    """A1: daily prices over all shipping days, kept around the days of all orders."""
+    return r6(prune_prices(B.ship_bars(spark, d), B.order_events(spark, d), "event_date")
               .select("ticker", "trade_date", "adj_close"))
 
 
@@ -119,6 +120,14 @@ def align_empty_prices(spark, d):
     return a.select("news_id", "ticker", "event_date", *RETURN_OUT)
 
 
+def align_next_day(spark, d):
+    """J1 as of the next trading day, on bars of weekdays (weekend trades count to Monday)."""
+    news = _news(spark, d).withColumnRenamed("published_date_utc", "event_date")
+    returns = returns_table(B.bars(spark, d, weekdays=True), keep_bars=False)
+    a = align_next_trading_day(news.select("news_id", "ticker", "event_date"), returns, max_gap_days=5)
+    return r6(a.select("news_id", "ticker", "event_date", "trade_date", *RETURN_OUT))
+
+
 def align_wide_prefixed(spark, d):
     a = _aligned_news(spark, d).select("news_id", "ticker", "event_date", *RETURN_OUT)
     return r6(to_wide(a, B.TICKERS, RETURN_OUT))
@@ -352,6 +361,14 @@ def align_job(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def saved_counts(spark, d):
+    """A3: rows loaded and saved by the align job, counted by its writes themselves."""
+    counts: dict[str, int] = {}
+    align_and_save(B.news_raw(spark, d), B.filings_raw(spark, d), B.bars(spark, d), scratch_path(spark, "align-counts"),
+                   counts=counts, filing_form=F.col("form"), filing_text_mode="plain")
+    return spark.createDataFrame(sorted(counts.items()), "step string, n_rows long")
+
+
 def score_from_files(spark, d):
     """K5 -> S4 -> T7: results written by model, read back, scored."""
     path = scratch_path(spark, "results")
@@ -368,7 +385,7 @@ def landed_articles(spark, d):
     time = F.when(odd, F.to_json(F.struct(F.col("publishedAt.date").alias("publishedAt")))) \
         .otherwise(F.to_json(F.struct("publishedAt")))
     # one array per article: joined objects, as the landing step writes them
-    line = F.concat(F.lit("["), F.regexp_replace(time, r"\}$", ","), F.substring(rest, 2, 10_000_000), F.lit("]"))
+    line = F.concat(F.lit("["), F.regexp_replace(time, r"\}$", ","), F.substr(rest, F.lit(2)), F.lit("]"))
     path = scratch_path(spark, "landing-arrays")
     raw.select(line.alias("value")).write.text(path)
     schema = T.StructType(RAW_NEWS.fields + [T.StructField("ticker", T.StringType())])
@@ -416,6 +433,30 @@ def results_glob(spark, d):
                        "raw_llm")
 
 
+def results_rerun(spark, d):
+    """K5 twice: all models' results, then m1's again, which replaces m1's and no others."""
+    res = results_from_answers(B.answers(spark, d))
+    path = scratch_path(spark, "results")
+    writers.write_results(res.withColumn("raw_llm", F.when(F.col("model") == "m1", F.lit("first run")).otherwise(F.col("raw_llm"))), path)
+    writers.write_results(res.where(F.col("model") == "m1"), path)
+    return readers.read_results(spark, path).select("model", "event_id", "ground_causal", "causal_llm_pred", "assoc_llm_pred",
+                                                    "raw_llm")
+
+
+def union_mixed_types(spark, d):
+    """U1 where a column's type differs: order numbers and totals beside text
+    and whole numbers, dates beside timestamps."""
+    o, p = B.table(spark, d, "orders"), B.table(spark, d, "part")
+    orders = o.select(F.col("o_orderkey").alias("event_id"), F.lit("orders").alias("source"), F.col("o_orderkey").alias("code"),
+                      F.col("o_custkey").cast("int").alias("size"), F.to_date("o_orderdate").alias("at"))
+    parts = p.select(F.col("p_partkey").alias("event_id"), F.lit("part").alias("source"), F.col("p_name").alias("code"),
+                     F.col("p_retailprice").cast("double").alias("size"), F.lit(None).alias("at"))
+    ev = B.table(spark, d, "events").select("event_id", F.lit("events").alias("source"), (F.col("user_id") % 2 == 0).alias("code"),
+                                           F.col("ts").cast("timestamp").alias("at"))
+    u = union_events([orders, parts, ev])
+    return r6(u.withColumn("at", iso_timestamp("at")))
+
+
 def landing_roundtrip(spark, d):
     """K3 + S6/U2: land the news as pages, scan all pages back
     in one read, preprocess (T1)."""
@@ -507,6 +548,7 @@ QUERIES = {
     "align_empty_prices": align_empty_prices,
     "align_wide_prefixed": align_wide_prefixed,
     "align_all_tickers": align_all_tickers,
+    "align_next_day": align_next_day,
     "strip_tags": strip_tags_q,
     "keyword_screen": keyword_screen,
     "clean_boilerplate": clean_boilerplate,
@@ -541,6 +583,9 @@ QUERIES = {
     "jsonl_roundtrip": jsonl_roundtrip,
     "csv_roundtrip": csv_roundtrip,
     "results_glob": results_glob,
+    "results_rerun": results_rerun,
+    "union_mixed_types": union_mixed_types,
+    "saved_counts": saved_counts,
     "macro_series": macro_series,
     "landing_roundtrip": landing_roundtrip,
     "stream_news_events": stream_news_events,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlens.operators.guards import missing_columns, nan_to_null
@@ -17,22 +18,55 @@ JSON_OPTIONS = {
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": ""}
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """A3: ``df``, and an observation whose ``get["rows"]`` is the number of its
+    rows once a query over it has run. The count rides on that query."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _rename(df: DataFrame, source: str, target: str) -> None:
+    jvm = df.sparkSession._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = old.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    if not fs.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> bool:
+    """K1 (see :func:`save_jsonl`). Returns whether anything was written."""
+    return save_jsonl(df, path, mode, skip_empty) > 0 or not skip_empty
+
+
+def save_jsonl(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> int:
     """K1: JSON Lines; NaN -> null, nulls written, ISO dates, non-ASCII kept.
-    An empty table writes nothing (``skip_empty``; the probe reads at most
-    one row). Returns whether anything was written."""
-    if skip_empty and df.isEmpty():
-        return False
-    nan_to_null(df).write.mode(mode).options(**JSON_OPTIONS).json(path)
-    return True
+    Returns the rows written, counted by the write itself (A3): the plan runs
+    once. An empty table writes nothing (``skip_empty``) and leaves what stands
+    at ``path``: an overwrite goes to a folder beside it, which takes its place
+    when it holds rows."""
+    df, seen = counted(nan_to_null(df))
+    if mode != "overwrite" or not skip_empty:
+        df.write.mode(mode).options(**JSON_OPTIONS).json(path)
+        return seen.get["rows"]
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.options(**JSON_OPTIONS).json(beside)
+    rows = seen.get["rows"]
+    if rows:
+        _rename(df, beside, path)
+    else:
+        other = df.sparkSession._jvm.org.apache.hadoop.fs.Path(beside)
+        other.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(other, True)
+    return rows
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite",
               partition_by: str | None = None) -> None:
-    """K2 (and K5 with ``partition_by='model'``): CSV with a header."""
+    """K2: CSV with a header. With ``partition_by`` a folder per value;
+    overwriting then replaces the folders of the values that ``df`` has, and no others."""
     w = df.write.mode(mode).options(**CSV_OPTIONS)
     if partition_by:
-        w = w.partitionBy(partition_by)
+        w = w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     w.csv(path)
 
 
@@ -51,5 +85,6 @@ def convert_columns(df: DataFrame, field_map: Mapping[str, str]) -> DataFrame:
 
 
 def write_results(df: DataFrame, directory: str, mode: str = "overwrite") -> None:
-    """K5: the result table partitioned by model (``model=<name>/``)."""
+    """K5: the result table partitioned by model (``model=<name>/``). A model's
+    new run replaces its own results; those of other models stay."""
     write_csv(df, directory, mode, partition_by="model")

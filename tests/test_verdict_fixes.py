@@ -99,12 +99,12 @@ def test_dates_that_pandas_reads(spark):
 
 def test_price_range_reaches_the_scan_and_prunes(spark):
     from eventlens.plans.queries import price_range_prune
-    bars = B.order_bars(spark, SF_SMALL)
+    bars = B.ship_bars(spark, SF_SMALL)
     kept = price_range_prune(spark, SF_SMALL)
     assert 0 < kept.count() < bars.count()
-    pruned = plan(prune_prices(bars, B.open_orders(spark, SF_SMALL), "event_date"))
+    pruned = plan(prune_prices(bars, B.order_events(spark, SF_SMALL), "event_date"))
     below = pruned[pruned.index("partial_max"):]
-    assert "o_orderdate" in below and ">= 19" in below.replace("'", "")
+    assert "l_shipdate" in below and ">= 19" in below.replace("'", "")
 
 
 def test_bars_use_a_hash_aggregation(spark):
