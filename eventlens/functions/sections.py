@@ -1,12 +1,15 @@
 """Filing section extraction (F10, F11, F12) as Catalyst expressions.
 
-``regexp_substr`` returns null when a pattern does not match, so the
-priority list becomes one ``coalesce`` that stops at the first hit.
+All item headings of a filing are found in one pass; the priority list is a
+choice among their codes, and the text is cut before each of them. (A pattern
+per item would scan a text without items six times.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import SPACE, _bind
@@ -31,13 +34,56 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _item_8k_expr(c: Column, items=PRIORITY_8K_ITEMS) -> Column:
+_BARE = r"(?dUiu)^Item" + SPACE + r"+\d\.\d{2}"
+
+
+def _by_pattern(c: Column, items=PRIORITY_8K_ITEMS) -> Column:
+    """F10 read literally: a scan of the text per item, in priority."""
     tries = [F.regexp_substr(c, F.lit(ITEM_8K_PATTERN.format(code=code.replace(".", r"\."))))
              for code in items]
     tries.append(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)))
     return F.coalesce(*tries, c)
 
 
+def heading_codes(c: Column) -> Column:
+    """Codes (``2.02``) of all item headings of a text, in order."""
+    return F.regexp_extract_all(c, F.lit(r"(?dUiu)Item" + SPACE + r"+(\d\.\d{0,2})"), F.lit(1))
+
+
+def heading_pieces(c: Column) -> Column:
+    """The text cut before each item heading."""
+    return F.split(c, r"(?dUiu)(?=Item" + SPACE + r"+\d\.)", -1)
+
+
+def _section_of(c: Column, codes: Column, pieces: Column, items=PRIORITY_8K_ITEMS) -> Column:
+    """F10 by the headings: the item is chosen on their codes, its section is
+    the piece that begins there."""
+    at = F.coalesce(*[F.nullif(F.array_position(codes, F.lit(code)), F.lit(0)) for code in items])
+    # a piece in front of the first heading, unless the text begins with it
+    piece = F.get(pieces, (F.size(pieces) - F.size(codes) + at - 1).cast("int"))
+    last = (at == F.size(codes)) & piece.endswith("\n") & ~piece.rlike(_BARE + r"\n\z")  # "$" stands before it
+    section = F.when(last, F.substr(piece, F.lit(1), F.length(piece) - 1)).otherwise(piece)
+    other = F.coalesce(F.regexp_substr(c, F.lit(ANY_ITEM_8K_PATTERN)), c)
+    # nothing between an item's heading and the next: the pattern goes on to the one after
+    return F.when(piece.isNull(), other).when(piece.rlike(_BARE + r"\z"), _by_pattern(c, items)).otherwise(section)
+
+
+def _item_8k_expr(c: Column, items=PRIORITY_8K_ITEMS) -> Column:
+    if not all(re.fullmatch(r"[0-9]\.[0-9]{2}", code) for code in items):
+        return _by_pattern(c, items)  # codes of another form are not told apart by their headings
+    return _bind(heading_codes(c), lambda codes: _bind(heading_pieces(c), lambda pieces: _section_of(c, codes, pieces, items)))
+
+
+def with_relevant_section(df: DataFrame, text: str, form: str, out: str) -> DataFrame:
+    """:func:`relevant_section` as a column, with headings and pieces staged as
+    columns, so that each is made once and the work stays in generated code."""
+    is_8k = F.upper(F.col(form)) == FORM_8K
+    staged = df.withColumns({"_codes": F.when(is_8k, heading_codes(F.col(text))), "_pieces": F.when(is_8k, heading_pieces(F.col(text)))})
+    section = (F.when(is_8k, _section_of(F.col(text), F.col("_codes"), F.col("_pieces")))
+               .when(F.upper(F.col(form)).isin(*FORMS_MDNA), _mdna_expr(F.col(text))).otherwise(F.col(text)))
+    return staged.withColumn(out, section).drop("_codes", "_pieces")
+
+
 def _mdna_expr(c: Column) -> Column:
     return F.coalesce(F.regexp_substr(c, F.lit(MDNA_PATTERN)), c)
 

@@ -3,18 +3,23 @@ index-to-text job (T9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.dates import parsed, to_date_or_null
 from eventlens.functions.ids import document_url
-from eventlens.functions.sections import relevant_section
+from eventlens.functions.sections import with_relevant_section
 from eventlens.functions.text import (CAUSAL_PHRASES, FILING_LIMITS, drop_blank_lines,
                                       has_causal_keyword, is_blank, with_clean_text)
 from eventlens.operators.guards import require_columns
 from eventlens.operators.html import CLEANING_DROP, EMPTY_INPUT, LANDING_DROP, html_to_text
 from eventlens.plans.sizing import sized_side
 from eventlens.schemas import FILING_EVENTS, FILINGS_REQUIRED
+from eventlens.session import materialize
 
 DEFAULT_FORM = "8-K"
 FILINGS_PER_COMPANY = 5  # fixed value: latest filings kept per company
@@ -47,7 +52,7 @@ def preprocess_filings(df: DataFrame, form: str | Column = DEFAULT_FORM,
         empty = is_blank("_raw")
     else:
         raise ValueError("text_mode must be 'html' or 'plain'")
-    d = d.withColumn("_empty", empty).withColumn("_section", relevant_section("_text", "_form"))
+    d = with_relevant_section(d.withColumn("_empty", empty), "_text", "_form", "_section")
     d = with_clean_text(d, "_section", "_item", max_chars, max_sents)
     d = d.select(*extra, "filing_id", "filing_date",
                  F.when(F.col("_empty"), F.lit(EMPTY_INPUT)).otherwise(F.col("_item")).alias("item_text"))
@@ -94,18 +99,72 @@ def latest_filings(filings: DataFrame, form: str = DEFAULT_FORM, n: int = FILING
                          "cik", F.col("_rn").cast("long").alias("rank"))
 
 
-def filings_with_text(index_rows: DataFrame, pages: DataFrame, strategy: str = "auto") -> DataFrame:
-    """Latest-filing rows with the text of their landed page
-    ``(url, html)`` (F9, landing variant); a filing without a landed page
-    keeps a null text.
-
-    The page table is the big side: it is only semi-joined against the set
-    of wanted URLs (sized, then broadcast under the bound), so pages are
-    never shuffled; only the matched pages go through the HTML parser, and
-    their texts (one per index row at most) are attached to the index."""
-    wanted = sized_side(index_rows.select("html_url").distinct(), strategy=strategy)
-    matched = (pages.select(F.col("url").alias("html_url"), "html")
-               .join(wanted, "html_url", "left_semi"))
-    texts = html_to_text(matched, "html", "full_filing_text", LANDING_DROP,
-                         empty_value=None).drop("html")
+def _place() -> list[Column]:
+    return [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "row_index")]
+
+
+def page_places(spark: SparkSession, path: str, url: str | Column = "url") -> DataFrame:
+    """``html_url, file_path, row_index``: where each page of a landed Parquet
+    table stands. The scan reads the columns of the URL only, not the pages."""
+    u = F.col(url) if isinstance(url, str) else url
+    return spark.read.parquet(path).select(u.alias("html_url"), *_place())
+
+
+FETCH_ROWS = 1_000_000  # places (some 100 bytes each) that are sent to the tasks at a time
+FETCH_FILES = 10_000  # paths in one scan
+
+
+def _file_groups(files: list[tuple[str, int]], max_rows: int) -> list[list[str]]:
+    """Files in groups of at most ``max_rows`` wanted rows; a file with more is one alone."""
+    groups: list[list[str]] = []
+    held = 0
+    for path, n in files:
+        if not groups or held + n > max_rows or len(groups[-1]) == FETCH_FILES:
+            groups.append([])
+            held = 0
+        groups[-1].append(path)
+        held += n
+    return groups
+
+
+def fetch_pages(places: DataFrame, html_col: str = "html", max_rows: int = FETCH_ROWS) -> DataFrame:
+    """``places`` (``file_path, row_index`` and keys) with the page at each place.
+
+    Late fetch: only files that hold a wanted page are scanned, each once, and
+    the places are sent to that scan, never the pages to the places: no exchange
+    carries a page, however many are wanted. The driver sees one row per file; the places
+    go out in groups of files of at most ``max_rows`` places, so what is
+    broadcast is bounded (a file with more has its places split by row)."""
+    spark = places.sparkSession
+    held = materialize(places)
+    files = sorted((r.file_path, r.n) for r in held.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted = dict(files)
+    parts = []
+    for group in _file_groups(files, max_rows):
+        pages = spark.read.parquet(*[unquote(f) for f in group]).select(F.col(f"`{html_col}`"), *_place())
+        own = held.where(F.col("file_path").isin(group))
+        pieces = -(-wanted[group[0]] // max_rows) if len(group) == 1 else 1
+        for k in range(pieces):
+            some = own.where(F.pmod("row_index", F.lit(pieces)) == k) if pieces > 1 else own
+            parts.append(pages.join(F.broadcast(some), ["file_path", "row_index"]))
+    if not parts:
+        kind = T.StructType(held.schema.fields + [T.StructField(html_col, T.StringType())])
+        return spark.createDataFrame([], kind)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def filings_with_text(index_rows: DataFrame, places: DataFrame, strategy: str = "auto",
+                      html_col: str = "html", max_rows: int = FETCH_ROWS) -> DataFrame:
+    """Latest-filing rows with the text of their landed page (F9, landing
+    variant); a filing without a landed page keeps a null text.
+
+    ``places`` says where each landed page stands (:func:`page_places`). Keys
+    and places meet first, then only the matched pages are read
+    (:func:`fetch_pages`) and parsed, and their texts (one per index row at
+    most) are attached to the index."""
+    wanted = index_rows.select("html_url").distinct()
+    matched = places.join(sized_side(wanted, strategy=strategy), "html_url", "left_semi")
+    matched = matched.groupBy("html_url").agg(F.min(F.struct("file_path", "row_index")).alias("p")).select("html_url", "p.*")
+    pages = fetch_pages(matched, html_col, max_rows).select("html_url", html_col)
+    texts = html_to_text(pages, html_col, "full_filing_text", LANDING_DROP, empty_value=None).drop(html_col)
     return index_rows.join(sized_side(texts, strategy=strategy), "html_url", "left")

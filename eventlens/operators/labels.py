@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlens.operators.align import reference_name
+
 REFERENCE_NAME = re.compile(r"(ret_pct|cat)_D\+?(\d+)")
 
 
@@ -48,6 +50,21 @@ def standardise(df: DataFrame, ticker: str, id_col: str, text_col: str) -> DataF
     return df.select(F.lit(ticker).alias("ticker"), *[c for c in cols])
 
 
+def standardise_files(lines: DataFrame, types: T.StructType, id_col: str, text_col: str) -> DataFrame:
+    """P5 for all tickers at once: ``lines`` has a ``ticker`` and a JSON object
+    in ``value``, whose members may have the ticker in their names. Gives
+    ``ticker``, ``event_id``, ``event_text`` and the other columns of ``types``
+    (this package's names), without a job or a plan branch per ticker."""
+    m = F.col("_m")
+    cols = []
+    for f in types.fields:
+        own = F.concat(F.col("ticker"), F.lit(f"_{reference_name(f.name)}"))
+        value = F.coalesce(F.try_element_at(m, own), F.try_element_at(m, F.lit(f.name)))
+        name = {id_col: "event_id", text_col: "event_text"}.get(f.name, f.name)
+        cols.append((value if isinstance(f.dataType, T.StringType) else value.try_cast(f.dataType)).alias(name))
+    return lines.select("ticker", F.from_json("value", "map<string,string>").alias("_m")).select("ticker", *cols)
+
+
 #: Number types, each of which holds all values of those before it (a double
 #: only up to 53 bits of a whole number, as in pandas).
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType, T.DoubleType)

@@ -16,6 +16,7 @@ import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -52,9 +53,62 @@ def keyword_predictor(phrases=CAUSAL_PHRASES) -> PredictorFactory:
     return make
 
 
+CHARS_PER_TOKEN = 4  # rough, only to size batches
+WINDOW_ROWS = 4096  # rows of a task that are ordered by length together
+WINDOW_CHARS = 32 << 20  # and their prompts, unless one alone is longer
+
+
+def length_batches(frames: Iterator[pd.DataFrame], length_col: str, token_budget: int,
+                   chars_per_token: float = CHARS_PER_TOKEN) -> Iterator[pd.DataFrame]:
+    """The rows of a task in batches of prompts of like length: a batch has at
+    most ``token_budget`` tokens when every prompt is padded to its longest (a
+    prompt beyond the budget is a batch of its own). Rows are held in windows of
+    bounded rows and characters, ordered by length within each, so memory does not
+    grow with the task and short prompts are not padded to long ones."""
+    held: list[pd.DataFrame] = []
+    rows = chars = 0
+
+    def cut() -> Iterator[pd.DataFrame]:
+        window = pd.concat(held, ignore_index=True)
+        size = window[length_col].map(lambda t: len(t) if isinstance(t, str) else 0)
+        order = size.sort_values(kind="stable").index
+        tokens = (size[order] // chars_per_token + 1).astype(int).tolist()
+        start = 0
+        for k, n in enumerate(tokens):
+            if k > start and n * (k + 1 - start) > token_budget:  # sizes rise: the newest is the longest
+                yield window.loc[order[start:k]]
+                start = k
+        if tokens:
+            yield window.loc[order[start:]]
+
+    for frame in frames:
+        for at in range(0, len(frame), 256):
+            part = frame.iloc[at:at + 256]
+            held.append(part)
+            rows += len(part)
+            chars += int(part[length_col].map(lambda t: len(t) if isinstance(t, str) else 0).sum())
+            if rows >= WINDOW_ROWS or chars >= WINDOW_CHARS:
+                yield from cut()
+                held, rows, chars = [], 0, 0
+    if held:
+        yield from cut()
+
+
+def accelerator_profile(cpus: int = 1, **amounts: float) -> ResourceProfile:
+    """A resource profile for the prediction stage alone, such as
+    ``accelerator_profile(cpus=4, gpu=1)``: the executors and tasks that run the
+    model, while the rest of the plan keeps the session's."""
+    tasks, executors = TaskResourceRequests().cpus(cpus), ExecutorResourceRequests().cores(cpus)
+    for name, n in amounts.items():
+        tasks, executors = tasks.resource(name, n), executors.resource(name, max(1, int(n)))
+    return ResourceProfileBuilder().require(tasks).require(executors).build
+
+
 def run_predictors(events: DataFrame, predictors: Mapping[str, PredictorFactory],
                    out_col: str = "raw_answer",
-                   drop: tuple[str, ...] = ("prompt", "event_text")) -> DataFrame:
+                   drop: tuple[str, ...] = ("prompt", "event_text"),
+                   token_budget: int | None = None, length_col: str | None = None,
+                   profile: ResourceProfile | None = None) -> DataFrame:
     """G1: one row per (event, model) with the model's raw answer text.
 
     Each event crosses the Python boundary once: a task feeds every Arrow
@@ -62,7 +116,13 @@ def run_predictors(events: DataFrame, predictors: Mapping[str, PredictorFactory]
     duplicated per model before the boundary (no fan-out join, no explode).
     ``drop`` lists input columns the output does not need (the long texts).
     ``events`` should hold only what the predictors read plus the ids to
-    keep: the Python boundary is opaque to column pruning."""
+    keep: the Python boundary is opaque to column pruning.
+
+    With ``token_budget`` the models get batches of prompts of like length
+    (:func:`length_batches`; by ``length_col``, the prompt if there is one);
+    their answers are the same. ``profile`` is the resource profile of this
+    stage (:func:`accelerator_profile`)."""
+    length_col = length_col or ("prompt" if "prompt" in events.columns else "event_text")
     names = list(predictors)
     factories = dict(predictors)
     drop = tuple(c for c in drop if c in events.columns)
@@ -73,11 +133,11 @@ def run_predictors(events: DataFrame, predictors: Mapping[str, PredictorFactory]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, Predictor] = {}
-        for pdf in batches:
+        for pdf in batches if token_budget is None else length_batches(batches, length_col, token_budget):
             for model in names:
                 if model not in built:
                     built[model] = factories[model]()
                 raw = built[model](pdf)
                 yield pdf[keep_names].assign(model=model, **{out_col: raw.values})
 
-    return events.mapInPandas(run, schema)
+    return events.mapInPandas(run, schema, profile=profile)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.ids import document_url, zero_padded
+from eventlens.operators.filings import page_places
 from eventlens.plans.sizing import balance
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -197,16 +198,17 @@ def accession(custkey: Column, orderdate: Column, orderkey: Column) -> Column:
                     zero_padded(orderkey, 6))
 
 
-def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages ``(url, html)`` stored under the archive URL of the order whose
-    key is the page id (inner join: pages of unknown orders are not filings)."""
-    p = table(spark, sf_dir, "pages", ("page_id", "html"))
+def landed_page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each page stands, under the archive URL of the order whose key is
+    the page id (null for a page without such an order). Only keys meet here;
+    the pages themselves are not read."""
+    p = page_places(spark, f"{sf_dir.rstrip('/')}/pages.parquet", "page_id").withColumnRenamed("html_url", "page_id")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    j = p.join(o, p.page_id == o.o_orderkey)
     url = document_url(F.col("o_custkey"), accession(F.col("o_custkey"), F.col("o_orderdate"),
                                                      F.col("o_orderkey")),
                        F.concat(F.lit("doc"), F.col("o_orderkey").cast("string"), F.lit(".htm")))
-    return j.select(url.alias("url"), "html")
+    return (p.join(o, p.page_id == o.o_orderkey, "left")
+            .select(url.alias("html_url"), "file_path", "row_index"))
 
 
 def ship_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

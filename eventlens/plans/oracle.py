@@ -505,3 +505,11 @@ UNION ALL SELECT event_id, 'events', CAST(user_id % 2 = 0 AS VARCHAR), NULL, str
 ORACLE["saved_counts"] = w(news_ctes(), filings_ctes()) + """SELECT 'load filings' AS step, CAST(count(*) AS BIGINT) AS n_rows FROM documents
 UNION ALL SELECT 'load news', count(*) FROM documents
 UNION ALL SELECT 'save filings', count(*) FROM filings UNION ALL SELECT 'save news', count(*) FROM news"""
+ORACLE["predict_batched"] = ORACLE["predict_keyword"]
+ORACLE["returns_from_price_table"] = ORACLE["daily_returns"]
+ORACLE["landed_quarantine"] = """
+SELECT 'read' AS kind, CAST(count(*) FILTER (doc_id % 31 <> 0) AS BIGINT) AS n FROM documents
+UNION ALL SELECT 'broken', count(*) FILTER (doc_id % 31 = 0) FROM documents
+UNION ALL SELECT 'counted good', count(*) FILTER (doc_id % 31 <> 0) FROM documents
+UNION ALL SELECT 'counted broken', count(*) FILTER (doc_id % 31 = 0) FROM documents"""
+ORACLE["landed_pages_check"] = "SELECT CAST(doc_id AS VARCHAR) AS news_id FROM documents"

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,13 +94,15 @@ def benchmark_events(aligned: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def run_benchmark(events: DataFrame, predictors: Mapping[str, PredictorFactory],
-                  unwrap_fences: bool = False, missing_reaction: str | None = None) -> DataFrame:
+                  unwrap_fences: bool = False, missing_reaction: str | None = None,
+                  token_budget: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """Prompt (F17) -> predictors (G1) -> parsed answers.
     Ground labels come from ``causal_label``/``assoc_label`` when present
     (missing column -> ``''``, P11); the reaction from ``cat_d1`` or
     ``cat_D+1``. A table with neither is refused, as every prompt would be
     wrong without a word; ``missing_reaction`` (such as ``N/A``) allows it.
-    The prompt is built only for predictors that read it."""
+    The prompt is built only for predictors that read it. ``token_budget`` and
+    ``profile``: see :func:`eventlens.operators.predict.run_predictors`."""
     reaction = next((c for c in ("cat_d1", "cat_D+1") if c in events.columns), None)
     if reaction is None and missing_reaction is None:
         raise ValueError("no reaction column: cat_d1 or cat_D+1")
@@ -110,7 +113,7 @@ def run_benchmark(events: DataFrame, predictors: Mapping[str, PredictorFactory],
         optional_col(events, "assoc_label", "").alias("ground_assoc"))
     if any(getattr(f, "needs_prompt", True) for f in predictors.values()):
         ev = ev.withColumn("prompt", build_prompt("event_text", "reaction"))
-    raw = run_predictors(ev, predictors, "raw_answer")
+    raw = run_predictors(ev, predictors, "raw_answer", token_budget=token_budget, profile=profile)
     return results_from_answers(raw, unwrap_fences)
 
 

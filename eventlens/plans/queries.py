@@ -9,6 +9,7 @@ text, so results compare exactly with the SQL twins in
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,14 @@ from eventlens.functions.sql import register_sql_functions
 from eventlens.functions.text import (NEWS_LIMITS, drop_blank_lines, first_sentences,
                                       remove_boilerplate, strip_tags, truncate_text,
                                       with_clean_text)
-from eventlens.operators.align import align_events, empty_returns, prefix_columns, to_wide
+from eventlens.operators.align import align_events, empty_returns, to_wide
 from eventlens.operators.calendar import align_next_trading_day
 from eventlens.operators.filings import filings_with_text as t9_filings_with_text
 from eventlens.operators.filings import latest_filings as s5_latest_filings
 from eventlens.operators.filings import preprocess_filings
 from eventlens.operators.guards import nan_to_null, optional_col
 from eventlens.operators.html import html_to_text
-from eventlens.operators.labels import LABEL_COLUMNS, standardise, union_events
+from eventlens.operators.labels import LABEL_COLUMNS, standardise_files, union_events
 from eventlens.operators.labels import annotation_sheet as t5_annotation_sheet
 from eventlens.operators.metrics import report, score
 from eventlens.operators.news import preprocess_news
@@ -39,9 +40,10 @@ from eventlens.plans import bindings as B
 from eventlens.plans.pipeline import (align_and_save, align_pipeline, annotate, benchmark_events,
                                       convert, results_from_answers, run_benchmark)
 from eventlens.plans.sizing import sized_side
-from eventlens.session import materialize, scratch_path
+from eventlens.session import scratch_path
 from eventlens.sources import readers, writers
-from eventlens.schemas import RAW_NEWS
+from eventlens.schemas import PAGE_NUMBERS, RAW_NEWS
+from eventlens.sources.landing import missing_pages, to_pages
 
 RETURN_OUT = ("adj_close", "ret_pct_d0", "cat_d0", "ret_pct_d1", "cat_d1", "ret_pct_d2", "cat_d2")
 
@@ -77,6 +79,14 @@ def daily_returns(spark, d):
     return r6(_returns(spark, d))
 
 
+def returns_from_price_table(spark, d):
+    """T3 from a price table bucketed by ticker: no exchange and no sort before the window."""
+    name = f"prices_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "price-table")
+    writers.write_price_table(B.bars(spark, d), name, path, 8)
+    return r6(returns_table(spark.table(name)))
+
+
 def return_categories(spark, d):
     r = _returns(spark, d)
     long = r.select("ticker", F.expr(
@@ -229,7 +239,7 @@ def latest_filings_q(spark, d):
 
 def filings_with_text(spark, d):
     idx = s5_latest_filings(B.filing_index(spark, d), "1-URGENT", 5, ("o_orderdate", "o_orderkey"))
-    return t9_filings_with_text(idx, B.landed_pages(spark, d))
+    return t9_filings_with_text(idx, B.landed_page_places(spark, d))
 
 
 def filing_events_html(spark, d):
@@ -277,6 +287,15 @@ def predict_keyword(spark, d):
                       "cause_llm_pred", "effect_llm_pred")
 
 
+def predict_batched(spark, d):
+    """G1 in batches of like prompts under a token budget; the answers are those of the plain form."""
+    a = _aligned_news(spark, d).select(F.col("news_id").alias("event_id"), "ticker",
+                                       F.col("summary").alias("event_text"), "cat_d1")
+    res = run_benchmark(a, {"keyword": keyword_predictor()}, token_budget=4096)
+    return res.select("model", "event_id", "causal_llm_pred", "assoc_llm_pred",
+                      "cause_llm_pred", "effect_llm_pred")
+
+
 def score_models(spark, d):
     return r6(score(results_from_answers(B.answers(spark, d))))
 
@@ -303,23 +322,21 @@ def benchmark_end_to_end(spark, d):
 
 
 def benchmark_labelled(spark, d):
-    """P5/T6 as the benchmark is run: one labelled JSON Lines file per ticker
-    with ticker-prefixed columns, read back, standardised and predicted."""
+    """P5/T6 as the benchmark is run: labelled JSON Lines per ticker with
+    ticker-prefixed columns, written once, read back once, standardised and predicted."""
     lab = B.table(spark, d, "labels").select(
         F.col("doc_id").cast("string").alias("news_id"),
         F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("causal_label"),
         F.when(F.col("toxic") == 1, "Yes").when(F.col("toxic") == 0, "No").alias("assoc_label"))
-    a = materialize(_aligned_news(spark, d).join(sized_side(lab), "news_id", "left").select(
+    a = _aligned_news(spark, d).join(sized_side(lab), "news_id", "left").select(
         "news_id", "ticker", "event_date", "summary", *RETURN_OUT,
         F.coalesce("causal_label", F.lit("")).alias("causal_label"),
-        F.coalesce("assoc_label", F.lit("")).alias("assoc_label")))
-    frames = []
-    for t in B.TICKERS:
-        own = prefix_columns(a.where(F.col("ticker") == t).drop("ticker"), t, RETURN_OUT)
-        path = scratch_path(spark, f"labelled-{t}")
-        writers.write_jsonl(own, path)
-        frames.append(standardise(readers.read_jsonl(spark, path, own.schema), t, "news_id", "summary"))
-    res = run_benchmark(union_events(frames), {"keyword": keyword_predictor()})
+        F.coalesce("assoc_label", F.lit("")).alias("assoc_label"))
+    path = scratch_path(spark, "labelled")
+    writers.write_ticker_files(a, path, RETURN_OUT)
+    types = T.StructType([f for f in a.schema.fields if f.name != "ticker"])
+    events = standardise_files(readers.read_ticker_lines(spark, path), types, "news_id", "summary")
+    res = run_benchmark(events, {"keyword": keyword_predictor()})
     return res.select("model", "event_id", "ticker", "ground_causal", "ground_assoc", "causal_llm_pred",
                       "assoc_llm_pred", "effect_llm_pred")
 
@@ -376,6 +393,38 @@ def score_from_files(spark, d):
     return r6(score(readers.read_results(spark, path)))
 
 
+def landed_quarantine(spark, d):
+    """S1 with a quarantine: every 31st landed article was cut off while it was
+    written; the others are read, and what broke is counted by the same pass."""
+    raw = B.news_raw(spark, d)
+    n = F.col("articlesId").cast("long")
+    whole = F.to_json(F.array(F.struct("articlesId", "publishedAt", "articlesName", "articlesDescription")))
+    line = F.when(F.pmod(n, F.lit(31)) == 0, F.concat(F.lit("["), F.substr(whole, F.lit(1), F.lit(12)))).otherwise(whole)
+    path = scratch_path(spark, "landing-broken")
+    raw.select(line.alias("value")).write.text(path)
+    got = readers.load_json_array(spark, path, RAW_NEWS, scratch_path(spark, "quarantine"), multi_line=False)
+    read = got.good.agg(F.count_distinct("articlesId").alias("n")).select(F.lit("read").alias("kind"), "n")
+    broken = got.broken.agg(F.coalesce(F.sum("n_broken"), F.lit(0)).alias("n")).select(F.lit("broken").alias("kind"), "n")
+    seen = spark.createDataFrame([("counted good", got.n_good), ("counted broken", got.n_broken)], "kind string, n long")
+    return read.unionByName(broken).unionByName(seen)
+
+
+def landed_pages_check(spark, d):
+    """K3 + S6: news landed in pages of 20, one page lost; which one is found by
+    its number, and all other articles are read from whole pages."""
+    path = scratch_path(spark, "landing")
+    pages = to_pages(B.news_raw(spark, d))
+    pages_path = scratch_path(spark, "pages-numbered")
+    pages.write.parquet(pages_path)
+    pages = spark.read.parquet(pages_path)
+    writers.write_landing(pages.where("page <> 2"), path)
+    numbers = spark.read.schema(PAGE_NUMBERS).json(path)
+    lost = missing_pages(numbers).join(pages, "page").select("page", F.explode("articles").alias("a"))
+    read = readers.read_news_pages(spark, path, multi_line=False)
+    return (read.select(F.col("articlesId").alias("news_id"))
+            .unionByName(lost.where("page = 2").select(F.col("a.articlesId").alias("news_id"))))
+
+
 def landed_articles(spark, d):
     """Landed JSON-array files of articles, where every 29th article has a
     plain string as its publication time; only that article loses its time."""
@@ -541,6 +590,7 @@ def sql_clean_text(spark, d):
 
 QUERIES = {
     "daily_returns": daily_returns,
+    "returns_from_price_table": returns_from_price_table,
     "return_categories": return_categories,
     "price_range_prune": price_range_prune,
     "returns_from_raw_bars": returns_from_raw_bars,
@@ -570,6 +620,7 @@ QUERIES = {
     "prompts": prompts,
     "parse_answers": parse_answers,
     "predict_keyword": predict_keyword,
+    "predict_batched": predict_batched,
     "score_models": score_models,
     "benchmark_end_to_end": benchmark_end_to_end,
     "score_report": score_report,
@@ -579,6 +630,8 @@ QUERIES = {
     "align_job": align_job,
     "score_from_files": score_from_files,
     "landed_articles": landed_articles,
+    "landed_quarantine": landed_quarantine,
+    "landed_pages_check": landed_pages_check,
     "convert_columns": convert_columns,
     "jsonl_roundtrip": jsonl_roundtrip,
     "csv_roundtrip": csv_roundtrip,

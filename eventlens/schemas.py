@@ -31,6 +31,7 @@ NEWS_PAGE = T.StructType([
     T.StructField("articles", T.ArrayType(RAW_NEWS)),
     T.StructField("allPages", T.IntegerType()),
 ])
+PAGE_NUMBERS = _struct("page int, allPages int")  # of pages that carry their number
 FILING_INDEX = T.StructType([T.StructField("cik", T.StringType())] + [
     T.StructField(c, T.ArrayType(T.StringType()))
     for c in ("accessionNumber", "form", "filingDate", "primaryDocument")])

@@ -20,6 +20,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A bucket that is one file is read in the order it was written in.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     # Long texts: keep Arrow batches small so one Python worker never holds
     # a large slice of the corpus at once (rows and bytes are both capped).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",

@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,32 @@ def broken_files(spark: SparkSession, path: str, schema: T.StructType, multi_lin
     return df.where(_nothing_read(schema)).select(F.input_file_name().alias("file"))
 
 
+class Landed(NamedTuple):
+    """The records of landing files, and the rest of them."""
+
+    good: DataFrame
+    broken: DataFrame  # file, n_broken, sample
+    n_good: int
+    n_broken: int
+
+
+def load_json_array(spark: SparkSession, path: str, schema: T.StructType, quarantine: str, multi_line: bool = True) -> Landed:
+    """S1 with a quarantine: the files are parsed once, into a table under
+    ``quarantine`` whose two partitions are the good records and what was no
+    JSON. The counts (A3) ride on that write, and ``broken`` is a table per
+    file: how many records broke, and the first 200 characters of one."""
+    df = _permissive(spark, path, schema, multi_line)
+    flagged = df.withColumns({"_file": F.input_file_name(), "_broken": _nothing_read(schema)})
+    seen = Observation()
+    flagged = flagged.observe(seen, F.count_if(~F.col("_broken")).alias("good"), F.count_if("_broken").alias("broken"))
+    flagged.write.mode("overwrite").partitionBy("_broken").parquet(quarantine)
+    n = seen.get
+    back = spark.read.schema(flagged.schema).parquet(quarantine)
+    broken = (back.where("_broken").groupBy(F.col("_file").alias("file"))
+              .agg(F.count(F.lit(1)).alias("n_broken"), F.min(F.substring(CORRUPT, 1, 200)).alias("sample")))
+    return Landed(back.where(~F.col("_broken")).select(*[f"`{f.name}`" for f in schema.fields]), broken, n["good"], n["broken"])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON Lines."""
     return _or_empty(spark, schema, lambda: spark.read.schema(schema).json(path))
@@ -74,21 +101,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
                      .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
-def read_results(spark: SparkSession, directory: str,
-                 schema: T.StructType = RESULTS) -> DataFrame:
+def read_results(spark: SparkSession, directory: str, schema: T.StructType = RESULTS,
+                 multi_line: bool = True) -> DataFrame:
     """Every ``*_benchmark.csv`` in a folder (the model name is the file
     name without the suffix), and every ``model=<name>/`` folder as
     :func:`eventlens.sources.writers.write_results` lays them out. Empty files
-    contribute no rows."""
+    contribute no rows. Raw answers may hold line ends, which makes a file one
+    task; ``multi_line=False`` splits files without them."""
     file_schema = T.StructType([f for f in schema.fields if f.name != "model"])
     df = _or_empty(spark, file_schema, lambda: (
-        spark.read.schema(file_schema).option("header", True).option("multiLine", True)
+        spark.read.schema(file_schema).option("header", True).option("multiLine", multi_line)
         .option("escape", '"').option("pathGlobFilter", f"*{RESULTS_SUFFIX}").csv(directory)))
     model = F.regexp_replace(F.col("_metadata.file_name"), r"_benchmark\.csv$", "")
     files = df.select(model.alias("model"), *[f.name for f in file_schema.fields])
     by_folder = T.StructType(file_schema.fields + [T.StructField("model", T.StringType())])
     folders = _or_empty(spark, by_folder, lambda: (
-        spark.read.schema(by_folder).option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.schema(by_folder).option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("basePath", directory).csv(f"{directory.rstrip('/')}/model=*")))
     return files.unionByName(folders)
 
@@ -132,3 +160,10 @@ def normalise_prices(df: DataFrame) -> DataFrame:
 def read_macro(spark: SparkSession, path: str) -> DataFrame:
     """The macro series ``(date, CPIAUCSL)``."""
     return read_csv(spark, path, MACRO)
+
+
+def read_ticker_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``ticker, value``: the lines of all ``ticker=<name>/`` folders
+    (:func:`eventlens.sources.writers.write_ticker_files`), in one scan."""
+    schema = T.StructType().add("value", T.StringType()).add("ticker", T.StringType())
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).text(path))

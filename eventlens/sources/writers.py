@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from eventlens.functions.answers import json_quote
+from eventlens.operators.align import reference_name
 from eventlens.operators.guards import missing_columns, nan_to_null
 
 JSON_OPTIONS = {
@@ -88,3 +90,27 @@ def write_results(df: DataFrame, directory: str, mode: str = "overwrite") -> Non
     """K5: the result table partitioned by model (``model=<name>/``). A model's
     new run replaces its own results; those of other models stay."""
     write_csv(df, directory, mode, partition_by="model")
+
+
+def write_price_table(prices: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Daily prices as the table ``name``, in ``buckets`` buckets by ticker,
+    each one file sorted by ticker and day. Returns computed from it
+    (:func:`eventlens.operators.returns.daily_returns`) need no exchange and no sort:
+    the shuffle is paid once, when prices land. A ticker lies in one bucket; its
+    daily series is bounded by the calendar."""
+    (prices.repartition(buckets, "ticker").write.mode("overwrite").bucketBy(buckets, "ticker")
+     .sortBy("ticker", "trade_date").option("path", path).saveAsTable(name))
+
+
+def write_ticker_files(df: DataFrame, path: str, columns: Sequence[str], ticker_col: str = "ticker") -> None:
+    """Labelled events as JSON Lines in a folder per ticker, with the ticker in the
+    names of ``columns`` (``AAPL_ret_pct_D+1``), as one file per ticker has them:
+    one write for any number of tickers."""
+    def member(c: str) -> Column:
+        name = F.concat(F.col(f"`{ticker_col}`"), F.lit(f"_{reference_name(c)}")) if c in columns else F.lit(c)
+        value = F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {**JSON_OPTIONS})  # {"v":...}
+        return F.concat(json_quote(name), F.lit(":"), F.substr(value, F.lit(6), F.length(value) - 6))
+
+    df = nan_to_null(df)
+    line = F.concat(F.lit("{"), F.concat_ws(",", *[member(c) for c in df.columns if c != ticker_col]), F.lit("}"))
+    df.select(F.col(f"`{ticker_col}`").alias("ticker"), line.alias("value")).write.partitionBy("ticker").text(path)
