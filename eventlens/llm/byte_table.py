@@ -81,6 +81,17 @@ class ByteTable:
             self._place(old, kept)
         self._place(rows, number)
 
+    def find(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Number of each string ``data[start:stop]``, -1 for one that has none."""
+        size = stop - start
+        out = np.full(len(size), -1, np.int64)
+        short = np.flatnonzero(size <= LONGEST)
+        out[short] = self._find(lanes_of(data, start[short], size[short]))
+        if self.long:
+            for k in np.flatnonzero(size > LONGEST).tolist():
+                out[k] = self.long.get(data[start[k]:stop[k]].tobytes(), -1)
+        return out
+
     def numbers(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each string ``data[start:stop]``, and the places of one of
         each new one, in the order of their numbers."""
