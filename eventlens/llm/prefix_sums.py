@@ -4,7 +4,10 @@ A window without a partition key would sort everything in one task. Here the
 rows are range partitioned and sorted, each task numbers its own rows, and the
 tasks' totals (one row per partition, the only thing the driver sees) are added
 as a base. The numbered rows are stored before the totals are read, as a range
-partition may be cut elsewhere when it is computed again."""
+partition may be cut elsewhere when it is computed again.
+
+The names ``__<out>_part``, ``__<out>_local`` and ``__base`` are taken inside; the
+caller's columns must not have them."""
 
 from __future__ import annotations
 

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -274,7 +275,10 @@ def prefix_counts(df: DataFrame, text_col: str = "text", out: str = "tokens",
 def truncated(df: DataFrame, budget: int, text_col: str = "text", table_col: str = "tokens_prefixes",
               out: str = "truncated") -> DataFrame:
     """``df`` plus the longest prefix of the text within ``budget`` tokens, read off the stored table."""
-    cut = F.udf(lambda t: cut_for_budget(bytes(t), budget), T.IntegerType())
+    @F.pandas_udf("int")
+    def cut(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda t: cut_for_budget(bytes(t), budget)).astype("int32")
+
     return df.withColumn(out, F.substring(F.col(text_col), F.lit(1), cut(F.col(table_col))))
 
 

@@ -9,13 +9,14 @@ so the weights that go to the executors are the few non-zero ones.
 Training rows are a bounded sample: of the labelled rows, the ``TRAIN_ROWS``
 with the smallest hash of their id (all of them, if there are fewer). Their
 features are made in parallel; one task learns from them, in order of that
-hash, ``EPOCHS`` times. Sample and order depend on ids alone, so a retried task
+hash, ``EPOCHS`` times. It streams them from a sort that Spark may spill, so it
+holds the model and one batch, however long the texts are. Sample and order depend on ids alone, so a retried task
 learns the same weights. Scoring is one pass over all rows and whole texts.
 
 Defined results: a null or empty text has no features and scores by the bias
 alone; a text repeated scores the same; labels that are null, or whose document
 is missing, do not count; a document with several labels is toxic if one says
-so; a null id is never a training row; without training rows every score is 0;
+so; a null id is never a training row and never held out; without training rows every score is 0;
 an empty table gives an empty result; other columns pass through untouched,
 but one named like the score is replaced.
 """
@@ -104,16 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                   "toxicity-features")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [(np.frombuffer(s, np.uint32).astype(np.int64), y) for b in batches
-                for y, s in zip(b.column("y").to_pylist(), b.column("slots").to_pylist())]
         model = Ftrl(1 << bits)
-        for _ in range(epochs):
-            for slots, y in data:
-                model.learn(slots, y)
+        for b in batches:  # rows of the first epoch, then of the next one
+            for y, slots in zip(b.column("y"), b.column("slots")):
+                model.learn(np.frombuffer(slots.as_buffer(), np.uint32).astype(np.int64), y.as_py())
         at = np.flatnonzero(np.abs(model.z) > model.l1)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.weights(at))], names=["slot", "w"])
 
-    learned = made.coalesce(1).sortWithinPartitions("order", "id", "slots").mapInArrow(learn, "slot long, w double")
+    again = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    learned = again.coalesce(1).sortWithinPartitions("epoch", "order", "id", "slots").mapInArrow(learn, "slot long, w double")
     return {r["slot"]: r["w"] for r in learned.collect()} if not made.isEmpty() else {}
 
 
@@ -151,5 +151,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     scored = score(docs, train(docs, labels.where(~held_out)))
-    return scored.select("doc_id", held_out.alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= TOXIC_AT, 1).otherwise(0).alias("predicted"))

@@ -57,3 +57,45 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.score for r in positive]) > np.mean([r.score for r in negative]) + 0.4
     pairs = sum((p.score > n.score) + 0.5 * (p.score == n.score) for p in positive for n in negative)
     assert pairs / (len(positive) * len(negative)) == pytest.approx(1, abs=0.12)
+
+
+def plain_ftrl(rows, epochs, alpha=4.0, beta=1.0, l1=4.0, l2=0.01):
+    """The update rule coordinate by coordinate; ``rows``: (set of features, label) in order."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return ((l1 if z[i] > 0 else -l1) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for features_, y in rows:
+            at = [*features_, "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+def test_learning_is_the_plain_rule_in_the_order_of_the_hash(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["vile", "worm", "kind", "sun", "tree", "road"], 6)), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, toxic int")
+    got = train(docs, labels, "id", bits=18, epochs=3)
+    from pyspark.sql import functions as F
+    order = [r.id for r in labels.orderBy(F.xxhash64("id"), "id").collect()]
+    text, label, h = {i: t for i, t, _ in rows}, {i: y for i, _, y in rows}, _Hashes()
+    want = plain_ftrl([(features(text[i], h, 18).tolist(), label[i]) for i in order], 3)
+    want = {(1 << 18 if i == "bias" else i): w for i, w in want.items()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(w, rel=1e-9) for i, w in want.items())
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "a b"), (1, None), (2, "x y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r.held_out for r in op3_toxicity(spark, str(tmp_path)).collect()}
+    assert rows[None] is False and set(rows) == {None, 1, 2}
