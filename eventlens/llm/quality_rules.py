@@ -7,7 +7,9 @@ Words are maximal runs without space and ``\\t``..``\\r``; lines are cut at
 
 Defined results: a null text counts as an empty one (no words, so the base
 length rule fails); an empty table gives an empty result; repeated rows are
-judged one by one; other columns of the input pass through untouched, and the
+judged one by one; stop words are found in lower case, in capitals and with one
+capital, by the words as they stand, and their rule does not speak of texts in
+other than Latin letters; other columns of the input pass through untouched, and the
 metric columns come in one struct; a column of the struct's name (``out``
 chooses it) is replaced, and names that begin with two underscores are taken.
 """
@@ -25,23 +27,44 @@ from eventlens.llm.common import WORD_PATTERN, let, read_table
 
 class Rule(NamedTuple):
     """A document fails when ``metric`` is outside ``low``..``high``; the rule
-    speaks only about documents of at least ``min_words`` words."""
+    speaks only about documents of at least ``min_words`` words and, with
+    ``max_char_bytes``, of fewer UTF-8 bytes a character than that (texts in
+    Latin letters have fewer than 1.5, other scripts more)."""
 
     name: str
     metric: str
     low: float | None = None
     high: float | None = None
     min_words: int = 0
+    max_char_bytes: float | None = None
 
 
-# Frequent function words of the four languages (fixed values).
+# Frequent function words, a line or two for each language (fixed values).
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "that", "is", "it", "for", "was", "with", "as", "are", "this",
     "der", "die", "und", "das", "den", "von", "mit", "ist", "nicht", "ein", "zu", "sich", "auf", "des",
     "le", "la", "les", "de", "et", "un", "une", "que", "est", "en", "du", "par", "pour", "qui", "dans",
     "el", "los", "las", "y", "por", "con", "para", "se", "no", "del",
+    "il", "di", "che", "non", "per", "una", "sono", "della",
+    "os", "da", "do", "em", "um", "uma", "com", "não",
+    "het", "een", "van", "dat", "niet", "op", "te", "zijn",
+    "och", "att", "det", "som", "på", "är", "av", "inte",
+    "og", "til", "er", "ikke", "på", "af",
+    "się", "nie", "na", "jest", "że", "w", "z", "i",
+    "je", "že", "ve", "si", "pro",
+    "și", "cu", "nu", "care", "din", "este",
+    "bir", "bu", "için", "ile", "olarak",
+    "yang", "dan", "dengan", "untuk", "ini",
+    "ja", "ei", "oli", "että", "hän",
+    "és", "hogy", "nem", "egy", "az",
 )
 
+
+def _spellings(words: tuple[str, ...]) -> list[str]:
+    """The words as they stand, at the start of a sentence, and in capitals."""
+    return list(dict.fromkeys(x for w in words for x in (w, w.capitalize(), w.upper())))
+
+
 #: Base rules: length, and words in repeated 5-word windows (in percent).
 BASE_RULES = (
     Rule("base_length", "n_words", low=10),
@@ -53,8 +76,7 @@ RULES = (
     Rule("mean_word_length", "mean_word_length", low=2.0, high=25.0),
     Rule("symbols_per_word", "symbols_per_word", high=0.25),
     Rule("exclamations_per_word", "exclamations_per_word", high=0.25),
-    Rule("stop_words", "n_stop_words", low=1, min_words=40),
-    Rule("stop_words_long", "n_stop_words", low=2, min_words=100),
+    Rule("stop_words", "stop_word_ratio", low=0.04, high=0.6, min_words=40, max_char_bytes=1.5),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
     Rule("bullet_lines", "bullet_line_ratio", high=0.9, min_words=40),
     Rule("ellipsis_lines", "ellipsis_line_ratio", high=0.5, min_words=40),
@@ -103,7 +125,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
-def measure(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
+def measure(df: DataFrame, text_col: str = "text", out: str = "quality",
+            stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """``df`` with a struct column ``out`` of all metrics of the rule tables.
 
     The staged columns carry the prefix of ``out``, and are gone at the end."""
@@ -116,13 +139,13 @@ def measure(df: DataFrame, text_col: str = "text", out: str = "quality") -> Data
         f"{p}bangs": _count(text, "!"),
     })
     words, lines = F.col(f"{p}words"), F.col(f"{p}lines")
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    stops = _spellings(stop_words)
     staged = staged.withColumns({
         f"{p}n": F.size(words).cast("long"),
         f"{p}chars": F.length(F.array_join(words, "")).cast("long"),
         f"{p}n_lines": F.size(lines).cast("long"),
         f"{p}uniq": F.size(F.array_distinct(lines)).cast("long"),
-        f"{p}stops": F.size(F.array_intersect(words, stops)).cast("long"),
+        f"{p}stops": F.size(F.filter(words, lambda w: w.isin(stops))).cast("long"),
         f"{p}repeat": _repeat_words(words),
         f"{p}bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*([-*•]|\d+[.)])\s"))).cast("long"),
         f"{p}dots": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long"),
@@ -133,6 +156,8 @@ def measure(df: DataFrame, text_col: str = "text", out: str = "quality") -> Data
         (c("n_lines") - c("uniq")).alias("n_dup_lines"), c("repeat").alias("n_repeat_words"),
         c("n_lines").alias("n_lines"), c("stops").alias("n_stop_words"),
         _ratio(c("repeat") * 100, c("n")).alias("repeat_percent"),
+        _ratio(c("stops"), c("n")).alias("stop_word_ratio"),
+        _ratio(F.octet_length(text), F.length(text)).alias("char_bytes"),
         _ratio(c("chars"), c("n")).alias("mean_word_length"),
         _ratio(c("symbols"), c("n")).alias("symbols_per_word"),
         _ratio(c("bangs"), c("n")).alias("exclamations_per_word"),
@@ -153,15 +178,18 @@ def failed(rules: tuple[Rule, ...], metrics: str = "quality") -> Column:
             out = out | (m(r.metric) < F.lit(r.low))
         if r.high is not None:
             out = out | (m(r.metric) > F.lit(r.high))
-        return out & (m("n_words") >= r.min_words) if r.min_words else out
+        if r.min_words:
+            out = out & (m("n_words") >= r.min_words)
+        return out if r.max_char_bytes is None else out & (m("char_bytes") < F.lit(r.max_char_bytes))
 
     return reduce(lambda a, b: a | b, [one(r) for r in rules], F.lit(False))
 
 
 def judge(df: DataFrame, text_col: str = "text", out: str = "quality",
-          base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+          base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES,
+          stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """``measure`` plus ``<out>_base_failed`` and ``<out>_kept``."""
-    return measure(df, text_col, out).withColumns({
+    return measure(df, text_col, out, stop_words).withColumns({
         f"{out}_base_failed": failed(base, out),
         f"{out}_kept": ~(failed(base, out) | failed(rules, out))})
 
@@ -175,7 +203,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_list(words: tuple[str, ...]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + "]"
+    return "[" + ", ".join(f"'{w}'" for w in _spellings(words)) + "]"
 
 
 #: DuckDB twin of the query, written from the metric definitions.
@@ -189,7 +217,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(
 m AS (SELECT w.doc_id, len(ws) AS n, length(array_to_string(ws, '')) AS chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS sym, length(regexp_replace(t, '[^!]+', '', 'g')) AS bang,
              len(ls) AS nl, len(ls) - len(list_distinct(ls)) AS dl, coalesce(r, 0) AS r,
-             len(list_intersect(list_distinct(ws), {_sql_list(STOP_WORDS)})) AS st,
+             len(list_filter(ws, lambda x: x IN {_sql_list(STOP_WORDS)})) AS st, strlen(t) < 1.5 * length(t) AS latin,
              len(list_filter(ls, lambda x: regexp_matches(x, '^\s*([-*•]|\d+[.)])\s'))) AS bl,
              len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS el
       FROM w LEFT JOIN rep USING (doc_id)),
@@ -197,7 +225,7 @@ b AS (SELECT *, n < 10 OR 100 * r > 20 * n AS bf FROM m)
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols,
        dl::BIGINT AS n_dup_lines, r::BIGINT AS n_repeat_words, bf AS base_failed,
        NOT bf AND chars >= 2 * n AND chars <= 25 * n AND 4 * sym <= n AND 4 * bang <= n
-       AND NOT (n >= 40 AND st < 1) AND NOT (n >= 100 AND st < 2) AND 2 * dl <= nl
+       AND NOT (n >= 40 AND latin AND (st / n < 0.04 OR st / n > 0.6)) AND 2 * dl <= nl
        AND NOT (n >= 40 AND bl > 0.9 * nl) AND NOT (n >= 40 AND 2 * el > nl) AS kept
 FROM b
 """
