@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import read_table, stored
@@ -209,6 +209,32 @@ def _alignments(links: DataFrame, rare: int, moved_words: int) -> DataFrame:
         .mapInArrow(run, f"id long, th long, {ALIGNED}, left array<long>")
 
 
+def _shared_lines(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines of ``near`` that both documents of each pair hold, with the
+    earlier one's place ``a_k``. A pair's lines are taken from the document with
+    fewer of them and looked up in the other: rows in between are at most the
+    shorter document's lines for each pair, however long its partner is."""
+    sizes = near.groupBy(F.col("id").alias("s_id"), F.col("th").alias("s_th")).agg(F.count("*").alias("s_n"))
+
+    def same(i: str, h: str, other: str) -> Column:
+        return F.col(i).eqNullSafe(F.col(f"{other}_id")) & (F.col(h) == F.col(f"{other}_th"))
+
+    with_own = pairs.join(sizes, same("id", "th", "s")).drop("s_id", "s_th").withColumnRenamed("s_n", "own_n")
+    sized = with_own.join(sizes, same("a_id", "a_th", "s")).drop("s_id", "s_th")
+    line = ["key", "pos", "k", "words", "n"]
+    few, many = (near.select(F.col("id").alias(f"{p}_id"), F.col("th").alias(f"{p}_th"),
+                             F.struct(*line).alias(f"{p}_line"), F.col("key").alias(f"{p}_key")) for p in ("f", "m"))
+
+    def looked_up(wanted: DataFrame, from_: tuple[str, str], to: tuple[str, str], own: str, other: str) -> DataFrame:
+        return wanted.join(few, same(*from_, "f")).join(many, same(*to, "m") & (F.col("f_key") == F.col("m_key"))) \
+            .select("id", "th", "a_id", "a_th", *[F.col(f"{own}_line.{c}").alias(c) for c in line],
+                    F.col(f"{other}_line.k").alias("a_k"))
+
+    me, there = ("id", "th"), ("a_id", "a_th")
+    return looked_up(sized.where("own_n <= s_n"), me, there, "f", "m") \
+        .unionByName(looked_up(sized.where("own_n > s_n"), there, me, "m", "f"))
+
+
 def _further(lines: DataFrame, first: DataFrame, done: DataFrame, rare: int, moved_words: int) -> list[DataFrame]:
     """Alignments of what the first ones, ``done``, left over: a table for each round."""
     left = done.where(F.size("left") > 0).select("id", "th", F.explode("left").alias("key"))
@@ -229,10 +255,7 @@ def _further(lines: DataFrame, first: DataFrame, done: DataFrame, rare: int, mov
         if pairs.isEmpty():
             return out
         todo = left.select(F.col("id").alias("l_id"), F.col("th").alias("l_th"), F.col("key").alias("l_key"), "todo")
-        there = near.select(F.col("id").alias("b_id"), F.col("th").alias("b_th"), F.col("key").alias("b_key"), F.col("k").alias("a_k"))
-        links = near.join(pairs.withColumnsRenamed({"id": "p_id", "th": "p_th"}),
-                          F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th"))) \
-            .join(there, F.col("a_id").eqNullSafe(F.col("b_id")) & (F.col("a_th") == F.col("b_th")) & (F.col("key") == F.col("b_key"))) \
+        links = _shared_lines(near, pairs) \
             .join(todo, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th")) & (F.col("key") == F.col("l_key")), "left") \
             .withColumn("todo", F.coalesce("todo", F.lit(0)))
         out.append(stored(_alignments(links, rare, moved_words), "line-alignments"))

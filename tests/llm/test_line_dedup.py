@@ -1,6 +1,7 @@
 import random
 
-from eventlens.llm.line_dedup import align, dedup_lines, increasing, line_rows, removed_lines
+from eventlens.llm.line_dedup import (BLOCK_WORDS, _blocks, _shared_lines, align, aligned_lines, dedup_lines, increasing,
+                                      line_rows, removed_lines)
 
 
 def brute_increasing(v):
@@ -41,21 +42,52 @@ def test_moved_lines_count_only_in_long_blocks():
 
 
 def brute(rows):
-    """The same rules on all documents in a driver loop."""
+    """The same rules on all documents in a driver loop, further partners included."""
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
-    docs = {}
+    docs, holders = {}, {}
     for i, h, t in rows:
         docs[key((i, h))] = t
-    holders, first = {}, {}
-    for d in sorted(docs):
-        for k, pos, n, w in line_rows(docs[d] or ""):
+        for k, *_ in line_rows(t or ""):
             holders[k] = holders.get(k, 0) + 1
-            first.setdefault(k, (d, n))
+    own = {d: {k: (n, pos, w) for k, pos, n, w in line_rows(t or "")} for d, t in docs.items()}
+    first = {}
+    for d in sorted(docs):
+        for k in own[d]:
+            first.setdefault(k, d)
+
+    def hits(d, a, keys):
+        n = aligned_lines([(a, own[a][k][0], own[d][k][0], own[d][k][2], holders[k]) for k in keys])
+        return {k for k in keys if own[d][k][0] in n}
+
+    aligned, left = {}, {}
+    for d in docs:
+        later = [k for k in own[d] if first[k] != d]
+        aligned[d] = set()
+        for a in {first[k] for k in later}:
+            aligned[d] |= hits(d, a, [k for k in later if first[k] == a])
+        left[d] = set(later) - aligned[d]
+    while True:
+        again = {}
+        for d, keys in left.items():
+            for k in keys:
+                again.setdefault(k, []).append(d)
+        partners = {}
+        for k, ds in again.items():
+            for d in ds:
+                if d != min(ds):
+                    partners.setdefault(d, {}).setdefault(min(ds), set()).add(k)
+        if not partners:
+            break
+        now = {}
+        for d, todo in partners.items():
+            found = set().union(*[hits(d, a, [k for k in own[d] if k in own[a]]) for a in todo]) & left[d]
+            aligned[d] |= found
+            now[d] = set().union(*todo.values()) - found
+        left = now
     out = {}
     for d, t in docs.items():
-        own = line_rows(t or "")
-        gone = removed_lines([(first[k][0], first[k][1], n, w, holders[k]) for k, pos, n, w in own if first[k][0] != d])
-        drop = {pos for k, pos, n, w in own if n in gone}
+        gone = _blocks({own[d][k][0]: own[d][k][2] for k in aligned[d]}, BLOCK_WORDS)
+        drop = {pos for n, pos, _ in own[d].values() if n in gone}
         out[d] = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop)
     return out
 
@@ -103,6 +135,28 @@ def test_exact_copies_after_a_document_with_their_lines_in_reverse(spark):
     assert got[6].text == got[7].text == ""  # copies of 5 and 4, whatever these kept
 
 
+def test_further_partners_against_brute_force(spark):
+    """Documents of shared lines in many orders, with copies and parts of them: several rounds."""
+    r = random.Random(6)
+    lines = [f"shared line {k} with " + " ".join("abcdefgh"[:2 + k % 7]) for k in range(9)]
+    texts = []
+    for i in range(60):
+        some = r.sample(lines, r.randrange(2, 9))
+        own = [f"line {j} of document {i} alone" for j in range(r.randrange(3))]
+        texts.append(r.choice(texts) if texts and r.random() < 0.3 else "\n".join(own + some))
+    got = check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {len(x.dedup.partners) for x in got} > {0, 1, 2}
+
+
+def test_pairs_are_met_from_the_shorter_document(spark):
+    near = spark.createDataFrame([(1, 1, k, k, k, 5, 2) for k in range(200)] + [(2, 2, k, 9 - k, 9 - k, 5, 2) for k in (3, 5, 900)]
+                                 + [(None, 3, 5, 0, 0, 5, 2)], "id long, th long, key long, pos int, k int, words int, n int")
+    pairs = spark.createDataFrame([(2, 2, 1, 1), (1, 1, 2, 2), (1, 1, None, 3), (None, 3, 2, 2)], "id long, th long, a_id long, a_th long")
+    got = sorted(repr((x.id, x.a_id, x.key, x.k, x.a_k)) for x in _shared_lines(near, pairs).collect())
+    want = [(2, 1, 3, 6, 3), (2, 1, 5, 4, 5), (1, 2, 3, 3, 6), (1, 2, 5, 5, 4), (1, None, 5, 5, 0), (None, 2, 5, 0, 4)]
+    assert got == sorted(map(repr, want))
+
+
 def test_a_line_in_order_with_no_earlier_document_stays(spark):
     body = [f"line number {k} of a common body text" for k in range(6)]
     rows = [(i, "\n".join([*body[:i], "a line that is moved about", *body[i:]])) for i in (0, 2, 4, 6)]
