@@ -9,12 +9,13 @@ of trading days, not by the data volume.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.returns import categorize_return
-from eventlens.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, sized_side
+from eventlens.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, materialize_sized
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "adj_close", "volume")
 DEFAULT_HORIZONS = (1, 2)
@@ -64,13 +65,20 @@ def prune_prices(prices: DataFrame, events: DataFrame, date_col: str = "event_da
                  margin_days: int = PRICE_MARGIN_DAYS, strategy: str = "auto",
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Keep only each ticker's bars inside its event window (end
-    exclusive). The bounds table has one row per ticker, sized before it is
-    broadcast; the earliest and latest of its days also go to the price scan
-    as literals, which push down below any aggregation by day."""
-    bounds = sized_side(price_window(events, date_col, margin_days),
-                        max_broadcast_rows, strategy)
-    first, last = bounds.agg(F.min("price_from"), F.max("price_until")).first()
-    if first is not None:
+    exclusive). The bounds table has one row per ticker; the job that makes it
+    also gives its size, for the choice of the join, and the earliest and latest
+    of its days, which go to the price scan as literals and push down below any
+    aggregation by day."""
+    bounds = price_window(events, date_col, margin_days)
+    ends = (F.min(F.unix_date("price_from")).alias("first"), F.max(F.unix_date("price_until")).alias("last"))
+    if strategy == "auto":
+        bounds, seen = materialize_sized(bounds, *ends)
+        if seen["n"] <= max_broadcast_rows:
+            bounds = F.broadcast(bounds)
+    else:
+        seen = bounds.agg(*ends).first()
+    if seen["first"] is not None:
+        first, last = (date(1970, 1, 1) + timedelta(days=seen[k]) for k in ("first", "last"))
         prices = prices.where((F.col("trade_date") >= F.lit(first)) & (F.col("trade_date") < F.lit(last)))
     return (prices.join(bounds, "ticker")
             .where((F.col("trade_date") >= F.col("price_from"))

@@ -3,8 +3,8 @@
 The small side of the event joins (the returns table, per-ticker bounds) is an
 aggregate whose size is bounded by (tickers x trading days), not by the event
 volume. We still never assume it: the side is materialised once in the shared
-checkpoint folder (which also cuts its lineage), its rows and bytes are added
-up by one partial aggregation over it, and it is broadcast only under both
+checkpoint folder (which also cuts its lineage), its rows and bytes are observed
+by that same job, and it is broadcast only under both
 bounds. Beyond them the same join runs as a shuffle join, where AQE splits
 skewed partitions.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,15 +41,29 @@ def _row_bytes(df: DataFrame) -> F.Column:
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """``(rows, approximate bytes)``; tasks send one partial sum each."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    r = df.agg(*_size(df)).first()
     return int(r["n"]), int(r["b"] or 0)
 
 
+def _size(df: DataFrame) -> tuple[F.Column, F.Column]:
+    return F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")
+
+
+def materialize_sized(df: DataFrame, *more: F.Column) -> tuple[DataFrame, dict]:
+    """``df`` materialised, and what that job saw on its way: rows ``n``,
+    approximate bytes ``b``, and the aggregates ``more``. A task that runs again
+    after a loss may be counted twice, but no row is left out, so a size is
+    never taken for less than it is."""
+    seen = Observation()
+    side = materialize(df.observe(seen, *_size(df), *more))
+    return side, {**seen.get, "n": int(seen.get["n"] or 0), "b": int(seen.get["b"] or 0)}
+
+
 def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                strategy: str = "auto", max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Prepare the small side of a join.
 
-    ``auto``: materialise, measure rows and bytes, broadcast when both fit;
+    ``auto``: materialise and measure in one job, broadcast when rows and bytes fit;
     ``shuffle``: never broadcast (no action is run); ``prepared``: ``df``
     already went through ``sized_side`` (it keeps its broadcast hint), use it
     as is. Project the side before: what is not needed is stored all the same.
@@ -58,11 +72,8 @@ def sized_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
         return df
     if strategy != "auto":
         raise ValueError(f"unknown join strategy {strategy!r}")
-    side = materialize(df)
-    rows, size = measured_size(side)
-    if rows <= max_rows and size <= max_bytes:
-        return F.broadcast(side)
-    return side
+    side, seen = materialize_sized(df)
+    return F.broadcast(side) if seen["n"] <= max_rows and seen["b"] <= max_bytes else side
 
 
 def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:

@@ -1,8 +1,12 @@
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from helpers import SF_SMALL
+from eventlens.operators.returns import prune_prices
 from eventlens.plans import bindings as B
-from eventlens.plans.sizing import balance, measured_size, sized_side
+from eventlens.plans.sizing import balance, materialize_sized, measured_size, sized_side
 from eventlens.session import clear_scratch, scratch_path, scratch_root, shared_dir
 
 
@@ -18,6 +22,37 @@ def test_size_is_one_partial_aggregation(spark):
     assert "partial_count" in plan and "GlobalLimit" not in plan
 
 
+def _jobs(spark, run):
+    """``run()``, and the number of Spark jobs that it started."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_size_comes_with_the_materialising_job(spark):
+    df = spark.range(0, 1000, 1, 5).select("id", F.repeat(F.lit("x"), 20).alias("t"), (F.col("id") % 7).alias("k"))
+    (side, seen), jobs = _jobs(spark, lambda: materialize_sized(df, F.max("id").alias("most")))
+    assert (seen["n"], seen["b"]) == measured_size(df) and seen["most"] == 999
+    assert jobs == 1 and side.count() == 1000
+    empty, seen = materialize_sized(df.where("id < 0"))
+    assert (seen["n"], seen["b"]) == (0, 0) and empty.columns == df.columns and empty.count() == 0
+
+
+def test_price_bounds_take_one_job(spark):
+    days = spark.createDataFrame([("A", date(2024, 3, d)) for d in (1, 9)] + [("B", date(2024, 5, 2)), ("C", None)], "ticker string, event_date date")
+    prices = spark.range(400).select(F.explode(F.array(*map(F.lit, "ABC"))).alias("ticker"), F.expr("date'2024-01-01' + int(id)").alias("trade_date"))
+    (got, jobs), want = _jobs(spark, lambda: prune_prices(prices, days)), prune_prices(prices, days, strategy="shuffle")
+    assert jobs <= 2  # the aggregation's shuffle and the write
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 68 + 60
+    assert rows[0] == ("A", date(2024, 1, 31)) and rows[-1] == ("B", date(2024, 5, 31))
+    assert prune_prices(prices, days.limit(0)).count() == 0
+
+
 def test_sized_side_broadcasts_only_under_bound(spark):
     big = spark.range(1000).withColumn("k", F.col("id") % 7)
     small = spark.range(7).withColumnRenamed("id", "k")
