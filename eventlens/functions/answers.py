@@ -8,7 +8,7 @@ and falls back to per-key regexes when none does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -90,6 +90,47 @@ def _last_value(m: Column, key: str) -> Column:
     return F.element_at(entries, -1)["value"]
 
 
+def _answer_text(raw: Column | str, unwrap_fences: bool) -> Column:
+    """The trimmed answer without its fenced blocks (or with their content only)."""
+    from eventlens.functions.text import utrim
+
+    t = utrim(F.coalesce(_col(raw), F.lit("")))
+    if unwrap_fences:
+        return F.regexp_replace(t, r"```(?:json)?([\s\S]*?)```", "$1")
+    return F.regexp_replace(t, FENCE_PATTERN, "")
+
+
+def _first_object(t: Column) -> Column:
+    """The first ``{...}`` candidate that is valid JSON, as a map."""
+    cands = F.regexp_extract_all(t, F.lit(OBJECT_PATTERN), F.lit(0))
+    maps = F.transform(cands, lambda x: F.from_json(
+        x, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}))
+    return F.get(F.filter(maps, lambda m: m.isNotNull()), 0)
+
+
+def _answer_fields(t: Column, obj: Column) -> list[Column]:
+    """``causal, assoc, cause, effect`` from the answer text and its first object."""
+    from eventlens.functions.text import SPACE, utrim
+
+    def from_obj(key: str, default: str, kind: str) -> Column:
+        v = _last_value(obj, key)
+        val = _yes_no(v) if kind == "label" else utrim(F.coalesce(v, F.lit("None")))
+        return F.when(F.map_contains_key(obj, key), val).otherwise(F.lit(default))
+
+    def from_regex(key: str, default: str, kind: str) -> Column:
+        g = F.regexp_extract(t, rf'(?iuU)"{key}"{SPACE}*:{SPACE}*"([^"]+)"', 1)
+        val = _yes_no(g) if kind == "label" else utrim(g)
+        return F.when(g != "", val).otherwise(F.lit(default))
+
+    return [F.when(t == "", F.lit(default))
+            .when(obj.isNotNull(), from_obj(key, default, kind))
+            .otherwise(from_regex(key, default, kind)).alias(key)
+            for key, default, kind in (("causal", PARSE_ERR_CAUSAL, "label"),
+                                       ("assoc", PARSE_ERR_ASSOC, "label"),
+                                       ("cause", NO_TEXT, "text"),
+                                       ("effect", NO_TEXT, "text"))]
+
+
 def parse_answer(raw: Column | str, unwrap_fences: bool = False) -> Column:
     """struct<causal, assoc, cause, effect> parsed from a model answer.
 
@@ -100,45 +141,29 @@ def parse_answer(raw: Column | str, unwrap_fences: bool = False) -> Column:
       even without any of the keys; ``causal``/``assoc`` map to Yes/No,
       ``cause``/``effect`` to trimmed text;
     * if none parses, per-key regexes on quoted string values, any case.
-    """
-    from eventlens.functions.text import SPACE, let, utrim
 
-    t0 = utrim(F.coalesce(_col(raw), F.lit("")))
-    if unwrap_fences:
-        t0 = F.regexp_replace(t0, r"```(?:json)?([\s\S]*?)```", "$1")
-    else:
-        t0 = F.regexp_replace(t0, FENCE_PATTERN, "")
-
-    def first_object(t: Column) -> Column:
-        cands = F.regexp_extract_all(t, F.lit(OBJECT_PATTERN), F.lit(0))
-        maps = F.transform(cands, lambda x: F.from_json(
-            x, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}))
-        return F.get(F.filter(maps, lambda m: m.isNotNull()), 0)
-
-    def fields(t: Column, obj: Column) -> Column:
-        def from_obj(key: str, default: str, kind: str) -> Column:
-            v = _last_value(obj, key)
-            val = _yes_no(v) if kind == "label" else utrim(F.coalesce(v, F.lit("None")))
-            return F.when(F.map_contains_key(obj, key), val).otherwise(F.lit(default))
-
-        def from_regex(key: str, default: str, kind: str) -> Column:
-            g = F.regexp_extract(t, rf'(?iuU)"{key}"{SPACE}*:{SPACE}*"([^"]+)"', 1)
-            val = _yes_no(g) if kind == "label" else utrim(g)
-            return F.when(g != "", val).otherwise(F.lit(default))
-
-        out = []
-        for key, default, kind in (("causal", PARSE_ERR_CAUSAL, "label"),
-                                   ("assoc", PARSE_ERR_ASSOC, "label"),
-                                   ("cause", NO_TEXT, "text"),
-                                   ("effect", NO_TEXT, "text")):
-            out.append(F.when(t == "", F.lit(default))
-                       .when(obj.isNotNull(), from_obj(key, default, kind))
-                       .otherwise(from_regex(key, default, kind)).alias(key))
-        return F.struct(*out)
+    Every extraction from this column parses again (Spark resolves its lambdas
+    anew each time); for several fields use :func:`with_parsed_answer`.
+    """
+    from eventlens.functions.text import let
 
     # the stripped text and the first valid object are each computed once per
     # row and shared by the four fields
-    return let(t0, lambda t: let(first_object(t), lambda obj: fields(t, obj)))
+    return let(_answer_text(raw, unwrap_fences),
+               lambda t: let(_first_object(t), lambda obj: F.struct(*_answer_fields(t, obj))))
+
+
+def with_parsed_answer(df: DataFrame, raw: str, prefix: str = "", suffix: str = "",
+                       unwrap_fences: bool = False) -> DataFrame:
+    """F18 staged: ``df`` plus one column ``<prefix><field><suffix>`` for each
+    of the four fields of :func:`parse_answer`. The text and its first object
+    are columns of their own, so an answer is parsed once for all fields, and
+    a field that nobody reads is pruned."""
+    staged = df.withColumn("_answer", _answer_text(raw, unwrap_fences))
+    staged = staged.withColumn("_object", _first_object(F.col("_answer")))
+    names = [f"{prefix}{k}{suffix}" for k in ("causal", "assoc", "cause", "effect")]
+    fields = _answer_fields(F.col("_answer"), F.col("_object"))
+    return staged.withColumns(dict(zip(names, fields))).drop("_answer", "_object")
 
 
 def keep_raw(raw: Column | str) -> Column:

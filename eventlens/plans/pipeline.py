@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.functions.answers import build_prompt, keep_raw, parse_answer
+from eventlens.functions.answers import build_prompt, keep_raw, with_parsed_answer
 from eventlens.functions.dates import published_at_utc, to_date_or_null
 from eventlens.operators.align import align_events
 from eventlens.operators.filings import preprocess_filings
@@ -119,11 +119,10 @@ def run_benchmark(events: DataFrame, predictors: Mapping[str, PredictorFactory],
 
 def results_from_answers(raw: DataFrame, unwrap_fences: bool = False) -> DataFrame:
     """the result table from raw answers."""
-    p = parse_answer("raw_answer", unwrap_fences)
-    return raw.select(
+    parsed = with_parsed_answer(raw, "raw_answer", suffix="_llm_pred", unwrap_fences=unwrap_fences)
+    return parsed.select(
         "model", "event_id", "ticker", "ground_causal", "ground_assoc",
-        p["causal"].alias("causal_llm_pred"), p["assoc"].alias("assoc_llm_pred"),
-        p["cause"].alias("cause_llm_pred"), p["effect"].alias("effect_llm_pred"),
+        "causal_llm_pred", "assoc_llm_pred", "cause_llm_pred", "effect_llm_pred",
         keep_raw("raw_answer").alias("raw_llm"))
 
 

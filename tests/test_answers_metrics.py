@@ -1,6 +1,6 @@
 import pytest
 
-from eventlens.functions.answers import build_prompt, parse_answer
+from eventlens.functions.answers import build_prompt, parse_answer, with_parsed_answer
 from eventlens.operators.metrics import report, score
 from eventlens.operators.predict import keyword_predictor, run_predictors
 
@@ -32,6 +32,15 @@ def test_unwrap_fences_option(spark):
     assert (p.causal, p.assoc) == ("Yes", "Yes")
 
 
+@pytest.mark.parametrize("unwrap", [False, True])
+def test_staged_parse_is_the_column_form(spark, unwrap):
+    df = spark.createDataFrame([(k, a) for k, (a, _, _) in enumerate([*ANSWERS, (None, "", ""), (" \n", "", "")])], "k int, raw string")
+    want = {r.k: tuple(r.p) for r in df.select("k", parse_answer("raw", unwrap).alias("p")).collect()}
+    staged = with_parsed_answer(df, "raw", suffix="_pred", unwrap_fences=unwrap)
+    assert staged.columns == ["k", "raw", "causal_pred", "assoc_pred", "cause_pred", "effect_pred"]
+    assert {r[0]: tuple(r)[2:] for r in staged.collect()} == want
+
+
 def test_prompt_payload(spark):
     df = spark.createDataFrame([('say "hi"\n', "Flat"), ("x" * 2000, None)], "e string, r string")
     got = [r[0] for r in df.select(build_prompt("e", "r")).collect()]

@@ -35,6 +35,15 @@ def test_metrics_aggregate_partially_before_shuffle(spark):
     assert p.count("HashAggregate") == 2 and "partial_count" in p
 
 
+def test_answers_are_parsed_once_and_unread_fields_are_pruned(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10000)
+    for name in ("parse_answers", "score_models"):
+        p = plan(spark, name)
+        assert p.count("from_json") == 1 and p.count("regexp_extract_all") == 1, name
+    assert "cause_llm_pred" not in p and "effect_llm_pred" not in p
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
 def _final_plan(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     df.collect()  # the DataFrame's own execution: the AQE plan is final afterwards
