@@ -249,14 +249,25 @@ def cut_for_budget(table: bytes, budget: int) -> int:
     return int(np.flatnonzero(unpack(table) <= budget)[-1])
 
 
+def _longest_within(differences: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix of at most ``budget`` tokens, from a text's own differences."""
+    within = np.flatnonzero(np.cumsum(differences, dtype=np.int64) <= budget)
+    return int(within[-1]) + 1 if len(within) else 0
+
+
 def prefix_counts(df: DataFrame, text_col: str = "text", out: str = "tokens",
-                  tokenizer: str | None = None) -> DataFrame:
-    """``df`` plus ``<out>_prefixes`` (binary table, see ``pack``) and ``<out>_n`` (count of the whole text)."""
+                  tokenizer: str | None = None, budget: int | None = None) -> DataFrame:
+    """``df`` plus ``<out>_prefixes`` (binary table, see ``pack``) and ``<out>_n`` (count of the whole text);
+    with a ``budget`` also ``<out>_cut``, the code points of the longest prefix that has at most so many tokens."""
     path = tokenizer or default_tokenizer()
-    df = df.drop(f"{out}_prefixes", f"{out}_n")
+    if budget is not None and budget < 0:
+        raise ValueError("budget must not be negative")
+    df = df.drop(f"{out}_prefixes", f"{out}_n", *([] if budget is None else [f"{out}_cut"]))
     names = df.columns
-    schema = T.StructType(df.schema.fields + [T.StructField(f"{out}_prefixes", T.BinaryType()),
-                                              T.StructField(f"{out}_n", T.LongType())])
+    added = [T.StructField(f"{out}_prefixes", T.BinaryType()), T.StructField(f"{out}_n", T.LongType())]
+    if budget is not None:
+        added.append(T.StructField(f"{out}_cut", T.LongType()))
+    schema = T.StructType(df.schema.fields + added)
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +275,10 @@ def prefix_counts(df: DataFrame, text_col: str = "text", out: str = "tokens",
         for b in batches:
             texts = [t or "" for t in b.column(where).to_pylist()]
             d = counter.batch(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([pack(x) for x in d], pa.binary()),
-                 pa.array([int(x.sum()) for x in d], pa.int64())],
-                names=[*names, f"{out}_prefixes", f"{out}_n"])
+            made = [pa.array([pack(x) for x in d], pa.binary()), pa.array([int(x.sum()) for x in d], pa.int64())]
+            if budget is not None:
+                made.append(pa.array([_longest_within(x, budget) for x in d], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, *(f.name for f in added)])
 
     return df.mapInArrow(run, schema)
 
@@ -287,6 +298,7 @@ TOKEN_LIMIT = 1024
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    c = prefix_counts(docs)
+    c = prefix_counts(docs, budget=TOKEN_LIMIT)
     return c.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-                    F.col("tokens_n").alias("n_tokens"), (F.col("tokens_n") > TOKEN_LIMIT).alias("over_limit"))
+                    F.col("tokens_n").alias("n_tokens"), (F.col("tokens_n") > TOKEN_LIMIT).alias("over_limit"),
+                    F.col("tokens_cut").alias("cut_chars"))

@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventlens.llm.token_counts import PrefixCounter, cut_for_budget, default_tokenizer, pack, prefix_counts, truncated, unpack
+from eventlens.llm.token_counts import PrefixCounter, cut_for_budget, default_tokenizer, op9_token_counts, pack, prefix_counts, truncated, unpack
 from eventlens.llm.token_files import Segment, WordEncoder, bits_for, make_segment, pack_ids, read_token_files, unpack_ids, write_token_files
 from eventlens.session import scratch_path
 from llm_helpers import odd_texts
@@ -102,3 +103,28 @@ def test_counts_of_whole_texts_and_budgets(odd_docs, library):
 
 def test_wide_differences_are_kept():
     assert unpack(pack(np.array([1, -300, 40_000]))).tolist() == [0, 1, -299, 39_701]
+
+
+def test_cut_of_a_budget_is_the_longest_prefix_within_it(spark, library):
+    texts = ["", None, "  \n\n  a", "it're 'r 're", "你好世界 😀😀", "x" * 90, "one two three four five six", "<|endoftext|> a<|endoftext|>"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for budget in (0, 1, 3, 1000):
+        rows = prefix_counts(df.withColumn("tokens_cut", F.lit("x")), budget=budget).collect()
+        for r in rows:
+            t = r.text or ""
+            assert r.tokens_cut == max(k for k in range(len(t) + 1) if len(library(t[:k])) <= budget), (t, budget)
+            assert r.tokens_cut == cut_for_budget(bytes(r.tokens_prefixes), budget)
+    with pytest.raises(ValueError):
+        prefix_counts(df, budget=-1)
+
+
+def test_op9_cuts_the_texts_over_the_limit(spark, library, tmp_path):
+    texts = {1: "a short text", 2: "many words in a long text " * 400, 3: None, 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op9_token_counts(spark, str(tmp_path)).collect():
+        t = texts[r.doc_id] or ""
+        assert r.n_tokens == len(library(t)) and r.over_limit == (len(library(t)) > 1024)
+        if r.over_limit:
+            assert len(library(t[:r.cut_chars])) <= 1024 < len(library(t[:r.cut_chars + 1]))
+        else:
+            assert r.cut_chars == len(t)
