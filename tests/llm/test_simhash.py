@@ -70,10 +70,10 @@ def test_links_have_all_components_at_any_bucket_size(spark, bucket):
 def test_a_dense_cloud_is_cut_again_and_stays_one_component(spark):
     r = random.Random(7)
     centre = r.getrandbits(64)
-    cloud = {centre} | {centre ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3) for _ in range(700)}
-    far = {r.getrandbits(64) for _ in range(50)}
+    cloud = {centre} | {centre ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3) for _ in range(60)}
+    far = {r.getrandbits(64) for _ in range(20)}
     df = spark.createDataFrame([(signed(p),) for p in cloud | far], "fp long")
-    links = near_links(df, bucket=64).collect()  # every block of the cloud is above the bucket size
+    links = near_links(df, bucket=40).collect()  # every block of the cloud is above the bucket size
     root = {x.node: x.root for x in connected_components(spark.createDataFrame(links), "a", "b").collect()}
     assert len({root.get(signed(p), signed(p)) for p in cloud}) == 1
     assert not {signed(p) for p in far - cloud} & {x for link in links for x in link}
