@@ -35,7 +35,8 @@ def _clean_text_body() -> str:
     b = "t"
     for p in BOILERPLATE_PATTERNS:
         b = _trim(f"regexp_replace({b}, {_raw(p)}, '')")
-    sent = _trim(f"array_join(slice(split({b}, {_raw(SENTENCE_BOUNDARY)}, max_sents + 1), 1, max_sents), ' ')")
+    parts = "if(max_sents < 2147483647, max_sents + 1, -1)"  # the rest of the text stays one part
+    sent = _trim(f"array_join(slice(split({b}, {_raw(SENTENCE_BOUNDARY)}, {parts}), 1, max_sents), ' ')")
     h = "substr(s, 1, max_chars)"
     cut = (f"CASE WHEN instr({h}, '.') > 0 "
            f"THEN concat(substr({h}, 1, length({h}) - instr(reverse({h}), '.')), '.') "
